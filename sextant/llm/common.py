@@ -69,3 +69,32 @@ def sampled(df: DataFrame, by: Column, most: int, key: Column) -> DataFrame:
         keep = keep | (by.eqNullSafe(F.lit(row["by"])) & (hashed < int(share * (1 << 30))))
     del spark
     return df.filter(keep)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, training, most: int) -> list:
+    """(doc_id, text, label) rows for fitting, on the driver: about `most` labelled rows of each class at the most.
+
+    `training` maps the doc_id column to the condition of the rows that may be learned from. The ids are drawn from
+    the narrow labels table first; only their texts are then read, through a join with that bounded list."""
+    key = F.col("doc_id").cast("long")
+    rows = labels.select(key.alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & training(F.col("doc_id")))
+    few = sampled(rows, F.col("label"), most, F.col("doc_id"))
+    found = docs.select(key.alias("doc_id"), "text").filter(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").collect()
+    return sorted(found, key=lambda r: (r["doc_id"], r["label"], r["text"]))
+
+
+def newton_logistic(x, y, weight=None, ridge: float = 0.3, rounds: int = 40):
+    """Weights (the last one the intercept) of a ridge logistic regression, by damped Newton steps; y may be soft."""
+    import numpy as np
+
+    a = np.c_[x, np.ones(len(x))]
+    w, s = np.zeros(a.shape[1]), np.ones(len(a)) if weight is None else np.asarray(weight, float)
+    hold = np.full(a.shape[1], ridge)
+    hold[-1] = 1e-3
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        step = np.linalg.solve((a * (s * q * (1 - q))[:, None]).T @ a + np.diag(hold), a.T @ (s * (q - y)) + hold * w)
+        w = w - step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
