@@ -5,8 +5,10 @@ from __future__ import annotations
 from sextant.llm.compression import op9_quality_compression
 from sextant.llm.language_mix import op10_language_mixture
 from sextant.llm.line_rules import op3_line_rules
+from sextant.llm.weak_labels import op1_toxicity_weak
 
 QUERIES = {
+    "op1_toxicity_weak": op1_toxicity_weak,
     "op3_line_rules": op3_line_rules,
     "op9_quality_compression": op9_quality_compression,
     "op10_language_mixture": op10_language_mixture,
