@@ -98,3 +98,20 @@ def newton_logistic(x, y, weight=None, ridge: float = 0.3, rounds: int = 40):
         if np.abs(step).max() < 1e-6:
             break
     return w
+
+
+def tokens(texts):
+    """(row, code, words) of an Arrow array of texts: each word's row and its number in `words`, in order.
+
+    Words are those of `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; a null text has none."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    flat = lists.flatten()
+    full = pc.binary_length(flat).to_numpy() > 0
+    if not full.all():
+        flat, row = flat.filter(full), row[full]
+    coded = flat.dictionary_encode()
+    return row, coded.indices.to_numpy(), coded.dictionary
