@@ -7,12 +7,14 @@ from sextant.llm.language_mix import op10_language_mixture
 from sextant.llm.lattice import op2_lattice_likelihood
 from sextant.llm.line_rules import op3_line_rules
 from sextant.llm.pii import op7_pii_boosted
+from sextant.llm.similarity import op4_jaccard_join
 from sextant.llm.weak_labels import op1_toxicity_weak
 
 QUERIES = {
     "op1_toxicity_weak": op1_toxicity_weak,
     "op2_lattice_likelihood": op2_lattice_likelihood,
     "op3_line_rules": op3_line_rules,
+    "op4_jaccard_join": op4_jaccard_join,
     "op7_pii_boosted": op7_pii_boosted,
     "op9_quality_compression": op9_quality_compression,
     "op10_language_mixture": op10_language_mixture,
