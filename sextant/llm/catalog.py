@@ -8,6 +8,9 @@ from sextant.llm.lattice import op2_lattice_likelihood
 from sextant.llm.line_rules import op3_line_rules
 from sextant.llm.pii import op7_pii_boosted
 from sextant.llm.similarity import op4_jaccard_join
+from sextant.llm.temperature import ORACLE as MIX_SQL
+from sextant.llm.temperature import op5_temperature_mix
+from sextant.llm.tiling import op8_benchmark_tiling
 from sextant.llm.weak_labels import op1_toxicity_weak
 
 QUERIES = {
@@ -15,9 +18,13 @@ QUERIES = {
     "op2_lattice_likelihood": op2_lattice_likelihood,
     "op3_line_rules": op3_line_rules,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_temperature_mix": op5_temperature_mix,
     "op7_pii_boosted": op7_pii_boosted,
+    "op8_benchmark_tiling": op8_benchmark_tiling,
     "op9_quality_compression": op9_quality_compression,
     "op10_language_mixture": op10_language_mixture,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_temperature_mix": MIX_SQL,
+}
