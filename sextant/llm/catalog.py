@@ -5,6 +5,7 @@ from __future__ import annotations
 from sextant.llm.compression import op9_quality_compression
 from sextant.llm.language_mix import op10_language_mixture
 from sextant.llm.lattice import op2_lattice_likelihood
+from sextant.llm.licences import op6_licence_scan
 from sextant.llm.line_rules import op3_line_rules
 from sextant.llm.pii import op7_pii_boosted
 from sextant.llm.similarity import op4_jaccard_join
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_line_rules": op3_line_rules,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_temperature_mix": op5_temperature_mix,
+    "op6_licence_scan": op6_licence_scan,
     "op7_pii_boosted": op7_pii_boosted,
     "op8_benchmark_tiling": op8_benchmark_tiling,
     "op9_quality_compression": op9_quality_compression,

@@ -157,6 +157,19 @@ def identify(docs: DataFrame, model: MixtureModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>")
 
 
+def keep_identified(docs: DataFrame, model: MixtureModel) -> DataFrame:
+    """The rows of docs whose text has a language, with all their columns; the others (`und`) go.
+
+    Works on the rows themselves, so no join by doc_id and no shuffle; columns of any name pass through."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [bool(mixture(model, t)[0]) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_language_mixture(spark, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows outside the fold."""
     docs = table(spark, sf_dir, "documents")
