@@ -1,4 +1,11 @@
 """Registered queries of the engine and the SQL that checks them."""
 
+from __future__ import annotations
+
+from sextant.plans import core
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for part in (core,):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES
