@@ -27,13 +27,15 @@ MARK, SPACE_BYTE = "▁".encode(), b" "
 
 @dataclass(frozen=True)
 class LatticeRules:
-    """Parameters: the vocabulary file, longest piece in bytes, EM rounds, weight of the file's order, documents a batch."""
+    """Parameters: the vocabulary file, longest piece in bytes, EM rounds, weight of the file's order,
+    documents of a batch (at most 32767) and batches whose sums a task holds."""
 
     vocabulary: str = "/opt/tokenizers/piece_bpe_32k.model"
     longest: int = 16
     em_rounds: int = 3
     prior_weight: float = 1000.0
     batch: int = 4000
+    held_batches: int = 256
 
 
 @lru_cache(maxsize=2)
@@ -261,8 +263,16 @@ def score_packed(rows: DataFrame, model: LatticeModel, ends: int) -> DataFrame:
     rules, log_q = model.rules, model.log_q
     base = np.log10(model.train_tokens + 0.5 * (model.kinds + 1))
 
+    def flushed(sums: dict[int, np.ndarray]):
+        for x, v in sums.items():
+            at = np.nonzero(v[3])[0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x], pa.int64()), *(pa.array([v[j][at]], pa.list_(pa.float64())) for j in (0, 1)), pa.array([v[2][at].astype(np.int32)], pa.list_(pa.int32())), pa.array([at.astype(np.int16)], pa.list_(pa.int16()))],
+                names=["batch", "own", "plain", "known", "at"],
+            )
+
     def partial(batches):
-        index = _index(rules)
+        index, sums = _index(rules), {}
         for b in batches:
             word, uses, c, name = b.column(0).to_pylist(), b.column(1), b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy()
             different = {w: i for i, w in enumerate(dict.fromkeys(word))}
@@ -273,22 +283,23 @@ def score_packed(rows: DataFrame, model: LatticeModel, ends: int) -> DataFrame:
             offsets = np.frombuffer(buffers[1], np.int32)[uses.offset : uses.offset + len(uses) + 1]
             flat = np.frombuffer(buffers[2], np.int32, offset=int(offsets[0]), count=(int(offsets[-1]) - int(offsets[0])) // 4) if offsets[-1] > offsets[0] else np.zeros(0, np.int32)
             doc, times = flat[0::2], flat[1::2].astype(float)
-            each = np.diff(offsets) // 8
-            row = np.repeat(np.arange(len(word)), each)
+            row = np.repeat(np.arange(len(word)), np.diff(offsets) // 8)
             names, slot = np.unique(name, return_inverse=True)
             key = slot[row] * rules.batch + doc
             size = len(names) * rules.batch
-            sums = [np.bincount(key, weights=times * v[row], minlength=size) for v in (own, plain, (known > 0).astype(float))]
-            hit = np.bincount(key, minlength=size).reshape(-1, rules.batch)
-            for i, x in enumerate(names):
-                at = np.nonzero(hit[i])[0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x], pa.int64()), *(pa.array([v.reshape(-1, rules.batch)[i][at]], pa.list_(pa.float64())) for v in sums), pa.array([at.tolist()], pa.list_(pa.int32()))],
-                    names=["batch", "own", "plain", "known", "at"],
-                )
+            parts = [np.bincount(key, weights=w, minlength=size).reshape(-1, rules.batch) for w in (times * own[row], times * plain[row], times * (known > 0)[row], np.ones(len(key)))]
+            for i, x in enumerate(names.tolist()):
+                if x not in sums:
+                    sums[x] = np.zeros((4, rules.batch))
+                for j in range(4):
+                    sums[x][j] += parts[j][i]
+            if len(sums) > rules.held_batches:
+                yield from flushed(sums)
+                sums = {}
+        yield from flushed(sums)
 
     joined = rows.filter(F.col("word").isNotNull()).select("batch", "word", "uses").join(model.words, "word", "left").select("word", "uses", F.col("c").cast("double"), "batch")
-    parts = joined.mapInArrow(partial, "batch long, own array<double>, plain array<double>, known array<double>, at array<int>")
+    parts = joined.mapInArrow(partial, "batch long, own array<double>, plain array<double>, known array<int>, at array<short>")
     heads = rows.filter(F.col("word").isNull()).select("batch", "ids", "lengths", "train")
     last_own, last_plain = float(log_q[-1]) / np.log(10), float(np.log10(ends + 0.5) - base)
 
