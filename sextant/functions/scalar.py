@@ -127,9 +127,9 @@ def spread_bps(adv: Column) -> Column:
 
 
 def impact_bps(trade: Column, adv: Column) -> Column:
-    """Impact in basis points: square root of participation, which is capped; unknown volume counts as the cap."""
-    share = F.when(adv > 0, F.least(trade / adv, F.lit(C.PARTICIPATION_CAP))).otherwise(C.PARTICIPATION_CAP)
-    return C.IMPACT_COEF * F.sqrt(share)
+    """Impact in basis points: square root of participation, which is capped; unknown volume costs the most."""
+    share = F.least(trade / adv, F.lit(C.PARTICIPATION_CAP))
+    return F.when((adv > 0) & (trade > 0), C.IMPACT_COEF * F.sqrt(share)).otherwise(C.SPREAD_MAX)
 
 
 def one_way_bps(trade: Column, adv: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sextant.plans import core
+from sextant.plans import core, evaluation
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (core,):
+for part in (core, evaluation):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
