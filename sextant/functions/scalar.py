@@ -67,7 +67,7 @@ def weight_note(ic: Column) -> Column:
 
 def items(codes: Column) -> Column:
     """Codes of a comma-separated string: trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(codes, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(codes, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_material(codes: Column) -> Column:

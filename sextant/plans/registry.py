@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sextant.plans import core, evaluation
+from sextant.plans import core, dated, evaluation
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (core, evaluation):
+for part in (core, evaluation, dated):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
