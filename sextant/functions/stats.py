@@ -76,9 +76,7 @@ def two_sided_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return _incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
-def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided p-value; NULL without t or degrees of freedom. Spark has no incomplete beta, hence Arrow batches."""
+def _tail(t: pd.Series, df: pd.Series) -> pd.Series:
     ok = t.notna() & (df > 0)
     out = pd.Series(np.nan, index=t.index)
     if ok.any():
@@ -86,6 +84,11 @@ def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return out
 
 
+def t_tail(t: Column, df: Column) -> Column:
+    """Two-sided p-value; NULL without t or degrees of freedom. Spark has no incomplete beta, hence Arrow batches."""
+    return F.pandas_udf(_tail, "double")(t, df)
+
+
 def discoveries(df: DataFrame, p: str, q: float, *family: str) -> DataFrame:
     """df with `bh_rank` and `bh_pass`: Benjamini-Hochberg within a family; NULL p-values don't count."""
     keys = list(family) or [F.lit(0)]

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-BY_ENTITY = Window.partitionBy("entity").orderBy("d")
+def by_entity():
+    """The time order of an entity's rows; made on use, since a window needs a session and workers import this too."""
+    return Window.partitionBy("entity").orderBy("d")
 
 
 def trailing(n: int, end: int = 0):
     """The last n rows of the entity, up to `end` rows from the current one."""
-    return BY_ENTITY.rowsBetween(-(n - 1) + end, end)
+    return by_entity().rowsBetween(-(n - 1) + end, end)
 
 
 def bars_so_far() -> Column:
     """Rows of the entity up to the current one: the history guard."""
-    return F.row_number().over(BY_ENTITY)
+    return F.row_number().over(by_entity())
 
 
 def guarded(value: Column, least: int) -> Column:
@@ -47,11 +49,11 @@ def share_at_or_below(x: Column, n: int, least: int) -> Column:
 
 def expanding_share_below(x: Column, least: int) -> Column:
     """Percent of all non-null values so far that are strictly below the current one; NULL with fewer than `least`."""
-    past = F.collect_list(x).over(BY_ENTITY.rowsBetween(Window.unboundedPreceding, 0))
+    past = F.collect_list(x).over(by_entity().rowsBetween(Window.unboundedPreceding, 0))
     return F.when(x.isNotNull() & (F.size(past) >= least), F.size(F.filter(past, lambda v: v < x)) / F.size(past) * 100)
 
 
 def expanding_quantile(x: Column, q: float, least: int) -> Column:
     """Linear-interpolation quantile of all non-null values so far, the current one included."""
-    w = BY_ENTITY.rowsBetween(Window.unboundedPreceding, 0)
+    w = by_entity().rowsBetween(Window.unboundedPreceding, 0)
     return F.when(F.count(x).over(w) >= least, F.percentile(x, F.lit(q)).over(w))

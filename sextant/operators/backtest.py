@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant import config as C
+from sextant.functions.simulate import book, book_free
 from sextant.operators.features import dollar_adv
 
 
@@ -26,11 +25,12 @@ def targets(scores: DataFrame, rebalances: DataFrame, score: str, n: int, bars:
     return found.withColumn("_k", F.row_number().over(Window.partitionBy("d").orderBy(order, "entity"))).filter(F.col("_k") <= n).select("d", "entity")
 
 
-def _cost_bps(trade: float, adv: float | None) -> float:
-    if not adv or adv <= 0 or trade <= 0:
-        return C.SPREAD_MAX / 2 + C.SPREAD_MAX
-    spread = min(max(C.SPREAD_BASE + C.SPREAD_COEF / np.sqrt(adv / 1e6), C.SPREAD_MIN), C.SPREAD_MAX)
-    return spread / 2 + C.IMPACT_COEF * np.sqrt(min(trade / adv, C.PARTICIPATION_CAP))
+def targets_by_config(scores: DataFrame, sessions: DataFrame, score: str, configs: list[tuple[str, int, int, bool]]) -> DataFrame:
+    """(config, d, entity) of many configs (name, names held, sessions held, worst first) from one pass over the scores."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("config"), F.lit(n).alias("n"), F.lit(h).alias("hold"), F.lit(w).alias("worst")) for c, n, h, w in configs])).alias("c")
+    found = scores.filter(F.col(score).isNotNull()).join(F.broadcast(sessions), "d").select("d", "entity", "session", score, each).select("d", "entity", "session", score, "c.*").filter("session % hold = 0")
+    order = F.when(F.col("worst"), F.col(score)).otherwise(-F.col(score))
+    return found.withColumn("_k", F.row_number().over(Window.partitionBy("config", "d").orderBy(order, "entity"))).filter("_k <= n").select("config", "d", "entity")
 
 
 def simulate(picks: DataFrame, bars: DataFrame, sessions: DataFrame, charge: bool = True) -> DataFrame:
@@ -45,43 +45,8 @@ def simulate(picks: DataFrame, bars: DataFrame, sessions: DataFrame, charge: boo
     chosen = picks.join(F.broadcast(sessions), "d").select("config", F.lit(1).alias("kind"), "entity", "session", "d", *[F.lit(None).cast("double").alias(c) for c in ("open", "close", "adv")])
     calendar = names.select("config").distinct().join(F.broadcast(sessions), F.lit(True)).select("config", F.lit(2).alias("kind"), F.lit(None).cast("long").alias("entity"), "session", "d", *[F.lit(None).cast("double").alias(c) for c in ("open", "close", "adv")])
 
-    def run(found: pd.DataFrame) -> pd.DataFrame:
-        days = found[found.kind == 2].sort_values("session")
-        first = int(days.session.min())
-        rows = found[found.kind == 0]
-        where = {e: k for k, e in enumerate(sorted(rows.entity.unique()))}
-        shape = (len(days), len(where))
-        table = {c: np.full(shape, np.nan) for c in ("open", "close", "adv")}
-        i, j = (rows.session - first).to_numpy(int), rows.entity.map(where).to_numpy(int)
-        for c, t in table.items():
-            t[i, j] = rows[c].to_numpy(float)
-        last = pd.DataFrame(table["close"]).ffill().to_numpy() if len(where) else table["close"]
-        plan = {int(s) - first: sorted(where[e] for e in g.entity if e in where) for s, g in found[found.kind == 1].groupby("session")}
-        cash, held, pending, out = C.INITIAL_EQUITY, {}, None, []
-        for t, d in enumerate(days.d):
-            cost = 0.0
-            if pending is not None:
-                book = cash
-                for k, shares in held.items():
-                    px = table["open"][t, k] if not np.isnan(table["open"][t, k]) else last[t, k]
-                    if np.isnan(px):
-                        continue
-                    fee = shares * px * _cost_bps(shares * px, None if np.isnan(table["adv"][t, k]) else table["adv"][t, k]) / 1e4 if charge else 0.0
-                    book, cost = book + shares * px - fee, cost + fee
-                fill = [k for k in pending if not np.isnan(table["open"][t, k])]
-                held = {}
-                for k in fill:
-                    each = book / len(fill)
-                    fee = each * _cost_bps(each, None if np.isnan(table["adv"][t, k]) else table["adv"][t, k]) / 1e4 if charge else 0.0
-                    held[k], cost = (each - fee) / table["open"][t, k], cost + fee
-                cash = 0.0 if fill else book
-            pending = plan.get(t)
-            value = cash + sum(s * last[t, k] for k, s in held.items() if not np.isnan(last[t, k]))
-            out.append((found.config.iloc[0], d, value, cost))
-        return pd.DataFrame(out, columns=["config", "d", "equity", "cost"])
-
     both = used.unionByName(chosen).unionByName(calendar)
-    return both.groupBy("config").applyInPandas(run, "config string, d date, equity double, cost double")
+    return both.groupBy("config").applyInPandas(book if charge else book_free, "config string, d date, equity double, cost double")
 
 
 def metrics(curve: DataFrame, *keys: str) -> DataFrame:

@@ -7,34 +7,32 @@ from pyspark.sql import functions as F
 
 from sextant import config as C
 from sextant.functions.scalar import close_position, pct
-from sextant.functions.windows import BY_ENTITY, bars_so_far, guarded, max_drawdown, mean_of, share_at_or_below, trailing
-
-CLOSE, HIGH, LOW, VOLUME = (F.col(c) for c in ("close", "high", "low", "volume"))
+from sextant.functions.windows import by_entity, bars_so_far, guarded, max_drawdown, mean_of, share_at_or_below, trailing
 
 
 def trend(df: DataFrame) -> DataFrame:
     """SMAs, and how far the close and the SMAs lie from each other in percent."""
-    out = df.withColumns({f"SMA{w}": mean_of(CLOSE, w) for w in C.SMA_WINDOWS})
-    far = {f"close_vs_SMA{w}_pct": pct(CLOSE, F.col(f"SMA{w}")) for w in C.SMA_WINDOWS}
+    out = df.withColumns({f"SMA{w}": mean_of(F.col("close"), w) for w in C.SMA_WINDOWS})
+    far = {f"close_vs_SMA{w}_pct": pct(F.col("close"), F.col(f"SMA{w}")) for w in C.SMA_WINDOWS}
     return out.withColumns(far | {"SMA20_vs_SMA50_pct": pct(F.col("SMA20"), F.col("SMA50")), "SMA50_vs_SMA200_pct": pct(F.col("SMA50"), F.col("SMA200"))})
 
 
 def returns(df: DataFrame) -> DataFrame:
     """Returns over each window of own rows, and whether the longest is missing."""
-    out = df.withColumns({f"return_{w}d": F.try_divide(CLOSE, F.lag("close", w).over(BY_ENTITY)) - 1 for w in C.RETURN_WINDOWS})
+    out = df.withColumns({f"return_{w}d": F.try_divide(F.col("close"), F.lag("close", w).over(by_entity())) - 1 for w in C.RETURN_WINDOWS})
     return out.withColumn("return_252d_missing", F.col("return_252d").isNull())
 
 
 def volume(df: DataFrame) -> DataFrame:
     """Volume ratios, dollar volume, high-volume days, up against down volume, and where the close lies."""
     last = trailing(20)
-    out = df.withColumn("ret", F.try_divide(CLOSE, F.lag("close", 1).over(BY_ENTITY)) - 1)
-    out = out.withColumns({f"volume_ratio_{w}d": F.try_divide(VOLUME, mean_of(VOLUME, w)) for w in C.VOLUME_WINDOWS})
+    out = df.withColumn("ret", F.try_divide(F.col("close"), F.lag("close", 1).over(by_entity())) - 1)
+    out = out.withColumns({f"volume_ratio_{w}d": F.try_divide(F.col("volume"), mean_of(F.col("volume"), w)) for w in C.VOLUME_WINDOWS})
     out = out.withColumns({
-        "dollar_volume_20d": mean_of(CLOSE * VOLUME, 20), "avg20": mean_of(VOLUME, 20),
+        "dollar_volume_20d": mean_of(F.col("close") * F.col("volume"), 20), "avg20": mean_of(F.col("volume"), 20),
         "days": F.collect_list(F.struct("ret", "volume")).over(last),
-        "up_volume": F.sum(F.when(F.col("ret") > 0, VOLUME).otherwise(0.0)).over(last), "down_volume": F.sum(F.when(F.col("ret") < 0, VOLUME).otherwise(0.0)).over(last),
-        "close_position": close_position(HIGH, LOW, CLOSE),
+        "up_volume": F.sum(F.when(F.col("ret") > 0, F.col("volume")).otherwise(0.0)).over(last), "down_volume": F.sum(F.when(F.col("ret") < 0, F.col("volume")).otherwise(0.0)).over(last),
+        "close_position": close_position(F.col("high"), F.col("low"), F.col("close")),
     })
     # the threshold is the average at the end of the frame, so the days of the frame are judged together
     busy = lambda sign: F.size(F.filter("days", lambda x: (x["ret"] * sign > 0) & (x["volume"] > C.HIGH_VOLUME_RATIO * F.col("avg20"))))
@@ -50,28 +48,28 @@ def volume(df: DataFrame) -> DataFrame:
 
 def risk(df: DataFrame) -> DataFrame:
     """True range, volatility, drawdown and the distance from the extremes of the last year of closes."""
-    before = F.lag("close", 1).over(BY_ENTITY)
+    before = F.lag("close", 1).over(by_entity())
     year = F.sqrt(F.lit(float(C.SESSIONS_A_YEAR)))
-    out = df.withColumns({"tr": F.greatest(HIGH - LOW, F.abs(HIGH - before), F.abs(LOW - before)), "ret": F.try_divide(CLOSE, before) - 1})
-    out = out.withColumn("ATR14", mean_of(F.col("tr"), C.ATR_WINDOW)).withColumn("ATR_pct", F.try_divide("ATR14", CLOSE))
+    out = df.withColumns({"tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)), "ret": F.try_divide(F.col("close"), before) - 1})
+    out = out.withColumn("ATR14", mean_of(F.col("tr"), C.ATR_WINDOW)).withColumn("ATR_pct", F.try_divide("ATR14", F.col("close")))
     out = out.withColumns({f"volatility_{w}d": guarded(F.stddev_samp("ret").over(trailing(w)) * year, w + 1) for w in C.VOLATILITY_WINDOWS})
     out = out.withColumn("downside_volatility_20d", guarded(F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret"))).over(trailing(20)) * year, 21))
-    out = out.withColumns({f"max_drawdown_{w}d": max_drawdown(CLOSE, w) for w in C.DRAWDOWN_WINDOWS})
+    out = out.withColumns({f"max_drawdown_{w}d": max_drawdown(F.col("close"), w) for w in C.DRAWDOWN_WINDOWS})
     top, bottom = F.max("close").over(trailing(C.SESSIONS_A_YEAR)), F.min("close").over(trailing(C.SESSIONS_A_YEAR))
-    return out.withColumns({"distance_from_52w_high_pct": F.try_divide(top - CLOSE, top) * 100, "distance_from_52w_low_pct": pct(CLOSE, bottom)}).drop("tr", "ret")
+    return out.withColumns({"distance_from_52w_high_pct": F.try_divide(top - F.col("close"), top) * 100, "distance_from_52w_low_pct": pct(F.col("close"), bottom)}).drop("tr", "ret")
 
 
 def setup(df: DataFrame) -> DataFrame:
     """Nearness to highs, pullback, failed breakout and extension. Needs the SMAs of `trend`."""
     top = {w: guarded(F.max("high").over(trailing(w)), w) for w in C.NEAR_HIGH}
     out = df.withColumns({"top20": top[20], "top60": top[60], "before20": F.max("high").over(trailing(20, -1))})
-    out = out.withColumn("broke", F.when((bars_so_far() > 20) & (HIGH > F.col("before20")), HIGH)).withColumn("broke5", F.max("broke").over(trailing(C.BREAKOUT_LOOKBACK)))
-    below = (F.col("top20") - CLOSE) / F.col("top20") * 100
-    failed = F.coalesce(-pct(CLOSE, F.col("broke5")) >= C.BREAKOUT_DROP, F.lit(False))
+    out = out.withColumn("broke", F.when((bars_so_far() > 20) & (F.col("high") > F.col("before20")), F.col("high"))).withColumn("broke5", F.max("broke").over(trailing(C.BREAKOUT_LOOKBACK)))
+    below = (F.col("top20") - F.col("close")) / F.col("top20") * 100
+    failed = F.coalesce(-pct(F.col("close"), F.col("broke5")) >= C.BREAKOUT_DROP, F.lit(False))
     far = F.col("close_vs_SMA20_pct") > C.EXTENDED
     out = out.withColumns({
-        "near_20d_high": CLOSE >= C.NEAR_HIGH[20] * F.col("top20"), "near_60d_high": CLOSE >= C.NEAR_HIGH[60] * F.col("top60"),
-        "pullback_above_SMA50": (CLOSE > F.col("SMA50")) & below.between(*C.PULLBACK),
+        "near_20d_high": F.col("close") >= C.NEAR_HIGH[20] * F.col("top20"), "near_60d_high": F.col("close") >= C.NEAR_HIGH[60] * F.col("top60"),
+        "pullback_above_SMA50": (F.col("close") > F.col("SMA50")) & below.between(*C.PULLBACK),
         "failed_breakout_flag": guarded(failed, 25), "extended_flag": far, "not_extended_flag": ~far,
     })
     return out.drop("top20", "top60", "before20", "broke", "broke5")
@@ -81,7 +79,7 @@ def regime(df: DataFrame) -> DataFrame:
     """(benchmark, d) and the regime features of benchmarks' own bars."""
     out = risk(returns(trend(df)))
     out = out.withColumns({
-        **{f"benchmark_above_SMA{w}": CLOSE > F.col(f"SMA{w}") for w in C.SMA_WINDOWS},
+        **{f"benchmark_above_SMA{w}": F.col("close") > F.col(f"SMA{w}") for w in C.SMA_WINDOWS},
         **{f"benchmark_return_{w}d": F.col(f"return_{w}d") for w in C.RETURN_WINDOWS},
         "benchmark_volatility_20d": F.col("volatility_20d"),
         "benchmark_vol_high_flag": share_at_or_below(F.col("volatility_20d"), C.SESSIONS_A_YEAR, C.VOL_HIGH_LEAST) > C.VOL_HIGH_PERCENTILE,
@@ -98,5 +96,5 @@ def all_features(df: DataFrame, watch: DataFrame, benchmarks: DataFrame) -> Data
 
 def dollar_adv(window: int = 20) -> Column:
     """Mean dollar volume of up to `window` rows, without a minimum; NULL if it is not above zero."""
-    v = F.avg(CLOSE * VOLUME).over(trailing(window))
+    v = F.avg(F.col("close") * F.col("volume")).over(trailing(window))
     return F.when(v > 0, v)

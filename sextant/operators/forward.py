@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.functions.windows import BY_ENTITY
+from sextant.functions.windows import by_entity
 
 HORIZONS, DRAWDOWN_HORIZONS = (5, 20, 60, 120), (20, 60)
 
 
 def lead_return(n: int) -> Column:
     """Return from this close to the close n own rows ahead; NULL before that has happened."""
-    return F.try_divide(F.lead("close", n).over(BY_ENTITY), F.col("close")) - 1
+    return F.try_divide(F.lead("close", n).over(by_entity()), F.col("close")) - 1
 
 
 def drawdown_after(n: int) -> Column:
     """Deepest fall in percent from a peak within this and the next n closes; NULL without all of them."""
-    ahead = F.collect_list("close").over(BY_ENTITY.rowsBetween(0, n))
+    ahead = F.collect_list("close").over(by_entity().rowsBetween(0, n))
     start = F.struct(F.lit(float("-inf")).alias("peak"), F.lit(0.0).alias("fall"))
 
     def step(a: Column, x: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sextant import config as C
 from sextant.functions.stats import spaced
-from sextant.functions.windows import BY_ENTITY, expanding_quantile, trailing
+from sextant.functions.windows import by_entity, expanding_quantile, trailing
 
 
 def densified(bars: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def densified(bars: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def streaks(df: DataFrame, n: int, up: bool = True) -> DataFrame:
     """df with `streak`: n changes in a row of one sign; a missing change ends it."""
-    change = F.col("close") - F.lag("close").over(BY_ENTITY)
+    change = F.col("close") - F.lag("close").over(by_entity())
     out = df.withColumn("_hit", F.when(change.isNotNull(), ((change > 0) if up else (change < 0)).cast("int")))
     return out.withColumn("streak", F.coalesce((F.min("_hit").over(trailing(n)) == 1) & (F.count("_hit").over(trailing(n)) == n), F.lit(False))).drop("_hit")
 
@@ -49,7 +49,7 @@ def turn_of_month(sessions: DataFrame, k: int = 3) -> DataFrame:
 
 def peer_rank(df: DataFrame, lookback: int, top: int) -> DataFrame:
     """df with `in_top`: among the best `top` by return over the lookback; needs max(3, top + 1) peers; ties by entity, descending."""
-    out = df.withColumn("_r", F.try_divide(F.col("close"), F.lag("close", lookback).over(BY_ENTITY)) - 1)
+    out = df.withColumn("_r", F.try_divide(F.col("close"), F.lag("close", lookback).over(by_entity())) - 1)
     day = Window.partitionBy("d")
     place = F.row_number().over(day.orderBy(F.col("_r").desc_nulls_last(), F.desc("entity")))
     return out.withColumn("in_top", F.col("_r").isNotNull() & (F.count("_r").over(day) >= max(3, top + 1)) & (place <= top)).drop("_r")
@@ -57,7 +57,7 @@ def peer_rank(df: DataFrame, lookback: int, top: int) -> DataFrame:
 
 def forward_by_session(df: DataFrame, horizon: int) -> DataFrame:
     """df with `fwd` (close to close) and `tradable` (next open to close), counted in sessions of the dense panel."""
-    end, entry = F.lead("close", horizon).over(BY_ENTITY), F.lead("open", 1).over(BY_ENTITY)
+    end, entry = F.lead("close", horizon).over(by_entity()), F.lead("open", 1).over(by_entity())
     return df.withColumns({"fwd": F.try_divide(end, F.col("close")) - 1, "tradable": F.try_divide(end, entry) - 1})
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sextant.plans import core, dated, evaluation
+from sextant.plans import core, dated, evaluation, research
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (core, evaluation, dated):
+for part in (core, evaluation, dated, research):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

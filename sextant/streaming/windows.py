@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 def stream(spark, path: str) -> DataFrame:
     """The events of a folder of Parquet files as a stream; the schema is that of the files there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    df = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need an instant
 
 
 def tumbling(df: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
