@@ -4,8 +4,8 @@
 2. A set's prefix - its first n - ceil(s n) + 1 n-grams in an order common to all - holds an n-gram of every set that
    reaches the similarity. The order puts the n-grams that are frequent anywhere last; it decides how many candidates
    there are and never which links are found.
-3. Short lists of an n-gram give pairs; pairs whose sizes exclude the similarity are discarded, and the overlap of the
-   rest is counted over their whole sets.
+3. Short lists of an n-gram give pairs, whose overlaps within the prefixes are accumulated; pairs whose sizes and
+   overlap exclude the similarity are discarded, and the overlap of the rest is counted over their whole sets.
 4. Long lists become blocks, by n-gram, band of sizes and tile; in a block, rows of the product are computed whole,
    starting with the row nearest to the block's common n-grams, and only for rows outside the largest component found
    so far: no link between components can be missed, and a group of thousands of near copies costs no square of pairs.
@@ -23,21 +23,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import kept, table, tokens
+from sextant.llm.common import batched, kept, table, tokens
 from sextant.llm.graph import components
 
 
 @dataclass(frozen=True)
 class JaccardRules:
     """Parameters: words a shingle, similarity in percent, frequent n-grams kept (a bound of what is broadcast),
-    longest list that becomes pairs, n-grams of a tile, documents of an Arrow slice."""
+    longest list that becomes pairs, n-grams of a tile, documents of a slice,
+    n-grams that are counted together when looking for frequent ones."""
 
     words: int = 3
     percent: int = 90
-    frequent: int = 65_536
+    frequent: int = 1_000_000
     pair_list: int = 32
     tile: int = 1_000_000
-    slice: int = 4000
+    slice: int = 1000
+    counted: int = 4_000_000
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -74,19 +76,33 @@ def _sliced(batches, size: int):
     for b in batches:
         for i in range(0, b.num_rows, size):
             yield b.slice(i, size)
+            pa.default_memory_pool().release_unused()
 
 
 def frequent_shingles(docs: DataFrame, rules: JaccardRules) -> np.ndarray:
-    """Shingles that recur in slices of documents, the most frequent ones over all documents, at most rules.frequent."""
+    """Shingles that recur among different sets, the most frequent ones over all documents, at most rules.frequent."""
+
+    def recurring(buffer: dict):
+        h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *buffer.values()]), return_counts=True)
+        h, n = h[n >= 3], n[n >= 3].astype(np.int64)
+        for i in range(0, len(h), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], names=["h", "n"])
 
     def count(batches):
+        buffer, held = {}, 0
         for b in _sliced(batches, rules.slice):
-            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(b.column(0), rules.words)]), return_counts=True)
-            keep = n >= 4
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
+            for s in shingle_sets(b.column(0), rules.words):
+                name = hashlib.blake2b(s.tobytes(), digest_size=8).digest()
+                if name not in buffer:
+                    buffer[name] = s
+                    held += len(s)
+            if held > rules.counted:
+                yield from recurring(buffer)
+                buffer, held = {}, 0
+        yield from recurring(buffer)
 
-    found = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(rules.frequent).collect()
-    return np.sort(np.array([r["h"] for r in found], np.int64).view(np.uint64))
+    found = batched(docs).select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(rules.frequent).select("h").toArrow()
+    return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -95,7 +111,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def incidence(docs: DataFrame, rules: JaccardRules) -> DataFrame:
-    """doc_id, n, digest of the set and prefix of each row of docs (doc_id, text)."""
+    """doc_id, n, digest of the set, prefix and place of the prefix's end in the order of each row of docs (doc_id, text)."""
     last = frequent_shingles(docs, rules)
 
     def rows(batches):
@@ -104,17 +120,20 @@ def incidence(docs: DataFrame, rules: JaccardRules) -> DataFrame:
             flat = np.concatenate([np.zeros(0, np.uint64), *sets])
             at = np.searchsorted(last, flat)
             late = (last[np.minimum(at, len(last) - 1)] == flat) if len(last) else np.zeros(len(flat), bool)
-            prefix, start = [], 0
+            prefix, ends, start = [], [], 0
             for s in sets:
                 part = late[start : start + len(s)]
                 start += len(s)
                 p = prefix_length(len(s), rules.percent)
                 first = s[~part][:p]
-                prefix.append((first if len(first) == p else np.concatenate([first, s[part][: p - len(first)]])).view(np.int64))
+                more = s[part][: p - len(first)]
+                prefix.append(np.concatenate([first, more]).view(np.int64))
+                end = more if len(more) else first
+                ends.append((len(more) > 0, int(end[-1] >> np.uint64(1)) if len(end) else 0))
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array([e[0] for e in ends], pa.bool_()), pa.array([e[1] for e in ends], pa.int64())], names=["doc_id", "n", "digest", "prefix", "end_late", "end_at"])
 
-    return docs.mapInArrow(rows, "doc_id long, n long, digest binary, prefix array<long>")
+    return batched(docs).mapInArrow(rows, "doc_id long, n long, digest binary, prefix array<long>, end_late boolean, end_at long")
 
 
 def full_sets(docs: DataFrame, rules: JaccardRules) -> DataFrame:
@@ -127,7 +146,7 @@ def full_sets(docs: DataFrame, rules: JaccardRules) -> DataFrame:
                 seen.setdefault(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([s.view(np.int64) for s in seen.values()], pa.list_(pa.int64()))], names=["digest", "grams"])
 
-    return docs.select("text").mapInArrow(rows, "digest binary, grams array<long>").dropDuplicates(["digest"])
+    return batched(docs).select("text").mapInArrow(rows, "digest binary, grams array<long>").dropDuplicates(["digest"])
 
 
 def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -174,27 +193,51 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def links(docs: DataFrame, rows: DataFrame, rules: JaccardRules) -> DataFrame:
-    """Edges (u, v) between representatives whose components are those of all links between different sets."""
-    reps = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    once = rows.filter("n > 0").join(reps.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep"))).select("rep", "n", "digest", "prefix").dropDuplicates(["digest"])
-    posted = once.select("rep", "n", "digest", F.explode("prefix").alias("key"))
+    """Edges (u, v) between representatives whose components are those of all links between different sets.
+
+    A set's node is half its digest; should two sets ever share one, both are looked at, as digests decide."""
+    p = rules.percent
+    some = rows.filter("n > 0").withColumn("node", F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long"))
+    whole = F.min(F.struct("doc_id", "n", "prefix", F.struct("end_late", "end_at").alias("end")))
+    info = kept(some.groupBy("digest", "node").agg(whole.alias("w")).select("digest", "node", F.col("w.doc_id").alias("rep"), "w.n", "w.prefix", "w.end"), "jaccard-sets")
+    posted = info.select("node", "n", F.posexplode("prefix").alias("at", "key"))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("list")).filter("list > 1")
     listed = kept(posted.join(shared, "key"), "jaccard-lists")
-    wanted = listed.select(F.col("rep").alias("doc_id")).distinct()
-    sets = kept(full_sets(docs.join(wanted, "doc_id", "left_semi"), rules), "jaccard-sets")
+    lengthy = listed.filter(F.col("list") > rules.pair_list)
+    hot = lengthy.groupBy("node").agg(F.count(F.lit(1)).alias("hot"))
+    about = kept(info.drop("prefix").join(hot, "node", "left").withColumn("hot", F.coalesce("hot", F.lit(0))), "jaccard-about")
+
+    # A pair needs sizes within the similarity, and a common n-gram at like places: what lies before it in both and
+    # what is left after it bound the whole overlap. Pairs that fail either are never made.
+    least = lambda n, m: p * (n + m) / (100 + p)
+    short = listed.filter(F.col("list") <= rules.pair_list)
+    a, b = (short.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "at")]) for s in "ab")
+    sized = 100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")
+    placed_ok = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least(F.col("n_a"), F.col("n_b"))
+    joined = a.join(b, (a["key"] == b["key"]) & (F.col("node_a") < F.col("node_b")) & sized & placed_ok)
+    counted = joined.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("c"), (F.max("at_a") + 1).alias("at_a"), (F.max("at_b") + 1).alias("at_b"))
+    # Overlaps within prefixes. Up to the last common n-gram nothing else is common; and all of the prefix that ends
+    # first in the order is either common or lost. N-grams of long lists are not in these counts and are added whole.
+    ends = [about.select(*[F.col(c).alias(f"{c}_{s}") for c in about.columns]) for s in "ab"]
+    rest = lambda n: F.floor((p * n + 99) / 100) - 1
+    common = F.col("c") + F.least("hot_a", "hot_b")
+    upto = common + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.greatest("hot_a", "hot_b")
+    first = common + F.when(F.col("end_a") < F.col("end_b"), rest(F.col("n_a"))).when(F.col("end_a") > F.col("end_b"), rest(F.col("n_b"))).otherwise(F.greatest(rest(F.col("n_a")), rest(F.col("n_b"))))
+    fits = F.least(upto, first) >= least(F.col("n_a"), F.col("n_b"))
+    pairs = kept(counted.join(ends[0], "node_a").join(ends[1], "node_b").filter(fits).select("rep_a", "rep_b", "digest_a", "digest_b", "n_a", "n_b"), "jaccard-pairs")
+
+    dense = lengthy.drop("n").join(about, "node").select("key", "list", "rep", "n", "digest")
+    wanted = pairs.select(F.col("rep_a").alias("doc_id")).unionByName(pairs.select(F.col("rep_b").alias("doc_id"))).unionByName(dense.select(F.col("rep").alias("doc_id"))).distinct()
+    needed = pairs.select(F.col("digest_a").alias("digest")).unionByName(pairs.select(F.col("digest_b").alias("digest"))).unionByName(dense.select("digest")).distinct()
+    sets = kept(full_sets(docs.join(wanted, "doc_id", "left_semi"), rules).join(needed, "digest", "left_semi"), "jaccard-grams")
 
-    p = rules.percent
-    short = listed.filter(F.col("list") <= rules.pair_list).select("key", "rep", "n", "digest")
-    a, b = (short.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "digest")]) for s in "ab")
-    fits = (F.col("digest_a") < F.col("digest_b")) & (100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
-    pairs = a.join(b, "key").filter(fits).drop("key").distinct()
     both = pairs.join(sets.select(F.col("digest").alias("digest_a"), F.col("grams").alias("grams_a")), "digest_a").join(sets.select(F.col("digest").alias("digest_b"), F.col("grams").alias("grams_b")), "digest_b")
-    counted = both.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"), "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("both"))
-    near = counted.filter(100 * F.col("both") >= p * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("u", "v")
+    overlap = both.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"), "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("both"))
+    near = overlap.filter(100 * F.col("both") >= p * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("u", "v")
 
     # a set meets the sets of its own band of sizes and of the next lower one; tiles bound what a task holds
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / p) + 1e-9).cast("long")
-    long = listed.filter(F.col("list") > rules.pair_list).select("key", "list", "rep", "digest", F.explode(F.array(band, band + 1)).alias("band"))
+    long = dense.select("key", "list", "rep", "digest", F.explode(F.array(band, band + 1)).alias("band"))
     tiles = F.ceil(F.col("list") * F.pow(F.lit(100 / p), F.col("band")) / rules.tile).cast("int")
     tiled = long.select("key", "band", "rep", "digest", F.greatest(tiles, F.lit(1)).alias("tiles"))
     placed = tiled.select("key", "band", "rep", "digest", F.pmod(F.xxhash64("digest"), "tiles").cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
@@ -206,8 +249,7 @@ def links(docs: DataFrame, rows: DataFrame, rules: JaccardRules) -> DataFrame:
         edges = block_links(grams, p) if len(grams) > 1 else []
         return pa.table([pa.array([reps_here[x] for x, _ in edges], pa.int64()), pa.array([reps_here[y] for _, y in edges], pa.int64())], names=["u", "v"])
 
-    dense = placed.groupBy("key", "band", "t", "s").applyInArrow(in_block, "u long, v long")
-    return near.unionByName(dense)
+    return near.unionByName(placed.groupBy("key", "band", "t", "s").applyInArrow(in_block, "u long, v long"))
 
 
 def linked(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> DataFrame:
