@@ -47,6 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN_DIR[0]}"
 
 
+def batched(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, after bounding the rows that go to a Python task at a time: texts are long, and Spark's own bound is 10,000.
+
+    This is a setting of the session; an operator that wants another bound sets its own before it runs."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import fold, labelled, newton_logistic, table
+from sextant.llm.common import batched, fold, labelled, newton_logistic, table
 
 
 @dataclass(frozen=True)
@@ -119,7 +119,7 @@ def score(docs: DataFrame, model: CompressionModel) -> DataFrame:
             out[[i for i, t in enumerate(texts) if not t]] = 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array((out >= rules.cut).astype(np.int32)), pa.array(gain)], names=["doc_id", "score", "predicted", "gain"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int, gain double")
+    return batched(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int, gain double")
 
 
 def op9_quality_compression(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import fold, sampled, table
+from sextant.llm.common import batched, fold, sampled, table
 
 
 @dataclass(frozen=True)
@@ -97,7 +97,7 @@ def fit(docs: DataFrame, rules: MixtureRules = MixtureRules()) -> MixtureModel:
     Without such rows the model has no language and every prediction is `und`."""
     rows = sampled(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang"), F.col("lang"), rules.rows_per_language, F.col("text"))
     bits = rules.bits
-    counts = rows.mapInArrow(lambda it: _counted(it, bits), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
+    counts = batched(rows).mapInArrow(lambda it: _counted(it, bits), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in counts})
     n = np.zeros((1 << bits, len(langs)))
     for r in counts:
@@ -154,7 +154,7 @@ def identify(docs: DataFrame, model: MixtureModel) -> DataFrame:
                 names=["doc_id", "lang_pred", "score", "langs", "shares"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>")
+    return batched(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>")
 
 
 def keep_identified(docs: DataFrame, model: MixtureModel) -> DataFrame:
@@ -167,7 +167,7 @@ def keep_identified(docs: DataFrame, model: MixtureModel) -> DataFrame:
             keep = [bool(mixture(model, t)[0]) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)
 
 
 def op10_language_mixture(spark, sf_dir: str) -> DataFrame:

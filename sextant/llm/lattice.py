@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import fold, kept, table, tokens
+from sextant.llm.common import batched, fold, kept, table, tokens
 
 #: The mark before a word in the vocabulary file, and the byte that stands for it here.
 MARK, SPACE_BYTE = "▁".encode(), b" "
@@ -210,7 +210,7 @@ def packed(docs: DataFrame, rules: LatticeRules) -> DataFrame:
                     names=["batch", "word", "uses", "seen", "ids", "lengths", "train"],
                 )
 
-    return docs.mapInArrow(pack, "batch long, word binary, uses binary, seen long, ids array<long>, lengths array<long>, train array<boolean>")
+    return batched(docs, rules.batch).mapInArrow(pack, "batch long, word binary, uses binary, seen long, ids array<long>, lengths array<long>, train array<boolean>")
 
 
 def name_of(ids, lengths) -> int:

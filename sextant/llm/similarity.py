@@ -56,7 +56,7 @@ def shingle_sets(texts, k: int) -> list[np.ndarray]:
     bounds = np.searchsorted(row, np.arange(len(texts) + 1))
     joined = np.zeros(max(0, len(h) - k + 1), np.uint64)
     for j in range(k):
-        joined = _mixed(joined * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j] + np.uint64(1))
+        joined = _mixed(joined * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(joined)] + np.uint64(1))
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= k:

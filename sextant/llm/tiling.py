@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import SPACE, table, tokens
+from sextant.llm.common import SPACE, batched, table, tokens
 
 NOISE = re.compile(r"[\W_]+")
 
@@ -172,7 +172,7 @@ def tilings(docs: DataFrame, benchmark: DataFrame, rules: TilingRules = TilingRu
 
         from pyspark.sql.types import StructType
 
-        out = out.mapInArrow(run, StructType([*schema.fields, *StructType.fromDDL(f"bench_hits {HITS}").fields]))
+        out = batched(out).mapInArrow(run, StructType([*schema.fields, *StructType.fromDDL(f"bench_hits {HITS}").fields]))
     return out
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import fold, labelled, newton_logistic, table
+from sextant.llm.common import batched, fold, labelled, newton_logistic, table
 
 #: A seed list of insults, in English.
 SEED_WORDS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown", "dumb", "imbecile", "filth", "vermin", "hate", "ugly", "garbage", "jerk", "freak", "fool")
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             s = np.array(out, float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= rules.cut).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return batched(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def op1_toxicity_weak(spark, sf_dir: str) -> DataFrame:
