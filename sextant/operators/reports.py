@@ -47,7 +47,7 @@ def decile_spread(days: DataFrame, n: int = C.DECILES) -> DataFrame:
     seen = days.groupBy("horizon", "d").agg((F.min("lowest") >= F.max("highest")).cast("int").alias("flat")).groupBy("horizon").agg(F.count(F.lit(1)).alias("days_considered"), F.sum("flat").alias("days_flat"))
     daily = decile_days(days, n).groupBy("horizon", "d").agg((F.max(F.when(F.col("decile") == 1, F.col("mean"))) - F.max(F.when(F.col("decile") == n, F.col("mean")))).alias("spread"))
     out = daily.filter("spread IS NOT NULL").groupBy("horizon").agg(
-        F.count(F.lit(1)).alias("n_days"), F.avg("spread").alias("spread_avg"), F.median("spread").alias("spread_median"), F.stddev_samp("spread").alias("spread_std"), (F.avg((F.col("spread") > 0).cast("double")) * 100).alias("pct_days_positive")
+        F.count(F.lit(1)).alias("n_days"), F.avg("spread").alias("spread_avg"), F.median("spread").alias("spread_median"), F.stddev_samp("spread").alias("spread_std"), (F.avg((F.round("spread", 9) > 0).cast("double")) * 100).alias("pct_days_positive")
     )
     return out.withColumn("spread_t", overlap_t(F.col("spread_avg"), F.col("spread_std"), F.col("n_days"), F.col("horizon"))).join(seen, "horizon")
 
@@ -90,7 +90,7 @@ def ordinal_daily_ic(df: DataFrame, names, horizons) -> DataFrame:
 def decay(ics: DataFrame, least_days: int = 60) -> DataFrame:
     """Mean, deviation and t of daily ICs by series and horizon, and whether there are days enough."""
     out = ics.filter("spearman_ic IS NOT NULL").groupBy("series", "horizon").agg(
-        F.count(F.lit(1)).alias("n_days"), F.avg("spearman_ic").alias("mean_ic"), F.stddev_samp("spearman_ic").alias("std_ic"), (F.avg((F.col("spearman_ic") > 0).cast("double")) * 100).alias("pct_positive"), F.min("d").alias("first_day"), F.max("d").alias("last_day")
+        F.count(F.lit(1)).alias("n_days"), F.avg("spearman_ic").alias("mean_ic"), F.stddev_samp("spearman_ic").alias("std_ic"), (F.avg((F.round("spearman_ic", 9) > 0).cast("double")) * 100).alias("pct_positive"), F.min("d").alias("first_day"), F.max("d").alias("last_day")
     )
     return out.withColumns({"t_stat": overlap_t(F.col("mean_ic"), F.col("std_ic"), F.col("n_days"), F.col("horizon")), "adequate": F.col("n_days") >= least_days})
 

@@ -104,7 +104,7 @@ def decile_report(spark, sf_dir):
     return rounded(reports.decile_report(reports.cross_sections(reports.long_form(graded(spark, sf_dir), HORIZONS), MIN_NAMES)))
 
 
-@query("decile_spread", f"{DEC}, sp AS (SELECT horizon, d, max(CASE WHEN decile = 1 THEN mean END) - max(CASE WHEN decile = 10 THEN mean END) AS spread FROM dd GROUP BY 1, 2), fl AS (SELECT horizon, count(*) AS days_considered, CAST(sum(flat) AS BIGINT) AS days_flat FROM (SELECT horizon, d, CASE WHEN min(lowest) >= max(highest) THEN 1 ELSE 0 END AS flat FROM days GROUP BY 1, 2) GROUP BY 1), ag AS (SELECT horizon, count(*) AS n_days, avg(spread) AS a, median(spread) AS m, stddev_samp(spread) AS s, avg(CASE WHEN spread > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS pos FROM sp WHERE spread IS NOT NULL GROUP BY 1) SELECT horizon, n_days, round(a, 6) AS spread_avg, round(m, 6) AS spread_median, round(s, 6) AS spread_std, round(pos, 6) AS pct_days_positive, round(CASE WHEN s > 0 THEN a / (s / sqrt(greatest(1.0::DOUBLE, n_days / CAST(horizon AS DOUBLE)))) END, 6) AS spread_t, days_considered, days_flat FROM ag JOIN fl USING (horizon)")
+@query("decile_spread", f"{DEC}, sp AS (SELECT horizon, d, max(CASE WHEN decile = 1 THEN mean END) - max(CASE WHEN decile = 10 THEN mean END) AS spread FROM dd GROUP BY 1, 2), fl AS (SELECT horizon, count(*) AS days_considered, CAST(sum(flat) AS BIGINT) AS days_flat FROM (SELECT horizon, d, CASE WHEN min(lowest) >= max(highest) THEN 1 ELSE 0 END AS flat FROM days GROUP BY 1, 2) GROUP BY 1), ag AS (SELECT horizon, count(*) AS n_days, avg(spread) AS a, median(spread) AS m, stddev_samp(spread) AS s, avg(CASE WHEN round(spread, 9) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS pos FROM sp WHERE spread IS NOT NULL GROUP BY 1) SELECT horizon, n_days, round(a, 6) AS spread_avg, round(m, 6) AS spread_median, round(s, 6) AS spread_std, round(pos, 6) AS pct_days_positive, round(CASE WHEN s > 0 THEN a / (s / sqrt(greatest(1.0::DOUBLE, n_days / CAST(horizon AS DOUBLE)))) END, 6) AS spread_t, days_considered, days_flat FROM ag JOIN fl USING (horizon)")
 def decile_spread(spark, sf_dir):
     return rounded(reports.decile_spread(reports.cross_sections(reports.long_form(graded(spark, sf_dir), HORIZONS), MIN_NAMES)))
 
@@ -132,7 +132,7 @@ def ordinal_daily_ic(spark, sf_dir):
     return rounded(reports.ordinal_daily_ic(graded(spark, sf_dir), NAMES, HORIZONS))
 
 
-@query("ic_decay", f"{_ic('series, horizon, d', 5)}, ag AS (SELECT series, horizon, count(*) AS n_days, avg(spearman_ic) AS m, stddev_samp(spearman_ic) AS s, avg(CASE WHEN spearman_ic > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS pos, min(d) AS first_day, max(d) AS last_day FROM ic WHERE spearman_ic IS NOT NULL GROUP BY 1, 2) SELECT series, horizon, n_days, round(m, 6) AS mean_ic, round(s, 6) AS std_ic, round(pos, 6) AS pct_positive, first_day, last_day, round(CASE WHEN s > 0 THEN m / (s / sqrt(greatest(1.0::DOUBLE, n_days / CAST(horizon AS DOUBLE)))) END, 6) AS t_stat, n_days >= 60 AS adequate FROM ag")
+@query("ic_decay", f"{_ic('series, horizon, d', 5)}, ag AS (SELECT series, horizon, count(*) AS n_days, avg(spearman_ic) AS m, stddev_samp(spearman_ic) AS s, avg(CASE WHEN round(spearman_ic, 9) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS pos, min(d) AS first_day, max(d) AS last_day FROM ic WHERE spearman_ic IS NOT NULL GROUP BY 1, 2) SELECT series, horizon, n_days, round(m, 6) AS mean_ic, round(s, 6) AS std_ic, round(pos, 6) AS pct_positive, first_day, last_day, round(CASE WHEN s > 0 THEN m / (s / sqrt(greatest(1.0::DOUBLE, n_days / CAST(horizon AS DOUBLE)))) END, 6) AS t_stat, n_days >= 60 AS adequate FROM ag")
 def ic_decay(spark, sf_dir):
     return rounded(reports.decay(reports.daily_ic(graded(spark, sf_dir), NAMES, HORIZONS, 5)))
 
