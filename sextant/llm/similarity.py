@@ -8,7 +8,8 @@
    overlap exclude the similarity are discarded, and the overlap of the rest is counted over their whole sets.
 4. Long lists become blocks, by n-gram, band of sizes and tile; in a block, rows of the product are computed whole,
    starting with the row nearest to the block's common n-grams, and only for rows outside the largest component found
-   so far: no link between components can be missed, and a group of thousands of near copies costs no square of pairs.
+   so far; when another component becomes the largest, the rows left out of the former one are taken up again: no link
+   between components can be missed, and a group of thousands of near copies costs no square of pairs.
 5. Components are joined by stars."""
 
 from __future__ import annotations
@@ -169,10 +170,13 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     out, done, mark = [], np.zeros(n, bool), np.zeros(len(grams), np.int64)
     order = list(np.argsort(far, kind="stable"))[::-1]
     weight = np.ones(n, int)
-    main = int(order[-1])
+    main, skipped = int(order[-1]), []
     while order:
         x = int(order.pop())
-        if done[x] or (weight[root(main)] > 1 and root(x) == root(main)):
+        if done[x]:
+            continue
+        if weight[root(main)] > 1 and root(x) == root(main):
+            skipped.append(x)
             continue
         done[x] = True
         mine = code[starts[x] : starts[x] + sizes[x]]
@@ -188,7 +192,8 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
                 parent[b] = a
                 weight[a] += weight[b]
         if weight[root(x)] > weight[root(main)]:
-            main = x
+            # rows left out of the former largest component may link to the new one; last, as both may be joined by then
+            main, order, skipped = x, skipped[::-1] + order, []
     return out
 
 
