@@ -200,9 +200,10 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 def links(docs: DataFrame, rows: DataFrame, rules: JaccardRules) -> DataFrame:
     """Edges (u, v) between representatives whose components are those of all links between different sets.
 
-    A set's node is half its digest; should two sets ever share one, both are looked at, as digests decide."""
+    A set's node is half its digest; should two sets ever share one, both are looked at, as digests decide. Rows
+    without a doc_id are no nodes: sets are found again by a representative's doc_id."""
     p = rules.percent
-    some = rows.filter("n > 0").withColumn("node", F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long"))
+    some = rows.filter("n > 0 AND doc_id IS NOT NULL").withColumn("node", F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long"))
     whole = F.min(F.struct("doc_id", "n", "prefix", F.struct("end_late", "end_at").alias("end")))
     info = kept(some.groupBy("digest", "node").agg(whole.alias("w")).select("digest", "node", F.col("w.doc_id").alias("rep"), "w.n", "w.prefix", "w.end"), "jaccard-sets")
     posted = info.select("node", "n", F.posexplode("prefix").alias("at", "key"))
@@ -261,13 +262,15 @@ def linked(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each row of docs.
 
     Null, empty and wordless texts have no shingle and are their own component. Equal sets always link. Rows with one
-    doc_id stand for one document: they share what either links to. Other columns of docs are not read, texts are
+    doc_id stand for one document: they share what either links to. A row with a null doc_id has no name to link by:
+    it is a component of its own with a null component_id, and doesn't change the result of any other row. Other columns of docs are not read, texts are
     read whole, and an empty table gives an empty result."""
     few = docs.select(F.col("doc_id").cast("long"), "text")
     rows = kept(incidence(few, rules), "jaccard-rows")
-    reps = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    named = rows.filter("n > 0 AND doc_id IS NOT NULL")
+    reps = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     edges = links(few, rows, rules)
-    same = rows.filter("n > 0").join(reps, "digest").select("doc_id", "rep").filter("doc_id <> rep").distinct()
+    same = named.join(reps, "digest").select("doc_id", "rep").filter("doc_id <> rep").distinct()
     found = components(edges.unionByName(same.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
     return rows.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

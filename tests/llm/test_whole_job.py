@@ -30,3 +30,15 @@ def test_block_links_in_all_row_orders():
         for order in permutations(range(len(sets))):
             rows = [sets[i] for i in order]
             assert len(joined(len(rows), similarity.block_links(rows, percent))) == 1, order
+
+
+def test_null_doc_ids_take_no_links_from_others(spark):
+    """Texts with and without an id, near copies of each other, by short lists (pairs) and by long ones (blocks)."""
+    base = [f"w{i}" for i in range(80)]
+    text, near = " ".join(base), " ".join([*base[:-1], "other"])
+    for copies in (1, 50):
+        more = [(10 + i, " ".join([f"x{i}", *base])) for i in range(copies)]
+        rows = [(1, text), (None, text), (2, near), (None, near), (None, "no one else has these words"), (None, None), *more]
+        got = similarity.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(1, 1), (2, 1), *((i, 1) for i, _ in more)]
+        assert sorted((r.n_shingles, r.component_id) for r in got if r.doc_id is None) == [(0, None), (4, None), (78, None), (78, None)]
