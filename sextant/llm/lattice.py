@@ -182,16 +182,20 @@ def expected(words: list[bytes], counts: np.ndarray, log_q: np.ndarray, index: I
 def packed(docs: DataFrame, rules: LatticeRules) -> DataFrame:
     """For each batch of documents a head row (no word) and a row for each word with the documents that have it.
 
-    `batch` is a digest of the batch's own rows, so a recomputed batch keeps its name. ids are positions within it."""
+    `batch` is the partition and the batch's number in it, so no two batches share a name whatever they hold; the rows
+    are to be written once (`kept`) before they are used, which fixes the names. uses are positions within a batch."""
 
     def pack(batches):
+        from pyspark import TaskContext
+
+        name = TaskContext.get().partitionId() << 32
         for whole in batches:
             for start in range(0, whole.num_rows, rules.batch):
                 b = whole.slice(start, rules.batch)
                 doc, code, words = tokens(b.column(2))
                 lengths = np.bincount(doc, minlength=b.num_rows) + 1
                 train = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                n = len(words)
+                n, name = len(words), name + 1
                 key, times = np.unique(code.astype(np.int64) * b.num_rows + doc, return_counts=True)
                 code, doc = key // b.num_rows, key % b.num_rows
                 seen = np.bincount(code[train[doc]], weights=times[train[doc]], minlength=n)[:n]
@@ -202,7 +206,7 @@ def packed(docs: DataFrame, rules: LatticeRules) -> DataFrame:
                 ids, none = b.column(0), pa.nulls(n, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(n + 1, name_of(ids, lengths))), pa.concat_arrays([pa.nulls(1, pa.binary()), words.cast(pa.binary())]), uses,
+                        pa.array(np.full(n + 1, name, np.int64)), pa.concat_arrays([pa.nulls(1, pa.binary()), words.cast(pa.binary())]), uses,
                         pa.array(np.concatenate([[0], seen]).astype(np.int64)),
                         pa.concat_arrays([pa.array([ids.to_pylist()], pa.list_(pa.int64())), none]), pa.concat_arrays([pa.array([lengths], pa.list_(pa.int64())), none]),
                         pa.concat_arrays([pa.array([train], pa.list_(pa.bool_())), none.cast(pa.list_(pa.bool_()))]),
@@ -213,13 +217,6 @@ def packed(docs: DataFrame, rules: LatticeRules) -> DataFrame:
     return batched(docs, rules.batch).mapInArrow(pack, "batch long, word binary, uses binary, seen long, ids array<long>, lengths array<long>, train array<boolean>")
 
 
-def name_of(ids, lengths) -> int:
-    """A 63-bit name of a batch from its documents' ids and lengths."""
-    import hashlib
-
-    return int.from_bytes(hashlib.blake2b(repr((ids.to_pylist(), lengths.tolist())).encode(), digest_size=8).digest(), "big") >> 1
-
-
 @dataclass
 class LatticeModel:
     """Log probabilities of the pieces and of the end, and the training counts: `words` (word, c), N and V."""

@@ -3,8 +3,10 @@
 from itertools import permutations
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from sextant.llm import similarity
+from sextant.llm import lattice, similarity
 
 
 def joined(n, edges):
@@ -42,3 +44,15 @@ def test_null_doc_ids_take_no_links_from_others(spark):
         got = similarity.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(1, 1), (2, 1), *((i, 1) for i, _ in more)]
         assert sorted((r.n_shingles, r.component_id) for r in got if r.doc_id is None) == [(0, None), (4, None), (78, None), (78, None)]
+
+
+def test_lattice_of_a_table_held_twice(spark):
+    """Partitions with the same ids and token counts, with equal or with other texts, are scored as one partition is."""
+    rows = [(1, "the quick fox"), (2, "a slow dog"), (None, None), (None, "")]
+    other = [(1, "ran to home"), (2, "the end came"), *rows[2:]]
+    parts = spark.createDataFrame(spark.sparkContext.parallelize([*rows, *rows, *other], 3), "doc_id long, text string")
+    assert [len(x) for x in parts.rdd.glom().collect()] == [4, 4, 4]
+    got, want = (sorted(((r.doc_id or 0, r.n_tokens, r.n_known, r.base_score, r.score) for r in lattice.score(x, F.col("text") != "").collect()), key=lambda r: (r[0], round(r[3], 6), round(r[4], 6))) for x in (parts, parts.coalesce(1)))
+    assert len(got) == 12
+    for g, w in zip(got, want, strict=True):
+        assert g[:3] == w[:3] and g[3:] == pytest.approx(w[3:])
