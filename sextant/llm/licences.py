@@ -2,7 +2,9 @@
 
 Paragraphs (lines, cut into sentences) with a cue word go through a multinomial logistic regression on hashed words
 and word pairs; one class is `unknown`, a temperature calibrates the probabilities, and a prediction stands only if
-enough word pairs of one of the family's templates occur. The regression is fitted on the driver, on a bounded set
+enough word pairs of one of the family's templates occur. Notices are usually wrapped, so a sentence of several lines
+(up to a line without a letter or digit) is also judged whole and by windows of its words, each longer than a template
+by at least the step to the next. SPDX identifiers are looked up. The regression is fitted on the driver, on a bounded set
 made from the templates below by a seeded generator; its weights are literals of the plan. On the executors there are
 only DataFrame functions, row by row and without a shuffle."""
 
@@ -23,7 +25,7 @@ from sextant.llm.common import let, table
 #: Notices by licence family, in their usual wording.
 TEMPLATES = {
     "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License", "distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
-    "mit": ("Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    "mit": ("Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "MIT License"),
     "bsd": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     "gpl-2": ("This work is licensed under the GNU General Public License, version 2.", "GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
     "gpl-3": ("This work is licensed under the GNU General Public License, version 3.", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
@@ -45,13 +47,22 @@ LOOK_ALIKES = (
     "the foundation published a general report", "licensed doctors work under the law", "all rights and duties", "free software is a movement",
 )
 FAMILIES = (*TEMPLATES, "unknown")
-CUE = r"(?i)licen[cs]|copyright|permission|warrant|rights reserved|public domain|creative commons|redistribution|unencumbered|\bCC BY"
+CUE = r"(?i)licen[cs]|copyright|permission|warrant|rights[\s#*/;]+reserved|public[\s#*/;]+domain|creative[\s#*/;]+commons|redistribution|unencumbered|\bCC[\s#*/;]+BY"
 CUT = r"\n|(?<=[A-Za-z0-9)]{2}[.!?])[ ]"
+#: Ends of sentences that may go over several lines: white space after a full stop, or a line without letter or digit.
+SENTENCE = r"(?<=[A-Za-z0-9)]{2}[.!?])[ \r\n]|\n[^A-Za-z0-9\n]*(?=\n)"
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() -]+)"
+#: SPDX identifiers in lower case, without -only, -or-later and +.
+SPDX_IDS = {
+    "apache-2.0": "apache-2.0", "mit": "mit", "mit-0": "mit", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd", "bsd-4-clause": "bsd", "gpl-2.0": "gpl-2", "gpl-3.0": "gpl-3", "lgpl-2.0": "lgpl", "lgpl-2.1": "lgpl", "lgpl-3.0": "lgpl", "agpl-3.0": "agpl-3",
+    "mpl-2.0": "mpl-2.0", "isc": "isc", "unlicense": "public-domain", "cc0-1.0": "public-domain",
+} | {f"{f}-{v}": f for f in ("cc-by", "cc-by-sa", "cc-by-nc") for v in ("1.0", "2.0", "2.5", "3.0", "4.0")}
 
 
 @dataclass(frozen=True)
 class LicenceRules:
-    """Parameters: hashed features, made-up examples a template, training steps, least probability and pair overlap."""
+    """Parameters: hashed features, made-up examples a template, training steps, least probability and pair overlap,
+    and (words, step) of the windows of a sentence over several lines."""
 
     features: int = 1024
     examples: int = 24
@@ -60,6 +71,7 @@ class LicenceRules:
     probability: float = 0.5
     overlap: float = 0.6
     seed: int = 5
+    windows: tuple = ((16, 4), (32, 8))
 
 
 def grams_of(text: str) -> list[str]:
@@ -161,8 +173,39 @@ def scanned(text: Column, rules: LicenceRules = LicenceRules()) -> Column:
 
         return let(best, found)
 
+    def identified(paragraph: Column) -> Column:
+        """By SPDX identifier, each family of the expression, or else by the model."""
+        ids = F.transform(F.regexp_extract_all(F.regexp_extract(paragraph, SPDX, 1), F.lit("[A-Za-z0-9.+-]+"), F.lit(0)), lambda t: F.element_at(spdx, F.regexp_replace(F.lower(t), r"(-only|-or-later|\+)$", "")))
+        told = F.array_distinct(F.filter(ids, lambda f: f.isNotNull()))
+        given = lambda f: F.struct(paragraph.alias("paragraph"), f.alias("family"), F.lit(1.0).alias("probability"), F.lit(1.0).alias("overlap"), F.lit(True).alias("confirmed"))
+        return F.when(paragraph.rlike(SPDX), let(told, lambda v: F.when(F.size(v) > 0, F.transform(v, given)).otherwise(F.array(judged(paragraph))))).otherwise(F.array(judged(paragraph)))
+
+    def windows(sentence: Column) -> Column:
+        """The sentence and its windows of words, those with a cue."""
+        def cut(w: Column) -> Column:
+            starts = lambda n, step: F.when(F.size(w) > n, F.sequence(F.lit(0), F.size(w) - n + step - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+            parts = [F.transform(starts(n, step), lambda i, n=n: F.concat_ws(" ", F.slice(w, i + 1, n))) for n, step in rules.windows]
+            return F.filter(F.concat(F.array(sentence), *parts), lambda x: x.rlike(CUE))
+
+        return let(F.split(sentence, r"\s+", -1), cut)
+
+    def lines(sentence: Column) -> Column:
+        return F.flatten(F.transform(F.filter(F.split(sentence, CUT, -1), lambda p: p.rlike(CUE)), identified))
+
+    def wrapped(sentence: Column) -> Column:
+        """What the lines hold by themselves, and the families that only the joined lines confirm (the first window of each)."""
+        def merged(own: Column, found: Column) -> Column:
+            has = lambda f: F.exists(own, lambda x: x["confirmed"] & (x["family"] == f))
+            more = F.filter(found, lambda x, i: ~has(x["family"]) & (F.array_position(F.transform(found, lambda y: y["family"]), x["family"]) == i + 1))
+            return let(more, lambda m: F.when(F.size(m) > 0, F.concat(F.filter(own, lambda x: x["confirmed"]), m)).otherwise(own))
+
+        judged_all = F.filter(F.transform(windows(sentence), judged), lambda x: x["confirmed"])
+        return let(lines(sentence), lambda own: let(judged_all, lambda found: merged(own, found)))
+
+    spdx = _literal(SPDX_IDS, "map<string,string>")
     none = F.from_json(F.lit("[]"), "array<struct<paragraph:string,family:string,probability:double,overlap:double,confirmed:boolean>>")
-    return F.when(text.rlike(CUE), F.transform(F.filter(F.split(text, CUT, -1), lambda p: p.rlike(CUE)), judged)).otherwise(none)
+    sentences = F.filter(F.split(text, SENTENCE, -1), lambda s: s.rlike(CUE))
+    return F.when(text.rlike(CUE), F.flatten(F.transform(sentences, lambda s: F.when(F.trim(s).contains("\n"), wrapped(s)).otherwise(lines(s))))).otherwise(none)
 
 
 def scan(docs: DataFrame, rules: LicenceRules = LicenceRules()) -> DataFrame:

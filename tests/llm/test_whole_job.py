@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.llm import lattice, similarity
+from sextant.llm import lattice, licences, similarity
 
 
 def joined(n, edges):
@@ -56,3 +56,24 @@ def test_lattice_of_a_table_held_twice(spark):
     assert len(got) == 12
     for g, w in zip(got, want, strict=True):
         assert g[:3] == w[:3] and g[3:] == pytest.approx(w[3:])
+
+
+WRAPPED = {
+    "bsd": "Copyright (c) 2020, A. Person\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "gpl-2": " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.\n *\n * More.",
+    "gpl-3": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:",
+}
+
+
+def test_wrapped_licences(spark):
+    """Headers in their usual wrapping, a heading and SPDX identifiers; a blank line or other text joins nothing."""
+    given = [({f}, f"Some words before.\n\n{t}\n\nand words after") for f, t in WRAPPED.items()]
+    given += [({"mit"}, "MIT License"), ({"mit", "apache-2.0"}, "// SPDX-License-Identifier: (MIT OR Apache-2.0)"), ({"gpl-2"}, "x\n/* SPDX-License-Identifier: GPL-2.0-or-later */\ny"), (set(), "SPDX-License-Identifier: Zlib")]
+    given += [({"proprietary"}, "# All rights\n# reserved."), ({"public-domain"}, "This is free and unencumbered software released into the public\ndomain.")]
+    given += [(set(), "Redistribution and use in source\n\nand binary forms, with or without"), (set(), "she lost the license\nplate of her car and\ngave permission to look for it")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(given)], "doc_id long, text string")
+    got = [{p.family for p in r.licences if p.confirmed} for r in licences.scan(df).orderBy("doc_id").collect()]
+    assert got == [f for f, _ in given]
