@@ -16,13 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import SPACE, batched, table, tokens
+from sextant.llm.common import batched, table, tokens
 
 NOISE = re.compile(r"[\W_]+")
+#: All Unicode white space, as str.split takes it; a pattern for Java and for Arrow.
+SPACES = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 @dataclass(frozen=True)
@@ -41,6 +44,11 @@ def plain_words(words: list[str]) -> list[str]:
     return [NOISE.sub("", w.lower()) for w in words]
 
 
+def spaced(texts: pa.Array) -> pa.Array:
+    """texts with each run of white space as one plain space, so that items and documents have the same words."""
+    return pc.replace_substring_regex(texts, SPACES, " ")
+
+
 def _rolled(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k word hashes: a Karp-Rabin sum of powers, stirred at the end."""
     n = len(h) - k + 1
@@ -56,7 +64,9 @@ class Benchmark:
     def __init__(self, items: list[tuple[int, str]], least: int):
         self.least, self.ids, self.words, self.at = least, [], [], defaultdict(list)
         for item, text in items:
-            kept = [w for w in plain_words((text or "").split()) if w]
+            _, code, words = tokens(spaced(pa.array([text or ""], pa.string())))
+            plain = plain_words(words.to_pylist())
+            kept = [plain[c] for c in code.tolist() if plain[c]]
             if kept:
                 self.ids.append(item)
                 self.words.append(np.array([xxhash.xxh64_intdigest(w) for w in kept], np.uint64))
@@ -117,7 +127,7 @@ def tile(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], k: int
 
 def covered(batch: pa.Array, bench: Benchmark) -> list[list[tuple[int, float, list]]]:
     """For each text the items that share a seed with it: (item id, coverage, tiles), the best covered first."""
-    row, code, words = tokens(batch)
+    row, code, words = tokens(spaced(batch))
     plain = plain_words(words.to_pylist())
     own = np.fromiter((xxhash.xxh64_intdigest(w) for w in plain), np.uint64, len(plain))
     full = np.fromiter((bool(w) for w in plain), bool, len(plain))[code]
@@ -151,7 +161,7 @@ def tilings(docs: DataFrame, benchmark: DataFrame, rules: TilingRules = TilingRu
     empty. Items of equal text are all listed. Repeated rows get equal hits. A column `bench_hits` is replaced; other
     columns pass through. Tiles count words with a letter or digit."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").filter(F.col("text").isNotNull())
-    words = items.agg(F.coalesce(F.sum(F.size(F.split("text", SPACE))), F.lit(0)).alias("n")).first()["n"]
+    words = items.agg(F.coalesce(F.sum(F.size(F.split("text", SPACES))), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(words) // rules.block_words))
     out, names = docs.drop("bench_hits"), [c for c in docs.columns if c != "bench_hits"]
     schema = out.schema

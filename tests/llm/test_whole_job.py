@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.llm import lattice, licences, similarity
+from sextant.llm import lattice, licences, similarity, tiling
 
 
 def joined(n, edges):
@@ -77,3 +77,14 @@ def test_wrapped_licences(spark):
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(given)], "doc_id long, text string")
     got = [{p.family for p in r.licences if p.confirmed} for r in licences.scan(df).orderBy("doc_id").collect()]
     assert got == [f for f, _ in given]
+
+
+def test_tiling_splits_items_and_documents_alike(spark):
+    """An exact copy of an item covers it whole, whatever white space stands between its words, on either side."""
+    w = [f"word{i}" for i in range(12)]
+    spaces = [" ", "\u00a0", "\u3000", "\u2009", "\x1c", "\x1f", "\x85", "\u2028", "\u202f", "\u1680"]
+    texts = [(i, s.join(w)) for i, s in enumerate(spaces)] + [(90, "\u00a0".join(w[:4]) + " " + " ".join(w[4:]))]
+    assert all(t.split() == w for _, t in texts)
+    docs, items = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(texts, "item_id long, text string")
+    got = tiling.tilings(docs, items).collect()
+    assert [[(h.item_id, h.coverage) for h in r.bench_hits] for r in got] == [[(i, 1.0) for i, _ in texts]] * len(texts)
