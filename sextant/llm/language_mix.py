@@ -160,11 +160,11 @@ def identify(docs: DataFrame, model: MixtureModel) -> DataFrame:
 def keep_identified(docs: DataFrame, model: MixtureModel) -> DataFrame:
     """The rows of docs whose text has a language, with all their columns; the others (`und`) go.
 
-    Works on the rows themselves, so no join by doc_id and no shuffle; columns of any name pass through."""
+    A model without a language (no labelled row to learn from) keeps every text with a letter. Works on the rows themselves, so no join by doc_id and no shuffle; columns of any name pass through."""
 
     def run(batches):
         for batch in batches:
-            keep = [bool(mixture(model, t)[0]) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            keep = [bool(mixture(model, t)[0]) if model.langs else bool(grams(t or "", model.rules.bits).size) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return batched(docs).mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.llm import lattice, licences, similarity, tiling
+from sextant.llm import language_mix, lattice, licences, similarity, tiling
 
 
 def joined(n, edges):
@@ -88,3 +88,11 @@ def test_tiling_splits_items_and_documents_alike(spark):
     docs, items = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(texts, "item_id long, text string")
     got = tiling.tilings(docs, items).collect()
     assert [[(h.item_id, h.coverage) for h in r.bench_hits] for r in got] == [[(i, 1.0) for i, _ in texts]] * len(texts)
+
+
+def test_language_stage_without_any_lang(spark):
+    """A table with null lang only: texts with a letter stay, as with a model, and the others go."""
+    rows = [(1, "plain text"), (2, None), (3, ""), (4, "12 !?"), (5, "\u4e2d\u6587"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    kept = language_mix.keep_identified(docs, language_mix.fit(docs))
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1, 5, None]
