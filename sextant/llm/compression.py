@@ -19,13 +19,15 @@ from sextant.llm.common import batched, fold, labelled, newton_logistic, table
 
 @dataclass(frozen=True)
 class CompressionRules:
-    """Parameters: rows a class that are learned from, dictionary and block size in bytes, level, cut of `predicted`."""
+    """Parameters: rows a class that are learned from, dictionary and block size in bytes, level, blocks of a row and of
+    a class that a dictionary is trained on (drawn at random from the whole texts), cut of `predicted`."""
 
     rows_per_class: int = 3000
     dictionary: int = 112_640
     block: int = 2048
     level: int = 3
     blocks_a_row: int = 50
+    blocks_a_class: int = 4000
     cut: float = 0.3
     ridge: float = 0.3
 
@@ -80,11 +82,15 @@ def fit(rows, rules: CompressionRules = CompressionRules()) -> CompressionModel:
     model = CompressionModel(b"", b"", np.zeros(0), np.ones(0), None, prior, rules)
     if len(set(y.tolist())) < 2:
         return model
-    rng = np.random.default_rng(7)
+    rng, within = np.random.default_rng(7), np.random.default_rng(8)
+
+    def drawn(text: str) -> list[bytes]:
+        parts = _blocks(text, rules.block)
+        return parts if len(parts) <= rules.blocks_a_row else [parts[i] for i in sorted(within.choice(len(parts), rules.blocks_a_row, replace=False))]
 
     def dictionary(label: int) -> bytes:
-        parts = [b for r in rows if r["label"] == label for b in _blocks(r["text"], rules.block)[: rules.blocks_a_row] if len(b) > 64]
-        parts = [parts[i] for i in rng.permutation(len(parts))[:4000]]
+        parts = [b for r in rows if r["label"] == label for b in drawn(r["text"]) if len(b) > 64]
+        parts = [parts[i] for i in rng.permutation(len(parts))[: rules.blocks_a_class]]
         try:
             return zstandard.train_dictionary(rules.dictionary, parts).as_bytes()
         except zstandard.ZstdError:  # too few samples to train on: the samples themselves are the dictionary

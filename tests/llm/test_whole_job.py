@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.llm import language_mix, lattice, licences, similarity, tiling
+from sextant.llm import compression, language_mix, lattice, licences, similarity, tiling
 
 
 def joined(n, edges):
@@ -96,3 +96,14 @@ def test_language_stage_without_any_lang(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
     kept = language_mix.keep_identified(docs, language_mix.fit(docs))
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1, 5, None]
+
+
+def test_dictionaries_learn_from_whole_texts():
+    """What stands only after the first blocks of long texts reaches the dictionary of their class."""
+    rng = np.random.default_rng(1)
+    said = lambda words, n: " ".join(rng.choice(words, n))
+    rules = compression.CompressionRules(blocks_a_row=5)
+    start = [f"early{i}" for i in range(300)]
+    rows = [{"doc_id": i, "label": i % 2, "text": said(start, 1500) + " " + said([f"later{i % 2}x{j}" for j in range(300)], 6000)} for i in range(60)]
+    model = compression.fit(rows, rules)
+    assert b"later1x" in model.good and b"later0x" in model.bad and b"later0x" not in model.good
