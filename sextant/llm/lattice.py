@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,22 +28,22 @@ MARK, SPACE_BYTE = "▁".encode(), b" "
 
 @dataclass(frozen=True)
 class LatticeRules:
-    """Parameters: the vocabulary file, longest piece in bytes, EM rounds, weight of the file's order,
-    documents of a batch (at most 32767) and batches whose sums a task holds."""
+    """Parameters: the vocabulary file, EM rounds, weight of the file's order, documents (at most 32767) and bytes of
+    text of a batch, and batches whose sums a task holds."""
 
     vocabulary: str = "/opt/tokenizers/piece_bpe_32k.model"
-    longest: int = 16
     em_rounds: int = 3
     prior_weight: float = 1000.0
     batch: int = 4000
+    batch_bytes: int = 1 << 27
     held_batches: int = 256
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str, longest: int) -> tuple[list[bytes], np.ndarray]:
+def pieces(path: str) -> tuple[list[bytes], np.ndarray]:
     """Pieces that a lower-cased word can use, and their starting probabilities (the last entry is the end).
 
-    Pieces with capitals, or with the word mark anywhere but in front, can never be used; every single byte is a
+    All pieces of the file count, whatever their length, but for those that cannot occur: pieces with capitals, or with the word mark anywhere but in front, can never be used; every single byte is a
     piece, as in the file's byte fallback, so that any text has a segmentation."""
     import sentencepiece
 
@@ -56,7 +57,7 @@ def pieces(path: str, longest: int) -> tuple[list[bytes], np.ndarray]:
             continue
         data = model.id_to_piece(i).encode()
         body = data[len(MARK) :] if data.startswith(MARK) else data
-        if MARK in body or body != body.lower() or b" " in body or len(body) >= longest:
+        if MARK in body or body != body.lower() or b" " in body:
             continue
         rank[(SPACE_BYTE if data.startswith(MARK) else b"") + body] = -model.get_score(i)
     rank.setdefault(SPACE_BYTE, 32_000.0)
@@ -75,6 +76,8 @@ class Index:
 
     def __init__(self, names: list[bytes]):
         self.names, size = names, 1 << 18
+        self.lengths = {len(x) for x in names}
+        self.longest = max(self.lengths)
         self.shift = np.uint64(64 - 18)
         key = np.array([self._hash(x) for x in names], np.uint64)
         if len(set(key.tolist())) < len(key):
@@ -112,7 +115,7 @@ _INDEX: dict[str, Index] = {}
 
 def _index(rules: LatticeRules) -> Index:
     if rules.vocabulary not in _INDEX:
-        _INDEX[rules.vocabulary] = Index(pieces(rules.vocabulary, rules.longest)[0])
+        _INDEX[rules.vocabulary] = Index(pieces(rules.vocabulary)[0])
     return _INDEX[rules.vocabulary]
 
 
@@ -125,26 +128,27 @@ def _by_length(words: list[bytes], least: int):
             yield which[i : i + (20_000 if n <= least else max(1, 200_000 // int(n)))]
 
 
-def _arcs(block: np.ndarray, index: Index, longest: int):
-    """Piece ids of the substrings of equal-length byte rows: arcs[k] is an array (rows, starts) for length k + 1."""
-    n, out, h = block.shape[1], [], np.zeros(block.shape, np.uint64)
-    for k in range(min(longest, n)):
-        h = h[:, : n - k] * Index.MULTIPLIER + block[:, k:] + np.uint64(1)
-        out.append(index.find(h))
+def _arcs(block: np.ndarray, index: Index) -> dict[int, np.ndarray]:
+    """Piece ids of the substrings of equal-length byte rows: by length an array (rows, starts)."""
+    n, out, h = block.shape[1], {}, np.zeros(block.shape, np.uint64)
+    for k in range(1, min(index.longest, n) + 1):
+        h = h[:, : n - k + 1] * Index.MULTIPLIER + block[:, k - 1 :] + np.uint64(1)
+        if k in index.lengths:
+            out[k] = index.find(h)
     return out
 
 
-def marginals(words: list[bytes], log_q: np.ndarray, index: Index, longest: int) -> np.ndarray:
+def marginals(words: list[bytes], log_q: np.ndarray, index: Index) -> np.ndarray:
     """Natural-log marginal probability of each word (mark in front) over all its segmentations."""
     out = np.zeros(len(words))
     floor = np.append(log_q, -np.inf)
     for which in _by_length(words, 64):
         block = np.frombuffer(b"".join(SPACE_BYTE + words[i] for i in which), np.uint8).reshape(len(which), -1).astype(np.uint64)
-        arcs, n = _arcs(block, index, longest), block.shape[1]
+        arcs, n = _arcs(block, index), block.shape[1]
         alpha = np.full((n + 1, len(which)), -np.inf)
         alpha[0] = 0.0
         for end in range(1, n + 1):
-            terms = np.stack([alpha[end - k - 1] + floor[arcs[k][:, end - k - 1]] for k in range(min(len(arcs), end))])
+            terms = np.stack([alpha[end - k] + floor[a[:, end - k]] for k, a in arcs.items() if k <= end])
             top = terms.max(0)
             safe = np.where(np.isfinite(top), top, 0.0)
             alpha[end] = safe + np.log(np.exp(terms - safe).sum(0))
@@ -152,33 +156,60 @@ def marginals(words: list[bytes], log_q: np.ndarray, index: Index, longest: int)
     return out
 
 
-def expected(words: list[bytes], counts: np.ndarray, log_q: np.ndarray, index: Index, longest: int) -> np.ndarray:
+def expected(words: list[bytes], counts: np.ndarray, log_q: np.ndarray, index: Index) -> np.ndarray:
     """Expected uses of each piece over all segmentations of the words, by forward and backward sums."""
     total = np.zeros(len(log_q))
     floor = np.append(log_q, -np.inf)
     for which in _by_length(words, 64):
         block = np.frombuffer(b"".join(SPACE_BYTE + words[i] for i in which), np.uint8).reshape(len(which), -1).astype(np.uint64)
-        arcs, n = _arcs(block, index, longest), block.shape[1]
-        score = [floor[a] for a in arcs]
+        arcs, n = _arcs(block, index), block.shape[1]
+        score = {k: floor[a] for k, a in arcs.items()}
         alpha, beta = np.full((n + 1, len(which)), -np.inf), np.full((n + 1, len(which)), -np.inf)
         alpha[0] = beta[n] = 0.0
         for end in range(1, n + 1):
-            terms = np.stack([alpha[end - k - 1] + score[k][:, end - k - 1] for k in range(min(len(arcs), end))])
+            terms = np.stack([alpha[end - k] + v[:, end - k] for k, v in score.items() if k <= end])
             safe = np.where(np.isfinite(top := terms.max(0)), top, 0.0)
             alpha[end] = safe + np.log(np.exp(terms - safe).sum(0))
         for start in range(n - 1, -1, -1):
-            terms = np.stack([beta[start + k + 1] + score[k][:, start] for k in range(min(len(arcs), n - start))])
+            terms = np.stack([beta[start + k] + v[:, start] for k, v in score.items() if k <= n - start])
             safe = np.where(np.isfinite(top := terms.max(0)), top, 0.0)
             beta[start] = safe + np.log(np.exp(terms - safe).sum(0))
         c = counts[which].astype(float)
-        for k, a in enumerate(arcs):
+        for k, a in arcs.items():
             wide = a.shape[1]
-            uses = np.exp(alpha[:wide].T + score[k] + beta[k + 1 : k + 1 + wide].T - alpha[n][:, None]) * c[:, None]
+            uses = np.exp(alpha[:wide].T + score[k] + beta[k : k + wide].T - alpha[n][:, None]) * c[:, None]
             good = a >= 0
             total += np.bincount(a[good], weights=uses[good], minlength=len(log_q))
     return total
 
 
+def _gathered(batches, rules: LatticeRules):
+    """Batches of at most rules.batch rows and, but for single rows, rules.batch_bytes of text, whatever came in.
+
+    A batch's packed uses take at most four times its bytes, so their 32-bit offsets hold."""
+    held, rows, size = [], 0, 0
+
+    def whole():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(2).fill_null("")).to_numpy().astype(np.int64))
+        start = 0
+        while start < b.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            fits = int(np.searchsorted(ends, before + rules.batch_bytes - size, "right")) - start
+            n = min(b.num_rows - start, rules.batch - rows, fits)
+            if n <= 0 and rows:
+                yield whole()
+                held, rows, size = [], 0, 0
+                continue
+            n = max(1, n)
+            held.append(b.slice(start, n))
+            rows, size, start = rows + n, size + int(ends[start + n - 1]) - before, start + n
+    if rows:
+        yield whole()
+
+
 def packed(docs: DataFrame, rules: LatticeRules) -> DataFrame:
     """For each batch of documents a head row (no word) and a row for each word with the documents that have it.
 
@@ -189,32 +220,30 @@ def packed(docs: DataFrame, rules: LatticeRules) -> DataFrame:
         from pyspark import TaskContext
 
         name = TaskContext.get().partitionId() << 32
-        for whole in batches:
-            for start in range(0, whole.num_rows, rules.batch):
-                b = whole.slice(start, rules.batch)
-                doc, code, words = tokens(b.column(2))
-                lengths = np.bincount(doc, minlength=b.num_rows) + 1
-                train = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                n, name = len(words), name + 1
-                key, times = np.unique(code.astype(np.int64) * b.num_rows + doc, return_counts=True)
-                code, doc = key // b.num_rows, key % b.num_rows
-                seen = np.bincount(code[train[doc]], weights=times[train[doc]], minlength=n)[:n]
-                # the head row, with what the documents need back; then the words
-                flat = np.column_stack([doc, times]).astype(np.int32).ravel()
-                ends = np.concatenate([[0, 0], 8 * np.cumsum(np.bincount(code, minlength=n)[:n])]).astype(np.int32)
-                uses = pa.BinaryArray.from_buffers(pa.binary(), n + 1, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
-                ids, none = b.column(0), pa.nulls(n, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n + 1, name, np.int64)), pa.concat_arrays([pa.nulls(1, pa.binary()), words.cast(pa.binary())]), uses,
-                        pa.array(np.concatenate([[0], seen]).astype(np.int64)),
-                        pa.concat_arrays([pa.array([ids.to_pylist()], pa.list_(pa.int64())), none]), pa.concat_arrays([pa.array([lengths], pa.list_(pa.int64())), none]),
-                        pa.concat_arrays([pa.array([train], pa.list_(pa.bool_())), none.cast(pa.list_(pa.bool_()))]),
-                    ],
-                    names=["batch", "word", "uses", "seen", "ids", "lengths", "train"],
-                )
-
-    return batched(docs, rules.batch).mapInArrow(pack, "batch long, word binary, uses binary, seen long, ids array<long>, lengths array<long>, train array<boolean>")
+        for b in _gathered(batches, rules):
+            doc, code, words = tokens(b.column(2))
+            lengths = np.bincount(doc, minlength=b.num_rows) + 1
+            train = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            n, name = len(words), name + 1
+            key, times = np.unique(code.astype(np.int64) * b.num_rows + doc, return_counts=True)
+            code, doc = key // b.num_rows, key % b.num_rows
+            seen = np.bincount(code[train[doc]], weights=times[train[doc]], minlength=n)[:n]
+            # the head row, with what the documents need back; then the words
+            flat = np.column_stack([doc, times]).astype(np.int32).ravel()
+            ends = np.concatenate([[0, 0], 8 * np.cumsum(np.bincount(code, minlength=n)[:n])]).astype(np.int32)
+            uses = pa.BinaryArray.from_buffers(pa.binary(), n + 1, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+            ids, none = b.column(0), pa.nulls(n, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n + 1, name, np.int64)), pa.concat_arrays([pa.nulls(1, pa.binary()), words.cast(pa.binary())]), uses,
+                    pa.array(np.concatenate([[0], seen]).astype(np.int64)),
+                    pa.concat_arrays([pa.array([ids.to_pylist()], pa.list_(pa.int64())), none]), pa.concat_arrays([pa.array([lengths], pa.list_(pa.int64())), none]),
+                    pa.concat_arrays([pa.array([train], pa.list_(pa.bool_())), none.cast(pa.list_(pa.bool_()))]),
+                ],
+                names=["batch", "word", "uses", "seen", "ids", "lengths", "train"],
+            )
+
+    return batched(docs).mapInArrow(pack, "batch long, word binary, uses binary, seen long, ids array<long>, lengths array<long>, train array<boolean>")
 
 
 @dataclass
@@ -232,14 +261,14 @@ def fit(rows: DataFrame, ends: int, rules: LatticeRules = LatticeRules()) -> Lat
     """The model from packed rows (`packed`) and the number of training documents."""
     words = kept(rows.filter(F.col("word").isNotNull() & (F.col("seen") > 0)).groupBy("word").agg(F.sum("seen").alias("c")), "lattice-words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    names, start = pieces(rules.vocabulary, rules.longest)
+    names, start = pieces(rules.vocabulary)
     q = start
 
     def counted(log_q):
         def run(batches):
             index, sums = _index(rules), np.zeros(len(log_q))
             for b in batches:
-                sums += expected(b.column(0).to_pylist(), b.column(1).to_numpy(), log_q, index, rules.longest)
+                sums += expected(b.column(0).to_pylist(), b.column(1).to_numpy(), log_q, index)
             at = np.nonzero(sums)[0]
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["piece", "uses"])
 
@@ -273,7 +302,7 @@ def score_packed(rows: DataFrame, model: LatticeModel, ends: int) -> DataFrame:
         for b in batches:
             word, uses, c, name = b.column(0).to_pylist(), b.column(1), b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy()
             different = {w: i for i, w in enumerate(dict.fromkeys(word))}
-            own = marginals(list(different), log_q, index, rules.longest)[[different[w] for w in word]] / np.log(10)
+            own = marginals(list(different), log_q, index)[[different[w] for w in word]] / np.log(10)
             known = np.nan_to_num(c.astype(float))
             plain = np.log10(known + 0.5) - base
             buffers = uses.buffers()

@@ -131,19 +131,69 @@ def test_lattice_base(spark, sf_dir, texts):
 
 def test_lattice_is_the_sum_over_segmentations():
     rules = lattice.LatticeRules()
-    names, q = lattice.pieces(rules.vocabulary, rules.longest)
+    names, q = lattice.pieces(rules.vocabulary)
     prob, index = dict(zip(names, q, strict=False)), lattice.Index(names)
+    assert index.longest == max(map(len, names)) > 20
 
     def total(data):
-        return 1.0 if not data else sum(prob.get(data[:k], 0.0) * total(data[k:]) for k in range(1, min(len(data), rules.longest) + 1))
+        return 1.0 if not data else sum(prob.get(data[:k], 0.0) * total(data[k:]) for k in range(1, len(data) + 1))
 
     some = [b"the", b"a", "été".encode(), b"zzq", b"thing"]
-    got = lattice.marginals(some, np.log(np.maximum(q, 1e-300)), index, rules.longest)
+    got = lattice.marginals(some, np.log(np.maximum(q, 1e-300)), index)
     assert got == pytest.approx([math.log(total(b" " + w)) for w in some])
-    uses = lattice.expected([b"the"], np.array([3]), np.log(np.maximum(q, 1e-300)), index, rules.longest)
+    uses = lattice.expected([b"the"], np.array([3]), np.log(np.maximum(q, 1e-300)), index)
     assert sum(u * len(x) for u, x in zip(uses, names, strict=False)) == pytest.approx(3 * 4)
 
 
+def sums(prob, word, n):
+    """Sums over the segmentations of the first i and of the last n - i bytes."""
+    fore, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    for i in range(1, n + 1):
+        fore[i] = sum(fore[j] * prob.get(word[j:i], 0.0) for j in range(i))
+        back[n - i] = sum(back[n - i + k] * prob.get(word[n - i : n - i + k], 0.0) for k in range(1, i + 1))
+    return fore, back
+
+
+def test_lattice_scores_by_brute_force(spark):
+    """The fitted model and all scores, with equal ids, repeated rows and null ids, over partitions and small batches."""
+    rng = np.random.default_rng(2)
+    base = ["the", "Cat", "sat", "communications", "été", "x" * 30, "naïve", "on", "😀"]
+    rows = [(i % 7, " ".join(rng.choice(base, int(rng.integers(0, 9))))) for i in range(40)]
+    rows = rows + rows[:20] + [(None, "the cat"), (None, "the cat"), (None, None), (1, ""), (1, "the cat"), (1, "zebra dog")]
+    rules = lattice.LatticeRules(batch=3, em_rounds=2, held_batches=2, batch_bytes=60)
+    train = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    learn = [t for i, t in rows if (i or 0) % 3 != 1]
+    count = Counter(w for t in learn for w in words(low(t)))
+    names, start = lattice.pieces(rules.vocabulary)
+    q = start
+    for _ in range(rules.em_rounds):
+        prob, uses = dict(zip(names, q, strict=False)), rules.prior_weight * start
+        uses[-1] += len(learn)
+        at = {x: i for i, x in enumerate(names)}
+        for w, c in count.items():
+            data = b" " + w.encode()
+            fore, back = sums(prob, data, len(data))
+            for i in range(len(data)):
+                for j in range(i + 1, len(data) + 1):
+                    if data[i:j] in at:
+                        uses[at[data[i:j]]] += c * fore[i] * prob[data[i:j]] * back[j] / fore[-1]
+        q = uses / uses.sum()
+    prob, end = dict(zip(names, q, strict=False)), math.log10(q[-1])
+    total = sum(count.values()) + len(learn)
+
+    def want(i, t):
+        w = words(low(t))
+        plain = [count[x] for x in w] + [len(learn)]
+        mine = [math.log10(sums(prob, b" " + x.encode(), len(x.encode()) + 1)[0][-1]) for x in w]
+        return i, len(w) + 1, sum(c > 0 for c in plain), total, sum(math.log10((c + 0.5) / (total + 0.5 * (len(count) + 2))) for c in plain), sum(mine) + end
+
+    key = lambda r: (r[0] is None, r[0] or 0, *(round(x, 6) for x in r[1:]))
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lattice.score(df, train, rules).collect()), key=key)
+    for g, w in zip(got, sorted((want(*r) for r in rows), key=key), strict=True):
+        assert g[:4] == w[:4] and g[4:] == pytest.approx(w[4:])
+
+
 def test_lattice_odd_rows(odd, none):
     got = lattice.score(odd, F.lit(True)).collect()
     assert len(got) == len(ODD) and {r.n_tokens for r in got if r.doc_id in (2, 3, 4)} == {1} and lattice.score(none, F.lit(True)).count() == 0
