@@ -38,20 +38,22 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one where it is unset in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="sextant-"))
     return f"file://{_OWN_DIR[0]}"
 
 
-def batched(df: DataFrame, rows: int = 1000) -> DataFrame:
+def batched(df: DataFrame) -> DataFrame:
     """df, after bounding the rows that go to a Python task at a time: texts are long, and Spark's own bound is 10,000.
 
-    This is a setting of the session; an operator that wants another bound sets its own before it runs."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    This is a setting of the session, the same for all operators here, so their order does not matter."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return df
 
 
@@ -69,13 +71,12 @@ def sampled(df: DataFrame, by: Column, most: int, key: Column) -> DataFrame:
 
     The rows are those with the smallest hashes of `key`. Counts come from all rows, so the sample's size does
     not grow with the input; its expected size is `most` a value."""
-    spark, hashed = df.sparkSession, F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    hashed = F.pmod(F.xxhash64(key), F.lit(1 << 30))
     counts = df.groupBy(by.alias("by")).agg(F.count(F.lit(1)).alias("n")).collect()
     keep = F.lit(False)
     for row in counts:
         share = min(1.0, most / row["n"])
         keep = keep | (by.eqNullSafe(F.lit(row["by"])) & (hashed < int(share * (1 << 30))))
-    del spark
     return df.filter(keep)
 
 
@@ -83,11 +84,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, training, most: int
     """(doc_id, text, label) rows for fitting, on the driver: about `most` labelled rows of each class at the most.
 
     `training` maps the doc_id column to the condition of the rows that may be learned from. The ids are drawn from
-    the narrow labels table first; only their texts are then read, through a join with that bounded list."""
+    the narrow labels table first; only their texts are then read, through a join with that bounded list. Rows that
+    repeat one of these count once."""
     key = F.col("doc_id").cast("long")
     rows = labels.select(key.alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & training(F.col("doc_id")))
     few = sampled(rows, F.col("label"), most, F.col("doc_id"))
-    found = docs.select(key.alias("doc_id"), "text").filter(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").collect()
+    found = docs.select(key.alias("doc_id"), "text").filter(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").distinct().collect()
     return sorted(found, key=lambda r: (r["doc_id"], r["label"], r["text"]))
 
 

@@ -13,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import batched, fold, sampled, table
+from sextant.llm.common import batched, fold, table
 
 
 @dataclass(frozen=True)
 class MixtureRules:
-    """Parameters: the sample bound (rows of a language), the hashed n-gram table and the EM."""
+    """Parameters: the sample bound (different texts of a language), the hashed n-gram table and the EM."""
 
-    rows_per_language: int = 1500
+    texts_per_language: int = 1500
     bits: int = 16
     rounds: int = 8
     smooth: float = 0.5
@@ -91,17 +91,32 @@ class MixtureModel:
     rules: MixtureRules
 
 
+def _sample(docs: DataFrame, most: int) -> DataFrame:
+    """(text, lang): about `most` different texts of each language at the most, the same ones in every run.
+
+    A language's different texts are counted by sketches, so copies neither crowd others out of the sample nor take a
+    language out of it; copies of a drawn text fall together before the shuffle."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("text", 0.02).alias("n")).collect()
+    drawn, keep = F.pmod(F.xxhash64("text"), F.lit(1 << 30)), F.lit(False)
+    for row in counts:
+        keep = keep | ((F.col("lang") == row["lang"]) & (drawn < int(min(1.0, most / max(1, row["n"])) * (1 << 30))))
+    return rows.filter(keep).dropDuplicates(["lang", "text"])
+
+
 def fit(docs: DataFrame, rules: MixtureRules = MixtureRules()) -> MixtureModel:
-    """The model from rows with text and lang; at most about rules.rows_per_language rows of a language are read.
+    """The model from rows with text and lang; about rules.texts_per_language different texts of a language at the most
+    are learned from, each once.
 
     Without such rows the model has no language and every prediction is `und`."""
-    rows = sampled(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang"), F.col("lang"), rules.rows_per_language, F.col("text"))
     bits = rules.bits
-    counts = batched(rows).mapInArrow(lambda it: _counted(it, bits), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r["lang"] for r in counts})
-    n = np.zeros((1 << bits, len(langs)))
-    for r in counts:
-        n[r["gram"], langs.index(r["lang"])] = r["n"]
+    counts = batched(_sample(docs, rules.texts_per_language)).mapInArrow(lambda it: _counted(it, bits), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    coded = counts.column("lang").combine_chunks().dictionary_encode() if counts.num_rows else pa.array([], pa.string()).dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    names = coded.dictionary.to_pylist()
+    langs = sorted(names)
+    n, place = np.zeros((1 << bits, len(langs))), np.array([langs.index(x) for x in names], np.int64)
+    n[counts.column("gram").to_numpy(), place[coded.indices.to_numpy()]] = counts.column("n").to_numpy()
     share = (n + rules.smooth) / (n.sum(0, keepdims=True) + rules.smooth * n.shape[0]) if langs else n
     return MixtureModel(langs, share.astype(np.float32), rules)
 
