@@ -1,15 +1,16 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier on its posteriors.
 
-Voters are lexicons (a fixed list, and words and word beginnings that the training rows make telling), patterns of
-form, and the rows' own labels as one more voter that may err. The label model holds each class's mean votes and the
-voters' shared covariance, so voters that repeat each other don't count twice; it is fitted by EM. A ridge logistic
+Voters are lexicons (a fixed list, and words and word beginnings that are telling on the other parts of the
+training rows, so that no lexicon votes on rows it was chosen by), patterns of form, and the rows' own labels as one more voter
+that may err. The label model estimates each class's mean votes, the voters' shared covariance, so voters that repeat
+each other don't count twice, and how often the labels are right in each class; it is fitted by EM. A ridge logistic
 classifier is then trained on the posteriors and is all that scores a text."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +29,18 @@ LEAST, MOST = 3, 8
 
 @dataclass(frozen=True)
 class ToxicityRules:
-    """Parameters: rows a class that are learned from, features and lexicon voters at most, EM rounds, label trust, cut."""
+    """Parameters: rows a class that are learned from, features and lexicon voters at most, parts of the rows for choosing
+    lexicons, EM rounds, the label voter's accuracy before it is estimated and the rows that this guess counts for, cut."""
 
     rows_per_class: int = 3000
     features: int = 400
     lexicons: int = 12
     least_rows: int = 4
+    parts: int = 10
     em_rounds: int = 8
     label_trust: float = 0.93
-    ridge: float = 1.0
+    trust_rows: float = 50.0
+    ridge: float = 3.0
     cut: float = 0.7
 
 
@@ -77,16 +81,21 @@ def _keys(words: Counter) -> set[str]:
     return out
 
 
-def _telling(bags: list[Counter], y: np.ndarray, rules: ToxicityRules) -> list[str]:
-    """Words and beginnings over-represented in class 1, the most significant first."""
-    pos, neg = Counter(), Counter()
+def _counts(bags: list[Counter], y: np.ndarray) -> tuple[Counter, Counter]:
+    """Rows of class 0 and of class 1 that each word and beginning occurs in; the key None counts all rows."""
+    out = (Counter(), Counter())
     for bag, label in zip(bags, y, strict=True):
-        (pos if label else neg).update(_keys(bag))
-    p, n = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    out = []
+        out[int(label)].update({None, *_keys(bag)})
+    return out
+
+
+def _telling(counts: tuple[Counter, Counter], rules: ToxicityRules) -> list[str]:
+    """Words and beginnings over-represented in class 1, the most significant first."""
+    neg, pos = counts
+    n, p, out = max(1, neg[None]), max(1, pos[None]), []
     for k, a in pos.items():
         b = neg.get(k, 0)
-        if a >= rules.least_rows:
+        if k is not None and a >= rules.least_rows:
             pooled = (a + b) / (p + n)
             z = (a / p - b / n) / np.sqrt(pooled * (1 - pooled) * (1 / p + 1 / n) + 1e-12)
             if z > 3.5 and a / p > 2 * b / n:
@@ -118,26 +127,36 @@ def votes(model: ToxicityModel, x: np.ndarray) -> np.ndarray:
     return np.column_stack([lexicons, *patterns]).astype(float)
 
 
-def label_model(v: np.ndarray, y: np.ndarray, trust: float, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posteriors of the rows, accuracies of the voters and correlations of their errors, by EM.
+def label_model(v: np.ndarray, y: np.ndarray, rules: ToxicityRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posteriors of the rows, accuracies of the voters (the labels last) and correlations of their errors, by EM.
 
-    Each class has mean votes; the covariance of votes about them is shared. The label is a voter that is right with
-    probability `trust`. Log odds are those of two Gaussians, so correlated voters share their weight."""
-    label_odds = np.where(y == 1, 1, -1) * np.log(trust / (1 - trust))
-    q = np.where(y == 1, trust, 1 - trust)
-    cov = np.eye(v.shape[1])
-    for _ in range(rounds):
+    Each class has mean votes; the covariance of votes about them is shared. Log odds are those of two Gaussians, so
+    correlated voters share their weight. The label is a voter of its own, right in each class as often as the posteriors
+    say, beside a guess that counts for `trust_rows` rows."""
+    trust, cov = np.full(2, rules.label_trust), np.eye(v.shape[1])
+    q = np.where(y == 1, trust[1], 1 - trust[0])
+    for _ in range(rules.em_rounds):
         p1, p0 = q.sum() + 1e-9, (1 - q).sum() + 1e-9
         m1, m0 = (q @ v) / p1, ((1 - q) @ v) / p0
         r1, r0 = v - m1, v - m0
         cov = ((r1 * q[:, None]).T @ r1 + (r0 * (1 - q)[:, None]).T @ r0) / len(v) + 0.05 * np.eye(v.shape[1])
         w = np.linalg.solve(cov, m1 - m0)
         odds = v @ w - 0.5 * (m1 + m0) @ w + np.log(p1 / p0)
+        label_odds = np.where(y == 1, np.log(trust[1] / (1 - trust[0])), np.log((1 - trust[1]) / trust[0]))
         q = 1 / (1 + np.exp(-np.clip(odds + label_odds, -12, 12)))
+        guess = rules.label_trust * rules.trust_rows
+        right = np.array([((1 - q) * (1 - y)).sum() + guess, (q * y).sum() + guess]) / (np.array([(1 - q).sum(), q.sum()]) + rules.trust_rows)
+        trust = np.clip(right, 0.5, 0.999)
     spread = np.sqrt(np.diag(cov))
     voted = np.abs(v).sum(0) + 1e-9
     right = ((v > 0) * q[:, None] + (v < 0) * (1 - q)[:, None]).sum(0) / voted
-    return q, right, cov / np.outer(spread, spread)
+    return q, np.append(right, (q * y + (1 - q) * (1 - y)).mean()), cov / np.outer(spread, spread)
+
+
+def _with_features(model: ToxicityModel, counts: tuple[Counter, Counter]) -> ToxicityModel:
+    """model with the fixed list and the features that are telling by these counts, dealt over the lexicons by rank."""
+    keys, seeds = list(dict.fromkeys([*SEED_WORDS, *_telling(counts, model.rules)])), len(SEED_WORDS)
+    return replace(model, index={k: i for i, k in enumerate(keys)}, lexicon=np.array([0 if i < seeds else 1 + (i - seeds) % model.rules.lexicons for i in range(len(keys))]), memo={})
 
 
 def fit(rows, rules: ToxicityRules = ToxicityRules(), share: float | None = None) -> ToxicityModel:
@@ -151,12 +170,15 @@ def fit(rows, rules: ToxicityRules = ToxicityRules(), share: float | None = None
     if len(set(y.tolist())) < 2:
         return model
     bags = [_words(r["text"]) for r in rows]
-    seeds = list(SEED_WORDS)
-    keys = list(dict.fromkeys([*seeds, *_telling(bags, y, rules)]))
-    model.index = {k: i for i, k in enumerate(keys)}
-    model.lexicon = np.array([0 if i < len(seeds) else 1 + (i - len(seeds)) % rules.lexicons for i in range(len(keys))])
+    part, votes_of, total = np.random.default_rng(3).permutation(len(rows)) % rules.parts, np.zeros((len(rows), rules.lexicons + 5)), _counts(bags, y)
+    for own in (np.flatnonzero(part == k) for k in range(rules.parts)):
+        if len(own):
+            mine = _counts([bags[i] for i in own], y[own])
+            chosen = _with_features(model, tuple(a - b for a, b in zip(total, mine, strict=True)))
+            votes_of[own] = votes(chosen, np.array([measures(chosen, rows[i]["text"]) for i in own]))
+    model = _with_features(model, total)
     x = np.array([measures(model, r["text"]) for r in rows])
-    posterior, model.accuracies, model.correlations = label_model(votes(model, x), y, rules.label_trust, rules.em_rounds)
+    posterior, model.accuracies, model.correlations = label_model(votes_of, y, rules)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-3
     weight = None
     if share is not None and 0 < share < 1:
