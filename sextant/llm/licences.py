@@ -2,7 +2,7 @@
 
 Paragraphs (lines, cut into sentences) with a cue word go through a multinomial logistic regression on hashed words
 and word pairs; one class is `unknown`, a temperature calibrates the probabilities, and a prediction stands only if
-enough word pairs of one of the family's templates occur. Notices are usually wrapped, so a sentence of several lines
+enough word pairs of one of the family's templates occur, and more than of any other family's. Notices are usually wrapped, so a sentence of several lines
 (up to a line without a letter or digit) is also judged whole and by windows of its words, each longer than a template
 by at least the step to the next. SPDX identifiers are looked up. The regression is fitted on the driver, on a bounded set
 made from the templates below by a seeded generator; its weights are literals of the plan. On the executors there are
@@ -22,32 +22,54 @@ from pyspark.sql import functions as F
 
 from sextant.llm.common import let, table
 
-#: Notices by licence family, in their usual wording.
+#: Notices by licence family in their usual wording, sentence by sentence, and the family's usual names.
 TEMPLATES = {
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License", "distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
-    "mit": ("Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "MIT License"),
-    "bsd": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    "gpl-2": ("This work is licensed under the GNU General Public License, version 2.", "GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
-    "gpl-3": ("This work is licensed under the GNU General Public License, version 3.", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    "lgpl": ("Licensed under the GNU Lesser General Public License, version 2.1.", "terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    "agpl-3": ("Licensed under the GNU Affero General Public License, version 3.",),
-    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
-    "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "public-domain": ("This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright and related rights to this work"),
-    "proprietary": ("All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher"),
-}
-#: Sentences that hold a cue and are no licence.
+    "apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License", "distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
+        "See the License for the specific language governing permissions and limitations under the License", "Apache License 2.0", "Apache 2.0 license", "Apache-2.0",
+    ),
+    "mit": (
+        "Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "MIT License", "MIT licensed", "MIT licence",
+    ),
+    "bsd": (
+        "Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+        "BSD license", "BSD licence", "BSD-style license", "BSD 3-Clause", "BSD 2-Clause",
+    ),
+    "gpl-2": (
+        "This work is licensed under the GNU General Public License, version 2.", "GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "GNU GPL version 2", "GPL version 2", "GPL v2", "GPL 2.0",
+        "General Public License version 2", "General Public License v2",
+    ),
+    "gpl-3": (
+        "This work is licensed under the GNU General Public License, version 3.", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "GNU GPL version 3", "GPL version 3", "GPL v3", "GPL 3.0",
+        "General Public License version 3", "General Public License v3",
+    ),
+    "lgpl": ("Licensed under the GNU Lesser General Public License, version 2.1.", "terms of the GNU Lesser General Public License as published by the Free Software Foundation", "GNU Lesser General Public License", "GNU LGPL", "LGPL version 2.1", "LGPL v3", "LGPL license"),
+    "agpl-3": ("Licensed under the GNU Affero General Public License, version 3.", "terms of the GNU Affero General Public License as published by the Free Software Foundation", "GNU Affero General Public License", "GNU AGPL", "AGPL version 3", "AGPL v3", "AGPL license"),
+    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "Mozilla Public License", "MPL 2.0"),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "ISC License", "ISC licence", "ISC licensed"),
+    "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Creative Commons Attribution License", "Creative Commons Attribution 3.0", "Creative Commons Attribution 4.0"),
+    "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Creative Commons Attribution-ShareAlike", "Creative Commons Attribution Share Alike", "CC BY-SA"),
+    "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Creative Commons Attribution-NonCommercial", "Creative Commons Attribution Non Commercial", "CC BY-NC"),
+    "public-domain": (
+        "This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright and related rights to this work", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+        "released into the public domain", "placed in the public domain", "dedicated to the public domain", "CC0 1.0 Universal",
+    ),
+    "proprietary": ("All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher", "Unauthorized copying of this file, via any medium, is strictly prohibited", "proprietary and confidential"),
+}
+#: Sentences that hold a cue and are no licence of these families; the last ones are of other licences.
 LOOK_ALIKES = (
     "his driving licence was taken by the police", "the license plate of the car was lost", "copyright law was debated in the parliament", "the machine came without a warranty",
     "she gave permission to enter the house", "the public domain is a matter of debate", "version 2 of the plan was released", "the rights of the people were reserved by the king",
     "a creative group of common people", "the apache tribe lived in the plains", "the university of mit is known", "redistribution of wealth in modern states", "they applied for a fishing license",
     "the foundation published a general report", "licensed doctors work under the law", "all rights and duties", "free software is a movement",
-)
+    "This software is provided as-is, without any express or implied warranty", "Licensed under the Eclipse Public License, version 1.0", "Distributed under the Boost Software License, Version 1.0", "Licensed under the Artistic License 2.0",
+    "Common Development and Distribution License", "the SIL Open Font License, Version 1.1", "licensed under the zlib license", "Microsoft Public License", "the Open Database License", "Academic Free License version 3.0",
+)
 FAMILIES = (*TEMPLATES, "unknown")
-CUE = r"(?i)licen[cs]|copyright|permission|warrant|rights[\s#*/;]+reserved|public[\s#*/;]+domain|creative[\s#*/;]+commons|redistribution|unencumbered|\bCC[\s#*/;]+BY"
+CUE = r"(?i)licen[cs]|copyright|permission|warrant|rights[\s#*/;]+reserved|public[\s#*/;]+domain|creative[\s#*/;]+commons|redistribution|unencumbered|\bCC[\s#*/;]+BY|\bA?L?GPL|\bCC0\b|unauthorized[\s#*/;]+copying|proprietary"
 CUT = r"\n|(?<=[A-Za-z0-9)]{2}[.!?])[ ]"
 #: Ends of sentences that may go over several lines: white space after a full stop, or a line without letter or digit.
 SENTENCE = r"(?<=[A-Za-z0-9)]{2}[.!?])[ \r\n]|\n[^A-Za-z0-9\n]*(?=\n)"
@@ -165,9 +187,13 @@ def scanned(text: Column, rules: LicenceRules = LicenceRules()) -> Column:
     def verdict(paragraph: Column, grams: Column, q: Column) -> Column:
         best = let(F.array_max(q), lambda m: F.array_position(q, m).cast("int") - 1)
 
+        def overlap(c: Column) -> Column:
+            return F.coalesce(F.array_max(F.transform(F.get(templates, c), lambda t: F.when(F.size(t) > 0, F.size(F.array_intersect(t, grams)) / F.size(t)).otherwise(0.0))), F.lit(0.0))
+
         def found(c: Column) -> Column:
-            share = F.coalesce(F.array_max(F.transform(F.get(templates, c), lambda t: F.size(F.array_intersect(t, grams)) / F.size(t))), F.lit(0.0))
-            return let(share, lambda s: let((c < k - 1) & (F.get(q, c) >= rules.probability) & (s >= rules.overlap), lambda ok: F.struct(
+            # words that two families' notices share tell neither, unless a template is there as a whole
+            rival = lambda: F.array_max(F.transform(F.sequence(F.lit(0), F.lit(k - 2)), lambda d: F.when(d == c, 0.0).otherwise(overlap(d))))
+            return let(overlap(c), lambda s: let((c < k - 1) & (F.get(q, c) >= rules.probability) & (s >= rules.overlap) & ((s >= 1.0) | (s > rival())), lambda ok: F.struct(
                 paragraph.alias("paragraph"), F.when(ok, F.get(names, c)).otherwise(F.lit("unknown")).alias("family"), F.get(q, c).alias("probability"), s.alias("overlap"), ok.alias("confirmed"),
             )))
 
