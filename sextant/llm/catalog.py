@@ -6,8 +6,10 @@ from sextant.llm.compression import op9_quality_compression
 from sextant.llm.language_mix import op10_language_mixture
 from sextant.llm.lattice import op2_lattice_likelihood
 from sextant.llm.licences import op6_licence_scan
+from sextant.llm.line_rules import ORACLE as LINE_SQL
 from sextant.llm.line_rules import op3_line_rules
 from sextant.llm.pii import op7_pii_boosted
+from sextant.llm.similarity import ORACLE as JACCARD_SQL
 from sextant.llm.similarity import op4_jaccard_join
 from sextant.llm.temperature import ORACLE as MIX_SQL
 from sextant.llm.temperature import op5_temperature_mix
@@ -28,5 +30,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_line_rules": LINE_SQL,
+    "op4_jaccard_join": JACCARD_SQL,
     "op5_temperature_mix": MIX_SQL,
 }

@@ -11,9 +11,17 @@ from pyspark.sql import functions as F
 
 from sextant.llm.common import SPACE, let, words
 
-#: Words of navigation and of page furniture, in the order of the rules.
-NAVIGATION = ("home", "menu", "login", "sign in", "sign up", "next page", "previous page", "back to top", "read more", "click here", "site map", "search")
-BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "lorem ipsum", "javascript", "subscribe to our newsletter", "powered by")
+#: Words of navigation and of page furniture in the order of the rules, by language.
+NAVIGATION = (
+    "home", "menu", "login", "sign in", "sign up", "next page", "previous page", "back to top", "read more", "click here", "site map", "search",
+    "startseite", "anmelden", "weiterlesen", "nach oben", "suche", "kontakt", "accueil", "connexion", "lire la suite", "haut de page", "recherche", "inicio", "iniciar sesi\u00f3n", "leer m\u00e1s", "volver arriba", "buscar",
+)
+BOILERPLATE = (
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "lorem ipsum", "javascript", "subscribe to our newsletter", "powered by",
+    "alle rechte vorbehalten", "datenschutzerkl\u00e4rung", "nutzungsbedingungen", "impressum", "tous droits r\u00e9serv\u00e9s", "mentions l\u00e9gales", "politique de confidentialit\u00e9", "todos los derechos reservados", "pol\u00edtica de privacidad", "aviso legal",
+)
+#: Marks that may end a line of prose.
+END_MARKS = ".!?:;\u2026\"'\u201d\u2019\u00bb)\u3002\uff01\uff1f\u061f\u0964]"
 
 
 @dataclass(frozen=True)
@@ -26,6 +34,7 @@ class LineRules:
     min_bar_fields: int = 3
     max_word_run: int = 4
     navigation_words: int = 6
+    open_words: int = 3
     max_lost_share: float = 0.3
     min_words: int = 20
     max_repeat_percent: int = 30
@@ -76,8 +85,14 @@ def duplicate_lines(lines: Column) -> Column:
     return let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
+def _class(chars: str) -> str:
+    """chars as the inside of a character class of a pattern."""
+    return "".join("\\" + c if c in "]\\^-[" else c for c in chars)
+
+
 def bad_line(line: Column, rules: LineRules) -> Column:
-    """Whether a line fails a rule: punctuation, shouting, table bars, runs of one word, navigation, boilerplate."""
+    """Whether a line fails a rule: punctuation (symbols, or `open_words` or more words without a mark at the end),
+    shouting, table bars, runs of one word, navigation, boilerplate."""
     low = F.lower(line)
     few = F.size(F.split(F.trim(line), SPACE)) <= rules.navigation_words
     shouted = line.rlike(r"\p{Lu}{2,}+.*\p{Lu}{2,}")
@@ -93,6 +108,7 @@ def bad_line(line: Column, rules: LineRules) -> Column:
         | line.rlike(rf"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?:[\x20\x09-\x0D]++\1(?![^\x20\x09-\x0D])){{{rules.max_word_run - 1},}}+")
         | (few & low.rlike("^[^a-z]*(?:" + "|".join(NAVIGATION) + ")[^a-z]*$"))
         | furniture
+        | (~line.rlike(rf"[{_class(END_MARKS)}][\x20\x09-\x0D]*\z") & line.rlike(r"[^\x20\x09-\x0D]") & (F.size(words(line)) >= rules.open_words))
     )
 
 
@@ -123,6 +139,34 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     return judged.withColumn("kept", ~F.col("base_failed") & ~lost)
 
 
+def _sql() -> str:
+    """The same by DuckDB, for the default parameters; runs of a word and repeated windows go by lists of words."""
+    r, space, end = LineRules(), r"[\x20\x09-\x0D]", r"\n\r\x{85}\x{2028}\x{2029}"
+    quoted = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+    symbols = lambda x: f"len(regexp_replace({x}, '[^#*$%&|<>]+', '', 'g'))"
+    split = lambda x: f"list_filter(regexp_split_to_array({x}, '{space}+'), lambda w: w <> '')"
+    letters = lambda kind: f"len(regexp_replace(line, '[^\\p{{{kind}}}]+', '', 'g'))"
+    rules = (
+        f"({symbols('line')} > {r.max_symbol_share}::DOUBLE * len(line))", f"(len(regexp_replace(line, '[^|]+', '', 'g')) >= {r.min_bar_fields})", f"regexp_matches(line, '!!{space}[^{end}]*!!')",
+        f"(regexp_matches(line, '\\p{{Lu}}{{2}}[^\\p{{Lu}}{end}][^{end}]*\\p{{Lu}}{{2}}') AND {letters('L')} >= {r.min_upper_letters} AND {letters('Lu')} > {r.max_upper_share}::DOUBLE * {letters('L')})",
+        f"(len(lw) >= {r.max_word_run} AND len(list_filter(range(1, len(lw) - {r.max_word_run - 2}), lambda i: {' AND '.join(f'lw[i] = lw[i + {j}]' for j in range(1, r.max_word_run))})) > 0)",
+        f"(len(regexp_split_to_array(trim(line, ' '), '{space}+')) <= {r.navigation_words} AND regexp_matches(lower(line), '^[^a-z]*(?:{'|'.join(NAVIGATION)})[^a-z]*$'))",
+        f"(len(list_filter([{quoted(BOILERPLATE)}], lambda b: contains(lower(line), b))) > 0)", f"(len(lw) >= {r.open_words} AND NOT contains({quoted([END_MARKS])}, right(regexp_replace(line, '{space}+$', ''), 1)))",
+    )
+    return f"""WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, {split("coalesce(text, '')")} AS w FROM documents),
+l AS (SELECT k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t),
+lw AS (SELECT *, {split('line')} AS lw FROM l), j AS (SELECT *, {' OR '.join(rules)} AS bad FROM lw),
+li AS (SELECT k, count(*) FILTER (len(lw) > 0) - count(DISTINCT line) FILTER (len(lw) > 0) AS n_dup_lines, coalesce(sum(len(line) + 1) FILTER (NOT bad) - 1, 0) AS cleaned FROM j GROUP BY k),
+g AS (SELECT k, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) > 8)), tw AS (SELECT k, i FROM g QUALIFY count(*) OVER (PARTITION BY k, g) > 1),
+rp AS (SELECT k, count(DISTINCT i + o) AS n FROM tw, range(0, 8) r(o) GROUP BY k),
+d AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS word_chars, CAST({symbols('text')} AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(coalesce(rp.n, 0) AS BIGINT) AS n_repeat_words, len(text) AS chars, cleaned FROM t JOIN li USING (k) LEFT JOIN rp USING (k))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_percent} * n_words AS base_failed,
+  NOT (n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_percent} * n_words) AND NOT chars - cleaned > {r.max_lost_share}::DOUBLE * chars AS kept FROM d"""
+
+
+ORACLE = _sql()
+
+
 def op3_line_rules(spark, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     from sextant.llm.common import table

@@ -275,6 +275,21 @@ def linked(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> DataFrame:
     return rows.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+#: All links between different sets by counting common shingles, and what they reach; for the default parameters.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w
+), sets AS (SELECT min(doc_id) AS rep, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+g AS (SELECT rep, n, unnest(s) AS g FROM sets),
+links AS (SELECT a.rep AS u, b.rep AS v FROM g a JOIN g b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+both_ AS (SELECT u, v FROM links UNION SELECT v, u FROM links), reach(u, v) AS (SELECT u, v FROM both_ UNION SELECT r.u, b.v FROM reach r JOIN both_ b ON b.u = r.v),
+comp AS (SELECT u, least(u, min(v)) AS c FROM reach GROUP BY u)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(comp.c, sets.rep, s.doc_id) AS component_id FROM s LEFT JOIN sets ON sets.s = s.s LEFT JOIN comp ON comp.u = sets.rep
+"""
+
+
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Set size and component of every document."""
     return linked(table(spark, sf_dir, "documents"))
