@@ -111,8 +111,8 @@ def test_label_model_trusts_the_better_voter():
     y = (rng.random(800) < 0.4).astype(float)
     good, bad = np.where(rng.random(800) < 0.95, y, 1 - y), (rng.random(800) < 0.5).astype(float)
     v = np.column_stack([good, bad, bad]) * 2 - 1
-    q, right, corr = weak_labels.label_model(v, np.where(rng.random(800) < 0.9, y, 1 - y), 0.9, 8)
-    assert right[0] > 0.85 > right[1] and corr[1, 2] > 0.8 and ((q > 0.5) == (y == 1)).mean() > 0.95
+    q, right, corr = weak_labels.label_model(v, np.where(rng.random(800) < 0.9, y, 1 - y), weak_labels.ToxicityRules())
+    assert right[0] > 0.85 > right[1] and right[-1] > 0.8 and corr[1, 2] > 0.8 and ((q > 0.5) == (y == 1)).mean() > 0.95
 
 
 # ---- lattice
@@ -346,23 +346,11 @@ def test_tiling(spark, docs, sf_dir, odd, none):
     got = {r.doc_id: r.bench_hits for r in tiling.tilings(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got[1][0].item_id == long[0] and got[1][0].coverage >= 0.9 and len(got[1][0].tiles) == 2
     assert got[2][0].item_id == long[1] and got[2][0].coverage == 1.0 and got[3][0].coverage < 0.5 and got[4] == []
-    whole, cut = (tiling.tilings(docs.select("doc_id", "text"), bench, r).orderBy("doc_id").collect() for r in (tiling.TilingRules(), tiling.TilingRules(block_words=300)))
-    assert whole == cut
+    whole, small = (tiling.tilings(docs.select("doc_id", "text"), bench, r).orderBy("doc_id").collect() for r in (tiling.TilingRules(), tiling.TilingRules(table_bits=6)))
+    assert whole == small  # a full bit table lets every place through, and the join finds the same
     assert tiling.clean(odd, bench).columns == odd.columns and tiling.clean(none, bench).count() == 0 and tiling.clean(odd, bench.limit(0)).count() == len(ODD)
 
 
-def test_tiles_are_greedy_and_do_not_overlap():
-    rng = np.random.default_rng(5)
-    for _ in range(50):
-        doc, item = (rng.integers(0, 3, n).astype(np.uint64) for n in (40, 20))
-        seeds = [(p, i) for p in range(38) for i in range(18) if (doc[p : p + 3] == item[i : i + 3]).all()]
-        tiles = tiling.tile(doc, item, seeds, 3)
-        used = [j for _, i, n in tiles for j in range(i, i + n)]
-        assert len(used) == len(set(used)) and all((doc[p : p + n] == item[i : i + n]).all() and n >= 3 for p, i, n in tiles)
-        longest = max((n for n in range(3, 21) for p in range(41 - n) for i in range(21 - n) if (doc[p : p + n] == item[i : i + n]).all()), default=0)
-        assert (tiles[0][2] if tiles else 0) == longest
-
-
 # ---- the pipeline
 
 def test_pipeline(spark, sf_dir, docs, texts, odd):
@@ -371,7 +359,7 @@ def test_pipeline(spark, sf_dir, docs, texts, odd):
     model = language_mix.fit(docs.filter(common.fold(F.col("doc_id"), 5) != 0))
     rows = {i: t for i, t in texts.items() if language_mix.mixture(model, t)[0]}
     rows = {i: t for i, t in rows.items() if any(i == c for d, _, c in brute_components(rows.items(), 5, 80) if d == i)}
-    bench = [[w for w in tiling.plain_words(r.text.split()) if w] for r in common.table(spark, sf_dir, "benchmark").collect()]
+    bench = [[w for w in tiling.plain_words((r.text or '').split()) if w] for r in common.table(spark, sf_dir, "benchmark").collect()]
 
     def leaks(t):
         w = [x for x in tiling.plain_words(t.encode().lower().decode().split()) if x]
@@ -387,6 +375,7 @@ def test_pipeline(spark, sf_dir, docs, texts, odd):
     assert {r.doc_id for r in out} == clean
     for name, stage in pipeline.STAGES[:-1]:
         assert stage(spark, odd, sf_dir).columns == odd.columns, name
+    assert temperature.mix(odd).columns == temperature.mix(docs).columns
 
 
 def test_catalog():
