@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.llm import language_mix, pii, similarity, temperature, tiling
-from sextant.llm.common import fold, shared_dir, table
+from sextant.llm.common import fold, kept, shared_dir, table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,12 +26,19 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates, the one with the smallest doc_id.
 
-    Rows are near duplicates by five-word shingles and a similarity of 0.8. Of rows that share the smallest doc_id
-    one stays; rows without a word are no duplicates of each other; a row without a doc_id stays as it is."""
-    found = similarity.linked(docs.filter(F.col("doc_id").isNotNull()), similarity.JaccardRules(words=5, percent=80))
-    first = found.filter("component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.filter(F.col("doc_id").isNotNull()).join(first, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    Rows are near duplicates by five-word shingles and a similarity of 0.8. Of rows that share the doc_id that stays the
+    one with the smallest text stays, nulls last; rows without a word are no duplicates of each other; a row without a
+    doc_id stays as it is. Only ids are compared with all rows: no text is shuffled while the ids that go are few."""
+    found = kept(similarity.linked(docs.filter(F.col("doc_id").isNotNull()), similarity.JaccardRules(words=5, percent=80)), "pipeline-components")
+    gone = kept(found.filter("component_id <> doc_id").select("doc_id").distinct(), "pipeline-copies")
+    again = kept(found.filter("component_id = doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-repeated")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if not again.limit(1).count():
+        return left
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*docs.columns))
+    place = f"_place_{uuid.uuid4().hex}"
+    one = left.join(again, "doc_id", "left_semi").withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1)
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,11 +68,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each stage's output is a table in the shared folder."""
-    at, docs = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+def stages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Each stage's output by name, read from its table in the shared folder: all stages, in order, over the documents of
+    sf_dir. The texts to train on are those of the stage before the mixture, which tells how often and in which order."""
+    at, docs, out = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents"), {}
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{at}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{at}/{name}")
-    return docs
+        found = stage(spark, docs, sf_dir)
+        found.write.parquet(f"{at}/{name}")
+        docs = out[name] = spark.read.schema(found.schema).parquet(f"{at}/{name}")
+    return out
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; see `stages` for all of them."""
+    return stages(spark, sf_dir)[STAGES[-1][0]]
