@@ -29,13 +29,14 @@ MARK, SPACE_BYTE = "▁".encode(), b" "
 @dataclass(frozen=True)
 class LatticeRules:
     """Parameters: the vocabulary file, EM rounds, weight of the file's order, documents (at most 32767) and bytes of
-    text of a batch, and batches whose sums a task holds."""
+    text of a batch, words that are worked on together, and batches whose sums a task holds."""
 
     vocabulary: str = "/opt/tokenizers/piece_bpe_32k.model"
     em_rounds: int = 3
     prior_weight: float = 1000.0
     batch: int = 4000
     batch_bytes: int = 1 << 27
+    words: int = 20_000
     held_batches: int = 256
 
 
@@ -88,9 +89,6 @@ class Index:
             while self.ids[at] >= 0:
                 at = (at + 1) & (size - 1)
             self.keys[at], self.ids[at] = k, i
-        used = np.nonzero(self.ids >= 0)[0]
-        home = (self.keys[used] * np.uint64(0xD6E8FEB86659FD93)) >> self.shift
-        self.probes = int(((used - home.astype(np.int64)) & (size - 1)).max()) + 1
         self.mask = size - 1
 
     def _hash(self, data: bytes) -> int:
@@ -100,13 +98,15 @@ class Index:
         return h
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Ids of the pieces with these hashes, -1 where there is none."""
+        """Ids of the pieces with these hashes, -1 where there is none. Only what meets another piece's slot looks on."""
         at = ((h * np.uint64(0xD6E8FEB86659FD93)) >> self.shift).astype(np.int64)
-        out = np.full(h.shape, -1, np.int32)
-        for _ in range(self.probes):
-            hit = (self.keys[at] == h) & (self.ids[at] >= 0)
-            out = np.where(hit, self.ids[at], out)
-            at = (at + 1) & self.mask
+        out = self.ids[at]
+        going = np.nonzero((out >= 0) & (self.keys[at] != h))
+        while len(going[0]):
+            at[going] = (at[going] + 1) & self.mask
+            out[going] = self.ids[at[going]]
+            further = (out[going] >= 0) & (self.keys[at[going]] != h[going])
+            going = tuple(x[further] for x in going)
         return out
 
 
@@ -129,12 +129,12 @@ def _by_length(words: list[bytes], least: int):
 
 
 def _arcs(block: np.ndarray, index: Index) -> dict[int, np.ndarray]:
-    """Piece ids of the substrings of equal-length byte rows: by length an array (rows, starts)."""
+    """Piece ids of the substrings of equal-length byte rows: by length an array (rows, starts), where there are any."""
     n, out, h = block.shape[1], {}, np.zeros(block.shape, np.uint64)
     for k in range(1, min(index.longest, n) + 1):
         h = h[:, : n - k + 1] * Index.MULTIPLIER + block[:, k - 1 :] + np.uint64(1)
-        if k in index.lengths:
-            out[k] = index.find(h)
+        if k in index.lengths and ((found := index.find(h)) >= 0).any():
+            out[k] = found
     return out
 
 
@@ -210,6 +210,18 @@ def _gathered(batches, rules: LatticeRules):
         yield whole()
 
 
+def _joined(batches, rows: int, size: int = 1 << 26):
+    """Batches put together to about so many rows or bytes: words are worked on by length, and few at a time cost most."""
+    held, n, b = [], 0, 0
+    for x in batches:
+        held, n, b = [*held, x], n + x.num_rows, b + x.nbytes
+        if n >= rows or b >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n, b = [], 0, 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def packed(docs: DataFrame, rules: LatticeRules) -> DataFrame:
     """For each batch of documents a head row (no word) and a row for each word with the documents that have it.
 
@@ -267,7 +279,7 @@ def fit(rows: DataFrame, ends: int, rules: LatticeRules = LatticeRules()) -> Lat
     def counted(log_q):
         def run(batches):
             index, sums = _index(rules), np.zeros(len(log_q))
-            for b in batches:
+            for b in _joined(batches, rules.words):
                 sums += expected(b.column(0).to_pylist(), b.column(1).to_numpy(), log_q, index)
             at = np.nonzero(sums)[0]
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["piece", "uses"])
@@ -297,9 +309,17 @@ def score_packed(rows: DataFrame, model: LatticeModel, ends: int) -> DataFrame:
                 names=["batch", "own", "plain", "known", "at"],
             )
 
+    def spread(names, key, values):
+        """One row for each batch of documents, with sums for those of its documents that occur."""
+        found, place = np.unique(key, return_inverse=True)
+        offsets = pa.array(np.searchsorted(found, np.arange(len(names) + 1) * rules.batch).astype(np.int32))
+        sums = [np.bincount(place, weights=w, minlength=len(found)) for w in values]
+        flat = (pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int32)), pa.array((found % rules.batch).astype(np.int16)))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.ListArray.from_arrays(offsets, x) for x in flat)], names=["batch", "own", "plain", "known", "at"])
+
     def partial(batches):
         index, sums = _index(rules), {}
-        for b in batches:
+        for b in _joined(batches, rules.words):
             word, uses, c, name = b.column(0).to_pylist(), b.column(1), b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy()
             different = {w: i for i, w in enumerate(dict.fromkeys(word))}
             own = marginals(list(different), log_q, index)[[different[w] for w in word]] / np.log(10)
@@ -311,9 +331,12 @@ def score_packed(rows: DataFrame, model: LatticeModel, ends: int) -> DataFrame:
             doc, times = flat[0::2], flat[1::2].astype(float)
             row = np.repeat(np.arange(len(word)), np.diff(offsets) // 8)
             names, slot = np.unique(name, return_inverse=True)
-            key = slot[row] * rules.batch + doc
+            key, values = slot[row] * rules.batch + doc, (times * own[row], times * plain[row], times * (known > 0)[row])
+            if len(names) > rules.held_batches:  # words of so many batches of documents add up to nothing here
+                yield spread(names, key, values)
+                continue
             size = len(names) * rules.batch
-            parts = [np.bincount(key, weights=w, minlength=size).reshape(-1, rules.batch) for w in (times * own[row], times * plain[row], times * (known > 0)[row], np.ones(len(key)))]
+            parts = [np.bincount(key, weights=w, minlength=size).reshape(-1, rules.batch) for w in (*values, np.ones(len(key)))]
             for i, x in enumerate(names.tolist()):
                 if x not in sums:
                     sums[x] = np.zeros((4, rules.batch))
@@ -334,7 +357,7 @@ def score_packed(rows: DataFrame, model: LatticeModel, ends: int) -> DataFrame:
         ids, lengths, train = [], [], []
         sums = np.zeros((3, rules.batch))
         for b in found.to_batches():
-            for i in range(b.num_rows):
+            for i in range(b.num_rows):  # rows: a head, and the sums that the tasks give for this batch of documents
                 if b.column("ids")[i].is_valid:
                     ids, lengths, train = (b.column(k)[i].as_py() for k in ("ids", "lengths", "train"))
                 else:

@@ -154,13 +154,14 @@ def sums(prob, word, n):
     return fore, back
 
 
-def test_lattice_scores_by_brute_force(spark):
+@pytest.mark.parametrize("held", [2, 64])
+def test_lattice_scores_by_brute_force(spark, held):
     """The fitted model and all scores, with equal ids, repeated rows and null ids, over partitions and small batches."""
     rng = np.random.default_rng(2)
     base = ["the", "Cat", "sat", "communications", "été", "x" * 30, "naïve", "on", "😀"]
     rows = [(i % 7, " ".join(rng.choice(base, int(rng.integers(0, 9))))) for i in range(40)]
     rows = rows + rows[:20] + [(None, "the cat"), (None, "the cat"), (None, None), (1, ""), (1, "the cat"), (1, "zebra dog")]
-    rules = lattice.LatticeRules(batch=3, em_rounds=2, held_batches=2, batch_bytes=60)
+    rules = lattice.LatticeRules(batch=3, em_rounds=2, held_batches=held, batch_bytes=60)
     train = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 1
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     learn = [t for i, t in rows if (i or 0) % 3 != 1]
