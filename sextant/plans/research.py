@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sextant import config as C
-from sextant.functions import scalar, stats
+from sextant.functions import stats
 from sextant.functions.scalar import rounded
-from sextant.operators import backtest, events, forward, patterns, reports, walkforward
+from sextant.operators import events, forward, patterns, reports, walkforward
 from sextant.plans import core, evaluation
 from sextant.plans import oracle as O
 from sextant.sources.bars import bars, read, watchlist
+from sextant.sources.store import written
 from sextant.streaming import windows as streams
 
 QUERIES, ORACLES = {}, {}
@@ -89,27 +90,20 @@ def pattern_cell_test(spark, sf_dir):
     return rounded(patterns.cell_test(_cells(spark, sf_dir), "streak", 5).select("entity", "n_triggers", "n_baseline", "effective_n", "mean", "baseline", "lift", "hit_rate", "mean_tradable", "t_stat"))
 
 
-@query("student_t_tail")
-def student_t_tail(spark, sf_dir):
-    found = patterns.cell_test(_cells(spark, sf_dir), "streak", 5)
-    return found.select("entity", "t_stat", "effective_n", stats.t_tail(F.col("t_stat"), (F.col("effective_n") - 1).cast("double")).alias("p_value"))
-
-
-@query("circular_shift_null")
-def circular_shift_null(spark, sf_dir):
-    return patterns.circular_shift_null(spark, _cells(spark, sf_dir), "streak", 5)
+def tail_sql(t: str, n: str) -> str:
+    """Two-sided tail of Student's t for whole degrees of freedom n, by the finite sums of sines and cosines."""
+    angle = f"atan(abs({t}) / sqrt({n}))"
+    even = f"sin({angle}) * list_sum(list_transform(range(0, greatest(CAST({n} // 2 AS BIGINT), 1)), lambda k: exp(lgamma(k + 0.5::DOUBLE) - lgamma(k + 1.0::DOUBLE)) / sqrt(pi()) * pow(cos({angle}), 2 * k)))"
+    odd = f"2 / pi() * ({angle} + coalesce(CASE WHEN {n} > 1 THEN sin({angle}) * list_sum(list_transform(range(0, greatest(CAST(({n} - 1) // 2 AS BIGINT), 1)), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1.0::DOUBLE) - lgamma(k + 1.5::DOUBLE)) * pow(cos({angle}), 2 * k + 1))) END, 0))"
+    return f"CASE WHEN {t} IS NOT NULL AND {n} > 0 THEN 1 - CASE WHEN {n} % 2 = 0 THEN {even} ELSE {odd} END END"
 
 
-@query("pattern_family")
-def pattern_family(spark, sf_dir):
-    """Weekly streak cells over both chronological parts, with p-values, Bonferroni and false-discovery verdicts."""
-    cells = _cells(spark, sf_dir)
-    last = cells.agg(F.max("session").alias("last"))
-    half = cells.join(F.broadcast(last), F.lit(True)).withColumn("part", F.when(F.col("session") <= F.col("last") * 0.6, "early").otherwise("late"))
-    parts = [patterns.cell_test(half.filter(F.col("part") == p), "streak", 5).withColumn("part", F.lit(p)) for p in ("early", "late")]
-    found = parts[0].unionByName(parts[1]).withColumn("p_value", stats.t_tail(F.col("t_stat"), (F.col("effective_n") - 1).cast("double")))
-    m = F.count("p_value").over(Window.partitionBy("part"))
-    return stats.discoveries(found.withColumn("bonferroni", F.least(F.col("p_value") * m, F.lit(1.0))), "p_value", C.FDR_Q, "part")
+@query("student_t_tail", f"WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, (l_orderkey % 700) / 100.0::DOUBLE - 3.5::DOUBLE AS t, 1 + l_partkey % 60 AS n FROM lineitem WHERE l_linenumber = 1) SELECT t, n, count(*) AS rows, round({tail_sql('t', 'n')}, 9) AS p_value FROM p GROUP BY t, n")
+def student_t_tail(spark, sf_dir):
+    """The tail for many values and degrees of freedom."""
+    li = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(((F.col("l_orderkey") % 700) / 100 - 3.5).alias("t"), (1 + F.col("l_partkey") % 60).alias("n"))
+    found = li.groupBy("t", "n").agg(F.count(F.lit(1)).alias("rows"))
+    return found.withColumn("p_value", F.round(stats.t_tail(F.col("t"), F.col("n").cast("double")), 9))
 
 
 @query("bh_fdr", "WITH p AS (SELECT s_suppkey AS k, s_nationkey AS family, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE (s_suppkey % 40) / 400.0::DOUBLE END AS p FROM supplier), r AS (SELECT *, CASE WHEN p IS NOT NULL THEN row_number() OVER (PARTITION BY family ORDER BY p NULLS LAST, k) END AS rk, count(p) OVER (PARTITION BY family) AS m FROM p), c AS (SELECT *, max(CASE WHEN p <= rk / CAST(m AS DOUBLE) * 0.1::DOUBLE THEN rk END) OVER (PARTITION BY family) AS cut FROM r) SELECT k, coalesce(p <= (SELECT max(p) FROM c d WHERE d.family = c.family AND d.rk <= d.cut), FALSE) AS bh_pass FROM c")
@@ -118,74 +112,150 @@ def bh_fdr(spark, sf_dir):
     return stats.discoveries(s, "p", C.FDR_Q, "family").select("k", "bh_pass")
 
 
-def _fits(spark, sf_dir, run_dates):
-    days = [r["d"] for r in bars(spark, sf_dir, "all").select("d").distinct().orderBy("d").collect()]
-    plan = walkforward.schedule(run_dates or days, days, 20, 60, 21)
-    import json
-
-    rows = [{k: (v if isinstance(v, int) else str(v)) for k, v in f.items()} for f in plan]
-    kinds = "array<struct<fit:int,train_end:date,cutoff:date,n_train:int,last_train:date,oos_start:date,oos_end:date>>"
-    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), kinds)).alias("x")).select("x.*")
+def _fits(spark, sf_dir, window: int | None = None):
+    """Fits for a horizon of 20 sessions, every 21 sessions; the runs are the market's sessions."""
+    sessions = forward.calendar(bars(spark, sf_dir, "all"))
+    return written(walkforward.schedule(sessions.select("d"), sessions, 20, 60, 21, window), "fits")
 
 
-@query("walk_forward_schedule", f"""WITH RECURSIVE {O.MARKET}, ss AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM market), n AS (SELECT max(i) AS last FROM ss),
+def _schedule_sql(window: int | None) -> str:
+    first = f"greatest(0, f.i - 20 - {window} + 1)" if window else "0"
+    n = f"least(f.i - 19, {window})" if window else "f.i - 19"
+    return f"""WITH RECURSIVE {O.MARKET}, ss AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM market), n AS (SELECT max(i) AS last FROM ss),
 f AS (SELECT 1 AS fit, CAST(79 AS BIGINT) AS i FROM n WHERE 79 < last UNION ALL SELECT fit + 1, i + 21 FROM f, n WHERE i + 21 < last)
-SELECT fit, a.d AS train_end, b.d AS cutoff, CAST(f.i - 19 AS INTEGER) AS n_train, b.d AS last_train, c.d AS oos_start, e.d AS oos_end FROM f JOIN ss a ON a.i = f.i JOIN ss b ON b.i = f.i - 20 JOIN ss c ON c.i = f.i + 1 JOIN n ON TRUE JOIN ss e ON e.i = CASE WHEN f.i + 21 <= last THEN f.i + 20 ELSE last END""")
+SELECT fit, a.d AS train_end, b.d AS cutoff, CAST({n} AS INTEGER) AS n_train, z.d AS first_train, b.d AS last_train, c.d AS oos_start, e.d AS oos_end FROM f JOIN ss a ON a.i = f.i JOIN ss b ON b.i = f.i - 20 JOIN ss z ON z.i = {first} JOIN ss c ON c.i = f.i + 1 JOIN n ON TRUE JOIN ss e ON e.i = CASE WHEN f.i + 21 <= last THEN f.i + 20 ELSE last END"""
+
+
+@query("walk_forward_schedule", _schedule_sql(None))
 def walk_forward_schedule(spark, sf_dir):
-    return _fits(spark, sf_dir, None)
+    return _fits(spark, sf_dir)
+
 
+@query("walk_forward_rolling", _schedule_sql(126))
+def walk_forward_rolling(spark, sf_dir):
+    """The same with the newest 126 matured dates only."""
+    return _fits(spark, sf_dir, 126)
 
-_ICS = evaluation._ic("series, horizon, d", 5)
+
+NAMES = evaluation.FEW
+SPEC = {"ic_mean": False, "ic_ratio": True}
 _SCHED = """ss AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM market), nn AS (SELECT max(i) AS last FROM ss),
 fz(fit, i) AS (SELECT 1, CAST(79 AS BIGINT) FROM nn WHERE 79 < last UNION ALL SELECT fit + 1, i + 21 FROM fz, nn WHERE i + 21 < last),
-fits AS (SELECT fit, b.d AS last_train FROM fz JOIN ss b ON b.i = fz.i - 20)"""
+fits AS (SELECT fit, b.d AS last_train, c.d AS oos_start, e.d AS oos_end FROM fz JOIN ss b ON b.i = fz.i - 20 JOIN ss c ON c.i = fz.i + 1 JOIN nn ON TRUE JOIN ss e ON e.i = CASE WHEN fz.i + 21 <= last THEN fz.i + 20 ELSE last END)"""
+
+
+def weights_sql(ratio: bool, out: str) -> str:
+    """CTE `out` (fit, series, n_days, mean_ic, weight) from `ic` and `fits`."""
+    value = "coalesce(m / nullif(s, 0), 0)" if ratio else "m"
+    total, n = "sum(raw) OVER (PARTITION BY fit)", "sum(CAST(known AS INTEGER)) OVER (PARTITION BY fit)"
+    return f"""{out}_s AS (SELECT fit, series, count(*) AS n_days, avg(spearman_ic) AS m, stddev_samp(spearman_ic) AS s FROM fits JOIN ic ON ic.d <= last_train WHERE horizon = 20 AND spearman_ic IS NOT NULL GROUP BY 1, 2),
+{out}_r AS (SELECT *, n_days >= 20 AS known, CASE WHEN n_days >= 20 THEN greatest({value}, 0) ELSE 0 END AS raw FROM {out}_s),
+{out} AS (SELECT fit, series, n_days, m AS mean_ic, CASE WHEN {total} > 0 THEN raw / {total} WHEN {n} > 0 THEN CASE WHEN known THEN 1.0::DOUBLE / {n} ELSE 0 END ELSE 1.0::DOUBLE / count(*) OVER (PARTITION BY fit) END AS weight FROM {out}_r)"""
+
 
+_ICS = evaluation._ic("series, horizon, d", 5, NAMES, (20,)).replace("WITH ", "WITH RECURSIVE ", 1)
 
-@query("walk_forward_weights", f"{_ICS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_SCHED}, st AS (SELECT fit, series, count(*) AS n_days, avg(spearman_ic) AS m FROM fits JOIN ic ON ic.d <= last_train WHERE horizon = 20 AND spearman_ic IS NOT NULL GROUP BY 1, 2), rw AS (SELECT *, n_days >= 20 AS known, CASE WHEN n_days >= 20 THEN greatest(m, 0) ELSE 0 END AS raw FROM st) SELECT fit, series, n_days, round(m, 6) AS mean_ic, round(CASE WHEN sum(raw) OVER (PARTITION BY fit) > 0 THEN raw / sum(raw) OVER (PARTITION BY fit) WHEN sum(CAST(known AS INTEGER)) OVER (PARTITION BY fit) > 0 THEN CASE WHEN known THEN 1.0::DOUBLE / sum(CAST(known AS INTEGER)) OVER (PARTITION BY fit) ELSE 0 END ELSE 1.0::DOUBLE / count(*) OVER (PARTITION BY fit) END, 6) AS weight FROM rw")
+
+@query("walk_forward_weights", f"{_ICS}, {_SCHED}, {weights_sql(False, 'w')} SELECT fit, series, n_days, round(mean_ic, 6) AS mean_ic, round(weight, 6) AS weight FROM w")
 def walk_forward_weights(spark, sf_dir):
-    ics = reports.daily_ic(evaluation.graded(spark, sf_dir), evaluation.NAMES, (20,), 5)
-    return rounded(walkforward.ic_weights(F.broadcast(_fits(spark, sf_dir, None)), ics))
+    ics = reports.daily_ic(evaluation.graded(spark, sf_dir), NAMES, (20,), 5)
+    return rounded(walkforward.ic_weights(_fits(spark, sf_dir), ics))
+
+
+_ZERO = {n: f"CASE WHEN stddev_pop({n}) OVER w > 0 THEN stddev_pop({n}) OVER w ELSE 1 END" for n in NAMES}
+_Z = ", ".join(f"({n} - avg({n}) OVER w) / {_ZERO[n]} AS {n}" for n in NAMES)
+DESIGN_CTES = f"cc AS (SELECT d, entity, {', '.join(NAMES)}, future_excess_return_20d AS t FROM graded WHERE {' AND '.join(f'{n} IS NOT NULL' for n in NAMES)} AND future_excess_return_20d IS NOT NULL QUALIFY count(*) OVER (PARTITION BY d) >= 5), z AS (SELECT d, entity, {_Z}, t - avg(t) OVER w AS y FROM cc WINDOW w AS (PARTITION BY d))"
+DESIGN = f"{evaluation.GRADED}, {DESIGN_CTES}"
+_PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i, len(NAMES))]
+
 
+def solve_sql(moments: str, out: str, keys: str, alpha: float, floor: bool, rounds: int = 400) -> str:
+    """CTEs up to `out` (keys, w0...): weights by coordinate descent on the moments, which finds ridge's as well."""
+    k, state = len(NAMES), []
+    at = lambda i, j: f"m{min(i, j)}_{max(i, j)}"
+    source = f"(SELECT s.*, {', '.join(f'm.{at(i, j)}' for i, j in _PAIRS)}, {', '.join(f'm.y{i}' for i in range(k))} FROM {out}_s s JOIN {moments} m USING ({keys}) WHERE step < {rounds})"
+    for i in range(k):
+        rest = " - ".join(f"{at(i, j)} * w{j}" for j in range(k) if j != i)
+        new = f"(y{i} - {rest}) / nullif({at(i, i)} + {alpha}::DOUBLE, 0)"
+        new = f"greatest(0.0::DOUBLE, coalesce({new}, 0))" if floor else f"coalesce({new}, 0)"
+        source = f"(SELECT * REPLACE ({new} AS w{i}) FROM {source})"
+        state.append(f"w{i}")
+    return f"{out}_s({keys}, step, {', '.join(state)}) AS (SELECT {keys}, 0, {', '.join('0.0::DOUBLE' for _ in state)} FROM {moments} UNION ALL SELECT {keys}, step + 1, {', '.join(state)} FROM {source}), {out} AS (SELECT {keys}, {', '.join(state)} FROM {out}_s WHERE step = {rounds})"
 
-def _design(spark, sf_dir):
-    return walkforward.standardised(evaluation.graded(spark, sf_dir), list(evaluation.NAMES), "future_excess_return_20d")
 
+_SUMS = ", ".join([f"coalesce(sum({NAMES[i]} * {NAMES[j]}), 0) AS m{i}_{j}" for i, j in _PAIRS] + [f"coalesce(sum({n} * y), 0) AS y{i}" for i, n in enumerate(NAMES)] + ["count(*) AS n_rows"])
+_FIT = "WITH RECURSIVE " + DESIGN.removeprefix("WITH ") + f", mm AS (SELECT 1 AS one, {_SUMS} FROM z HAVING count(*) > 0)"
+_LONG_W = " UNION ALL ".join(f"SELECT '{n}' AS series, round(w{i}, 6) + 0.0 AS weight, n_rows FROM fit JOIN mm USING (one)" for i, n in enumerate(NAMES))
 
-_Z = ", ".join(f"({n} - avg({n}) OVER w) / CASE WHEN stddev_pop({n}) OVER w > 0 THEN stddev_pop({n}) OVER w ELSE 1 END AS {n}" for n in evaluation.NAMES)
-DESIGN = f"{evaluation.GRADED}, cc AS (SELECT d, entity, {', '.join(evaluation.NAMES)}, future_excess_return_20d AS t FROM graded WHERE {' AND '.join(f'{n} IS NOT NULL' for n in evaluation.NAMES)} AND future_excess_return_20d IS NOT NULL QUALIFY count(*) OVER (PARTITION BY d) >= 5), z AS (SELECT d, entity, {_Z}, t - avg(t) OVER w AS y FROM cc WINDOW w AS (PARTITION BY d))"
 
+def _design(spark, sf_dir, df=None):
+    return walkforward.standardised(evaluation.graded(spark, sf_dir) if df is None else df, list(NAMES), "future_excess_return_20d")
 
-@query("standardised_design", f"{DESIGN} SELECT d, entity, {O.r6(*evaluation.NAMES, 'y')} FROM z")
+
+@query("standardised_design", f"{DESIGN} SELECT d, entity, {O.r6(*NAMES, 'y')} FROM z")
 def standardised_design(spark, sf_dir):
     return rounded(_design(spark, sf_dir))
 
 
 def _weights(spark, sf_dir, solve):
-    import json
-
-    xx, xy, n = walkforward.moments(_design(spark, sf_dir), list(evaluation.NAMES))
-    rows = [{"series": s, "weight": float(w), "n_rows": n} for s, w in zip(evaluation.NAMES, solve(xx, xy), strict=True)] if n else []
-    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<series:string,weight:double,n_rows:bigint>>")).alias("x")).select("x.*")
+    rows = walkforward.moments(_design(spark, sf_dir).withColumn("fit", F.lit(1)), list(NAMES), "fit")
+    return rounded(walkforward.solved(spark, rows, list(NAMES), solve).select("series", "weight", "n_rows"))
 
 
-@query("ridge_fit")
+@query("ridge_fit", f"{_FIT}, {solve_sql('mm', 'fit', 'one', 50.0, False)} {_LONG_W}")
 def ridge_fit(spark, sf_dir):
-    return rounded(_weights(spark, sf_dir, walkforward.ridge))
+    return _weights(spark, sf_dir, walkforward.ridge)
 
 
-@query("nnls_fit")
+@query("nnls_fit", f"{_FIT}, {solve_sql('mm', 'fit', 'one', 0.0, True)} {_LONG_W}")
 def nnls_fit(spark, sf_dir):
-    return rounded(_weights(spark, sf_dir, walkforward.nonnegative))
+    return _weights(spark, sf_dir, walkforward.nonnegative)
+
+
+def composite_sql(weights: str, out: str) -> str:
+    """CTE `out` (fit, d, entity, score): each out-of-sample row scored by its own fit's weights."""
+    long = " UNION ALL ".join(f"SELECT fit, g.d, entity, '{n}' AS series, {n} AS value FROM graded g JOIN fits ON g.d BETWEEN oos_start AND oos_end" for n in NAMES)
+    return f"{out}_l AS ({long}), {out} AS (SELECT l.fit, d, entity, CASE WHEN NOT bool_or(series = 'trend_component' AND value IS NULL) THEN sum(weight * value) / nullif(sum(weight) FILTER (value IS NOT NULL), 0) END AS score FROM {out}_l l JOIN {weights} w USING (fit, series) WHERE weight > 0 GROUP BY 1, 2, 3)"
 
 
-@query("walk_forward_composite")
+def _ahead(df, fits):
+    return df.join(F.broadcast(fits.select("fit", "oos_start", "oos_end")), F.col("d").between(F.col("oos_start"), F.col("oos_end")))
+
+
+@query("walk_forward_composite", f"{_ICS}, {_SCHED}, {weights_sql(False, 'w')}, {composite_sql('w', 'co')} SELECT fit, d, entity, round(score, 6) AS score FROM co")
 def walk_forward_composite(spark, sf_dir):
     """Out-of-sample scores: each date scored by the fit that was made before it."""
-    df = evaluation.graded(spark, sf_dir)
-    fits = F.broadcast(_fits(spark, sf_dir, None))
-    weights = walkforward.ic_weights(fits, reports.daily_ic(df, evaluation.NAMES, (20,), 5))
-    ahead = df.join(fits.select("fit", "oos_start", "oos_end"), F.col("d").between(F.col("oos_start"), F.col("oos_end")))
-    return rounded(walkforward.composite(ahead, weights, list(evaluation.NAMES), ["trend_component"]))
+    df, fits = written(evaluation.graded(spark, sf_dir), "graded"), _fits(spark, sf_dir)
+    weights = walkforward.ic_weights(fits, reports.daily_ic(df, NAMES, (20,), 5))
+    return rounded(walkforward.composite(_ahead(df, fits), weights, list(NAMES), ["trend_component"]))
+
+
+_BY_FIT = f"mf AS (SELECT fit, {_SUMS} FROM z JOIN fits ON z.d <= last_train GROUP BY fit)"
+_REG = lambda v: " UNION ALL ".join(f"SELECT fit, '{n}' AS series, w{i} AS weight FROM {v}" for i, n in enumerate(NAMES))
+_VARIANTS = ("ic_mean", "ic_ratio", "ridge", "nnls")
+_COMPARE = f"""{_ICS}, {_SCHED}, {DESIGN_CTES}, {_BY_FIT}, {weights_sql(False, 'ic_mean')}, {weights_sql(True, 'ic_ratio')}, {solve_sql('mf', 'rs', 'fit', 50.0, False)}, {solve_sql('mf', 'ns', 'fit', 0.0, True)}, ridge0 AS ({_REG('rs')}), ridge AS (SELECT fit, series, greatest(weight, 0) / nullif(sum(greatest(weight, 0)) OVER (PARTITION BY fit), 0) AS weight FROM ridge0), nnls0 AS ({_REG('ns')}), nnls AS (SELECT fit, series, greatest(weight, 0) / nullif(sum(greatest(weight, 0)) OVER (PARTITION BY fit), 0) AS weight FROM nnls0),
+{', '.join(composite_sql(v, f'co_{v}') for v in _VARIANTS)}, sc AS ({' UNION ALL '.join(f"SELECT '{v}' AS variant, d, entity, score FROM co_{v}" for v in _VARIANTS)} UNION ALL SELECT 'config', g.d, entity, score_20d FROM graded g JOIN fits ON g.d BETWEEN oos_start AND oos_end),
+jn AS (SELECT variant, sc.d, sc.entity, round(score, 9) AS score, g.future_excess_return_20d AS excess FROM sc JOIN graded g ON g.d = sc.d AND g.entity = sc.entity WHERE score IS NOT NULL AND g.future_excess_return_20d IS NOT NULL),
+dy AS (SELECT * FROM jn QUALIFY count(*) OVER (PARTITION BY variant, d) >= 30), rk AS (SELECT *, {O.rank('score', 'variant, d', 'DESC')} AS pct, rank() OVER (PARTITION BY variant, d ORDER BY score DESC) AS place, min(score) OVER (PARTITION BY variant, d) AS lo, max(score) OVER (PARTITION BY variant, d) AS hi, rank() OVER (PARTITION BY variant, d ORDER BY score) + (count(*) OVER (PARTITION BY variant, d, score) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY variant, d ORDER BY excess) + (count(*) OVER (PARTITION BY variant, d, excess) - 1) / 2.0::DOUBLE AS rb FROM dy),
+da AS (SELECT variant, d, avg(excess) FILTER (lo < hi AND least(10, greatest(1, ceil(round(pct / 100 * 10, 9)))) = 1) - avg(excess) FILTER (lo < hi AND least(10, greatest(1, ceil(round(pct / 100 * 10, 9)))) = 10) AS spread, avg(excess) FILTER (lo < hi AND place <= 10) AS top10, CASE WHEN stddev_pop(ra) * stddev_pop(rb) > 1e-15 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END AS ic FROM rk GROUP BY 1, 2)"""
+
+
+@query("walk_forward_comparison", f"{_COMPARE} SELECT variant, count(*) AS n_days, round(avg(ic), 6) AS mean_daily_ic, round(CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / (stddev_samp(ic) / sqrt(greatest(1.0::DOUBLE, count(ic) / 20.0::DOUBLE))) END, 6) AS ic_t_stat, round(avg(spread), 6) AS spread_avg, round(avg(top10), 6) AS top_10_avg_excess, count(*) >= 60 AS adequate FROM da GROUP BY variant")
+def walk_forward_comparison(spark, sf_dir):
+    """Weights by mean IC, by IC ratio, by ridge and by non-negative regression, and the configured score, each on the same
+    out-of-sample dates, from one scoring run."""
+    df, fits = written(evaluation.graded(spark, sf_dir), "graded"), _fits(spark, sf_dir)
+    ics = written(reports.daily_ic(df, NAMES, (20,), 5), "ics")
+    by_fit = walkforward.moments_by_fit(_design(spark, sf_dir, df), list(NAMES), fits)
+    found = {v: walkforward.ic_weights(fits, ics, ratio) for v, ratio in SPEC.items()}
+    found |= {v: walkforward.clipped(walkforward.solved(spark, by_fit, list(NAMES), solve)) for v, solve in (("ridge", walkforward.ridge), ("nnls", walkforward.nonnegative))}
+    ahead, out = _ahead(df, fits), None
+    for variant, weights in [*found.items(), ("config", None)]:
+        scored = ahead.select("d", "entity", F.col("score_20d").alias("score")) if weights is None else walkforward.composite(ahead, weights, list(NAMES), ["trend_component"]).select("d", "entity", "score")
+        part = scored.withColumn("variant", F.lit(variant))
+        out = part if out is None else out.unionByName(part)
+    rows = out.withColumn("score", F.round("score", 9)).join(df.select("d", "entity", F.col("future_excess_return_20d").alias("excess")), ["d", "entity"])
+    return rounded(reports.compared(written(rows, "compared"), 20))
 
 
 _FLAG = "ef AS (SELECT DISTINCT l_suppkey AS entity, CAST(date_trunc('week', l_shipdate) AS DATE) AS d FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1)"
@@ -228,7 +298,12 @@ def sector_timing(spark, sf_dir):
 
 @query("non_overlapping_holds", f"WITH RECURSIVE {_TIMING}, ok AS (SELECT session, any_value(d) AS d FROM sc WHERE mom IS NOT NULL AND fwd IS NOT NULL GROUP BY 1 HAVING count(*) >= 4), pk(pos) AS (SELECT min(session) FROM ok UNION ALL SELECT (SELECT min(session) FROM ok WHERE session >= pk.pos + 5) FROM pk WHERE (SELECT min(session) FROM ok WHERE session >= pk.pos + 5) IS NOT NULL), rk AS (SELECT sc.*, row_number() OVER (PARTITION BY session ORDER BY mom DESC, entity) AS a, row_number() OVER (PARTITION BY session ORDER BY mom, entity DESC) AS b FROM sc WHERE mom IS NOT NULL AND fwd IS NOT NULL) SELECT d, round(avg(fwd) FILTER (a <= 2), 6) AS top, round(avg(fwd) FILTER (b <= 2), 6) AS bottom FROM rk JOIN pk ON rk.session = pk.pos GROUP BY 1")
 def non_overlapping_holds(spark, sf_dir):
-    """Windows that don't overlap: a greedy scan of the sessions with enough sectors, then the best less the worst."""
+    """Windows that don't overlap: the mean of the best and of the worst sectors in each."""
+    return rounded(_holds(spark, sf_dir))
+
+
+def _holds(spark, sf_dir):
+    """(d, top, bottom): a greedy scan of the sessions with enough sectors picks the windows."""
     full = _timing(spark, sf_dir).filter("mom IS NOT NULL AND fwd IS NOT NULL")
     days = full.groupBy("session").agg(F.count(F.lit(1)).alias("n")).filter("n >= 4").agg(F.array_sort(F.collect_list(F.col("session").cast("long"))).alias("at"))
     start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(-(10**9)).cast("long").alias("last"))
@@ -236,56 +311,64 @@ def non_overlapping_holds(spark, sf_dir):
     picked = days.select(F.explode(F.aggregate("at", start, step)["kept"]).alias("session"))
     by = Window.partitionBy("session")
     ranked = full.join(F.broadcast(picked), "session").withColumns({"a": F.row_number().over(by.orderBy(F.desc("mom"), "entity")), "b": F.row_number().over(by.orderBy("mom", F.desc("entity")))})
-    return rounded(ranked.groupBy("d").agg(F.avg(F.when(F.col("a") <= 2, F.col("fwd"))).alias("top"), F.avg(F.when(F.col("b") <= 2, F.col("fwd"))).alias("bottom")))
+    return ranked.groupBy("d").agg(F.avg(F.when(F.col("a") <= 2, F.col("fwd"))).alias("top"), F.avg(F.when(F.col("b") <= 2, F.col("fwd"))).alias("bottom"))
 
 
-@query("regime_conditions", f"WITH {O.MARKET}, x AS (SELECT d, close, list(close) OVER (ORDER BY d) AS past FROM market), p AS (SELECT d, CASE WHEN len(past) >= 60 THEN len(list_filter(past, lambda v: v < close)) / CAST(len(past) AS DOUBLE) * 100 END AS pct FROM x) SELECT d, coalesce(pct >= 66.7::DOUBLE, FALSE) AS high, coalesce(pct <= 33.3::DOUBLE, FALSE) AS low FROM p")
-def regime_conditions(spark, sf_dir):
-    from sextant.functions.windows import expanding_share_below
-
-    p = bars(spark, sf_dir, "all").select("d", expanding_share_below(F.col("close"), 60).alias("pct"))
-    return p.select("d", F.coalesce(F.col("pct") >= 66.7, F.lit(False)).alias("high"), F.coalesce(F.col("pct") <= 33.3, F.lit(False)).alias("low"))
-
-
-@query("cost_model", f"WITH {O.BARS}, a AS (SELECT entity, d, nullif(avg(close * volume) {O.rows(20)}, 0) AS adv FROM bars) SELECT entity, d, round(CASE WHEN adv > 0 THEN greatest(1.0::DOUBLE, least(80.0::DOUBLE, 1 + 12 / sqrt(adv / 1000000))) / 2 + 10 * sqrt(least(10000 / adv, 0.1::DOUBLE)) ELSE 120 END, 6) AS bps FROM a")
-def cost_model(spark, sf_dir):
-    from sextant.operators.features import dollar_adv
+_BACK, _AHEAD = (5, 20, 60), (5, 20)
+_GRID = f"""{ALL}, mk AS (SELECT d, {', '.join(f'close / lag(close, {b}) OVER (ORDER BY d) AS m{b}' for b in _BACK)}, {', '.join(f'lead(close, {h}) OVER (ORDER BY d) / close - 1 AS f{h}' for h in _AHEAD)} FROM market),
+gw AS (SELECT x.entity, x.d, x.session, {', '.join(f'x.close / lag(x.close, {b}) OVER w - m{b} AS p{b}' for b in _BACK)}, {', '.join(f'lead(x.close, {h}) OVER w / x.close - 1 - f{h} AS e{h}' for h in _AHEAD)} FROM dense x JOIN mk USING (d) WINDOW w AS (PARTITION BY x.entity ORDER BY x.d)),
+gl AS (SELECT entity, d, session, p.predictor AS predictor, p.value AS value, h.horizon AS horizon, h.excess AS excess FROM (SELECT *, unnest([{', '.join(f"{{'horizon': {h}, 'excess': e{h}}}" for h in _AHEAD)}]) AS h FROM (SELECT *, unnest([{', '.join(f"{{'predictor': 'momentum_{b}', 'value': p{b}}}" for b in _BACK)}]) AS p FROM gw)))"""
 
-    b = bars(spark, sf_dir).select("entity", "d", dollar_adv().alias("adv"))
-    return rounded(b.select("entity", "d", scalar.one_way_bps(F.lit(10000.0), F.col("adv")).alias("bps")))
 
+def _grid(spark, sf_dir):
+    """(entity, d, session, predictor, value, horizon, excess): regions' momentum over the market by lookback, and what followed."""
+    from sextant.functions.windows import by_entity
 
-@query("rebalance_schedule", f"WITH {O.MARKET}, s AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS session FROM market) SELECT d, session FROM s WHERE session % 20 = 0")
-def rebalance_schedule(spark, sf_dir):
-    return backtest.every_kth(forward.calendar(bars(spark, sf_dir, "all")), 20).select("d", F.col("session").cast("long").alias("session"))
+    m = bars(spark, sf_dir, "all").select("d", *[F.try_divide(F.col("close"), F.lag("close", b).over(by_entity())).alias(f"m{b}") for b in _BACK], *[forward.lead_return(h).alias(f"f{h}") for h in _AHEAD])
+    df = _dense(spark, sf_dir).join(F.broadcast(m), "d")
+    back = [F.struct(F.lit(f"momentum_{b}").alias("predictor"), (F.try_divide(F.col("close"), F.lag("close", b).over(by_entity())) - F.col(f"m{b}")).alias("value")) for b in _BACK]
+    ahead = [F.struct(F.lit(h).alias("horizon"), (forward.lead_return(h) - F.col(f"f{h}")).alias("excess")) for h in _AHEAD]
+    wide = df.select("entity", "d", "session", *[b.alias(f"_p{i}") for i, b in enumerate(back)], *[a.alias(f"_a{i}") for i, a in enumerate(ahead)])
+    each = wide.select("entity", "d", "session", F.explode(F.array(*[f"_p{i}" for i in range(len(back))])).alias("p"), *[f"_a{i}" for i in range(len(ahead))])
+    return each.select("entity", "d", "session", "p.*", F.explode(F.array(*[f"_a{i}" for i in range(len(ahead))])).alias("h")).select("entity", "d", "session", "predictor", "value", "h.*")
 
 
-@query("equity_metrics", f"WITH {O.REGION}, r AS (SELECT *, close / lag(close) {_W} - 1 AS ret, max(close) {_W} AS peak FROM region_bars), a AS (SELECT entity, count(*) AS n, first(close ORDER BY d) AS a, last(close ORDER BY d) AS b, avg(ret) AS m, stddev_samp(ret) AS s, min(close / peak - 1) * 100 AS dd FROM r GROUP BY 1) SELECT entity, n AS n_sessions, round(b / a - 1, 6) AS total_return, round(pow(b / a, 252.0::DOUBLE / n) - 1, 6) AS cagr, round(m / s * sqrt(252.0::DOUBLE), 6) AS sharpe, round(s * sqrt(252.0::DOUBLE), 6) AS volatility_annual, round(dd, 6) AS max_drawdown_pct FROM a")
-def equity_metrics(spark, sf_dir):
-    return rounded(backtest.metrics(bars(spark, sf_dir, "region").select("entity", "d", F.col("close").alias("equity")), "entity"))
+_GT = lambda m, s, n: f"CASE WHEN {s} > 0 THEN {m} / ({s} / sqrt(greatest(1.0::DOUBLE, {n} / CAST(horizon AS DOUBLE)))) END"
 
 
-def _picks(spark, sf_dir):
+@query("sector_timing_grid", f"""WITH {_GRID}, {evaluation.ic_sql('predictor, horizon, d', 4, 'gl', 'gi')}, gj AS (SELECT gi.*, session < (SELECT (max(session) + 1) // 2 FROM ss) AS early FROM gi JOIN ss USING (d) WHERE spearman_ic IS NOT NULL),
+ga AS (SELECT predictor, horizon, count(*) AS n_days, avg(spearman_ic) AS m, stddev_samp(spearman_ic) AS s, avg(spearman_ic) FILTER (early) AS m1, avg(spearman_ic) FILTER (NOT early) AS m2 FROM gj GROUP BY 1, 2), gt AS (SELECT *, {_GT('m', 's', 'n_days')} AS t, n_days // horizon AS eff FROM ga), gp AS (SELECT *, CASE WHEN eff >= 5 THEN {tail_sql('t', '(eff - 1)')} END AS p FROM gt),
+gk AS (SELECT *, count(p) OVER () AS fam, CASE WHEN p IS NOT NULL THEN row_number() OVER (ORDER BY p NULLS LAST) END AS rk FROM gp), gc AS (SELECT *, max(CASE WHEN p <= rk / CAST(fam AS DOUBLE) * 0.1::DOUBLE THEN rk END) OVER () AS cut FROM gk) SELECT predictor, horizon, n_days, round(m, 6) AS mean_ic, round(t, 6) AS t_stat, round(m1, 6) AS first_half_ic, round(m2, 6) AS second_half_ic, sign(m1) = sign(m2) AND sign(m1) <> 0 AS sign_held, round(p, 6) AS p_value, fam AS family_size, coalesce(rk <= cut, FALSE) AS bh_pass FROM gc""")
+def sector_timing_grid(spark, sf_dir):
+    """Momentum by lookback and horizon: ICs over the sectors of a day, both halves of the history, corrected as one family."""
+    g = _grid(spark, sf_dir)
+    ics = stats.spearman(g, "value", "excess", "predictor", "horizon", "d", least=4).filter("spearman_ic IS NOT NULL")
     sessions = forward.calendar(bars(spark, sf_dir, "all"))
-    scores = core.scored(spark, sf_dir).select("entity", "d", "score_20d")
-    return backtest.targets_by_config(scores, sessions, "score_20d", [("top5_hold20", 5, 20, False), ("top10_hold20", 10, 20, False), ("worst5_hold20", 5, 20, True)]), sessions
+    half = sessions.agg(F.floor((F.max("session") + 1) / 2).alias("half"))
+    placed = ics.join(F.broadcast(sessions), "d").join(F.broadcast(half), F.lit(True)).withColumn("early", F.col("session") < F.col("half"))
+    out = placed.groupBy("predictor", "horizon").agg(F.count(F.lit(1)).alias("n_days"), F.avg("spearman_ic").alias("mean_ic"), F.stddev_samp("spearman_ic").alias("_s"), F.avg(F.when(F.col("early"), F.col("spearman_ic"))).alias("first_half_ic"), F.avg(F.when(~F.col("early"), F.col("spearman_ic"))).alias("second_half_ic"))
+    out = out.withColumns({"t_stat": stats.overlap_t(F.col("mean_ic"), F.col("_s"), F.col("n_days"), F.col("horizon")), "_eff": F.floor(F.col("n_days") / F.col("horizon"))})
+    out = out.withColumn("p_value", stats.t_tail(F.when(F.col("_eff") >= C.PATTERN_MIN_EFFECTIVE, F.col("t_stat")), (F.col("_eff") - 1).cast("double")))
+    out = out.withColumn("family_size", F.count("p_value").over(Window.partitionBy(F.lit(0))))
+    held = (F.signum("first_half_ic") == F.signum("second_half_ic")) & (F.signum("first_half_ic") != 0)
+    return rounded(stats.discoveries(out, "p_value", C.FDR_Q).withColumn("sign_held", held).select("predictor", "horizon", "n_days", "mean_ic", "t_stat", "first_half_ic", "second_half_ic", "sign_held", "p_value", "family_size", "bh_pass"))
 
 
-@query("portfolio_backtest")
-def portfolio_backtest(spark, sf_dir):
-    picks, sessions = _picks(spark, sf_dir)
-    return rounded(backtest.metrics(backtest.simulate(picks, bars(spark, sf_dir), sessions), "config"))
+@query("holds_summary", ORACLES["non_overlapping_holds"].replace("SELECT d, round(avg(fwd) FILTER (a <= 2), 6) AS top, round(avg(fwd) FILTER (b <= 2), 6) AS bottom FROM rk JOIN pk ON rk.session = pk.pos GROUP BY 1", ", hd AS (SELECT avg(fwd) FILTER (a <= 2) - avg(fwd) FILTER (b <= 2) AS x FROM rk JOIN pk ON rk.session = pk.pos GROUP BY rk.session) SELECT count(*) AS n_windows, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(avg(CASE WHEN x > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS pct_positive, round(CASE WHEN count(*) > 2 AND stddev_samp(x) > 0 THEN avg(x) / (stddev_samp(x) / sqrt(count(*))) END, 6) AS t_stat FROM hd").replace(" , hd AS", ", hd AS"))
+def holds_summary(spark, sf_dir):
+    """The windows that don't overlap in one row: how many, best less worst on average and at the median, and its t."""
+    x = _holds(spark, sf_dir).select((F.col("top") - F.col("bottom")).alias("x"))
+    t = F.when((F.count(F.lit(1)) > 2) & (F.stddev_samp("x") > 0), F.avg("x") / (F.stddev_samp("x") / F.sqrt(F.count(F.lit(1)).cast("double"))))
+    return rounded(x.agg(F.count(F.lit(1)).alias("n_windows"), F.avg("x").alias("mean"), F.median("x").alias("median"), (F.avg((F.col("x") > 0).cast("double")) * 100).alias("pct_positive"), t.alias("t_stat")))
 
 
-@query("long_short")
-def long_short(spark, sf_dir):
-    """Half long the best and half short the worst, compounded day by day."""
-    picks, sessions = _picks(spark, sf_dir)
-    curve = backtest.simulate(picks.filter("config <> 'top10_hold20'"), bars(spark, sf_dir), sessions)
-    time = Window.partitionBy("config").orderBy("d")
-    r = curve.withColumn("r", F.try_divide("equity", F.lag("equity").over(time)) - 1).groupBy("d").agg(F.max(F.when(F.col("config") == "top5_hold20", F.col("r"))).alias("a"), F.max(F.when(F.col("config") == "worst5_hold20", F.col("r"))).alias("b"))
-    day = Window.partitionBy(F.lit(0)).orderBy("d")
-    return rounded(r.withColumn("growth", backtest.compounded(F.coalesce(F.col("a") * 0.5 - F.col("b") * 0.5, F.lit(0.0)), day)).select("d", "growth"))
+@query("regime_conditions", f"WITH {O.MARKET}, x AS (SELECT d, close, close - lag(close, 20) OVER (ORDER BY d) AS slope, list(close) OVER (ORDER BY d) AS past FROM market), p AS (SELECT d, slope, CASE WHEN len(past) >= {C.MACRO_MIN_HISTORY} THEN len(list_filter(past, lambda v: v < close)) / CAST(len(past) AS DOUBLE) * 100 END AS pct FROM x) SELECT d, coalesce(pct >= 66.7::DOUBLE, FALSE) AS high, coalesce(pct <= 33.3::DOUBLE, FALSE) AS low, coalesce(slope < 0, FALSE) AS inverted FROM p")
+def regime_conditions(spark, sf_dir):
+    """Terciles of the history so far, and a regime that is a level and no rank: a slope below zero."""
+    from sextant.functions.windows import by_entity, expanding_share_below
+
+    p = bars(spark, sf_dir, "all").select("d", expanding_share_below(F.col("close"), C.MACRO_MIN_HISTORY).alias("pct"), (F.col("close") - F.lag("close", 20).over(by_entity())).alias("slope"))
+    return p.select("d", F.coalesce(F.col("pct") >= 66.7, F.lit(False)).alias("high"), F.coalesce(F.col("pct") <= 33.3, F.lit(False)).alias("low"), F.coalesce(F.col("slope") < 0, F.lit(False)).alias("inverted"))
 
 
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
