@@ -18,7 +18,7 @@ def instants(facts: DataFrame, *keys: str) -> DataFrame:
     """The newest balance of each key: facts without a start, or all if there are none."""
     alone = F.max(F.col("period_start").isNull().cast("int")).over(Window.partitionBy(*keys))
     used = facts.withColumn("_alone", alone).filter((F.col("_alone") == 0) | F.col("period_start").isNull()).drop("_alone")
-    return originally_filed(used, *keys).groupBy(*keys).agg(F.max_by("value", "period_end").alias("value"), F.max("period_end").alias("period_end"))
+    return originally_filed(used, *keys).groupBy(*keys).agg(F.max_by("value", F.struct("period_end", "period_start")).alias("value"), F.max("period_end").alias("period_end"))
 
 
 def trailing_year(facts: DataFrame, *keys: str) -> DataFrame:
@@ -80,12 +80,12 @@ def ratios(df: DataFrame) -> DataFrame:
 
 def validation(pairs: DataFrame) -> DataFrame:
     """Own figures against a second source, by concept (ours, theirs): coverage, rank correlation, differences, gate."""
-    from sextant.functions.stats import spearman
+    from sextant.functions.stats import pooled_spearman
 
     full = pairs.filter("ours IS NOT NULL AND theirs IS NOT NULL").withColumn("diff", F.try_divide(F.abs(F.col("ours") - F.col("theirs")), F.abs("theirs")) * 100)
     found = full.groupBy("concept").agg(F.median("diff").alias("median_pct_diff"), F.avg((F.col("diff") > 100).cast("double")).alias("share_over_100"))
     missing = pairs.groupBy("concept").agg(F.sum(F.col("ours").isNull().cast("int")).alias("ours_missing"), F.sum(F.col("theirs").isNull().cast("int")).alias("theirs_missing"))
-    out = missing.join(found, "concept", "left").join(spearman(full, "ours", "theirs", "concept"), "concept", "left")
+    out = missing.join(found, "concept", "left").join(pooled_spearman(full, "ours", "theirs", "concept"), "concept", "left")
     return out.withColumn("passes", F.coalesce((F.col("median_pct_diff") <= 10.0) & (F.col("spearman_ic") >= 0.90) & (F.col("share_over_100") <= 0.05), F.lit(False)))
 
 
@@ -115,6 +115,14 @@ def cadence(filings: DataFrame) -> DataFrame:
     return gaps.withColumn("cadence", F.percentile("gap", F.lit(0.5)).over(time.rowsBetween(-7, 0)))
 
 
+def timing(df: DataFrame, at: str, filed: str) -> DataFrame:
+    """(entity, date, days_since, expected_until): days since the last filing, and what its cadence leaves until the next.
+
+    The next filing's real date is not used: nobody knew it."""
+    since = F.datediff(at, filed)
+    return df.select("entity", at, since.alias("days_since"), (F.col("cadence") - since).alias("expected_until"))
+
+
 def revisions(df: DataFrame) -> DataFrame:
     """Changes of an estimate over one and three months, and the breadth of its revisions."""
     from sextant.functions.scalar import signed_change
