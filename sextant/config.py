@@ -23,22 +23,27 @@ BENCHMARK_RETURN_WINDOWS = (20, 60)
 VOL_HIGH_PERCENTILE, VOL_HIGH_LEAST = 80, 10
 MIN_DOLLAR_VOLUME = 2_000_000.0
 DECILES, DECILE_MIN_NAMES = 10, 30
-SECTOR_MIN_MEMBERS = 8
+SECTOR_MIN_MEMBERS, INDEX_SECTOR, MARKET = 8, "Index", "SPY"
 STALENESS_DAYS = 7
 MACRO_MIN_HISTORY = 252
+MACRO_SERIES = ("DGS10", "DGS2", "T10Y2Y", "BAMLH0A0HYM2", "VIXCLS")
 TTM_TOLERANCE = 20
 RATIO_PERIOD_TOLERANCE = 20
 DATA_AGE_DAYS = 550
 FACTOR_IC_DRIFT = 0.05
 POWER_Z = 2.80
 THIN_FRACTION, THIN_LOOKBACK, THIN_MIN_PRIORS = 0.90, 30, 5
-PATTERN_MIN_EFFECTIVE = 5
+PATTERN_MIN_EFFECTIVE, PATTERN_MIN_TRIGGERS, PATTERN_ALPHA, PATTERN_SPLIT = 5, 20, 0.05, 0.6
+PATTERN_DRAWS, PATTERN_SEED, PATTERN_LEAST_HISTORY = 500, 20260909, 60
 FDR_Q = 0.10
 SPARSE_SHARE = 0.40
 SPREAD_BASE, SPREAD_COEF, SPREAD_MIN, SPREAD_MAX = 1.0, 12.0, 1.0, 80.0
 IMPACT_COEF, PARTICIPATION_CAP = 10.0, 0.10
 INITIAL_EQUITY, SUSPICIOUS_MOVE = 100_000.0, 50.0
 MIN_LIVE_NAMES = 30
+BACKTEST_NAMES, BACKTEST_HOLDS, BACKTEST_SCORE = (10, 20, 30), (20, 60, 120), "score_60d"
+#: Least dollar volume of a holding; prices of the test tables are small, so theirs is set lower than MIN_DOLLAR_VOLUME.
+BACKTEST_MIN_ADV = 20_000.0
 
 NORMAL_PERCENTILES = ("return_5d", "return_10d", "return_20d", "return_60d", "return_120d", "return_252d", "relative_strength_5d", "relative_strength_20d", "relative_strength_60d", "relative_strength_120d", "volume_ratio_20d")
 INVERTED_PERCENTILES = ("ATR_pct", "volatility_60d", "max_drawdown_60d")
@@ -71,9 +76,39 @@ SCORE_WEIGHTS = {
 }
 EARNINGS_PENALTIES = {"score_5d": 20, "score_20d": 12, "score_60d": 5, "score_120d": 0}
 EARNINGS_WINDOW_DAYS = 5
+#: Versions whose live scores pay for near earnings; all others never do.
+LIVE_EARNINGS_VERSIONS = ("v0.2_fundamentals_added", "v0.3_sector_neutral", "v0.5_expanded_universe")
 LABEL_BANDS = (("strong", 80), ("decent", 65), ("watchlist", 50), ("weak", 0))
 ROUTINE_ITEMS = ("9.01", "5.07")
 EVENT_GROUPS = {"earnings": ("2.02",), "officer_change": ("5.02",), "agreement": ("1.01", "2.01"), "redflag": ("4.02", "2.06", "1.03", "3.01"), "disclosure": ("7.01", "8.01")}
 EVENT_WINDOWS = (5, 30, 90)
 SECTOR_NORMALIZE = {"Tech-Software": "Information Technology", "Healthcare": "Health Care", "Utilities-Power": "Utilities", "Industrials-Power": "Industrials"}
 SECTOR_BENCHMARKS = {"Information Technology": "QQQ", "Energy": "XLE", "Financials": "XLF", "Health Care": "XLV", "Industrials": "XLI", "Consumer Discretionary": "XLY", "Consumer Staples": "XLP", "Utilities": "XLU", "Materials": "XLB", "Real Estate": "XLRE", "Communication Services": "XLC"}
+
+# Tags of each concept in the order of preference; a tag outside the main taxonomy carries its prefix.
+CONCEPT_TAGS = {
+    "revenue": ("Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax", "SalesRevenueNet"),
+    "net_income": ("NetIncomeLoss", "ProfitLoss"),
+    "equity": ("StockholdersEquity", "StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest"),
+    "shares": ("CommonStockSharesOutstanding", "dei:EntityCommonStockSharesOutstanding", "WeightedAverageNumberOfDilutedSharesOutstanding"),
+    "assets": ("Assets",),
+    "liabilities": ("Liabilities",),
+    "long_term_debt": ("LongTermDebtNoncurrent", "LongTermDebt", "LongTermDebtAndCapitalLeaseObligations"),
+    "current_debt": ("LongTermDebtCurrent", "DebtCurrent", "ShortTermBorrowings"),
+    "finance_lease_noncurrent": ("FinanceLeaseLiabilityNoncurrent",),
+    "finance_lease_current": ("FinanceLeaseLiabilityCurrent",),
+    "finance_lease": ("FinanceLeaseLiability",),
+    "operating_lease_noncurrent": ("OperatingLeaseLiabilityNoncurrent",),
+    "operating_lease_current": ("OperatingLeaseLiabilityCurrent",),
+    "operating_lease": ("OperatingLeaseLiability",),
+    "current_assets": ("AssetsCurrent",),
+    "current_liabilities": ("LiabilitiesCurrent",),
+    "operating_income": ("OperatingIncomeLoss",),
+}
+#: Concepts that are a change over a period; all others are balances of a day.
+FLOW_CONCEPTS = ("revenue", "net_income", "operating_income")
+DEBT_TAGS_WITH_LEASES = ("LongTermDebtAndCapitalLeaseObligations",)
+FINANCIAL_SECTORS = ("Financials", "Real Estate")
+EPS_TAGS = ("EarningsPerShareDiluted", "EarningsPerShareBasic", "EarningsPerShareBasicAndDiluted")
+#: Ratios that are worked out and held back, as they did not agree with a second source.
+WITHHELD_RATIOS = ("operating_margin",)

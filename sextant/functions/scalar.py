@@ -65,6 +65,23 @@ def weight_note(ic: Column) -> Column:
     return F.when(ic > 0.10, "consider raising").when(ic < -0.05, "consider lowering").when(ic.isNotNull(), "keep")
 
 
+def weight_sentence(ic: Column) -> Column:
+    """The same as a sentence with the coefficient in it."""
+    say = lambda what: F.format_string(f"IC %.3f: {what} its weight", ic)
+    return F.when(ic > 0.10, say("consider raising")).when(ic < -0.05, say("consider lowering")).when(ic.isNotNull(), say("keep"))
+
+
+def out_of_range(x: Column, low: float = -60.0, high: float = 160.0) -> Column:
+    """Whether a value lies outside the range that any component can plausibly reach before it is clamped."""
+    return F.coalesce((x < low) | (x > high), F.lit(False))
+
+
+def days_until(target: Column, at: Column) -> Column:
+    """Days from a date to a target that is a date or its text; NULL for a target that is past or no date."""
+    days = F.datediff(target.try_cast("date"), at)
+    return F.when(days >= 0, days)
+
+
 def items(codes: Column) -> Column:
     """Codes of a comma-separated string: trimmed, without empty ones."""
     return F.filter(F.transform(F.split(F.coalesce(codes, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
@@ -114,10 +131,12 @@ def weekdays_between(start: Column, end: Column) -> Column:
 
 
 def one_json(text: Column, keys: list[str]) -> Column:
-    """The first {...} of a text as JSON, if its keys are exactly those asked for; else NULL."""
+    """The first {...} of a text as JSON with the keys asked for only; NULL if it is no JSON or one of them is missing."""
     body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    found = F.json_object_keys(F.when(body != "", body))
-    return F.when(F.array_sort(found) == F.array_sort(F.array(*[F.lit(k) for k in keys])), body)
+    value = F.try_parse_json(F.when(body != "", body))
+    found = F.json_object_keys(F.when(value.isNotNull(), body))
+    whole = F.size(F.array_except(F.array(*[F.lit(k) for k in keys]), found)) == 0
+    return F.when(whole, F.to_json(F.struct(*[F.variant_get(value, f'$["{k}"]', "variant").alias(k) for k in keys]), {"ignoreNullFields": "false"}))
 
 
 def spread_bps(adv: Column) -> Column:

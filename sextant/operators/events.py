@@ -29,9 +29,13 @@ def trade_features(probes: DataFrame, trades: DataFrame, days: int = 90) -> Data
     """(entity, d) with counts and values of the distinct trades filed within the window up to d.
 
     A trade is its entity, date, code, shares and price, NULLs being equal: filed twice it counts once, after the
-    window is applied, as its first filing. Values that are NULL count as 0 in sums. Only direct trades count."""
-    direct = trades.filter("table_kind = 'nonderiv'")
-    near = probes.select("entity", "d").join(direct, "entity").filter(F.col("filed_date").between(F.date_sub("d", days), F.col("d")))
+    window is applied, as its first filing. Values that are NULL count as 0 in sums. Only direct trades count.
+
+    Time is cut into stretches as long as the window, so a probe meets the trades of two stretches and no others."""
+    stretch = lambda c: F.floor(F.unix_date(c) / (days + 1))
+    direct = trades.filter("table_kind = 'nonderiv'").withColumn("_stretch", stretch(F.col("filed_date")))
+    asked = probes.select("entity", "d", F.explode(F.array(stretch(F.col("d")), stretch(F.col("d")) - 1)).alias("_stretch"))
+    near = asked.join(direct, ["entity", "_stretch"]).filter(F.col("filed_date").between(F.date_sub("d", days), F.col("d")))
     key = ("entity", "d", "trans_date", "trans_code", "shares", "price_per_share")
     once = near.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("filed_date", "accession"))).filter("_k = 1")
     buy, sell = F.col("trans_code") == "P", F.col("trans_code") == "S"
@@ -47,11 +51,24 @@ def trade_features(probes: DataFrame, trades: DataFrame, days: int = 90) -> Data
 
 
 def owners(rows: DataFrame) -> DataFrame:
-    """One row an accession: flags of all owners together, their ids and names joined in order."""
+    """One row an accession: flags of all owners together, their ids, names and titles joined in order, cut at 300, 300
+    and 200 characters, and their different relationships."""
     each = F.array_sort(F.collect_set(F.struct("owner", "owner_name")))
-    found = rows.groupBy("accession").agg(F.max("is_officer").alias("is_officer"), F.max("is_director").alias("is_director"), each.alias("o"), F.array_sort(F.collect_set("relationship")).alias("relationships"))
+    titles = F.array_sort(F.collect_set(F.when(F.trim("owner_title") != "", F.trim("owner_title")))) if "owner_title" in rows.columns else F.array().cast("array<string>")
+    flags = [F.max(c).alias(c) for c in ("is_officer", "is_director", "is_ten_pct_owner") if c in rows.columns]
+    found = rows.groupBy("accession").agg(*flags, each.alias("o"), titles.alias("t"), F.array_sort(F.collect_set("relationship")).alias("relationships"))
     join = lambda f, n: F.substring(F.array_join(F.transform("o", lambda x: x[f].cast("string")), "; "), 1, n)
-    return found.select("accession", "is_officer", "is_director", join("owner", 300).alias("owner_ids"), join("owner_name", 300).alias("owner_names"), F.array_join("relationships", ",").alias("relationships"))
+    return found.select("accession", *[c for c in ("is_officer", "is_director", "is_ten_pct_owner") if c in rows.columns], join("owner", 300).alias("owner_ids"), join("owner_name", 300).alias("owner_names"), F.substring(F.array_join("t", "; "), 1, 200).alias("owner_titles"), F.array_join("relationships", ",").alias("relationships"))
+
+
+def signal_ic(df: DataFrame, signal: str, excess: str, least: int = C.DECILE_MIN_NAMES, kinds: int = 2) -> DataFrame:
+    """By day: rank correlation of a signal with the excess that followed, where `least` names have both and the signal
+    takes `kinds` different values."""
+    from sextant.functions.stats import spearman
+
+    full = df.filter(F.col(signal).isNotNull() & F.col(excess).isNotNull())
+    varied = full.groupBy("d").agg(F.count_distinct(signal).alias("_kinds")).filter(F.col("_kinds") >= kinds).select("d")
+    return spearman(full.join(varied, "d", "left_semi"), signal, excess, "d", least=least)
 
 
 def day_spread(df: DataFrame, flag: str, excess: str, min_events: int = 3, min_controls: int = C.DECILE_MIN_NAMES) -> DataFrame:

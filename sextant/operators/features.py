@@ -76,15 +76,15 @@ def setup(df: DataFrame) -> DataFrame:
 
 
 def regime(df: DataFrame) -> DataFrame:
-    """(benchmark, d) and the regime features of benchmarks' own bars."""
-    out = risk(returns(trend(df)))
-    out = out.withColumns({
-        **{f"benchmark_above_SMA{w}": F.col("close") > F.col(f"SMA{w}") for w in C.SMA_WINDOWS},
-        **{f"benchmark_return_{w}d": F.col(f"return_{w}d") for w in C.RETURN_WINDOWS},
-        "benchmark_volatility_20d": F.col("volatility_20d"),
-        "benchmark_vol_high_flag": share_at_or_below(F.col("volatility_20d"), C.SESSIONS_A_YEAR, C.VOL_HIGH_LEAST) > C.VOL_HIGH_PERCENTILE,
-    })
-    return out.select(F.col("entity").alias("benchmark"), "d", *[c for c in out.columns if c.startswith("benchmark_")])
+    """(benchmark, d) and the regime features of benchmarks' own bars: only those that a regime is made of."""
+    back = lambda w: F.try_divide(F.col("close"), F.lag("close", w).over(by_entity())) - 1
+    out = df.select("entity", "d", "close", *[mean_of(F.col("close"), w).alias(f"SMA{w}") for w in C.SMA_WINDOWS], *[back(w).alias(f"benchmark_return_{w}d") for w in C.RETURN_WINDOWS])
+    swing = guarded(F.stddev_samp("benchmark_return_1d").over(trailing(20)) * F.sqrt(F.lit(float(C.SESSIONS_A_YEAR))), 21)
+    out = out.withColumn("benchmark_volatility_20d", swing)
+    return out.select(
+        F.col("entity").alias("benchmark"), "d", *[(F.col("close") > F.col(f"SMA{w}")).alias(f"benchmark_above_SMA{w}") for w in C.SMA_WINDOWS], *[f"benchmark_return_{w}d" for w in C.RETURN_WINDOWS], "benchmark_volatility_20d",
+        (share_at_or_below(F.col("benchmark_volatility_20d"), C.SESSIONS_A_YEAR, C.VOL_HIGH_LEAST) > C.VOL_HIGH_PERCENTILE).alias("benchmark_vol_high_flag"),
+    )
 
 
 def all_features(df: DataFrame, watch: DataFrame, benchmarks: DataFrame) -> DataFrame:

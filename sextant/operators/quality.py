@@ -9,10 +9,14 @@ from sextant import config as C
 
 
 def interior_gaps(bars: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(entity, d): sessions inside an entity's own first and last bar that it has no bar of."""
-    spans = bars.groupBy("entity").agg(F.min("d").alias("first"), F.max("d").alias("last"))
-    expected = spans.join(F.broadcast(sessions.select("d")), F.col("d").between(F.col("first"), F.col("last"))).select("entity", "d")
-    return expected.join(bars.select("entity", "d"), ["entity", "d"], "left_anti")
+    """(entity, d): sessions inside an entity's own first and last bar that it has no bar of.
+
+    Sessions get numbers, so an entity's are a run of numbers from its first to its last, and all joins are by equality."""
+    numbered = sessions.select("d", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("d")).alias("_s"))
+    placed = bars.select("entity", "d").join(F.broadcast(numbered), "d")
+    spans = placed.groupBy("entity").agg(F.sequence(F.min("_s"), F.max("_s")).alias("x"))
+    missing = spans.select("entity", F.explode("x").alias("_s")).join(placed.select("entity", "_s"), ["entity", "_s"], "left_anti")
+    return missing.join(F.broadcast(numbered), "_s").select("entity", "d")
 
 
 def repair_groups(gaps: DataFrame, apart: int = 4, longest: int = 30) -> DataFrame:
@@ -58,9 +62,17 @@ def sparse_fields(df: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def members_as_of(history: DataFrame, as_of: DataFrame) -> DataFrame:
-    """(d, member) of the newest listing dated at or before each date."""
-    when = as_of.join(F.broadcast(history.select("as_of_date").distinct()), F.col("as_of_date") <= F.col("d")).groupBy("d").agg(F.max("as_of_date").alias("as_of_date"))
-    return when.join(history, "as_of_date").select("d", "member").distinct()
+    """(d, index_name, member) of each index's newest listing dated at or before each date.
+
+    Listings of different indices are dated apart: each index counts its own. A listing holds from its date until its
+    index's next one, so each wanted date is one row an index; listing dates are few, and join by index and month."""
+    time = Window.partitionBy("index_name").orderBy("as_of_date")
+    spans = history.select("index_name", "as_of_date").distinct().withColumn("until", F.lead("as_of_date").over(time))
+    last = as_of.agg(F.max("d").alias("_last"))
+    month = lambda c: F.trunc(c, "month")
+    spread = spans.join(F.broadcast(last), F.lit(True)).filter(F.col("as_of_date") <= F.col("_last")).withColumn("m", F.explode(F.sequence(month("as_of_date"), month(F.coalesce(F.least("until", "_last"), F.col("_last"))), F.expr("INTERVAL 1 MONTH"))))
+    when = as_of.select("d", month("d").alias("m")).distinct().join(spread, "m").filter((F.col("d") >= F.col("as_of_date")) & (F.col("until").isNull() | (F.col("d") < F.col("until"))))
+    return when.select("d", "index_name", "as_of_date").join(history, ["index_name", "as_of_date"]).select("d", "index_name", "member").distinct()
 
 
 def survivorship(history: DataFrame, tracked: DataFrame) -> DataFrame:
@@ -80,9 +92,17 @@ def matched_ids(wanted: DataFrame, directory: DataFrame) -> DataFrame:
     return out.select("ticker", F.coalesce("exact", "loose").alias("cik"))
 
 
-def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
-    """old with new's rows in place of those with their keys."""
-    return new.unionByName(old.join(new.select(*keys), list(keys), "left_anti"))
+def last_of(df: DataFrame, order, *keys: str) -> DataFrame:
+    """One row a key, the last by an order."""
+    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_k = 1").drop("_k")
+
+
+def upsert(old: DataFrame, new: DataFrame, *keys: str, order=None) -> DataFrame:
+    """old with new's rows in place of those with their keys; of new rows with one key the first by `order` counts.
+
+    Without an order the one with the largest hash of all its columns does: the same in every run."""
+    one = last_of(new, F.desc(F.xxhash64(*new.columns)) if order is None else order, *keys)
+    return one.unionByName(old.join(new.select(*keys).distinct(), list(keys), "left_anti"))
 
 
 def upsert_keeping(old: DataFrame, new: DataFrame, keep: str, *keys: str) -> DataFrame:

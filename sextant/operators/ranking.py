@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant import config as C
-from sextant.functions.scalar import present_mean
 
 
 def percent_rank(field: str, *keys: str, descending: bool = False) -> Column:
@@ -20,38 +19,59 @@ def percent_rank(field: str, *keys: str, descending: bool = False) -> Column:
     return F.when(x.isNotNull(), (F.rank().over(by.orderBy(order)) + (ties - 1) / 2) / F.count(x).over(by) * 100)
 
 
+def long_ranks(df: DataFrame, fields: dict[str, int], *keys: str, groups: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(d, entity, keys, field, and a percent rank by each of `groups`) of the fields that are there; -1 ranks downwards.
+
+    Ranking the fields as rows of a narrow table takes one exchange by date and field and one sort for each grouping,
+    and deals a date over as many tasks as it has fields; over wide rows each field would sort them all again."""
+    cases = [F.struct(F.lit(k).alias("field"), (F.col(f) * F.lit(float(sign))).alias("x")) for k, (f, sign) in enumerate(fields.items())]
+    long = df.select("d", "entity", *keys, F.explode(F.array(*cases)).alias("c")).select("d", "entity", *keys, "c.*").filter("x IS NOT NULL")
+    one = F.lit(1)
+    for name, by in groups.items():
+        within = Window.partitionBy("d", "field", *by)
+        ties = F.count(one).over(Window.partitionBy("d", "field", *by, "x"))
+        long = long.withColumn(name, (F.rank().over(within.orderBy("x")) + (ties - 1) / 2) / F.count(one).over(within) * 100)
+    return long
+
+
 def percentiles(df: DataFrame) -> DataFrame:
-    """Percentiles of a date: returns and strengths upwards, risks downwards, the distance from the high capped if extended."""
-    out = df.withColumns({f"{f}_percentile": percent_rank(f, "d") for f in C.NORMAL_PERCENTILES} | {f"{f}_percentile": percent_rank(f, "d", descending=True) for f in C.INVERTED_PERCENTILES})
-    high = percent_rank("distance_from_52w_high_pct", "d", descending=True)
-    return out.withColumn("distance_from_52w_high_adjusted_percentile", F.when(F.col("extended_flag"), F.least(high, F.lit(50.0))).otherwise(high))
+    """Percentiles of a date: returns and strengths upwards, risks downwards, the distance from the high capped if extended.
+
+    df has one row for each entity and date, and is read twice: a frame of any cost is best written before."""
+    fields = dict.fromkeys(C.NORMAL_PERCENTILES, 1) | dict.fromkeys((*C.INVERTED_PERCENTILES, "distance_from_52w_high_pct"), -1)
+    ranked = long_ranks(df, fields, groups={"pct": ()})
+    wide = ranked.groupBy("d", "entity").agg(*[F.max(F.when(F.col("field") == k, F.col("pct"))).alias(f"{f}_percentile") for k, f in enumerate(fields)])
+    high = F.col("distance_from_52w_high_pct_percentile")
+    out = df.join(wide, ["d", "entity"], "left")
+    return out.withColumn("distance_from_52w_high_adjusted_percentile", F.when(F.col("extended_flag"), F.least(high, F.lit(50.0))).otherwise(high)).drop("distance_from_52w_high_pct_percentile")
 
 
 def composites(df: DataFrame, groups: dict, neutral: tuple[str, ...] = (), least: int = C.SECTOR_MIN_MEMBERS) -> DataFrame:
     """Composite percentiles: the mean of the fields' ranks that are present.
 
-    Composites named in `neutral` rank within (d, sector) where `least` members or more have any field, and over all
-    of the date elsewhere, which `sector_rank_fallback` tells. A NULL sector never ranks within itself."""
-    out, fallback = df, F.lit(False)
-    for name, group in groups.items():
-        fields, inside = group["fields"], name in neutral
-        ranks = []
-        if inside:
-            some = F.coalesce(*fields).isNotNull()
-            out = out.withColumn("_big", F.sum(some.cast("int")).over(Window.partitionBy("d", "sector")) >= least).withColumn("_some", some)
-        for f in fields:
-            down = f in group["inverted"]
-            over = percent_rank(f, "d", descending=down)
-            if inside:
-                over = F.when(F.col("_big") & F.col("sector").isNotNull(), percent_rank(f, "d", "sector", descending=down)).when(~F.col("_big"), over)
-            out = out.withColumn(f"_{f}", over)
-            ranks.append(F.col(f"_{f}"))
-        out = out.withColumn(name, present_mean(ranks))
-        if inside:
-            out = out.withColumn(f"_fall_{name}", F.col("_some") & ~F.col("_big") & F.col(name).isNotNull())
-            fallback = fallback | F.col(f"_fall_{name}")
-    out = out.withColumn("sector_rank_fallback", fallback)
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    Composites named in `neutral` leave index rows out. They rank within (d, sector) where `least` members or more have
+    any field, and over all of the date elsewhere, which `sector_rank_fallback` tells. A NULL sector never ranks within
+    itself. df has one row for each entity and date, and is read twice."""
+    day = Window.partitionBy("d", "sector")
+    some = {n: F.coalesce(*[F.col(f) for f in groups[n]["fields"]]).isNotNull() & ~F.col("_index") for n in neutral}
+    base = df.withColumn("_index", F.coalesce(F.col("sector") == C.INDEX_SECTOR, F.lit(False)))
+    big = {n: F.sum(s.cast("int")).over(day) >= least for n, s in some.items()}
+    fields = {f: (-1 if f in g["inverted"] else 1) for g in groups.values() for f in g["fields"]}
+    flags = {f"_big_{n}": b for n, b in big.items()}
+    narrow = base.select("d", "entity", "sector", "_index", *fields, *[b.alias(c) for c, b in flags.items()])
+    ranked = long_ranks(narrow, fields, "sector", "_index", *flags, groups={"over": (), "inside": ("sector", "_index")} | ({"others": ("_index",)} if neutral else {}))
+    value, at = {}, {f: k for k, f in enumerate(fields)}
+    for n, g in groups.items():
+        mine = F.col("field").isin([at[f] for f in g["fields"]])
+        x = F.col("over")
+        if n in neutral:
+            x = F.when(~F.col("_index"), F.when(F.col(f"_big_{n}"), F.when(F.col("sector").isNotNull(), F.col("inside"))).otherwise(F.col("others")))
+        value[n] = F.avg(F.when(mine, x))
+    wide = ranked.groupBy("d", "entity").agg(*[v.alias(n) for n, v in value.items()], *[F.first(c).alias(c) for c in flags])
+    out, fall = df.join(wide, ["d", "entity"], "left"), F.lit(False)
+    for n in neutral:
+        fall = fall | F.coalesce(F.col(n).isNotNull() & ~F.col(f"_big_{n}"), F.lit(False))
+    return out.withColumn("sector_rank_fallback", fall).drop(*flags)
 
 
 def deciles(score: str, n: int = C.DECILES, *keys: str) -> Column:
@@ -76,3 +96,10 @@ def ordinal_rank(field: str, *keys: str) -> Column:
     """Zero-based rank, ties by entity; NULL with fewer than three values."""
     x, by = F.col(field), Window.partitionBy(*keys)
     return F.when(x.isNotNull() & (F.count(x).over(by) >= 3), F.row_number().over(by.orderBy(x.asc_nulls_last(), "entity")) - 1)
+
+
+def movers(df: DataFrame, change: str, n: int) -> DataFrame:
+    """(side, place, entity, change): the n largest rises and the n largest falls; ties by entity, no change is neither."""
+    x, by = F.col(change), Window.partitionBy("side").orderBy(F.desc(F.abs(F.col(change))), "entity")
+    sided = df.filter(x != 0).withColumn("side", F.when(x > 0, "up").otherwise("down"))
+    return sided.withColumn("place", F.row_number().over(by).cast("long")).filter(F.col("place") <= n).select("side", "place", "entity", change)

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from sextant import config as C
 from sextant.functions.scalar import label
-from sextant.functions.stats import moment_corr, overlap_t, spearman
+from sextant.functions.stats import moment_corr, overlap_t, pooled_spearman, spearman
 from sextant.operators.ranking import deciles
 
 
 def long_form(df: DataFrame, horizons) -> DataFrame:
-    """(entity, d, horizon, score, excess, fall): one row a horizon, from one scan."""
+    """(entity, d, horizon, score, excess, fall, stale): one row a horizon, from one scan."""
     cases = [F.struct(F.lit(h).alias("horizon"), F.col(f"score_{h}d").alias("score"), F.col(f"future_excess_return_{h}d").alias("excess"), (F.col(f"max_drawdown_after_{h}d") if f"max_drawdown_after_{h}d" in df.columns else F.lit(None).cast("double")).alias("fall")) for h in horizons]
-    return df.select("entity", "d", F.explode(F.array(*cases)).alias("x")).select("entity", "d", "x.*")
+    stale = F.col("stale") if "stale" in df.columns else F.lit(False)
+    return df.select("entity", "d", stale.alias("stale"), F.explode(F.array(*cases)).alias("x")).select("entity", "d", "stale", "x.*")
 
 
 def buckets(long: DataFrame) -> DataFrame:
@@ -25,9 +26,10 @@ def buckets(long: DataFrame) -> DataFrame:
 
 
 def cross_sections(long: DataFrame, least: int) -> DataFrame:
-    """Matured rows of the days with `least` names or more, with the day's number of different scores."""
+    """Matured rows without stale fundamentals, of the days with `least` names or more of them, with the day's lowest and
+    highest score."""
     by = Window.partitionBy("horizon", "d")
-    full = long.filter("excess IS NOT NULL AND score IS NOT NULL")
+    full = long.filter("excess IS NOT NULL AND score IS NOT NULL AND NOT stale")
     return full.withColumns({"names": F.count(F.lit(1)).over(by), "lowest": F.min("score").over(by), "highest": F.max("score").over(by)}).filter(F.col("names") >= least)
 
 
@@ -60,17 +62,22 @@ def selections(days: DataFrame, sizes=(3, 10, 25)) -> DataFrame:
     return daily.groupBy("horizon", "size").agg(F.count(F.lit(1)).alias("n_days"), F.avg("names").alias("avg_names"), F.avg("mean").alias("avg_excess"), F.avg("hit").alias("hit_rate_pct"), F.avg("over").alias("avg_over_universe"))
 
 
-def unpivoted(df: DataFrame, names, horizons) -> DataFrame:
-    """(d, entity, series, horizon, value, excess): series by horizon, only for the horizons asked for."""
-    series = F.explode(F.array(*[F.struct(F.lit(n).alias("series"), F.col(n).alias("value")) for n in names])).alias("s")
+def unpivoted(df: DataFrame, names, horizons, *more: str) -> DataFrame:
+    """(d, entity, more, series, horizon, value, excess): series by horizon, only for the horizons asked for.
+
+    Components of fundamentals have no value where these are stale. Dealt by date first, so that the wide rows are
+    shuffled and not the many long ones."""
+    old = F.col("stale") if "stale" in df.columns else F.lit(False)
+    value = lambda n: F.when(~old, F.col(n)) if n in C.SITOUT else F.col(n)
+    series = F.explode(F.array(*[F.struct(F.lit(n).alias("series"), value(n).alias("value")) for n in names])).alias("s")
     ahead = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"future_excess_return_{h}d").alias("excess")) for h in horizons])).alias("h")
-    wide = df.select("d", "entity", series, *[f"future_excess_return_{h}d" for h in horizons])
-    return wide.select("d", "entity", "s.*", ahead).select("d", "entity", "series", "value", "h.*")
+    wide = df.repartition("d").select("d", "entity", *more, series, *[f"future_excess_return_{h}d" for h in horizons])
+    return wide.select("d", "entity", *more, "s.*", ahead).select("d", "entity", *more, "series", "value", "h.*")
 
 
 def pooled_ic(df: DataFrame, names, horizons, least: int = 5) -> DataFrame:
     """Correlation of each component with each horizon's excess, over all dates together; pairs ranked among themselves."""
-    return spearman(unpivoted(df, names, horizons), "value", "excess", "series", "horizon", least=least)
+    return pooled_spearman(unpivoted(df, names, horizons), "value", "excess", "series", "horizon", least=least)
 
 
 def daily_ic(df: DataFrame, names, horizons, least: int = C.DECILE_MIN_NAMES) -> DataFrame:
@@ -113,8 +120,55 @@ def scoreboard(graded: DataFrame, least: int = 20) -> DataFrame:
     return sums.withColumns({"strong_hit_pct": rate("strong_hits", "n_strong"), "weak_hit_pct": rate("weak_hits", "n_weak"), "top_hit_pct": rate("top_hits", "n_top")})
 
 
-def ic_drift(ics: DataFrame, recent_days: int = 60) -> DataFrame:
-    """Mean daily IC over all days against the last `recent_days`, and whether they have drifted apart."""
-    place = F.dense_rank().over(Window.partitionBy("series", "horizon").orderBy(F.desc("d")))
-    out = ics.withColumn("back", place).groupBy("series", "horizon").agg(F.avg("spearman_ic").alias("full_ic"), F.avg(F.when(F.col("back") <= recent_days, F.col("spearman_ic"))).alias("recent_ic"))
-    return out.withColumn("drifted", F.abs(F.round(F.col("recent_ic") - F.col("full_ic"), 9)) >= C.FACTOR_IC_DRIFT)
+def newest_days(df: DataFrame, n: int, where=None) -> DataFrame:
+    """The rows of df's newest n dates, of those dates only that fit a condition if one is given."""
+    days = (df if where is None else df.filter(where)).select("d").distinct().orderBy(F.desc("d")).limit(n)
+    return df.join(F.broadcast(days), "d", "left_semi")
+
+
+def ic_drift(full: DataFrame, recent: DataFrame) -> DataFrame:
+    """Pooled ICs of all rows against those of the recent ones, by series and horizon, and whether they have drifted apart."""
+    both = full.select("series", "horizon", F.col("spearman_ic").alias("full_ic")).join(recent.select("series", "horizon", F.col("spearman_ic").alias("recent_ic")), ["series", "horizon"], "left")
+    return both.withColumn("drifted", F.abs(F.round(F.col("recent_ic") - F.col("full_ic"), 9)) >= C.FACTOR_IC_DRIFT)
+
+
+def common_days(ics: DataFrame, horizon: int) -> DataFrame:
+    """ICs of the days on which every series that ever has one has an IC at the given horizon."""
+    there = ics.filter((F.col("horizon") == horizon) & F.col("spearman_ic").isNotNull())
+    n = there.agg(F.count_distinct("series").alias("n"))
+    days = there.groupBy("d").agg(F.count_distinct("series").alias("k")).join(F.broadcast(n), F.col("k") == F.col("n")).select("d")
+    return ics.join(F.broadcast(days), "d", "left_semi")
+
+
+def series_correlation(ics: DataFrame, pairs: list[tuple[str, str]], least: int = 10) -> DataFrame:
+    """(a, b, horizon, n, pearson_ic, spearman_ic) of two series' daily ICs, over the days that both have one."""
+    table = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])).alias("p")
+    side = lambda c: ics.filter("spearman_ic IS NOT NULL").select(F.col("series").alias(c), "horizon", "d", F.col("spearman_ic").alias(f"ic_{c}"))
+    wanted = ics.sparkSession.range(1).select(table).select("p.*")
+    both = side("a").join(F.broadcast(wanted), "a").join(side("b"), ["b", "horizon", "d"])
+    return spearman(both, "ic_a", "ic_b", "a", "b", "horizon", least=least)
+
+
+def compared(rows: DataFrame, horizon: int, least: int = C.DECILE_MIN_NAMES, adequate: int = 60) -> DataFrame:
+    """By variant: mean daily IC and its t, decile spread and the mean of the best ten, from rows (variant, d, entity, score, excess)."""
+    full = rows.filter("score IS NOT NULL AND excess IS NOT NULL").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("variant", "d"))).filter(F.col("_n") >= least)
+    day = Window.partitionBy("variant", "d")
+    graded = full.withColumns({"decile": deciles("score", C.DECILES, "variant", "d"), "place": F.rank().over(day.orderBy(F.desc("score"))), "_differ": F.min("score").over(day) < F.max("score").over(day)})
+    on = lambda c: F.avg(F.when(F.col("_differ") & c, F.col("excess")))
+    daily = graded.groupBy("variant", "d").agg((on(F.col("decile") == 1) - on(F.col("decile") == C.DECILES)).alias("spread"), on(F.col("place") <= 10).alias("top10"))
+    ics = spearman(full, "score", "excess", "variant", "d", least=least).select("variant", "d", F.col("spearman_ic").alias("ic"))
+    out = daily.join(ics, ["variant", "d"], "left").groupBy("variant").agg(F.count(F.lit(1)).alias("n_days"), F.avg("ic").alias("mean_daily_ic"), F.stddev_samp("ic").alias("_s"), F.count("ic").alias("_k"), F.avg("spread").alias("spread_avg"), F.avg("top10").alias("top_10_avg_excess"))
+    return out.withColumns({"ic_t_stat": overlap_t(F.col("mean_daily_ic"), F.col("_s"), F.col("_k"), F.lit(float(horizon))), "adequate": F.col("n_days") >= adequate}).drop("_s", "_k")
+
+
+def hit_rates(long: DataFrame) -> DataFrame:
+    """One row a horizon: hit rates and counts of the strong and of the weak label, side by side."""
+    named = long.filter("excess IS NOT NULL AND score IS NOT NULL").withColumn("label", label(F.col("score")))
+    on = lambda name, hit: [F.sum((F.col("label") == name).cast("int")).alias(f"n_{name}"), (F.avg(F.when(F.col("label") == name, hit.cast("double"))) * 100).alias(f"{name}_hit_pct")]
+    return named.groupBy("horizon").agg(*on("strong", F.col("excess") > 0), *on("weak", F.col("excess") < 0))
+
+
+def ic_ranking(ics: DataFrame, horizon: int) -> DataFrame:
+    """Series by IC at a horizon, the best first, those without one last; ties by name."""
+    by = Window.partitionBy(F.lit(0)).orderBy(F.col("spearman_ic").desc_nulls_last(), "series")
+    return ics.filter(F.col("horizon") == horizon).select(F.row_number().over(by).alias("place"), "series", "spearman_ic")

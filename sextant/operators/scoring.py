@@ -92,8 +92,14 @@ def horizon_score(weights: dict[str, float], penalty: float = 0.0, near_earnings
     return F.when(reduce(lambda a, b: a & b, mandatory), clamp(value))
 
 
-def scores(df: DataFrame, live_earnings: bool = False) -> DataFrame:
-    """Horizon scores and the label of the longest; `live_earnings` applies the penalty where days_until_earnings is near."""
-    near = F.col("days_until_earnings").between(0, C.EARNINGS_WINDOW_DAYS) if live_earnings else None
-    out = df.withColumns({h: horizon_score(w, C.EARNINGS_PENALTIES[h], near) for h, w in C.SCORE_WEIGHTS.items()})
+def penalties(version: str | None, live: bool) -> dict[str, float]:
+    """Points that near earnings cost by score: none for a backfill, nor for a version that isn't listed."""
+    return C.EARNINGS_PENALTIES if live and version in C.LIVE_EARNINGS_VERSIONS else dict.fromkeys(C.EARNINGS_PENALTIES, 0)
+
+
+def scores(df: DataFrame, version: str | None = None, live: bool = False) -> DataFrame:
+    """Horizon scores and the label of the longest; a live run of a listed version pays where days_until_earnings is near."""
+    costs = penalties(version, live)
+    near = F.col("days_until_earnings").between(0, C.EARNINGS_WINDOW_DAYS) if any(costs.values()) else None
+    out = df.withColumns({h: horizon_score(w, costs[h], near) for h, w in C.SCORE_WEIGHTS.items()})
     return out.withColumn("score_label", label(F.col("score_120d")))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sextant import config as C
 from sextant.functions.scalar import label, rounded
-from sextant.operators import features, ranking, scoring
+from sextant.operators import asof, features, figures, ranking, scoring
 from sextant.plans import oracle as O
-from sextant.sources.bars import bars, watchlist
+from sextant.sources.bars import bars, read, watchlist
+from sextant.sources.store import written
 
 QUERIES, ORACLES = {}, {}
 
@@ -26,14 +27,38 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All features of all suppliers and weeks."""
-    return features.all_features(bars(spark, sf_dir), watchlist(spark, sf_dir), bars(spark, sf_dir, "region"))
+def panel(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+    """All features of all suppliers and weeks, from bars that are there already if given."""
+    return features.all_features(bars(spark, sf_dir) if own is None else own, watchlist(spark, sf_dir), bars(spark, sf_dir, "region"))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole scoring run for every date: two exchanges, by entity and by date. A live day is one date of it."""
-    return scoring.scores(scoring.components(ranking.percentiles(panel(spark, sf_dir))))
+NEUTRAL = ("value_percentile", "quality_percentile")
+FIELDS = tuple(f for g in C.COMPOSITES.values() for f in g["fields"])
+
+
+def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity, filed_date, fields): a supplier's figures of a year, known from the next year on, some of them missing."""
+    drop = lambda n, x: F.when(F.first("l_suppkey") % n != 0, x)
+    li = read(spark, sf_dir, "lineitem").withColumn("filed_date", F.add_months(F.to_date(F.date_trunc("year", "l_shipdate")), 12))
+    found = li.groupBy(F.col("l_suppkey").cast("long").alias("entity"), "filed_date").agg(
+        F.try_divide(F.sum("l_extendedprice"), F.sum(F.col("l_tax") * 100)).alias("trailing_pe"), F.avg("l_extendedprice").alias("price_to_sales"), drop(3, F.max("l_quantity")).alias("ev_to_ebitda"), F.avg(F.col("l_discount") - 0.04).alias("price_to_book"),
+        F.avg("l_discount").alias("profit_margin"), F.avg("l_tax").alias("operating_margin"), drop(4, F.avg(F.col("l_discount") - F.col("l_tax"))).alias("return_on_equity"), F.sum("l_quantity").alias("debt_to_equity"), drop(5, F.avg("l_quantity")).alias("short_percent_of_float"),
+    )
+    return found.withColumns({f: F.round(f, 9) for f in FIELDS})
+
+
+def ranked(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+    """The panel with its percentiles and, from the figures known at each date, the composites of the fundamentals.
+
+    The panel is written once: ranking reads a few narrow columns of it, and the result all the others."""
+    df = asof.backward(panel(spark, sf_dir, own), reported(spark, sf_dir), "entity", "d", "filed_date", list(FIELDS)).drop("filed_date_asof")
+    df = written(figures.cleaned(df), "panel")
+    return ranking.composites(ranking.percentiles(df), C.COMPOSITES, NEUTRAL)
+
+
+def scored(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+    """The whole scoring run for every date. A live day is one date of it."""
+    return scoring.scores(scoring.components(ranked(spark, sf_dir, own)))
 
 
 def picked(df: DataFrame, *names: str) -> DataFrame:
@@ -126,12 +151,30 @@ _PCT = (*(f"{f}_percentile" for f in (*C.NORMAL_PERCENTILES, *C.INVERTED_PERCENT
 
 @query("cross_section_percentiles", _sql(O.PERCENTILES, "ranked", _PCT))
 def cross_section_percentiles(spark, sf_dir):
-    return picked(ranking.percentiles(panel(spark, sf_dir)), *_PCT)
+    return picked(ranking.percentiles(written(panel(spark, sf_dir), "panel")), *_PCT)
 
 
-@query("component_scores", _sql(O.COMPONENTS, "comp", O.COMPONENT_NAMES))
+@query("component_scores", _sql(O.COMPONENTS, "comp", O.COMPONENT_NAMES, ("sector_rank_fallback",)))
 def component_scores(spark, sf_dir):
-    return picked(scoring.components(ranking.percentiles(panel(spark, sf_dir))), *O.COMPONENT_NAMES)
+    return picked(scoring.components(ranked(spark, sf_dir)), *O.COMPONENT_NAMES, "sector_rank_fallback")
+
+
+_DUE = "CASE WHEN entity % 7 <> 0 THEN CAST((entity * 11 + 365 - dayofyear(d)) % 91 AS INTEGER) END"
+
+
+@query("live_scores", f"WITH {O.COMPONENTS}, due AS (SELECT *, {_DUE} AS days_until_earnings FROM comp) SELECT entity, d, {', '.join(f'round({O.score(w, C.EARNINGS_PENALTIES[h])}, 6) AS {h}' for h, w in C.SCORE_WEIGHTS.items())} FROM due")
+def live_scores(spark, sf_dir):
+    """Scores of a live run of a version whose near earnings cost points; entities without a known date pay nothing."""
+    due = F.when(F.col("entity") % 7 != 0, (F.col("entity") * 11 + 365 - F.dayofyear("d")) % 91)
+    df = scoring.components(ranked(spark, sf_dir)).withColumn("days_until_earnings", due)
+    return picked(scoring.scores(df, C.LIVE_EARNINGS_VERSIONS[0], True), *C.SCORE_WEIGHTS)
+
+
+@query("unlisted_version_scores", f"WITH {O.SCORES} SELECT entity, d, {O.r6(*C.SCORE_WEIGHTS)} FROM scored")
+def unlisted_version_scores(spark, sf_dir):
+    """A live run of a version that isn't listed scores as a backfill does, though earnings are near."""
+    df = scoring.components(ranked(spark, sf_dir)).withColumn("days_until_earnings", F.lit(1))
+    return picked(scoring.scores(df, "another", True), *C.SCORE_WEIGHTS)
 
 
 @query("horizon_scores", _sql(O.SCORES, "scored", tuple(C.SCORE_WEIGHTS), (f"{O.label('score_120d')} AS score_label",)))
@@ -157,8 +200,10 @@ def top_n_exact(spark, sf_dir):
 @query("trend_top_setups", f"WITH {O.SCORES}, t AS (SELECT entity, d, trend_component, return_20d_percentile, row_number() OVER (PARTITION BY d ORDER BY trend_component DESC, round(return_20d_percentile, 6) DESC, entity) AS place FROM scored WHERE trend_component IS NOT NULL AND return_20d_percentile IS NOT NULL AND d = (SELECT max(d) FROM scored)) SELECT entity, d, {O.r6('trend_component', 'return_20d_percentile')}, CAST(place AS INTEGER) AS place FROM t WHERE place <= 25")
 def trend_top_setups(spark, sf_dir):
     """Trend score and return percentile of the best entities on the latest session: the smallest whole run."""
-    found = ranking.percentiles(panel(spark, sf_dir)).withColumn("trend_component", scoring.trend_component())
-    found = found.join(found.agg(F.max("d").alias("d")), "d").filter("trend_component IS NOT NULL AND return_20d_percentile IS NOT NULL")
+    df = panel(spark, sf_dir)
+    last = df.agg(F.max("d").alias("d"))
+    found = ranking.percentiles(written(df.join(F.broadcast(last), "d"), "panel")).withColumn("trend_component", scoring.trend_component())
+    found = found.filter("trend_component IS NOT NULL AND return_20d_percentile IS NOT NULL")
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("d").orderBy(F.desc("trend_component"), F.desc(F.round("return_20d_percentile", 6)), "entity"))

@@ -50,7 +50,7 @@ _LATEST = "lf AS (SELECT entity, filed_date, max_by(value, o_orderkey) AS value,
 
 @query("asof_latest_fact", f"WITH {FACTS}, {NATIONS}, {_LATEST} SELECT nb.entity, nb.d, lf.value, lf.o_orderkey, lf.filed_date AS filed_date_asof FROM nb ASOF LEFT JOIN lf ON nb.entity = lf.entity AND nb.d >= lf.filed_date")
 def asof_latest_fact(spark, sf_dir):
-    return asof.backward(_nation_weeks(spark, sf_dir), _facts(spark, sf_dir), "entity", "d", "filed_date", ["value", "o_orderkey"], ["o_orderkey"])
+    return asof.backward(_nation_weeks(spark, sf_dir), _facts(spark, sf_dir), "entity", "d", "filed_date", ["value", "o_orderkey"], ["o_orderkey"], "year")
 
 
 @query("asof_with_staleness", f"WITH {FACTS}, {NATIONS}, {_LATEST} SELECT nb.entity, nb.d, CASE WHEN date_diff('day', lf.filed_date, nb.d) <= {C.STALENESS_DAYS} THEN lf.value END AS value FROM nb ASOF LEFT JOIN lf ON nb.entity = lf.entity AND nb.d >= lf.filed_date")
@@ -103,12 +103,12 @@ def item_event_features(spark, sf_dir):
 
 def _trades(spark, sf_dir):
     """Orders as trades: code by status, shares by customer, each third one filed twice."""
-    f = _facts(spark, sf_dir).filter("o_orderkey % 7 < 3")
+    f = _facts(spark, sf_dir)
     base = f.select("entity", "filed_date", F.date_sub("filed_date", 2).alias("trans_date"), F.when(F.col("code") == "O", "P").when(F.col("code") == "F", "S").otherwise("A").alias("trans_code"), (F.col("o_custkey") % 50).cast("double").alias("shares"), F.when(F.col("o_orderkey") % 9 != 0, F.round("value", 2)).alias("price_per_share"), F.when(F.col("o_orderkey") % 11 != 0, F.col("value")).alias("value_usd"), F.col("o_custkey").alias("owner"), (F.col("o_orderpriority") == "1-URGENT").alias("is_officer"), F.col("o_orderkey").cast("string").alias("accession"), F.when(F.col("o_orderkey") % 13 == 0, "deriv").otherwise("nonderiv").alias("table_kind"))
     return base.unionByName(base.filter("CAST(accession AS BIGINT) % 3 = 0").withColumns({"accession": F.concat("accession", F.lit("b")), "filed_date": F.date_add("filed_date", 1)}))
 
 
-_TRADES = f"{FACTS}, tb AS (SELECT entity, filed_date, filed_date - 2 AS trans_date, CASE code WHEN 'O' THEN 'P' WHEN 'F' THEN 'S' ELSE 'A' END AS trans_code, CAST(o_custkey % 50 AS DOUBLE) AS shares, CASE WHEN o_orderkey % 9 <> 0 THEN round(value, 2) END AS price_per_share, CASE WHEN o_orderkey % 11 <> 0 THEN value END AS value_usd, o_custkey AS owner, o_orderpriority = '1-URGENT' AS is_officer, CAST(o_orderkey AS VARCHAR) AS accession, CASE WHEN o_orderkey % 13 = 0 THEN 'deriv' ELSE 'nonderiv' END AS table_kind FROM facts WHERE o_orderkey % 7 < 3), trades AS (SELECT * FROM tb UNION ALL SELECT * REPLACE (accession || 'b' AS accession, filed_date + 1 AS filed_date) FROM tb WHERE CAST(accession AS BIGINT) % 3 = 0)"
+_TRADES = f"{FACTS}, tb AS (SELECT entity, filed_date, filed_date - 2 AS trans_date, CASE code WHEN 'O' THEN 'P' WHEN 'F' THEN 'S' ELSE 'A' END AS trans_code, CAST(o_custkey % 50 AS DOUBLE) AS shares, CASE WHEN o_orderkey % 9 <> 0 THEN round(value, 2) END AS price_per_share, CASE WHEN o_orderkey % 11 <> 0 THEN value END AS value_usd, o_custkey AS owner, o_orderpriority = '1-URGENT' AS is_officer, CAST(o_orderkey AS VARCHAR) AS accession, CASE WHEN o_orderkey % 13 = 0 THEN 'deriv' ELSE 'nonderiv' END AS table_kind FROM facts), trades AS (SELECT * FROM tb UNION ALL SELECT * REPLACE (accession || 'b' AS accession, filed_date + 1 AS filed_date) FROM tb WHERE CAST(accession AS BIGINT) % 3 = 0)"
 
 
 @query("trade_dedup_window", f"WITH {_TRADES}, pr AS (SELECT DISTINCT entity, CAST(date_trunc('month', filed_date) AS DATE) AS d FROM facts), nt AS (SELECT pr.d, t.*, row_number() OVER (PARTITION BY t.entity, pr.d, trans_date, trans_code, shares, price_per_share ORDER BY filed_date, accession) AS k FROM pr JOIN trades t ON t.entity = pr.entity AND filed_date BETWEEN pr.d - 90 AND pr.d WHERE table_kind = 'nonderiv'), ag AS (SELECT entity, d, count(*) FILTER (trans_code = 'P') AS buy_count, count(*) FILTER (trans_code = 'S') AS sell_count, coalesce(sum(value_usd) FILTER (trans_code = 'P'), 0) AS bv, coalesce(sum(value_usd) FILTER (trans_code = 'S'), 0) AS sv, count(DISTINCT owner) FILTER (trans_code = 'P') AS buyer_count, count(*) FILTER (trans_code = 'P' AND is_officer) AS officer_buy_count, max(filed_date) FILTER (trans_code = 'P') AS l FROM nt WHERE k = 1 GROUP BY 1, 2) SELECT pr.entity, pr.d, coalesce(buy_count, 0) AS buy_count, coalesce(sell_count, 0) AS sell_count, round(coalesce(bv, 0), 2) AS buy_value, round(coalesce(bv - sv, 0), 2) AS net_buy_value, coalesce(buyer_count, 0) AS buyer_count, coalesce(officer_buy_count, 0) AS officer_buy_count, CAST(date_diff('day', l, pr.d) AS INTEGER) AS days_since_buy FROM pr LEFT JOIN ag ON ag.entity = pr.entity AND ag.d = pr.d")
@@ -117,72 +117,11 @@ def trade_dedup_window(spark, sf_dir):
     return events.trade_features(probes, _trades(spark, sf_dir)).withColumns({c: F.round(c, 2) for c in ("buy_value", "net_buy_value")})
 
 
-@query("owner_collapse", "SELECT CAST(o_custkey AS VARCHAR) AS accession, bool_or(o_orderpriority = '1-URGENT') AS is_officer, bool_or(o_orderstatus = 'P') AS is_director, substring(array_to_string(list_sort(list(DISTINCT o_orderkey)), '; '), 1, 300) AS owner_ids, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS relationships FROM orders GROUP BY 1")
+@query("owner_collapse", "SELECT CAST(o_custkey AS VARCHAR) AS accession, bool_or(o_orderpriority = '1-URGENT') AS is_officer, bool_or(o_orderstatus = 'P') AS is_director, substring(array_to_string(list_sort(list(DISTINCT o_orderkey)), '; '), 1, 300) AS owner_ids, substring(array_to_string(list_transform(list_sort(list(DISTINCT o_orderkey)), lambda k: 'n' || k), '; '), 1, 300) AS owner_names, substring(array_to_string(list_sort(list(DISTINCT 'the ' || o_orderpriority) FILTER (o_orderpriority < '4')), '; '), 1, 200) AS owner_titles, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS relationships FROM orders GROUP BY 1")
 def owner_collapse(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
-    rows = o.select(F.col("o_custkey").cast("string").alias("accession"), F.col("o_orderkey").alias("owner"), F.lit("x").alias("owner_name"), F.col("o_orderstatus").alias("relationship"), (F.col("o_orderpriority") == "1-URGENT").alias("is_officer"), (F.col("o_orderstatus") == "P").alias("is_director"))
-    return events.owners(rows).drop("owner_names")
-
-
-_FIX = [
-    ("A", "2022-01-01", "2022-12-31", 2022, "FY", 100.0, "2023-02-01", "a1"), ("A", "2022-01-01", "2022-12-31", 2022, "FY", 999.0, "2024-02-01", "a9"), ("A", "2022-01-01", "2022-06-30", 2022, "Q2", 45.0, "2022-08-01", "a0"),
-    ("A", "2023-01-01", "2023-06-30", 2023, "Q2", 60.0, "2023-08-01", "a2"), ("A", "2023-04-01", "2023-06-30", 2023, "Q2", 31.0, "2023-08-01", "a2"),
-    ("B", "2022-04-01", "2022-06-30", 2022, "Q2", 10.0, "2022-08-01", "b1"), ("B", "2022-07-01", "2022-09-30", 2022, "Q3", 11.0, "2022-11-01", "b2"), ("B", "2022-10-01", "2022-12-31", 2022, "Q4", 12.0, "2023-02-01", "b3"), ("B", "2023-01-01", "2023-03-31", 2023, "Q1", 13.0, "2023-05-01", "b4"),
-    ("C", "2021-01-01", "2021-12-31", 2021, "FY", 70.0, "2022-02-01", "c1"), ("C", "2022-01-01", "2022-03-31", 2022, "Q1", 20.0, "2022-05-01", "c2"), ("D", "2023-01-01", "2023-12-31", 2023, "FY", 55.0, "2024-02-01", "d1"), ("E", "2023-01-01", "2023-03-31", 2023, "Q1", 5.0, "2023-05-01", "e1"),
-]
-_FIX_COLUMNS = "entity string, period_start string, period_end string, fiscal_year int, fiscal_period string, value double, filed_date string, accession string"
-
-
-def _inline(spark, rows, ddl: str):
-    """A few literal rows as a frame, without a Python worker."""
-    from pyspark.sql.types import StructType
-
-    names = [f.name for f in StructType.fromDDL(ddl).fields]
-    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rows])), f"array<struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in StructType.fromDDL(ddl).fields)}>>")).alias("r")).select("r.*")
-
-
-def _fixture(spark):
-    return _inline(spark, _FIX, _FIX_COLUMNS).withColumns({c: F.to_date(c) for c in ("period_start", "period_end", "filed_date")})
-
-
-_VALUES = "fx AS (SELECT column0 AS entity, CAST(column1 AS DATE) AS period_start, CAST(column2 AS DATE) AS period_end, column3 AS fiscal_year, column4 AS fiscal_period, CAST(column5 AS DOUBLE) AS value, CAST(column6 AS DATE) AS filed_date, column7 AS accession FROM (VALUES " + ", ".join(str(r) for r in _FIX) + ") AS t(column0, column1, column2, column3, column4, column5, column6, column7))"
-
-
-@query("ttm_rollforward", f"""WITH {_VALUES}, o1 AS (SELECT *, date_diff('day', period_start, period_end) AS span FROM fx QUALIFY row_number() OVER (PARTITION BY entity, period_start, period_end ORDER BY filed_date, accession) = 1),
-k AS (SELECT *, CASE WHEN span BETWEEN 350 AND 380 THEN 'annual' WHEN span BETWEEN 80 AND 100 THEN 'quarter' WHEN span > 100 AND span < 350 THEN 'ytd' END AS kind FROM o1),
-c AS (SELECT * FROM k WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity ORDER BY period_end DESC, CASE kind WHEN 'annual' THEN 0 WHEN 'ytd' THEN 1 ELSE 2 END) = 1),
-py AS (SELECT c.entity, max_by(o.value, o.period_end) AS v FROM c JOIN k o ON o.entity = c.entity AND o.kind = 'annual' AND o.fiscal_year = c.fiscal_year - 1 AND abs(date_diff('day', o.period_end, c.period_start)) <= 20 GROUP BY 1),
-pp AS (SELECT c.entity, max_by(o.value, o.period_end) AS v FROM c JOIN k o ON o.entity = c.entity AND o.kind IN ('ytd', 'quarter') AND o.fiscal_year = c.fiscal_year - 1 AND o.fiscal_period = c.fiscal_period AND abs(o.span - c.span) <= 20 AND abs(date_diff('day', o.period_end, c.period_end) - 365) <= 20 GROUP BY 1),
-q AS (SELECT entity, count(*) AS n, sum(value) AS s, min(period_start) AS a, max(period_end) AS b FROM (SELECT * FROM k WHERE kind = 'quarter' QUALIFY row_number() OVER (PARTITION BY entity ORDER BY period_end DESC) <= 4) GROUP BY 1),
-y AS (SELECT entity, max_by(value, period_end) AS v, max(period_end) AS e FROM k WHERE kind = 'annual' GROUP BY 1),
-r AS (SELECT c.entity, c.kind, c.value, c.period_end, py.v + c.value - pp.v AS rolled, q.n = 4 AND date_diff('day', q.a, q.b) BETWEEN 350 AND 380 AS four, q.s, q.b, y.v AS yv, y.e FROM c LEFT JOIN py USING (entity) LEFT JOIN pp USING (entity) LEFT JOIN q USING (entity) LEFT JOIN y USING (entity)),
-m AS (SELECT *, CASE WHEN kind = 'annual' THEN 'annual' WHEN rolled IS NOT NULL THEN 'ttm_annual_plus_ytd' WHEN four THEN 'ttm_4q' WHEN yv IS NOT NULL THEN 'annual_fallback' END AS method FROM r)
-SELECT entity, CASE method WHEN 'annual' THEN value WHEN 'ttm_annual_plus_ytd' THEN rolled WHEN 'ttm_4q' THEN s ELSE yv END AS value, CASE WHEN method IN ('annual', 'ttm_annual_plus_ytd') THEN period_end WHEN method = 'ttm_4q' THEN b ELSE e END AS period_end, method FROM m WHERE method IS NOT NULL""")
-def ttm_rollforward(spark, sf_dir):
-    return pit.trailing_year(_fixture(spark), "entity")
-
-
-_TAGS = [("A", "Revenues", 10.0, "2023-12-31"), ("A", "SalesRevenueNet", 11.0, "2024-03-31"), ("B", "Revenues", 20.0, "2023-12-31"), ("B", "SalesRevenueNet", 21.0, "2023-12-31"), ("C", "SalesRevenueNet", 30.0, "2021-01-31")]
-_TAG_VALUES = "tg AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{t}', CAST({v} AS DOUBLE), DATE '{d}')" for e, t, v, d in _TAGS) + ") x(entity, tag, value, period_end))"
-
-
-@query("concept_resolve", f"WITH {_TAG_VALUES} SELECT entity, CASE WHEN date_diff('day', period_end, DATE '2024-06-30') <= {C.DATA_AGE_DAYS} THEN value END AS value, period_end, tag FROM tg QUALIFY row_number() OVER (PARTITION BY entity ORDER BY period_end DESC, CASE tag WHEN 'Revenues' THEN 1 ELSE 2 END) = 1")
-def concept_resolve(spark, sf_dir):
-    rows = _inline(spark, _TAGS, "entity string, tag string, value double, period_end string").withColumn("period_end", F.to_date("period_end"))
-    return pit.concept(rows, ["Revenues", "SalesRevenueNet"], F.to_date(F.lit("2024-06-30")), "entity")
-
-
-@query("ratios", "WITH t AS (SELECT c_nationkey AS entity, avg(o_totalprice) AS price, CAST(count(*) AS DOUBLE) AS shares, sum(o_totalprice) AS revenue, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END) AS net_income, sum(c_acctbal) AS equity, max(CAST(o_orderdate AS DATE)) AS e1, max(CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) END) AS e2 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) SELECT CAST(entity AS BIGINT) AS entity, round(price * shares / nullif(net_income, 0), 6) AS trailing_pe, round(price * shares / nullif(revenue, 0), 6) AS price_to_sales, round(CASE WHEN abs(date_diff('day', e2, e1)) <= 20 THEN net_income / nullif(revenue, 0) END, 6) AS profit_margin, round(CASE WHEN equity > 0 THEN net_income / equity END, 6) AS return_on_equity FROM t")
-def ratios(spark, sf_dir):
-    o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
-    f = F.col("o_orderstatus") == "F"
-    t = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").cast("long").alias("entity")).agg(
-        F.avg("o_totalprice").alias("price"), F.count(F.lit(1)).cast("double").alias("shares"), F.sum("o_totalprice").alias("revenue"), F.sum(F.when(f, F.col("o_totalprice")).otherwise(-F.col("o_totalprice"))).alias("net_income"), F.sum("c_acctbal").alias("equity"),
-        F.max(F.to_date("o_orderdate")).alias("revenue_end"), F.max(F.when(f, F.to_date("o_orderdate"))).alias("net_income_end"),
-    )
-    none = {k: F.lit(None).cast("double") for k in ("operating_income", "total_debt", "current_assets", "current_liabilities")}
-    full = t.withColumns(none | {"operating_income_end": F.col("revenue_end"), "financial": F.lit(False)})
-    return rounded(pit.ratios(full).select("entity", "trailing_pe", "price_to_sales", "profit_margin", "return_on_equity"))
+    rows = o.select(F.col("o_custkey").cast("string").alias("accession"), F.col("o_orderkey").alias("owner"), F.concat(F.lit("n"), "o_orderkey").alias("owner_name"), F.when(F.col("o_orderpriority") < "4", F.concat(F.lit(" the "), "o_orderpriority")).otherwise(" ").alias("owner_title"), F.col("o_orderstatus").alias("relationship"), (F.col("o_orderpriority") == "1-URGENT").alias("is_officer"), (F.col("o_orderstatus") == "P").alias("is_director"))
+    return events.owners(rows)
 
 
 _EPS = "eps AS (SELECT CAST(c_nationkey AS BIGINT) AS entity, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period_end, avg(o_totalprice) / 1000 AS eps FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
@@ -200,6 +139,13 @@ def filing_cadence(spark, sf_dir):
     return pit.cadence(_facts(spark, sf_dir).filter("code = 'P'").select("entity", "filed_date").distinct())
 
 
+@query("earnings_timing", f"WITH {FACTS}, {NATIONS}, fd AS (SELECT DISTINCT entity, filed_date FROM facts WHERE code = 'P'), g AS (SELECT *, date_diff('day', lag(filed_date) OVER (PARTITION BY entity ORDER BY filed_date), filed_date) AS gap FROM fd), c AS (SELECT *, median(gap) OVER (PARTITION BY entity ORDER BY filed_date ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS cadence FROM g) SELECT nb.entity, nb.d, CAST(date_diff('day', c.filed_date, nb.d) AS INTEGER) AS days_since, cadence - date_diff('day', c.filed_date, nb.d) AS expected_until FROM nb ASOF LEFT JOIN c ON nb.entity = c.entity AND nb.d >= c.filed_date")
+def earnings_timing(spark, sf_dir):
+    """Days since the last filing, and until the next as the filer's own past gaps suggest it."""
+    filings = pit.cadence(_facts(spark, sf_dir).filter("code = 'P'").select("entity", "filed_date").distinct())
+    return pit.timing(asof.backward(_nation_weeks(spark, sf_dir), filings, "entity", "d", "filed_date", ["cadence"]), "d", "filed_date_asof")
+
+
 @query("revision_breadth", "SELECT o_custkey AS entity, round((o_totalprice - prev) / nullif(abs(prev), 0), 6) AS eps_revision_1m, CASE WHEN up + down > 0 THEN round((up - down) / CAST(up + down AS DOUBLE), 6) END AS eps_revision_breadth_30d FROM (SELECT o_custkey, o_totalprice, lag(o_totalprice) OVER w AS prev, o_orderkey % 4 AS up, o_orderkey % 3 AS down FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))")
 def revision_breadth(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
@@ -252,25 +198,6 @@ def sparse_fields(spark, sf_dir):
     return quality.sparse_fields(li, ["a", "b"])
 
 
-_HIST = "h AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS as_of_date, o_custkey AS member FROM orders WHERE o_custkey % 20 = 0)"
-
-
-def _history(spark, sf_dir):
-    return read(spark, sf_dir, "orders").filter("o_custkey % 20 = 0").select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("as_of_date"), F.col("o_custkey").alias("member")).distinct()
-
-
-@query("membership_asof", f"WITH {_HIST}, p AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE day(o_orderdate) = 15), w AS (SELECT d, max(as_of_date) AS as_of_date FROM p JOIN h ON as_of_date <= d GROUP BY 1) SELECT DISTINCT d, member FROM w JOIN h USING (as_of_date)")
-def membership_asof(spark, sf_dir):
-    days = read(spark, sf_dir, "orders").filter(F.dayofmonth("o_orderdate") == 15).select(F.to_date("o_orderdate").alias("d")).distinct()
-    return quality.members_as_of(_history(spark, sf_dir), days)
-
-
-@query("survivorship", f"WITH {_HIST}, t AS (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) SELECT as_of_date, count(*) AS members, count(*) FILTER (c_custkey IS NULL) AS missing, round(count(*) FILTER (c_custkey IS NULL) / CAST(count(*) AS DOUBLE) * 100, 6) AS missing_pct FROM h LEFT JOIN t ON member = c_custkey GROUP BY 1")
-def survivorship(spark, sf_dir):
-    tracked = read(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("member"))
-    return rounded(quality.survivorship(_history(spark, sf_dir), tracked))
-
-
 @query("symbol_match", "WITH w AS (SELECT DISTINCT p_brand AS ticker FROM part), dir AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN lower(replace(p_brand, '#', '-')) ELSE p_brand END AS symbol, CAST(hash_ AS BIGINT) AS cik FROM (SELECT *, CAST(substring(p_brand, 7) AS BIGINT) AS hash_ FROM part WHERE p_brand <> 'Brand#11')), ex AS (SELECT symbol AS ticker, min(cik) AS exact FROM dir GROUP BY 1), lo AS (SELECT regexp_replace(upper(symbol), '[^A-Z0-9]', '', 'g') AS norm, min(cik) AS loose FROM dir GROUP BY 1 HAVING count(DISTINCT cik) = 1) SELECT w.ticker, coalesce(exact, loose) AS cik FROM w LEFT JOIN ex USING (ticker) LEFT JOIN lo ON lo.norm = regexp_replace(upper(w.ticker), '[^A-Z0-9]', '', 'g')")
 def symbol_match(spark, sf_dir):
     p = read(spark, sf_dir, "part")
@@ -317,10 +244,12 @@ def item_codes(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", scalar.is_material(codes).alias("material"))
 
 
-@query("json_contract", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE props END AS facts FROM events")
+@query("json_contract", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE '{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || ',\"s\":\"x\"}' END AS facts FROM events")
 def json_contract(spark, sf_dir):
-    text = F.when(F.col("event_id") % 3 == 0, F.replace("props", F.lit('"k"'), F.lit('"other"'))).otherwise(F.concat(F.lit("Answer: "), F.col("props"), F.lit(" done")))
-    return read(spark, sf_dir, "events").select("event_id", scalar.one_json(text, ["k"]).alias("facts"))
+    """An answer with a key missing, one that is no JSON, one with the keys asked for, and one with more."""
+    k, inner = F.col("event_id") % 4, F.regexp_extract("props", r"\{(.*)\}", 1)
+    text = F.when(k == 0, F.concat(F.lit("Answer: {"), inner, F.lit("} done"))).when(k == 1, F.lit("{not json}")).when(k == 2, F.concat(F.lit("{"), inner, F.lit(', "s": "x"}'))).otherwise(F.concat(F.lit('Sure: {"s": "x", '), inner, F.lit(', "more": [1]} .')))
+    return read(spark, sf_dir, "events").select("event_id", scalar.one_json(text, ["k", "s"]).alias("facts"))
 
 
 @query("weekday_distance", "SELECT event_id, CAST((SELECT count(*) FROM range(1, 9) r(i) WHERE isodow(CAST(ts AS DATE) + CAST(i AS INTEGER)) <= 5) AS INTEGER) AS n FROM events")
@@ -329,10 +258,17 @@ def weekday_distance(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", scalar.weekdays_between(day, F.date_add(day, 9)).alias("n"))
 
 
-@query("sector_benchmark", "SELECT r_name AS sector, CASE r_name WHEN 'ASIA' THEN 'Health Care' ELSE r_name END AS normal, CASE r_name WHEN 'ASIA' THEN 'XLV' ELSE 'SPY' END AS benchmark FROM region")
+_SECTORS = [*C.SECTOR_NORMALIZE, *C.SECTOR_BENCHMARKS, "Other"]
+_OF_MAP = lambda pairs, x: "CASE " + x + " " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs.items())
+
+
+@query("sector_benchmark", f"WITH p AS (SELECT p_partkey, [{', '.join(repr(x) for x in _SECTORS)}][1 + CAST(p_partkey % {len(_SECTORS)} AS INTEGER)] AS sector, CASE p_partkey % 5 WHEN 0 THEN 'mid' WHEN 1 THEN 'small' ELSE 'large' END AS bucket, CASE WHEN p_partkey % 7 = 0 THEN 'Semiconductor Equipment' ELSE 'other' END AS industry FROM part), n AS (SELECT *, {_OF_MAP(C.SECTOR_NORMALIZE, 'sector')} ELSE sector END AS normal FROM p) SELECT p_partkey, sector, normal, CASE WHEN industry LIKE 'Semi%' THEN 'SMH' WHEN bucket = 'mid' THEN 'MDY' WHEN bucket = 'small' THEN 'IWM' ELSE {_OF_MAP(C.SECTOR_BENCHMARKS, 'normal')} ELSE 'SPY' END END AS benchmark FROM n")
 def sector_benchmark(spark, sf_dir):
-    r = read(spark, sf_dir, "region").select(F.col("r_name").alias("sector"), scalar.mapped(F.when(F.col("r_name") == "ASIA", "Healthcare").otherwise(F.col("r_name")), C.SECTOR_NORMALIZE).alias("normal"))
-    return r.withColumn("benchmark", scalar.benchmark_of(F.col("normal"), F.lit("large"), F.lit("other")))
+    """Names of sectors made alike, and the benchmark by industry, size and sector, for every name there is."""
+    k = F.col("p_partkey")
+    p = read(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*[F.lit(x) for x in _SECTORS]), (k % len(_SECTORS)).cast("int")).alias("sector"), F.when(k % 5 == 0, "mid").when(k % 5 == 1, "small").otherwise("large").alias("bucket"), F.when(k % 7 == 0, "Semiconductor Equipment").otherwise("other").alias("industry"))
+    n = p.withColumn("normal", scalar.mapped(F.col("sector"), C.SECTOR_NORMALIZE))
+    return n.select("p_partkey", "sector", "normal", scalar.benchmark_of(F.col("normal"), F.col("bucket"), F.col("industry")).alias("benchmark"))
 
 
 @query("stale_and_notes", "SELECT event_id, event_id % 2 = 1 AND NOT event_id % 3 = 1 AS stale, CASE WHEN value / 1000 > 0.1::DOUBLE THEN 'consider raising' WHEN value / 1000 < -0.05::DOUBLE THEN 'consider lowering' ELSE 'keep' END AS note FROM events WHERE value IS NOT NULL")
@@ -365,8 +301,8 @@ def trailing_dollar_adv(spark, sf_dir):
     return rounded(bars(spark, sf_dir).select("entity", "d", features.dollar_adv().alias("adv")))
 
 
-@query("expanding_percentile", f"WITH {O.MARKET}, x AS (SELECT entity, d, close, list(close) OVER (ORDER BY d) AS past FROM market) SELECT entity, d, CASE WHEN len(past) >= 60 THEN round(len(list_filter(past, lambda v: v < close)) / CAST(len(past) AS DOUBLE) * 100, 6) END AS pct FROM x")
+@query("expanding_percentile", f"WITH {O.MARKET}, x AS (SELECT entity, d, close, list(close) OVER (ORDER BY d) AS past FROM market) SELECT entity, d, CASE WHEN len(past) >= {C.MACRO_MIN_HISTORY} THEN round(len(list_filter(past, lambda v: v < close)) / CAST(len(past) AS DOUBLE) * 100, 6) END AS pct FROM x")
 def expanding_percentile(spark, sf_dir):
     from sextant.functions.windows import expanding_share_below
 
-    return rounded(bars(spark, sf_dir, "all").select("entity", "d", expanding_share_below(F.col("close"), 60).alias("pct")))
+    return rounded(bars(spark, sf_dir, "all").select("entity", "d", expanding_share_below(F.col("close"), C.MACRO_MIN_HISTORY).alias("pct")))

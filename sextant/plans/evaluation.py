@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant import config as C
-from sextant.functions.scalar import rounded
-from sextant.functions.stats import detectable, overlap_t
-from sextant.operators import forward, ranking, reports
+from sextant.functions.scalar import rounded, stale_fundamentals
+from sextant.functions.stats import detectable, overlap_t, spearman
+from sextant.operators import asof, forward, ranking, reports
 from sextant.plans import core
 from sextant.plans import oracle as O
-from sextant.sources.bars import bars, watchlist
+from sextant.sources.bars import bars, read, watchlist
+from sextant.sources.store import written
 
 QUERIES, ORACLES = {}, {}
-HORIZONS = (5, 20)
-NAMES = ("trend_component", "short_momentum_component", "risk_component", "setup_component")
+HORIZONS = forward.HORIZONS
+NAMES = O.COMPONENT_NAMES
+#: The components that fits of weights use.
+FEW = ("trend_component", "short_momentum_component", "risk_component", "setup_component")
 
 
 def query(name: str, sql: str | None = None):
@@ -35,9 +38,18 @@ def outcomes(spark, sf_dir) -> DataFrame:
     return forward.outcomes(bars(spark, sf_dir), watchlist(spark, sf_dir), bars(spark, sf_dir, "region"), bars(spark, sf_dir, "all"))
 
 
+def marked(df: DataFrame) -> DataFrame:
+    """df with `recovered` days, rows with fundamentals of their time, and `stale`: recovered without these."""
+    late, own = (F.weekofyear("d") % 9 == 0).cast("int"), F.when(F.col("entity") % 2 == 0, 1)
+    return df.withColumns({"recovered": late, "stale": stale_fundamentals(late, own)})
+
+
 def graded(spark, sf_dir) -> DataFrame:
-    """Scores joined with what followed."""
-    return core.scored(spark, sf_dir).select("entity", "d", *NAMES, *C.SCORE_WEIGHTS).join(outcomes(spark, sf_dir), ["entity", "d"])
+    """Scores joined with what followed, from bars that are made once."""
+    b = written(bars(spark, sf_dir), "bars")
+    scores = core.scored(spark, sf_dir, b).select("entity", "d", *NAMES, *C.SCORE_WEIGHTS)
+    out = forward.outcomes(b, watchlist(spark, sf_dir), bars(spark, sf_dir, "region"), bars(spark, sf_dir, "all"))
+    return marked(scores.join(out, ["entity", "d"]))
 
 
 def _lead(h: int, table: str, prefix: str) -> str:
@@ -55,19 +67,35 @@ OUT = f"""own_f AS (SELECT *, {", ".join(_lead(h, "bars", "future_return") for h
 ), outcome AS (SELECT own_f.entity, own_f.d, sector, {", ".join(f"future_return_{h}d, future_benchmark_return_{h}d, future_index_return_{h}d, future_return_{h}d - future_benchmark_return_{h}d AS future_excess_return_{h}d" for h in _H)}, {", ".join(_fall(n) for n in forward.DRAWDOWN_HORIZONS)}
   FROM own_f JOIN watch USING (entity) LEFT JOIN bench_f ON bench_f.benchmark = watch.benchmark AND bench_f.d = own_f.d LEFT JOIN index_f ON index_f.d = own_f.d)"""
 ONLY_OUT = f"WITH {O.WATCH}, {O.BARS}, {O.REGION}, {O.MARKET}, {OUT}"
-GRADED = f"WITH {O.SCORES}, {O.MARKET}, {OUT}, graded AS (SELECT s.entity, s.d, {', '.join(f's.{n}' for n in (*NAMES, *C.SCORE_WEIGHTS))}, o.* EXCLUDE (entity, d) FROM scored s JOIN outcome o ON s.entity = o.entity AND s.d = o.d)"
-LONG = f"{GRADED}, long_ AS (" + " UNION ALL ".join(f"SELECT entity, d, {h} AS horizon, score_{h}d AS score, future_excess_return_{h}d AS excess, {f'max_drawdown_after_{h}d' if h in forward.DRAWDOWN_HORIZONS else 'CAST(NULL AS DOUBLE)'} AS fall FROM graded" for h in HORIZONS) + "), full_ AS (SELECT * FROM long_ WHERE excess IS NOT NULL AND score IS NOT NULL)"
-MIN_NAMES = 5
-DAYS = f"{LONG}, days AS (SELECT *, count(*) OVER (PARTITION BY horizon, d) AS names, min(score) OVER (PARTITION BY horizon, d) AS lowest, max(score) OVER (PARTITION BY horizon, d) AS highest FROM full_ QUALIFY count(*) OVER (PARTITION BY horizon, d) >= {MIN_NAMES})"
+_STALE = "weekofyear(s.d) % 9 = 0 AND s.entity % 2 <> 0 AS stale"
+GRADED = f"WITH {O.SCORES}, {O.MARKET}, {OUT}, graded AS (SELECT s.entity, s.d, {', '.join(f's.{n}' for n in (*NAMES, *C.SCORE_WEIGHTS))}, CAST(weekofyear(s.d) % 9 = 0 AS INTEGER) AS recovered, {_STALE}, o.* EXCLUDE (entity, d) FROM scored s JOIN outcome o ON s.entity = o.entity AND s.d = o.d)"
+LONG = f"{GRADED}, long_ AS (" + " UNION ALL ".join(f"SELECT entity, d, stale, {h} AS horizon, score_{h}d AS score, future_excess_return_{h}d AS excess, {f'max_drawdown_after_{h}d' if h in forward.DRAWDOWN_HORIZONS else 'CAST(NULL AS DOUBLE)'} AS fall FROM graded" for h in HORIZONS) + "), full_ AS (SELECT * FROM long_ WHERE excess IS NOT NULL AND score IS NOT NULL)"
+MIN_NAMES = C.DECILE_MIN_NAMES
+DAYS = f"{LONG}, days AS (SELECT *, count(*) OVER (PARTITION BY horizon, d) AS names, min(score) OVER (PARTITION BY horizon, d) AS lowest, max(score) OVER (PARTITION BY horizon, d) AS highest FROM full_ WHERE NOT stale QUALIFY count(*) OVER (PARTITION BY horizon, d) >= {MIN_NAMES})"
 _DEC = O.rank("score", "horizon, d", "DESC")
 DEC = f"{DAYS}, dec AS (SELECT *, CAST(least(10, greatest(1, ceil(round({_DEC} / 100 * 10, 9)))) AS INTEGER) AS decile FROM days WHERE lowest < highest), dd AS (SELECT horizon, d, decile, avg(excess) AS mean, median(excess) AS median, avg(CASE WHEN excess > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS hit, count(*) AS names FROM dec GROUP BY 1, 2, 3)"
-PAIRS = f"{GRADED}, pairs AS (" + " UNION ALL ".join(f"SELECT d, entity, '{n}' AS series, {h} AS horizon, {n} AS value, future_excess_return_{h}d AS excess FROM graded" for n in NAMES for h in HORIZONS) + ")"
 
 
-def _ic(keys: str, least: int) -> str:
+def pairs_sql(source: str, names, horizons, excess: str = "future_excess_return_{h}d", more: str = "") -> str:
+    """CTE `pairs` (d, entity, more, series, horizon, value, excess) from a frame with components and outcomes."""
+    value = lambda n: f"CASE WHEN NOT stale THEN {n} END" if n in C.SITOUT else n
+    series = ", ".join(f"{{'series': '{n}', 'value': {value(n)}}}" for n in names)
+    ahead = ", ".join(f"{{'horizon': {h}, 'excess': {excess.format(h=h)}}}" for h in horizons)
+    return f"pairs0 AS (SELECT d, entity{more}, unnest([{series}]) AS s, [{ahead}] AS hs FROM {source}), pairs1 AS (SELECT d, entity{more}, s, unnest(hs) AS h FROM pairs0), pairs AS (SELECT d, entity{more}, s.series AS series, s.value AS value, h.horizon AS horizon, h.excess AS excess FROM pairs1)"
+
+
+def ic_sql(keys: str, least: int, source: str = "pairs", out: str = "ic") -> str:
+    """CTE `out`: correlations of value and excess by keys over complete pairs."""
     avg_rank = lambda x: f"rank() OVER (PARTITION BY {keys} ORDER BY {x}) + (count(*) OVER (PARTITION BY {keys}, {x}) - 1) / 2.0::DOUBLE"
     corr = lambda a, b: f"CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 1e-15 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END"
-    return f"{PAIRS}, re AS (SELECT *, {avg_rank('value')} AS rx, {avg_rank('excess')} AS ry FROM pairs WHERE value IS NOT NULL AND excess IS NOT NULL), ic AS (SELECT {keys}, count(*) AS n, {corr('value', 'excess')} AS pearson_ic, {corr('rx', 'ry')} AS spearman_ic FROM re GROUP BY {keys} HAVING count(*) >= {least})"
+    return f"{out}_r AS (SELECT *, {avg_rank('value')} AS rx, {avg_rank('excess')} AS ry FROM {source} WHERE value IS NOT NULL AND excess IS NOT NULL), {out} AS (SELECT {keys}, count(*) AS n, {corr('value', 'excess')} AS pearson_ic, {corr('rx', 'ry')} AS spearman_ic FROM {out}_r GROUP BY {keys} HAVING count(*) >= {least})"
+
+
+PAIRS = f"{GRADED}, {pairs_sql('graded', NAMES, HORIZONS)}"
+
+
+def _ic(keys: str, least: int, names=NAMES, horizons=HORIZONS) -> str:
+    return f"{GRADED}, {pairs_sql('graded', names, horizons)}, {ic_sql(keys, least)}"
 
 
 _FR = tuple(f"future_{k}_{h}d" for h in _H for k in ("return", "benchmark_return", "index_return", "excess_return"))
@@ -114,14 +142,25 @@ def selection_report(spark, sf_dir):
     return rounded(reports.selections(reports.cross_sections(reports.long_form(graded(spark, sf_dir), HORIZONS), MIN_NAMES)))
 
 
-@query("component_ic", f"{_ic('series, horizon', 5)} SELECT series, horizon, n, round(pearson_ic, 6) AS pearson_ic, round(spearman_ic, 6) AS spearman_ic FROM ic")
+_RECENT = "recent AS (SELECT * FROM pairs WHERE d IN (SELECT d FROM (SELECT DISTINCT d FROM graded WHERE recovered = 0) ORDER BY d DESC LIMIT 60))"
+_BOTH = f"{_ic('series, horizon', 5)}, {_RECENT}, {ic_sql('series, horizon', 5, 'recent', 'ric')}"
+
+
+def _pooled(spark, sf_dir):
+    """Pooled ICs of all rows, and of those of the newest 60 days that ran live."""
+    df = written(graded(spark, sf_dir), "graded")
+    return reports.pooled_ic(df, NAMES, HORIZONS), reports.pooled_ic(reports.newest_days(df, 60, "recovered = 0"), NAMES, HORIZONS)
+
+
+@query("component_ic", f"{_BOTH} SELECT 'all' AS span, series, horizon, n, round(pearson_ic, 6) AS pearson_ic, round(spearman_ic, 6) AS spearman_ic FROM ic UNION ALL SELECT 'recent', series, horizon, n, round(pearson_ic, 6), round(spearman_ic, 6) FROM ric")
 def component_ic(spark, sf_dir):
-    return rounded(reports.pooled_ic(graded(spark, sf_dir), NAMES, HORIZONS))
+    full, recent = _pooled(spark, sf_dir)
+    return rounded(full.withColumn("span", F.lit("all")).unionByName(recent.withColumn("span", F.lit("recent"))))
 
 
-@query("daily_ic", f"{_ic('series, horizon, d', 5)} SELECT series, horizon, d, n, round(pearson_ic, 6) AS pearson_ic, round(spearman_ic, 6) AS spearman_ic FROM ic")
+@query("daily_ic", f"{_ic('series, horizon, d', MIN_NAMES)} SELECT series, horizon, d, n, round(pearson_ic, 6) AS pearson_ic, round(spearman_ic, 6) AS spearman_ic FROM ic")
 def daily_ic(spark, sf_dir):
-    return rounded(reports.daily_ic(graded(spark, sf_dir), NAMES, HORIZONS, 5))
+    return rounded(reports.daily_ic(graded(spark, sf_dir), NAMES, HORIZONS, MIN_NAMES))
 
 
 _ORD = "CASE WHEN {x} IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY series, horizon, d ORDER BY {x} NULLS LAST, entity) AS DOUBLE) END"
@@ -132,22 +171,64 @@ def ordinal_daily_ic(spark, sf_dir):
     return rounded(reports.ordinal_daily_ic(graded(spark, sf_dir), NAMES, HORIZONS))
 
 
-@query("ic_decay", f"{_ic('series, horizon, d', 5)}, ag AS (SELECT series, horizon, count(*) AS n_days, avg(spearman_ic) AS m, stddev_samp(spearman_ic) AS s, avg(CASE WHEN round(spearman_ic, 9) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS pos, min(d) AS first_day, max(d) AS last_day FROM ic WHERE spearman_ic IS NOT NULL GROUP BY 1, 2) SELECT series, horizon, n_days, round(m, 6) AS mean_ic, round(s, 6) AS std_ic, round(pos, 6) AS pct_positive, first_day, last_day, round(CASE WHEN s > 0 THEN m / (s / sqrt(greatest(1.0::DOUBLE, n_days / CAST(horizon AS DOUBLE)))) END, 6) AS t_stat, n_days >= 60 AS adequate FROM ag")
+@query("ic_decay", f"{_ic('series, horizon, d', MIN_NAMES)}, ag AS (SELECT series, horizon, count(*) AS n_days, avg(spearman_ic) AS m, stddev_samp(spearman_ic) AS s, avg(CASE WHEN round(spearman_ic, 9) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS pos, min(d) AS first_day, max(d) AS last_day FROM ic WHERE spearman_ic IS NOT NULL GROUP BY 1, 2) SELECT series, horizon, n_days, round(m, 6) AS mean_ic, round(s, 6) AS std_ic, round(pos, 6) AS pct_positive, first_day, last_day, round(CASE WHEN s > 0 THEN m / (s / sqrt(greatest(1.0::DOUBLE, n_days / CAST(horizon AS DOUBLE)))) END, 6) AS t_stat, n_days >= 60 AS adequate FROM ag")
 def ic_decay(spark, sf_dir):
-    return rounded(reports.decay(reports.daily_ic(graded(spark, sf_dir), NAMES, HORIZONS, 5)))
+    return rounded(reports.decay(reports.daily_ic(graded(spark, sf_dir), NAMES, HORIZONS, MIN_NAMES)))
 
 
-@query("sector_ic_decay", f"{_ic('series, horizon, d', 5).replace('SELECT d, entity,', 'SELECT d, sector, entity,').replace('series, horizon, d', 'sector, series, horizon, d')} SELECT sector, series, horizon, count(*) AS n_days, round(avg(spearman_ic), 6) AS mean_ic FROM ic WHERE spearman_ic IS NOT NULL GROUP BY 1, 2, 3")
-def sector_ic_decay(spark, sf_dir):
-    """Daily ICs within each group (size bucket or sector) against the common outcome."""
-    from sextant.functions.stats import spearman
+@query("ic_decay_common", f"{_ic('series, horizon, d', MIN_NAMES)}, th AS (SELECT d, count(DISTINCT series) AS k FROM ic WHERE horizon = 120 AND spearman_ic IS NOT NULL GROUP BY 1), cd AS (SELECT d FROM th WHERE k = (SELECT count(DISTINCT series) FROM ic WHERE horizon = 120 AND spearman_ic IS NOT NULL)) SELECT series, horizon, count(*) AS n_days, round(avg(spearman_ic), 6) AS mean_ic, min(d) AS first_day, max(d) AS last_day FROM ic WHERE spearman_ic IS NOT NULL AND d IN (SELECT d FROM cd) GROUP BY 1, 2")
+def ic_decay_common(spark, sf_dir):
+    """Decay over the days on which every component has an IC at the longest horizon."""
+    ics = written(reports.daily_ic(graded(spark, sf_dir), NAMES, HORIZONS, MIN_NAMES), "ics")
+    return rounded(reports.decay(reports.common_days(ics, 120)).select("series", "horizon", "n_days", "mean_ic", "first_day", "last_day"))
+
 
-    df = graded(spark, sf_dir)
-    long = reports.unpivoted(df, NAMES, HORIZONS).join(df.select("entity", "d", "sector"), ["entity", "d"])
-    ics = spearman(long, "value", "excess", "sector", "series", "horizon", "d", least=5)
+@query("sector_ic_decay", f"{GRADED}, {pairs_sql('graded', FEW, (5, 20), more=', sector')}, {ic_sql('sector, series, horizon, d', 5)} SELECT sector, series, horizon, count(*) AS n_days, round(avg(spearman_ic), 6) AS mean_ic FROM ic WHERE spearman_ic IS NOT NULL GROUP BY 1, 2, 3")
+def sector_ic_decay(spark, sf_dir):
+    """Daily ICs within each sector."""
+    ics = spearman(reports.unpivoted(graded(spark, sf_dir), FEW, (5, 20), "sector"), "value", "excess", "sector", "series", "horizon", "d", least=5)
     return rounded(ics.filter("spearman_ic IS NOT NULL").groupBy("sector", "series", "horizon").agg(F.count(F.lit(1)).alias("n_days"), F.avg("spearman_ic").alias("mean_ic")))
 
 
+_BUCKET = "CASE WHEN s_acctbal < 2500 THEN 'small' WHEN s_acctbal < 6000 THEN 'mid' ELSE 'large' END"
+_OVER = ", ".join(f"future_return_{h}d - future_index_return_{h}d AS over_{h}" for h in (5, 20, 60))
+
+
+@query("size_bucket_decay", f"{GRADED}, sized AS (SELECT graded.*, {_BUCKET} AS bucket, {_OVER} FROM graded JOIN supplier ON s_suppkey = entity), {pairs_sql('sized', FEW, (5, 20, 60), 'over_{h}', ', bucket')}, {ic_sql('bucket, series, horizon, d', 10)}, ag AS (SELECT bucket, series, horizon, count(*) AS n_days, avg(spearman_ic) AS m, stddev_samp(spearman_ic) AS s FROM ic WHERE spearman_ic IS NOT NULL GROUP BY 1, 2, 3) SELECT bucket, series, horizon, n_days, round(m, 6) AS mean_ic, round(CASE WHEN s > 0 THEN m / (s / sqrt(greatest(1.0::DOUBLE, n_days / CAST(horizon AS DOUBLE)))) END, 6) AS t_stat FROM ag")
+def size_bucket_decay(spark, sf_dir):
+    """Daily ICs within each size bucket, all against one benchmark: the market."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity"), F.when(F.col("s_acctbal") < 2500, "small").when(F.col("s_acctbal") < 6000, "mid").otherwise("large").alias("bucket"))
+    df = graded(spark, sf_dir).withColumns({f"future_excess_return_{h}d": F.col(f"future_return_{h}d") - F.col(f"future_index_return_{h}d") for h in (5, 20, 60)})
+    ics = spearman(reports.unpivoted(df.join(s, "entity"), FEW, (5, 20, 60), "bucket"), "value", "excess", "bucket", "series", "horizon", "d", least=10)
+    out = ics.filter("spearman_ic IS NOT NULL").groupBy("bucket", "series", "horizon").agg(F.count(F.lit(1)).alias("n_days"), F.avg("spearman_ic").alias("mean_ic"), F.stddev_samp("spearman_ic").alias("s"))
+    return rounded(out.withColumn("t_stat", overlap_t(F.col("mean_ic"), F.col("s"), F.col("n_days"), F.col("horizon"))).drop("s"))
+
+
+_LEGS = {"profit_margin": 1, "operating_margin": 1, "return_on_equity": 1, "debt_to_equity": -1}
+_LEG_SQL = f"WITH {O.WATCH}, {O.BARS}, {O.REGION}, {O.MARKET}, {OUT}, {O.REPORTED}, qd AS (SELECT o.entity, o.d, FALSE AS stale, {', '.join(f'p.{f} * {sign} AS {f}' for f, sign in _LEGS.items())}, future_excess_return_20d FROM outcome o ASOF LEFT JOIN reported p ON o.entity = p.entity AND o.d >= p.filed_date), {pairs_sql('qd', tuple(_LEGS), (20,))}, {ic_sql('series, horizon, d', MIN_NAMES)}"
+
+
+def _leg_ics(spark, sf_dir):
+    """Daily ICs of the quality figures, each with the sign that makes more better."""
+    df = asof.backward(outcomes(spark, sf_dir), core.reported(spark, sf_dir), "entity", "d", "filed_date", list(_LEGS)).withColumns({f: F.col(f) * F.lit(float(s)) for f, s in _LEGS.items()})
+    return reports.daily_ic(df, tuple(_LEGS), (20,), MIN_NAMES)
+
+
+@query("quality_decomposition", f"{_LEG_SQL}, ag AS (SELECT series, count(*) AS n_days, avg(spearman_ic) AS m, stddev_samp(spearman_ic) AS s FROM ic WHERE spearman_ic IS NOT NULL GROUP BY 1) SELECT series, n_days, round(m, 6) AS mean_ic, round(CASE WHEN s > 0 THEN m / (s / sqrt(greatest(1.0::DOUBLE, n_days / 20.0::DOUBLE))) END, 6) AS t_stat FROM ag")
+def quality_decomposition(spark, sf_dir):
+    """What each leg of the quality composite is worth by itself."""
+    return rounded(reports.decay(_leg_ics(spark, sf_dir)).select("series", "n_days", "mean_ic", "t_stat"))
+
+
+_LEG_PAIRS = [(a, b) for i, a in enumerate(_LEGS) for b in list(_LEGS)[i + 1 :]]
+
+
+@query("ic_correlation", f"{_LEG_SQL}, bp AS (SELECT a.series AS a, b.series AS b, a.spearman_ic AS value, b.spearman_ic AS excess FROM ic a JOIN ic b USING (horizon, d) JOIN (VALUES {', '.join(str(p) for p in _LEG_PAIRS)}) p(x, y) ON a.series = x AND b.series = y), {ic_sql('a, b', 10, 'bp', 'cc')} SELECT a, b, n, round(pearson_ic, 6) AS pearson_ic, round(spearman_ic, 6) AS spearman_ic FROM cc")
+def ic_correlation(spark, sf_dir):
+    """How the daily ICs of two legs go together."""
+    return rounded(reports.series_correlation(_leg_ics(spark, sf_dir), _LEG_PAIRS).select("a", "b", "n", "pearson_ic", "spearman_ic"))
+
+
 _COH = f"{LONG}, nm AS (SELECT *, {O.label('score')} AS label, row_number() OVER (PARTITION BY horizon, d ORDER BY round(score, 6) DESC, entity) AS place FROM full_), coh AS (SELECT d, horizon, count(*) FILTER (label = 'strong') AS n_strong, count(*) FILTER (label = 'strong' AND excess > 0) AS strong_hits, count(*) FILTER (label = 'weak') AS n_weak, count(*) FILTER (label = 'weak' AND excess < 0) AS weak_hits, count(*) FILTER (place <= 10) AS n_top, count(*) FILTER (place <= 10 AND excess > 0) AS top_hits, avg(excess) FILTER (place <= 10) AS top_avg_excess FROM nm GROUP BY 1, 2)"
 
 
@@ -161,19 +242,43 @@ def scoreboard(spark, sf_dir):
     return rounded(reports.scoreboard(reports.cohorts(reports.long_form(graded(spark, sf_dir), HORIZONS))))
 
 
-@query("ic_drift", f"{_ic('series, horizon, d', 5)}, bk AS (SELECT *, dense_rank() OVER (PARTITION BY series, horizon ORDER BY d DESC) AS back FROM ic), dr AS (SELECT series, horizon, avg(spearman_ic) AS f, avg(spearman_ic) FILTER (back <= 60) AS r FROM bk GROUP BY 1, 2) SELECT series, horizon, round(f, 6) AS full_ic, round(r, 6) AS recent_ic, abs(round(r - f, 9)) >= 0.05::DOUBLE AS drifted FROM dr")
+@query("ic_drift", f"{_BOTH} SELECT series, horizon, round(ic.spearman_ic, 6) AS full_ic, round(ric.spearman_ic, 6) AS recent_ic, abs(round(ric.spearman_ic - ic.spearman_ic, 9)) >= 0.05::DOUBLE AS drifted FROM ic LEFT JOIN ric USING (series, horizon)")
 def ic_drift(spark, sf_dir):
-    return rounded(reports.ic_drift(reports.daily_ic(graded(spark, sf_dir), NAMES, HORIZONS, 5)))
+    return rounded(reports.ic_drift(*_pooled(spark, sf_dir)))
+
+
+@query("ic_ranking", f"{_ic('series, horizon', 5)} SELECT row_number() OVER (ORDER BY spearman_ic DESC NULLS LAST, series) AS place, series, round(spearman_ic, 6) AS spearman_ic FROM ic WHERE horizon = 20")
+def ic_ranking(spark, sf_dir):
+    return rounded(reports.ic_ranking(reports.pooled_ic(graded(spark, sf_dir), NAMES, (20,)), 20).withColumn("place", F.col("place").cast("long")))
+
+
+@query("weight_notes", f"{_ic('series, horizon', 5)} SELECT series, horizon, CASE WHEN round(spearman_ic, 6) > 0.1::DOUBLE THEN 'IC ' || printf('%.3f', round(spearman_ic, 6)) || ': consider raising its weight' WHEN round(spearman_ic, 6) < -0.05::DOUBLE THEN 'IC ' || printf('%.3f', round(spearman_ic, 6)) || ': consider lowering its weight' WHEN spearman_ic IS NOT NULL THEN 'IC ' || printf('%.3f', round(spearman_ic, 6)) || ': keep its weight' END AS note FROM ic")
+def weight_notes(spark, sf_dir):
+    """What each component's IC suggests, in words."""
+    from sextant.functions.scalar import weight_sentence
+
+    ics = reports.pooled_ic(graded(spark, sf_dir), NAMES, HORIZONS)
+    return ics.select("series", "horizon", weight_sentence(F.round("spearman_ic", 6)).alias("note"))
+
+
+_LAB = O.label("score")
+_N = lambda name: f"count(*) FILTER ({_LAB} = '{name}')"
+
+
+@query("hit_rate_table", f"{LONG} SELECT horizon, {_N('strong')} AS n_strong, round(avg(CASE WHEN excess > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER ({_LAB} = 'strong'), 6) AS strong_hit_pct, {_N('weak')} AS n_weak, round(avg(CASE WHEN excess < 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER ({_LAB} = 'weak'), 6) AS weak_hit_pct FROM full_ GROUP BY 1")
+def hit_rate_table(spark, sf_dir):
+    return rounded(reports.hit_rates(reports.long_form(graded(spark, sf_dir), HORIZONS)))
 
 
 _MOVE = f"{O.SCORES}, ranked_ AS (SELECT d, entity, score_20d, row_number() OVER (PARTITION BY d ORDER BY round(score_20d, 6) DESC, entity) AS place FROM scored WHERE score_20d IS NOT NULL), last_ AS (SELECT d, row_number() OVER (ORDER BY d DESC) AS k FROM (SELECT DISTINCT d FROM ranked_)), now_ AS (SELECT r.* FROM ranked_ r JOIN last_ USING (d) WHERE k = 1), then_ AS (SELECT r.* FROM ranked_ r JOIN last_ USING (d) WHERE k = 2)"
 
 
 def _last_two(spark, sf_dir):
+    """Ranked rows of the last two dates with scores; only these are ranked."""
     place = F.row_number().over(Window.partitionBy("d").orderBy(F.desc(F.round("score_20d", 6)), "entity"))
-    ranked = core.scored(spark, sf_dir).filter("score_20d IS NOT NULL").select("d", "entity", "score_20d", place.alias("place"))
-    days = ranked.select("d").distinct().orderBy(F.desc("d")).limit(2)
-    both = ranked.join(F.broadcast(days), "d").withColumn("k", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("d"))))
+    found = written(core.scored(spark, sf_dir).filter("score_20d IS NOT NULL").select("d", "entity", "score_20d"), "scores")
+    days = found.select("d").distinct().orderBy(F.desc("d")).limit(2)
+    both = found.join(F.broadcast(days), "d").select("d", "entity", "score_20d", place.alias("place")).withColumn("k", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("d"))))
     return both.filter("k = 1"), both.filter("k = 2")
 
 
@@ -190,6 +295,14 @@ def entered_exited(spark, sf_dir):
     return now.subtract(then).withColumn("what", F.lit("entered")).unionByName(then.subtract(now).withColumn("what", F.lit("exited")))
 
 
+@query("biggest_movers", f"WITH {_MOVE}, mv AS (SELECT n.entity, round(n.score_20d - t.score_20d, 1) + 0.0 AS moved FROM now_ n JOIN then_ t ON n.entity = t.entity), up AS (SELECT *, row_number() OVER (ORDER BY moved DESC, entity) AS k FROM mv WHERE moved > 0), dn AS (SELECT *, row_number() OVER (ORDER BY moved, entity) AS k FROM mv WHERE moved < 0) SELECT 'up' AS side, k AS place, entity, moved FROM up WHERE k <= 5 UNION ALL SELECT 'down', k, entity, moved FROM dn WHERE k <= 5")
+def biggest_movers(spark, sf_dir):
+    """The five names that rose and that fell most between the last two dates."""
+    now, then = _last_two(spark, sf_dir)
+    moved = now.select("entity", "score_20d").join(then.select("entity", F.col("score_20d").alias("before")), "entity").select("entity", (F.round(F.col("score_20d") - F.col("before"), 1) + F.lit(0.0)).alias("moved"))
+    return ranking.movers(moved, "moved", 5)
+
+
 @query("selection_power", f"{DAYS}, dm AS (SELECT horizon, d, avg(excess) AS m FROM days GROUP BY 1, 2), ag AS (SELECT horizon, count(*) AS n_days, avg(m) AS mean, stddev_samp(m) AS std FROM dm GROUP BY 1) SELECT horizon, n_days, round(mean, 6) AS mean, round(CASE WHEN std > 0 THEN mean / (std / sqrt(greatest(1.0::DOUBLE, n_days / CAST(horizon AS DOUBLE)))) END, 6) AS t_stat, round(2.8::DOUBLE * std / sqrt(greatest(1.0::DOUBLE, n_days / CAST(horizon AS DOUBLE))), 6) AS detectable FROM ag")
 def selection_power(spark, sf_dir):
     daily = reports.cross_sections(reports.long_form(graded(spark, sf_dir), HORIZONS), MIN_NAMES).groupBy("horizon", "d").agg(F.avg("excess").alias("m"))
@@ -198,55 +311,24 @@ def selection_power(spark, sf_dir):
     return rounded(ag.select("horizon", "n_days", "mean", overlap_t(F.col("mean"), F.col("std"), *args).alias("t_stat"), detectable(F.col("std"), *args).alias("detectable")))
 
 
-_FUND = f"{O.WATCH}, fund AS (SELECT l_suppkey AS entity, CAST(date_trunc('year', l_shipdate) AS DATE) AS d, sum(l_extendedprice) / nullif(sum(l_tax * 100), 0) AS trailing_pe, avg(l_extendedprice) AS price_to_sales, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE max(l_quantity) END AS ev_to_ebitda, CAST(NULL AS DOUBLE) AS price_to_book, avg(l_discount) AS profit_margin, avg(l_tax) AS operating_margin, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE avg(l_discount - l_tax) END AS return_on_equity, sum(l_quantity) AS debt_to_equity, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE avg(l_quantity) END AS short_percent_of_float FROM lineitem GROUP BY 1, 2), fs AS (SELECT fund.*, CASE WHEN entity % 11 = 0 THEN NULL ELSE sector END AS sector FROM fund JOIN watch USING (entity))"
+_FUND = f"{O.WATCH}, {O.REPORTED}, fr AS (SELECT p.* EXCLUDE (filed_date), filed_date AS d, CASE WHEN p.entity % 11 = 0 THEN NULL WHEN p.entity % 13 = 0 THEN '{C.INDEX_SECTOR}' ELSE sector END AS sector FROM reported p JOIN watch USING (entity))"
 
 
 def _fundamentals(spark, sf_dir):
-    """Yearly figures of suppliers that stand for fundamentals, some of them missing."""
-    from sextant.sources.bars import read
-
-    k = F.col("l_suppkey")
-    drop = lambda n, x: F.when(F.first("l_suppkey") % n != 0, x)
-    li = read(spark, sf_dir, "lineitem").withColumn("d", F.to_date(F.date_trunc("year", "l_shipdate")))
-    found = li.groupBy(k.cast("long").alias("entity"), "d").agg(
-        F.try_divide(F.sum("l_extendedprice"), F.sum(F.col("l_tax") * 100)).alias("trailing_pe"), F.avg("l_extendedprice").alias("price_to_sales"), drop(3, F.max("l_quantity")).alias("ev_to_ebitda"), F.lit(None).cast("double").alias("price_to_book"),
-        F.avg("l_discount").alias("profit_margin"), F.avg("l_tax").alias("operating_margin"), drop(4, F.avg(F.col("l_discount") - F.col("l_tax"))).alias("return_on_equity"), F.sum("l_quantity").alias("debt_to_equity"), drop(5, F.avg("l_quantity")).alias("short_percent_of_float"),
-    )
-    out = found.join(watchlist(spark, sf_dir), "entity").withColumn("sector", F.when(F.col("entity") % 11 != 0, F.col("sector")))
-    fields = [f for g in C.COMPOSITES.values() for f in g["fields"]]
-    return out.withColumns({f: F.round(f, 9) for f in fields})
-
-
-_FUND9 = _FUND + ", fr AS (SELECT entity, d, sector, " + ", ".join(f"round({f}, 9) AS {f}" for g in C.COMPOSITES.values() for f in g["fields"]) + " FROM fs)"
+    """Yearly figures of suppliers, some of them missing, with a few that are an index and a few without a sector."""
+    out = core.reported(spark, sf_dir).withColumnRenamed("filed_date", "d").join(watchlist(spark, sf_dir), "entity")
+    return out.withColumn("sector", F.when(F.col("entity") % 11 == 0, None).when(F.col("entity") % 13 == 0, C.INDEX_SECTOR).otherwise(F.col("sector")))
 
 
 def _comp_sql(neutral: bool) -> str:
-    parts = []
-    for name, g in C.COMPOSITES.items():
-        some = f"coalesce({', '.join(g['fields'])}) IS NOT NULL"
-        big = f"sum(CASE WHEN {some} THEN 1 ELSE 0 END) OVER (PARTITION BY d, sector) >= {C.SECTOR_MIN_MEMBERS}"
-        ranks = []
-        for f in g["fields"]:
-            order = "DESC" if f in g["inverted"] else "ASC"
-            over = O.rank(f, "d", order)
-            if neutral and name != "short_interest_percentile":
-                over = f"CASE WHEN {big} AND sector IS NOT NULL THEN {O.rank(f, 'd, sector', order)} WHEN NOT ({big}) THEN {over} END"
-            ranks.append(over)
-        parts.append((name, ranks, some, big))
-    first = "SELECT *, " + ", ".join(f"{r} AS {n}_{i}" for n, rs, _, _ in parts for i, r in enumerate(rs)) + ", " + ", ".join(f"({big}) AS big_{n}, ({some}) AS some_{n}" for n, _, some, big in parts) + " FROM fr"
-    mean = lambda n, rs: "(" + " + ".join(f"coalesce({n}_{i}, 0.0::DOUBLE)" for i in range(len(rs))) + ") / nullif(" + " + ".join(f"CASE WHEN {n}_{i} IS NULL THEN 0 ELSE 1 END" for i in range(len(rs))) + ", 0)"
-    cols = ", ".join(f"round({mean(n, rs)}, 6) AS {n}" for n, rs, _, _ in parts)
-    fall = " OR ".join(f"(some_{n} AND NOT big_{n} AND ({mean(n, rs)}) IS NOT NULL)" for n, rs, _, _ in parts if n != "short_interest_percentile") if neutral else "FALSE"
-    return f"WITH {_FUND9}, c1 AS ({first}) SELECT entity, d, {cols}, {fall} AS sector_rank_fallback FROM c1"
+    return f"WITH {_FUND}, {O.composites('fr', 'composed', neutral)} SELECT entity, d, {O.r6(*C.COMPOSITES)}, sector_rank_fallback FROM composed"
 
 
 @query("composite_percentile", _comp_sql(False))
 def composite_percentile(spark, sf_dir):
-    return core.picked(ranking.composites(_fundamentals(spark, sf_dir), C.COMPOSITES), *C.COMPOSITES, "sector_rank_fallback")
+    return core.picked(ranking.composites(written(_fundamentals(spark, sf_dir), "figures"), C.COMPOSITES), *C.COMPOSITES, "sector_rank_fallback")
 
 
 @query("sector_neutral_rank", _comp_sql(True))
 def sector_neutral_rank(spark, sf_dir):
-    return core.picked(ranking.composites(_fundamentals(spark, sf_dir), C.COMPOSITES, ("value_percentile", "quality_percentile")), *C.COMPOSITES, "sector_rank_fallback")
-
-
+    return core.picked(ranking.composites(written(_fundamentals(spark, sf_dir), "figures"), C.COMPOSITES, core.NEUTRAL), *C.COMPOSITES, "sector_rank_fallback")

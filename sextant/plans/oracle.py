@@ -91,6 +91,37 @@ PERCENTILES = f"""{PANEL}, pct AS (SELECT *, {", ".join(f"{rank(f)} AS {f}_perce
   SELECT * EXCLUDE (high_rank), CASE WHEN extended_flag THEN least(high_rank, 50.0::DOUBLE) ELSE high_rank END AS distance_from_52w_high_adjusted_percentile FROM pct)"""
 
 
+_FIELDS = [f for g in C.COMPOSITES.values() for f in g["fields"]]
+REPORTED = "reported AS (SELECT l_suppkey AS entity, CAST(date_trunc('year', l_shipdate) + INTERVAL 1 YEAR AS DATE) AS filed_date, round(sum(l_extendedprice) / nullif(sum(l_tax * 100), 0), 9) AS trailing_pe, round(avg(l_extendedprice), 9) AS price_to_sales, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE max(l_quantity) END AS ev_to_ebitda, round(avg(l_discount - 0.04::DOUBLE), 9) AS price_to_book, round(avg(l_discount), 9) AS profit_margin, round(avg(l_tax), 9) AS operating_margin, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE round(avg(l_discount - l_tax), 9) END AS return_on_equity, sum(l_quantity) AS debt_to_equity, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE round(avg(l_quantity), 9) END AS short_percent_of_float FROM lineitem GROUP BY 1, 2)"
+
+
+def scrubbed(f: str) -> str:
+    return f"CASE WHEN {f} > 0 THEN {f} END" if f in C.NON_NEGATIVE_VALUATIONS else f
+
+
+def composites(source: str, out: str, neutral: bool) -> str:
+    """CTEs up to `out`: source with the composite percentiles and sector_rank_fallback; needs d, sector and the fields."""
+    parts, index = [], f"coalesce(sector = '{C.INDEX_SECTOR}', FALSE)"
+    for name, g in C.COMPOSITES.items():
+        inside, ranks = neutral and name != "short_interest_percentile", []
+        some = f"(coalesce({', '.join(g['fields'])}) IS NOT NULL AND NOT {index})"
+        big = f"(sum(CASE WHEN {some} THEN 1 ELSE 0 END) OVER (PARTITION BY d, sector) >= {C.SECTOR_MIN_MEMBERS})"
+        for f in g["fields"]:
+            order = "DESC" if f in g["inverted"] else "ASC"
+            x = rank(f, "d", order)
+            if inside:
+                x = f"CASE WHEN NOT {index} THEN CASE WHEN {big} THEN CASE WHEN sector IS NOT NULL THEN {rank(f, f'd, sector, {index}', order)} END ELSE {rank(f, f'd, {index}', order)} END END"
+            ranks.append(x)
+        parts.append((name, ranks, big, inside))
+    first = f"{out}_0 AS (SELECT *, " + ", ".join(f"{r} AS {n}_{i}" for n, rs, _, _ in parts for i, r in enumerate(rs)) + "".join(f", {big} AS big_{n}" for n, _, big, inside in parts if inside) + f" FROM {source})"
+    mean = lambda n, rs: "(" + " + ".join(f"coalesce({n}_{i}, 0.0::DOUBLE)" for i in range(len(rs))) + ") / nullif(" + " + ".join(f"CASE WHEN {n}_{i} IS NULL THEN 0 ELSE 1 END" for i in range(len(rs))) + ", 0)"
+    fall = " OR ".join(f"({mean(n, rs)} IS NOT NULL AND NOT big_{n})" for n, rs, _, inside in parts if inside) or "FALSE"
+    return f"{first}, {out} AS (SELECT *, {', '.join(f'{mean(n, rs)} AS {n}' for n, rs, _, _ in parts)}, {fall} AS sector_rank_fallback FROM {out}_0)"
+
+
+KNOWN = f"{REPORTED}, with_figures AS (SELECT r.*, {', '.join(f'{scrubbed(f)} AS {f}' for f in _FIELDS)} FROM ranked r ASOF LEFT JOIN reported p ON r.entity = p.entity AND r.d >= p.filed_date), {composites('with_figures', 'composed', True)}"
+
+
 def clamp(x: str) -> str:
     return f"greatest(0.0::DOUBLE, least(100.0::DOUBLE, {x}))"
 
@@ -126,15 +157,18 @@ _REGIME = known(
     "benchmark_above_SMA20", "benchmark_above_SMA50", "benchmark_above_SMA200", "benchmark_return_20d", "benchmark_return_60d", "benchmark_vol_high_flag",
 )
 COMPONENT_NAMES = ("trend_component", *C.BLENDS, "volume_behavior_component", "risk_component", "setup_component", "market_regime_component")
-COMPONENTS = f"""{PERCENTILES}, comp AS (SELECT *, {_TREND} AS trend_component, {", ".join(f"{blend(n)} AS {n}" for n in C.BLENDS)}, {_VOLUME} AS volume_behavior_component,
+COMPOSITE_NAMES = tuple(f"{n.removesuffix('_percentile')}_component" for n in C.COMPOSITES)
+COMPONENT_NAMES = (*COMPONENT_NAMES, *COMPOSITE_NAMES)
+COMPONENTS = f"""{PERCENTILES}, {KNOWN}, comp AS (SELECT *, {_TREND} AS trend_component, {", ".join(f"{blend(n)} AS {n}" for n in C.BLENDS)}, {_VOLUME} AS volume_behavior_component,
   {_RISK} AS risk_component, {_SETUP} AS setup_component, {_REGIME} AS market_regime_component,
-  CAST(NULL AS DOUBLE) AS value_component, CAST(NULL AS DOUBLE) AS quality_component, CAST(NULL AS DOUBLE) AS short_interest_component FROM ranked)"""
+  {", ".join(f"CASE WHEN {n} IS NOT NULL THEN {clamp(n)} END AS {c}" for n, c in zip(C.COMPOSITES, COMPOSITE_NAMES))} FROM composed)"""
 
 
-def score(weights: dict[str, float]) -> str:
+def score(weights: dict[str, float], penalty: float = 0) -> str:
+    near = points(f"days_until_earnings BETWEEN 0 AND {C.EARNINGS_WINDOW_DAYS}", penalty) if penalty else "0"
     total = " + ".join(f"CASE WHEN {c} IS NOT NULL THEN {w}::DOUBLE ELSE 0.0::DOUBLE END" for c, w in weights.items())
     value = " + ".join(f"coalesce({c} * {w}::DOUBLE, 0.0::DOUBLE)" for c, w in weights.items())
-    return known(clamp(f"({value}) / ({total})"), *(c for c in weights if c not in C.SITOUT))
+    return known(clamp(f"({value}) / ({total}) - {near}"), *(c for c in weights if c not in C.SITOUT))
 
 
 def label(x: str) -> str:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sextant.plans import core, dated, evaluation, research
+from sextant.plans import core, dated, evaluation, families, filings, portfolio, research, storage
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (core, evaluation, dated, research):
+for part in (core, evaluation, dated, filings, research, families, portfolio, storage):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

@@ -26,28 +26,66 @@ def filing_blocks(raw: DataFrame, forms: list[str], since: str) -> DataFrame:
 
 
 def tab_separated(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A tab-separated table with a header; the given columns by name, all read as text first."""
-    rows = spark.read.csv(path, sep="\t", header=True)
+    """A tab-separated table with a header; the given columns by name, all read as text first, NULL where there is none."""
     from pyspark.sql.types import StructType
 
-    return rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema).fields])
+    rows = spark.read.csv(path, sep="\t", header=True)
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema).fields])
 
 
 def trade_quarter(spark: SparkSession, folder: str, ciks: DataFrame | None = None) -> DataFrame:
-    """Trades of a quarter's three tables: submissions, owners (flags of an accession together) and transactions."""
+    """Trades of a quarter's four tables: submissions, owners (an accession's together), direct and derivative trades.
+
+    Submissions without a filing date go, as their trades could never be dated; a trade without shares or price has no
+    value, which is not the same as a value of zero."""
     from sextant.operators.events import owners
 
-    sub = tab_separated(spark, f"{folder}/SUBMISSION.tsv", "ACCESSION_NUMBER string, FILING_DATE string, ISSUERCIK string")
-    sub = sub.select(F.col("ACCESSION_NUMBER").alias("accession"), F.to_date(F.initcap("FILING_DATE"), "dd-MMM-yyyy").alias("filed_date"), F.lpad("ISSUERCIK", 10, "0").alias("cik"))
+    day = lambda c: F.to_date(F.initcap(c), "dd-MMM-yyyy")
+    sub = tab_separated(spark, f"{folder}/SUBMISSION.tsv", "ACCESSION_NUMBER string, FILING_DATE string, ISSUERCIK string, ISSUERTRADINGSYMBOL string, DOCUMENT_TYPE string")
+    sub = sub.select(F.col("ACCESSION_NUMBER").alias("accession"), day("FILING_DATE").alias("filed_date"), F.lpad(F.trim("ISSUERCIK"), 10, "0").alias("cik"), F.upper(F.trim("ISSUERTRADINGSYMBOL")).alias("sec_symbol"), F.trim("DOCUMENT_TYPE").alias("doc_type")).filter("filed_date IS NOT NULL")
     if ciks is not None:
         sub = sub.join(ciks, "cik", "left_semi")
-    who = tab_separated(spark, f"{folder}/REPORTINGOWNER.tsv", "ACCESSION_NUMBER string, RPTOWNERCIK string, RPTOWNERNAME string, RPTOWNER_RELATIONSHIP string")
+    who = tab_separated(spark, f"{folder}/REPORTINGOWNER.tsv", "ACCESSION_NUMBER string, RPTOWNERCIK string, RPTOWNERNAME string, RPTOWNER_RELATIONSHIP string, RPTOWNER_TITLE string")
     flag = lambda w: F.lower("RPTOWNER_RELATIONSHIP").contains(w)
-    who = owners(who.select(F.col("ACCESSION_NUMBER").alias("accession"), F.col("RPTOWNERCIK").alias("owner"), F.col("RPTOWNERNAME").alias("owner_name"), F.col("RPTOWNER_RELATIONSHIP").alias("relationship"), flag("officer").alias("is_officer"), flag("director").alias("is_director")))
-    rows = tab_separated(spark, f"{folder}/NONDERIV_TRANS.tsv", "ACCESSION_NUMBER string, NONDERIV_TRANS_SK string, TRANS_DATE string, TRANS_CODE string, TRANS_SHARES double, TRANS_PRICEPERSHARE double")
-    rows = rows.select(F.col("ACCESSION_NUMBER").alias("accession"), F.col("NONDERIV_TRANS_SK").alias("trans_sk"), F.to_date(F.initcap("TRANS_DATE"), "dd-MMM-yyyy").alias("trans_date"), F.col("TRANS_CODE").alias("trans_code"), F.col("TRANS_SHARES").alias("shares"), F.col("TRANS_PRICEPERSHARE").alias("price_per_share"))
-    out = rows.join(sub, "accession").join(who, "accession", "left")
-    return out.withColumns({"value_usd": F.col("shares") * F.col("price_per_share"), "table_kind": F.lit("nonderiv")})
+    who = owners(who.select(F.col("ACCESSION_NUMBER").alias("accession"), F.col("RPTOWNERCIK").alias("owner"), F.col("RPTOWNERNAME").alias("owner_name"), F.col("RPTOWNER_RELATIONSHIP").alias("relationship"), F.col("RPTOWNER_TITLE").alias("owner_title"), flag("officer").alias("is_officer"), flag("director").alias("is_director"), flag("tenpercent").alias("is_ten_pct_owner")))
+    parts = []
+    for kind, prefix in (("nonderiv", "NONDERIV"), ("deriv", "DERIV")):
+        rows = tab_separated(spark, f"{folder}/{prefix}_TRANS.tsv", f"ACCESSION_NUMBER string, {prefix}_TRANS_SK string, TRANS_DATE string, TRANS_CODE string, TRANS_ACQUIRED_DISP_CD string, TRANS_SHARES double, TRANS_PRICEPERSHARE double")
+        parts.append(rows.select(F.col("ACCESSION_NUMBER").alias("accession"), F.lit(kind).alias("table_kind"), F.col(f"{prefix}_TRANS_SK").alias("trans_sk"), day("TRANS_DATE").alias("trans_date"), F.upper(F.trim("TRANS_CODE")).alias("trans_code"), F.upper(F.trim("TRANS_ACQUIRED_DISP_CD")).alias("acquired_disposed"), F.col("TRANS_SHARES").alias("shares"), F.col("TRANS_PRICEPERSHARE").alias("price_per_share")))
+    out = parts[0].unionByName(parts[1]).join(sub, "accession").join(who, "accession", "left")
+    return out.withColumn("value_usd", F.col("shares") * F.col("price_per_share"))
+
+
+def wide_prices(df: DataFrame, fields: tuple[str, ...] = ("open", "high", "low", "close", "volume")) -> DataFrame:
+    """(ticker, d, fields) from a table by date with a column `<ticker>|<field>` for each; rows without a close go."""
+    tickers = list(dict.fromkeys(c.rsplit("|", 1)[0] for c in df.columns if "|" in c))
+    one = lambda t: F.struct(F.lit(t).alias("ticker"), *[(F.col(f"`{t}|{f}`") if f"{t}|{f}" in df.columns else F.lit(None)).cast("double").alias(f) for f in fields])
+    return df.select("d", F.explode(F.array(*[one(t) for t in tickers])).alias("r")).select("r.ticker", "d", *[f"r.{f}" for f in fields]).filter("close IS NOT NULL")
+
+
+def info_fields(df: DataFrame, text: str, fields: dict[str, tuple[str, ...]]) -> DataFrame:
+    """df with numbers from a JSON text: each field by the first of its spellings that holds a finite number."""
+    from sextant.functions.scalar import finite
+
+    told = F.from_json(text, "map<string,string>")
+    return df.withColumns({f: F.coalesce(*[finite(F.try_element_at(told, F.lit(k)).try_cast("double")) for k in keys]) for f, keys in fields.items()})
+
+
+def estimate_rows(trend: DataFrame, revisions: DataFrame) -> DataFrame:
+    """One row a (ticker, period) that either table has; what only one of them holds is kept with NULLs for the other."""
+    return trend.join(revisions, ["ticker", "period"], "full_outer")
+
+
+def document_url(cik, accession, document, root: str = "https://www.sec.gov/Archives/edgar/data"):
+    """Address of a filing's document: the id without leading zeros, the accession without dashes."""
+    return F.concat_ws("/", F.lit(root), cik.cast("long").cast("string"), F.replace(accession, F.lit("-"), F.lit("")), document)
+
+
+def filing_text(html, most: int = 60_000):
+    """A filing's plain text, its first `most` characters: the part that is sent on."""
+    from sextant.functions.scalar import html_text
+
+    return F.substring(html_text(html), 1, most)
 
 
 def html_tables(df: DataFrame, key: str, html: str, wanted: list[str]) -> DataFrame:

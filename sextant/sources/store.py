@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.operators.quality import upsert
 
 
+_OWN_DIR: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one where it is unset in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _OWN_DIR:
+        _OWN_DIR.append(tempfile.mkdtemp(prefix="sextant-"))
+    return f"file://{_OWN_DIR[0]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once and read again, for what several branches of a plan use: they then scan it, each its columns."""
+    spark, path, schema = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_snapshots(df: DataFrame, path: str) -> None:
     """Replaces the (model_version, run_date) partitions that df holds and leaves all others alone."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_version", "run_date").parquet(path)
@@ -22,6 +47,18 @@ def read_snapshots(spark: SparkSession, path: str, version: str | None = None, r
     return df
 
 
+def existing(spark: SparkSession, path: str, version: str | None = None) -> DataFrame | None:
+    """Snapshots of a path, or None where nothing has been stored yet."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return read_snapshots(spark, path, version)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def missing_dates(wanted: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Dates that a backfill still has to do."""
     return wanted.join(snapshots.select("run_date").distinct(), "run_date", "left_anti")
@@ -37,9 +74,9 @@ def upsert_table(new: DataFrame, path: str, staging: str, *keys: str) -> DataFra
 
 
 def fingerprint(df: DataFrame) -> tuple[int, int]:
-    """Rows and an order-free digest of them."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("h")).first()
-    return row["n"], row["h"]
+    """Rows and an order-free digest of them: a sum of hashes, in which repeated rows count each time."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+    return row["n"], int(row["h"])
 
 
 def verified_copy(spark: SparkSession, source: str, target: str) -> dict:

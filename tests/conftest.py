@@ -32,3 +32,21 @@ def con(sf_dir):
     from tests.compare import connection
 
     return connection(sf_dir)
+
+
+@pytest.fixture(scope="session", autouse=True)
+def one_scoring_run(spark):
+    """Queries that grade scores share one scoring run in the tests; the scoring queries themselves run it anew."""
+    from sextant.plans import evaluation
+    from sextant.sources.store import written
+
+    made, graded = {}, evaluation.graded
+
+    def shared(spark, sf_dir):
+        if sf_dir not in made:
+            made[sf_dir] = written(graded(spark, sf_dir), "graded")
+        return made[sf_dir]
+
+    evaluation.graded = shared
+    yield
+    evaluation.graded = graded

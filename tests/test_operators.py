@@ -107,10 +107,24 @@ def test_greedy_spacing(spark):
     assert [r.n for r in df.select(stats.spaced(F.col("x"), 5).alias("n")).collect()] == [3, 0]
 
 
-def test_schedule_knows_only_matured_outcomes():
-    days = [day(i) for i in range(200)]
-    for f in walkforward.schedule(days, days, 20):
-        assert f["last_train"] <= f["cutoff"] and (f["train_end"] - f["cutoff"]).days == 20 and f["oos_start"] > f["train_end"]
+@pytest.mark.parametrize("window", [None, 40])
+def test_schedule_by_brute_force(spark, window):
+    """A walk over lists of dates against the relation; some run dates are no sessions, some sessions no run dates."""
+    days = [day(i) for i in range(260) if i % 7 < 5]
+    runs = [d for i, d in enumerate(days) if i % 3] + [day(5), day(12)]
+    sessions = spark.createDataFrame(list(zip(days, range(len(days)), strict=True)), "d date, session int")
+    got = walkforward.schedule(spark.createDataFrame([(d,) for d in runs], "d date"), sessions, 20, 30, 15, window).orderBy("fit").collect()
+    runs, last, want = sorted(set(runs)), None, []
+    for d in [d for d in runs if d in days]:
+        at = days.index(d)
+        known = [r for r in runs if at >= 20 and r <= days[at - 20]]
+        later = [r for r in runs if r > d][:14]
+        if len(known) >= 30 and later and (last is None or at - last >= 15):
+            used = known[-window:] if window else known
+            want.append((len(want) + 1, d, days[at - 20], len(used), used[0], used[-1], later[0], later[-1]))
+            last = at
+    assert [tuple(r) for r in got] == want and len(want) > 2
+    assert all(r.last_train <= r.cutoff < r.train_end < r.oos_start for r in got)
 
 
 def test_regressions_recover_weights():
@@ -122,14 +136,87 @@ def test_regressions_recover_weights():
     assert (w >= 0).all() and w == pytest.approx([0, 0, 0], abs=0.02)
 
 
+BAR = "entity long, d date, open double, high double, low double, close double, volume double"
+
+
 def test_fill_at_the_next_open_and_costs(spark):
-    b = spark.createDataFrame([(1, day(i), 10.0 + i, 10.0 + i, 10.0 + i, 10.0 + i, 1e6) for i in range(5)], "entity long, d date, open double, high double, low double, close double, volume double")
+    b = spark.createDataFrame([(1, day(i), 10.0 + i, 10.0 + i, 10.0 + i, 10.0 + i, 1e6) for i in range(5)], BAR)
     sessions = spark.createDataFrame([(day(i), i) for i in range(5)], "d date, session int")
-    picks = spark.createDataFrame([("a", day(0), 1)], "config string, d date, entity long")
-    free = [r.equity for r in backtest.simulate(picks, b, sessions, charge=False).orderBy("d").collect()]
+    picks = spark.createDataFrame([("a", day(0), 0, 1)], "config string, d date, session int, entity long")
+    free = [r.equity for r in backtest.simulate(picks, b, sessions, charge=False)[0].orderBy("d").collect()]
     assert free == pytest.approx([100000.0, 100000.0, 100000 * 12 / 11, 100000 * 13 / 11, 100000 * 14 / 11])
-    paid = backtest.simulate(picks, b, sessions).orderBy("d").collect()
-    assert paid[-1].equity < free[-1] and sum(r.cost for r in paid) > 0
+    curve, summary = backtest.simulate(picks, b, sessions)
+    paid = curve.orderBy("d").collect()
+    assert paid[-1].equity < free[-1] and sum(r.cost for r in paid) == pytest.approx(summary.first().total_cost) and summary.first().total_cost > 0
+
+
+def test_simulation_by_a_ledger(spark):
+    """Three configs against a plain ledger: gaps in the bars, names that vanish, a rebalance without a fill, jumps."""
+    rng = np.random.default_rng(8)
+    rows, price = [], {}
+    for e in range(1, 7):
+        p = 20.0 + e
+        for i in range(60):
+            p *= float(1 + rng.normal(0, 0.02) + (0.9 if (e, i) == (2, 33) else 0))
+            if rng.random() > 0.15 and not (e == 3 and i > 40) and i != 31:
+                o = p * float(1 + rng.normal(0, 0.01))
+                rows.append((e, day(i), o, p, p, p, 2000.0 * e))
+                price[e, i] = (o, p)
+    adv = {}
+    for e in range(1, 7):
+        seen = []
+        for i in range(60):
+            if (e, i) in price:
+                seen.append(price[e, i][1] * 2000.0 * e)
+                adv[e, i] = float(np.mean(seen[-20:]))
+    picks = [(c, day(i), i, int(e)) for c, k in (("a", 10), ("b", 15), ("c", 30)) for i in range(0, 60, k) for e in sorted(rng.choice(range(1, 7), 3, replace=False))]
+    sessions = spark.createDataFrame([(day(i), i) for i in range(60)], "d date, session int")
+    df = spark.createDataFrame(picks, "config string, d date, session int, entity long")
+    curve, summary = backtest.simulate(df, spark.createDataFrame(rows, BAR), sessions)
+    got = {(r.config, r.session): r.equity for r in curve.collect()}
+    about = {r.config: r for r in summary.collect()}
+
+    def bps(trade, v):
+        if not v or trade <= 0:
+            return 40.0 + 80.0
+        return min(80.0, max(1.0, 1 + 12 / math.sqrt(v / 1e6))) / 2 + 10 * math.sqrt(min(trade / v, 0.1))
+
+    for c in ("a", "b", "c"):
+        chosen = {}
+        for _, _, i, e in [p for p in picks if p[0] == c]:
+            chosen.setdefault(i, []).append(e)
+        cash, held, cost, traded, gone, odd, seen = 100_000.0, {}, 0.0, 0.0, 0, 0, {}
+        last = lambda e, i: next((price[e, j][1] for j in range(i, -1, -1) if (e, j) in price), None)
+        for i in range(60):
+            if i - 1 in chosen:
+                money = cash
+                for e, n in held.items():
+                    own = (e, i) in price
+                    value = n * (price[e, i][0] if own else last(e, i))
+                    fee = value * bps(value, adv.get((e, i)) if own else None) / 1e4
+                    money, cost, traded, gone = money + value - fee, cost + fee, traded + value, gone + (not own)
+                names = [e for e in chosen[i - 1] if (e, i) in price]
+                held, cash = {}, 0.0 if names else money
+                for e in names:
+                    each = money / len(names)
+                    fee = each * bps(each, adv[e, i]) / 1e4
+                    held[e], cost, traded = (each - fee) / price[e, i][0], cost + fee, traded + each
+            assert got[c, i] == pytest.approx(cash + sum(n * last(e, i) for e, n in held.items())), (c, i)
+            for e in held:
+                if (e, i) in price:
+                    odd += e in seen and abs(price[e, i][1] / seen[e] - 1) > 0.5
+                    seen[e] = price[e, i][1]
+        r = about[c]
+        mean = np.mean([got[c, i] for i in range(60)])
+        assert r.total_cost == pytest.approx(cost) and r.turnover_annual == pytest.approx(traded / mean / (60 / 252)) and (r.n_liquidated, r.n_suspicious, r.n_rebalances) == (gone, odd, len([i for i in chosen if i + 1 < 60]))
+
+
+def test_invested_part_and_benchmark(spark):
+    curve = spark.createDataFrame([("a", day(i), 100.0 if i < 3 else 100.0 + i) for i in range(6)], "config string, d date, equity double")
+    got = backtest.invested(curve, "config").orderBy("d").collect()
+    assert [r.d for r in got] == [day(3), day(4), day(5)] and {r.n_in_cash for r in got} == {3}
+    held = backtest.buy_and_hold(spark.createDataFrame([(day(1), 10.0), (day(3), 15.0)], "d date, close double"), curve)
+    assert [r.equity for r in held.orderBy("d").collect()] == [100_000.0, 100_000.0, 100_000.0, 150_000.0, 150_000.0, 150_000.0]
 
 
 def test_planted_pattern_is_found(spark, series):
@@ -150,14 +237,21 @@ def test_upserts_and_snapshots(spark, tmp_path):
     store.write_snapshots(rows.filter("run_date = '2024-01-02'").withColumn("x", F.lit(9)), path)
     assert sorted(r.x for r in store.read_snapshots(spark, path).collect()) == [1, 9]
     assert store.verified_copy(spark, path, str(tmp_path / "copy"))["verdict"] == "match"
+    pairs = [spark.createDataFrame(x, "k long") for x in ([(1,), (1,), (2,)], [(3,), (3,), (2,)])]
+    assert store.fingerprint(pairs[0]) != store.fingerprint(pairs[1])
+    twice = spark.createDataFrame([(2, "x", 1), (2, "y", 2)], "k long, v string, at int")
+    assert {r.v for r in quality.upsert(old.withColumn("at", F.lit(0)), twice, "k", order=F.desc("at")).collect()} == {"a", "y"}
 
 
 def test_trade_quarter(spark, tmp_path):
-    (tmp_path / "SUBMISSION.tsv").write_text("ACCESSION_NUMBER\tFILING_DATE\tISSUERCIK\nx1\t05-JAN-2024\t123\n")
-    (tmp_path / "REPORTINGOWNER.tsv").write_text("ACCESSION_NUMBER\tRPTOWNERCIK\tRPTOWNERNAME\tRPTOWNER_RELATIONSHIP\nx1\t9\tA\tOfficer\nx1\t8\tB\tDirector\n")
-    (tmp_path / "NONDERIV_TRANS.tsv").write_text("ACCESSION_NUMBER\tNONDERIV_TRANS_SK\tTRANS_DATE\tTRANS_CODE\tTRANS_SHARES\tTRANS_PRICEPERSHARE\nx1\t1\t03-JAN-2024\tP\t10\t2.5\n")
-    r = files.trade_quarter(spark, str(tmp_path)).first()
-    assert (r.cik, r.filed_date, r.value_usd, r.is_officer, r.is_director, r.owner_ids) == ("0000000123", dt.date(2024, 1, 5), 25.0, True, True, "8; 9")
+    (tmp_path / "SUBMISSION.tsv").write_text("ACCESSION_NUMBER\tFILING_DATE\tISSUERCIK\tISSUERTRADINGSYMBOL\nx1\t05-JAN-2024\t123\tabc\nx2\t\t124\tdef\n")
+    (tmp_path / "REPORTINGOWNER.tsv").write_text("ACCESSION_NUMBER\tRPTOWNERCIK\tRPTOWNERNAME\tRPTOWNER_RELATIONSHIP\tRPTOWNER_TITLE\nx1\t9\tA\tOfficer\tChief\nx1\t8\tB\tDirector,TenPercentOwner\t\n")
+    (tmp_path / "NONDERIV_TRANS.tsv").write_text("ACCESSION_NUMBER\tNONDERIV_TRANS_SK\tTRANS_DATE\tTRANS_CODE\tTRANS_SHARES\tTRANS_PRICEPERSHARE\nx1\t1\t03-JAN-2024\tp\t10\t2.5\nx2\t2\t03-JAN-2024\tP\t10\t2.5\n")
+    (tmp_path / "DERIV_TRANS.tsv").write_text("ACCESSION_NUMBER\tDERIV_TRANS_SK\tTRANS_DATE\tTRANS_CODE\tTRANS_SHARES\tTRANS_PRICEPERSHARE\nx1\t7\t03-JAN-2024\tM\t10\t\n")
+    a, b = files.trade_quarter(spark, str(tmp_path)).orderBy("trans_sk").collect()
+    assert (a.cik, a.filed_date, a.value_usd, a.is_officer, a.is_director, a.is_ten_pct_owner, a.owner_ids, a.owner_titles, a.trans_code, a.sec_symbol) == ("0000000123", dt.date(2024, 1, 5), 25.0, True, True, True, "8; 9", "Chief", "P", "ABC")
+    assert (b.table_kind, b.value_usd) == ("deriv", None)
+    assert files.trade_quarter(spark, str(tmp_path), spark.createDataFrame([("0000000999",)], "cik string")).count() == 0
 
 
 def test_html_table_and_series(spark, tmp_path):

@@ -1,4 +1,4 @@
-"""Every query of the engine against its SQL, or for rows where there is none."""
+"""Every query of the engine against its SQL; the one without is run."""
 
 import pytest
 
@@ -11,7 +11,7 @@ def test_query(spark, con, sf_dir, name):
     if name in registry.ORACLES:
         assert difference(spark, con, sf_dir, registry.QUERIES[name], registry.ORACLES[name]) == ""
     else:
-        assert registry.QUERIES[name](spark, sf_dir).columns
+        assert registry.QUERIES[name](spark, sf_dir).count() > 0  # its rows are checked by brute force in test_stored.py
 
 
 def test_entry_and_contract(spark):
