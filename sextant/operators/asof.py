@@ -20,7 +20,7 @@ def backward(probes: DataFrame, facts: DataFrame, key: str, at: str, fact_at: st
     cut = (lambda c: F.trunc(c, bucket)) if bucket else (lambda c: F.lit(None).cast("date"))
     left = probes.withColumn("_when", F.col(at)).withColumn("_side", F.lit(1)).withColumn("_fact", F.lit(None).cast(facts.select(payload.alias("x")).schema["x"].dataType)).withColumn("_tie", F.lit(None).cast("string"))
     right = facts.select(F.col(key), F.col(fact_at).alias("_when"), F.lit(0).alias("_side"), payload.alias("_fact"), order.alias("_tie"))
-    by = Window.partitionBy(key, "_cut").orderBy("_when", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    by = Window.partitionBy(key, *(["_cut"] if bucket else [])).orderBy("_when", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     both = left.unionByName(right, allowMissingColumns=True).withColumn("_cut", cut(F.col("_when"))).withColumn("_last", F.last("_fact", ignorenulls=True).over(by)).filter("_side = 1")
     if bucket:
         ends = right.groupBy(key, cut(F.col("_when")).alias("_cut")).agg(F.max_by("_fact", F.struct("_when", "_tie")).alias("_end"))

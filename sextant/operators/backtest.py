@@ -147,10 +147,13 @@ def metrics(curve: DataFrame, *keys: str) -> DataFrame:
 
 
 def long_short(curve: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(pair, d, equity): half long one config and half short another, day by day; pairs has (pair, long, short)."""
-    time, pair = Window.partitionBy("config").orderBy("d"), Window.partitionBy("pair").orderBy("d")
+    """(pair, d, equity): half long one config and half short another, day by day; pairs has (pair, long, short).
+
+    A day that loses all there is ends a book: it stays at zero."""
+    time, pair = Window.partitionBy("config").orderBy("d"), Window.partitionBy("pair").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     r = curve.select("config", "d", (F.try_divide("equity", F.lag("equity").over(time)) - 1).alias("r"))
     a = r.join(F.broadcast(pairs), F.col("config") == F.col("long")).select("pair", "d", F.col("r").alias("a"))
     b = r.join(F.broadcast(pairs), F.col("config") == F.col("short")).select("pair", "d", F.col("r").alias("b"))
-    growth = F.exp(F.sum(F.log1p(F.coalesce(F.col("a") * 0.5 - F.col("b") * 0.5, F.lit(0.0)))).over(pair.rowsBetween(Window.unboundedPreceding, 0)))
-    return a.join(b, ["pair", "d"]).select("pair", "d", (F.lit(C.INITIAL_EQUITY) * growth).alias("equity"))
+    both = a.join(b, ["pair", "d"]).withColumn("_g", 1 + F.coalesce(F.col("a") * 0.5 - F.col("b") * 0.5, F.lit(0.0)))
+    growth = F.exp(F.sum(F.when(F.col("_g") > 0, F.log("_g"))).over(pair))
+    return both.select("pair", "d", F.when(F.min("_g").over(pair) > 0, F.lit(C.INITIAL_EQUITY) * growth).otherwise(0.0).alias("equity"))

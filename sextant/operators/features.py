@@ -19,16 +19,16 @@ def trend(df: DataFrame) -> DataFrame:
 
 def returns(df: DataFrame) -> DataFrame:
     """Returns over each window of own rows, and whether the longest is missing."""
-    out = df.withColumns({f"return_{w}d": F.try_divide(F.col("close"), F.lag("close", w).over(by_entity())) - 1 for w in C.RETURN_WINDOWS})
-    return out.withColumn("return_252d_missing", F.col("return_252d").isNull())
+    back = {w: F.try_divide(F.col("close"), F.lag("close", w).over(by_entity())) - 1 for w in C.RETURN_WINDOWS}
+    return df.withColumns({f"return_{w}d": r for w, r in back.items()} | {"return_252d_missing": back[252].isNull()})
 
 
 def volume(df: DataFrame) -> DataFrame:
     """Volume ratios, dollar volume, high-volume days, up against down volume, and where the close lies."""
     last = trailing(20)
     out = df.withColumn("ret", F.try_divide(F.col("close"), F.lag("close", 1).over(by_entity())) - 1)
-    out = out.withColumns({f"volume_ratio_{w}d": F.try_divide(F.col("volume"), mean_of(F.col("volume"), w)) for w in C.VOLUME_WINDOWS})
     out = out.withColumns({
+        **{f"volume_ratio_{w}d": F.try_divide(F.col("volume"), mean_of(F.col("volume"), w)) for w in C.VOLUME_WINDOWS},
         "dollar_volume_20d": mean_of(F.col("close") * F.col("volume"), 20), "avg20": mean_of(F.col("volume"), 20),
         "days": F.collect_list(F.struct("ret", "volume")).over(last),
         "up_volume": F.sum(F.when(F.col("ret") > 0, F.col("volume")).otherwise(0.0)).over(last), "down_volume": F.sum(F.when(F.col("ret") < 0, F.col("volume")).otherwise(0.0)).over(last),
@@ -51,12 +51,14 @@ def risk(df: DataFrame) -> DataFrame:
     before = F.lag("close", 1).over(by_entity())
     year = F.sqrt(F.lit(float(C.SESSIONS_A_YEAR)))
     out = df.withColumns({"tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)), "ret": F.try_divide(F.col("close"), before) - 1})
-    out = out.withColumn("ATR14", mean_of(F.col("tr"), C.ATR_WINDOW)).withColumn("ATR_pct", F.try_divide("ATR14", F.col("close")))
-    out = out.withColumns({f"volatility_{w}d": guarded(F.stddev_samp("ret").over(trailing(w)) * year, w + 1) for w in C.VOLATILITY_WINDOWS})
-    out = out.withColumn("downside_volatility_20d", guarded(F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret"))).over(trailing(20)) * year, 21))
-    out = out.withColumns({f"max_drawdown_{w}d": max_drawdown(F.col("close"), w) for w in C.DRAWDOWN_WINDOWS})
     top, bottom = F.max("close").over(trailing(C.SESSIONS_A_YEAR)), F.min("close").over(trailing(C.SESSIONS_A_YEAR))
-    return out.withColumns({"distance_from_52w_high_pct": F.try_divide(top - F.col("close"), top) * 100, "distance_from_52w_low_pct": pct(F.col("close"), bottom)}).drop("tr", "ret")
+    spread = lambda x, w: F.stddev_samp(x).over(trailing(w)) * year
+    out = out.withColumns({
+        "ATR14": mean_of(F.col("tr"), C.ATR_WINDOW), **{f"volatility_{w}d": guarded(spread(F.col("ret"), w), w + 1) for w in C.VOLATILITY_WINDOWS},
+        "downside_volatility_20d": guarded(spread(F.when(F.col("ret") < 0, F.col("ret")), 20), 21), **{f"max_drawdown_{w}d": max_drawdown(F.col("close"), w) for w in C.DRAWDOWN_WINDOWS},
+        "distance_from_52w_high_pct": F.try_divide(top - F.col("close"), top) * 100, "distance_from_52w_low_pct": pct(F.col("close"), bottom),
+    })
+    return out.withColumn("ATR_pct", F.try_divide("ATR14", F.col("close"))).drop("tr", "ret")
 
 
 def setup(df: DataFrame) -> DataFrame:
@@ -87,10 +89,12 @@ def regime(df: DataFrame) -> DataFrame:
     )
 
 
-def all_features(df: DataFrame, watch: DataFrame, benchmarks: DataFrame) -> DataFrame:
-    """Every feature of every entity and date with a bar of its own and of its benchmark; with relative strengths."""
+def all_features(df: DataFrame, watch: DataFrame, regimes: DataFrame) -> DataFrame:
+    """Every feature of every entity and date with a bar of its own and of its benchmark; with relative strengths.
+
+    `regimes` (see `regime`) are as many rows as benchmarks have sessions: written before, their size is known to the join."""
     own = setup(risk(volume(returns(trend(df)))))
-    out = own.join(watch, "entity").join(regime(benchmarks), ["benchmark", "d"])
+    out = own.join(watch, "entity").join(regimes, ["benchmark", "d"])
     return out.withColumns({f"relative_strength_{w}d": F.col(f"return_{w}d") - F.col(f"benchmark_return_{w}d") for w in C.STRENGTH_WINDOWS})
 
 

@@ -66,7 +66,7 @@ def composites(df: DataFrame, groups: dict, neutral: tuple[str, ...] = (), least
         x = F.col("over")
         if n in neutral:
             x = F.when(~F.col("_index"), F.when(F.col(f"_big_{n}"), F.when(F.col("sector").isNotNull(), F.col("inside"))).otherwise(F.col("others")))
-        value[n] = F.avg(F.when(mine, x))
+        value[n] = F.round(F.avg(F.when(mine, x)), 9)  # equal means stay equal, whatever the order of the sum
     wide = ranked.groupBy("d", "entity").agg(*[v.alias(n) for n, v in value.items()], *[F.first(c).alias(c) for c in flags])
     out, fall = df.join(wide, ["d", "entity"], "left"), F.lit(False)
     for n in neutral:

@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 def panel(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
     """All features of all suppliers and weeks, from bars that are there already if given."""
-    return features.all_features(bars(spark, sf_dir) if own is None else own, watchlist(spark, sf_dir), bars(spark, sf_dir, "region"))
+    return features.all_features(bars(spark, sf_dir) if own is None else own, watchlist(spark, sf_dir), written(features.regime(bars(spark, sf_dir, "region")), "regime"))
 
 
 NEUTRAL = ("value_percentile", "quality_percentile")
@@ -51,9 +51,10 @@ def ranked(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> Da
     """The panel with its percentiles and, from the figures known at each date, the composites of the fundamentals.
 
     The panel is written once: ranking reads a few narrow columns of it, and the result all the others."""
-    df = asof.backward(panel(spark, sf_dir, own), reported(spark, sf_dir), "entity", "d", "filed_date", list(FIELDS)).drop("filed_date_asof")
-    df = written(figures.cleaned(df), "panel")
-    return ranking.composites(ranking.percentiles(df), C.COMPOSITES, NEUTRAL)
+    own = asof.backward(bars(spark, sf_dir) if own is None else own, reported(spark, sf_dir), "entity", "d", "filed_date", list(FIELDS)).drop("filed_date_asof")
+    df = written(figures.cleaned(panel(spark, sf_dir, own)), "panel")
+    value = ranking.composites(df.select("d", "entity", "sector", *FIELDS), C.COMPOSITES, NEUTRAL).select("d", "entity", *C.COMPOSITES, "sector_rank_fallback")
+    return ranking.percentiles(df).join(value, ["d", "entity"])
 
 
 def scored(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:

@@ -154,14 +154,19 @@ def _probes(spark, sf_dir):
     return li.join(s, li.l_suppkey == s.s_suppkey).groupBy(F.col("s_nationkey").cast("long").alias("entity"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("as_of"), sector.alias("sector")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
 
 
+def known(spark, sf_dir):
+    """Statements and ratios of every nation and week."""
+    return figures.fundamentals_as_of(_probes(spark, sf_dir), facts(spark, sf_dir))
+
+
 @query("fundamentals_asof", f"WITH {STATEMENT} SELECT entity, as_of, {', '.join(f'round({n}, 6) AS {n}' for n in ('revenue', 'net_income', 'equity', 'shares', *_RATIO))} FROM ra")
 def fundamentals_asof(spark, sf_dir):
-    return rounded(figures.fundamentals_as_of(_probes(spark, sf_dir), facts(spark, sf_dir)).select("entity", "as_of", "revenue", "net_income", "equity", "shares", *_RATIO))
+    return rounded(known(spark, sf_dir).select("entity", "as_of", "revenue", "net_income", "equity", "shares", *_RATIO))
 
 
 @query("debt_assembly", f"WITH {STATEMENT} SELECT entity, as_of, long_term_tag, round(long_term_debt, 6) AS long_term_debt, round(total_debt, 6) AS total_debt, current_debt IS NULL AND long_term_debt IS NOT NULL AS partial FROM ra")
 def debt_assembly(spark, sf_dir):
-    found = figures.fundamentals_as_of(_probes(spark, sf_dir), facts(spark, sf_dir))
+    found = known(spark, sf_dir)
     return rounded(found.select("entity", "as_of", "long_term_tag", "long_term_debt", "total_debt", (F.col("current_debt").isNull() & F.col("long_term_debt").isNotNull()).alias("partial")))
 
 
@@ -172,7 +177,7 @@ _LOST = {"value_missing": " AND ".join(f"NOT coalesce({c} > 0, FALSE)" for c in
 @query("fundamental_flags", f"WITH {STATEMENT} SELECT entity, as_of, {', '.join(f'round(CASE WHEN {c} > 0 THEN {c} END, 6) AS {c}' for c in _CLEAN)}, {', '.join(f'({x}) AS {n}' for n, x in _LOST.items())}, ({' AND '.join(f'({x})' for x in _LOST.values())}) AS fundamentals_missing FROM ra")
 def fundamental_flags(spark, sf_dir):
     """Ratios fit for ranking: withheld ones and valuations at or below zero are NULL; flags tell families without any value."""
-    found = figures.withheld(figures.fundamentals_as_of(_probes(spark, sf_dir), facts(spark, sf_dir))).withColumns({f: F.lit(None).cast("double") for f in ("ev_to_ebitda", "short_percent_of_float")})
+    found = figures.withheld(known(spark, sf_dir)).withColumns({f: F.lit(None).cast("double") for f in ("ev_to_ebitda", "short_percent_of_float")})
     return rounded(figures.missing_flags(figures.cleaned(found)).select("entity", "as_of", *_CLEAN, *_LOST, "fundamentals_missing"))
 
 

@@ -114,7 +114,7 @@ def composites(source: str, out: str, neutral: bool) -> str:
             ranks.append(x)
         parts.append((name, ranks, big, inside))
     first = f"{out}_0 AS (SELECT *, " + ", ".join(f"{r} AS {n}_{i}" for n, rs, _, _ in parts for i, r in enumerate(rs)) + "".join(f", {big} AS big_{n}" for n, _, big, inside in parts if inside) + f" FROM {source})"
-    mean = lambda n, rs: "(" + " + ".join(f"coalesce({n}_{i}, 0.0::DOUBLE)" for i in range(len(rs))) + ") / nullif(" + " + ".join(f"CASE WHEN {n}_{i} IS NULL THEN 0 ELSE 1 END" for i in range(len(rs))) + ", 0)"
+    mean = lambda n, rs: "round((" + " + ".join(f"coalesce({n}_{i}, 0.0::DOUBLE)" for i in range(len(rs))) + ") / nullif(" + " + ".join(f"CASE WHEN {n}_{i} IS NULL THEN 0 ELSE 1 END" for i in range(len(rs))) + ", 0), 9)"
     fall = " OR ".join(f"({mean(n, rs)} IS NOT NULL AND NOT big_{n})" for n, rs, _, inside in parts if inside) or "FALSE"
     return f"{first}, {out} AS (SELECT *, {', '.join(f'{mean(n, rs)} AS {n}' for n, rs, _, _ in parts)}, {fall} AS sector_rank_fallback FROM {out}_0)"
 

@@ -66,7 +66,7 @@ def curve_sql(charge: bool, p: str = "") -> str:
 
 
 def metrics_sql(source: str, out: str, key: str = "config") -> str:
-    return f"""{out}_r AS (SELECT {key} AS config, d, equity, equity / lag(equity) OVER w - 1 AS ret, max(equity) OVER w AS peak FROM {source} WINDOW w AS (PARTITION BY {key} ORDER BY d)),
+    return f"""{out}_r AS (SELECT {key} AS config, d, equity, equity / nullif(lag(equity) OVER w, 0) - 1 AS ret, max(equity) OVER w AS peak FROM {source} WINDOW w AS (PARTITION BY {key} ORDER BY d)),
 {out}_a AS (SELECT config, count(*) AS n, first(equity ORDER BY d) AS a, last(equity ORDER BY d) AS b, avg(ret) AS m, stddev_samp(ret) AS s, min(equity / peak - 1) * 100 AS dd FROM {out}_r GROUP BY 1),
 {out} AS (SELECT config, n AS n_sessions, b / a - 1 AS total_return, pow(b / a, 252.0::DOUBLE / n) - 1 AS cagr, CASE WHEN s > 0 THEN m / s * sqrt(252.0::DOUBLE) END AS sharpe, s * sqrt(252.0::DOUBLE) AS volatility_annual, dd AS max_drawdown_pct FROM {out}_a)"""
 
@@ -115,7 +115,7 @@ def backtest_invested(spark, sf_dir):
 
 
 _PAIRS = ", ".join(f"('{a[0]}', '{b[0]}')" for a, b in zip(LONG, SHORT, strict=True))
-_LS = f"pr AS (SELECT * FROM (VALUES {_PAIRS}) t(long, short)), rr AS (SELECT config, d, equity / lag(equity) OVER (PARTITION BY config ORDER BY d) - 1 AS r FROM curve), ls AS (SELECT long AS config, a.d, 100000.0::DOUBLE * exp(sum(ln(1 + coalesce(a.r * 0.5::DOUBLE - b.r * 0.5::DOUBLE, 0))) OVER (PARTITION BY long ORDER BY a.d)) AS equity FROM pr JOIN rr a ON a.config = long JOIN rr b ON b.config = short AND b.d = a.d)"
+_LS = f"pr AS (SELECT * FROM (VALUES {_PAIRS}) t(long, short)), rr AS (SELECT config, d, equity / nullif(lag(equity) OVER (PARTITION BY config ORDER BY d), 0) - 1 AS r FROM curve), lg2 AS (SELECT long AS config, a.d, 1 + coalesce(a.r * 0.5::DOUBLE - b.r * 0.5::DOUBLE, 0) AS g FROM pr JOIN rr a ON a.config = long JOIN rr b ON b.config = short AND b.d = a.d), ls AS (SELECT config, d, CASE WHEN min(g) OVER w > 0 THEN 100000.0::DOUBLE * exp(sum(ln(CASE WHEN g > 0 THEN g END)) OVER w) ELSE 0 END AS equity FROM lg2 WINDOW w AS (PARTITION BY config ORDER BY d))"
 
 
 @query("long_short", f"WITH RECURSIVE {picks_sql(LONG + SHORT)}, {curve_sql(True)}, {_LS} SELECT config AS pair, d, round(equity, 2) AS equity FROM ls")

@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
+_SCHEMAS: dict = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table `name` of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table `name` of a data folder. Its schema is asked for once a process: that is a job of its own each time."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,18 +35,26 @@ def con(sf_dir):
 
 
 @pytest.fixture(scope="session", autouse=True)
-def one_scoring_run(spark):
-    """Queries that grade scores share one scoring run in the tests; the scoring queries themselves run it anew."""
-    from sextant.plans import evaluation
+def one_run(spark):
+    """Queries share one ranked panel, one graded table and one set of statements in the tests: each is made once by the
+    function that makes it for every query otherwise, and is then read."""
+    from sextant.plans import core, evaluation, filings
     from sextant.sources.store import written
 
-    made, graded = {}, evaluation.graded
+    made, places = {}, [(core, "ranked"), (evaluation, "graded"), (filings, "known")]
 
-    def shared(spark, sf_dir):
-        if sf_dir not in made:
-            made[sf_dir] = written(graded(spark, sf_dir), "graded")
-        return made[sf_dir]
+    def shared(module, name):
+        real = getattr(module, name)
 
-    evaluation.graded = shared
+        def found(spark, sf_dir, *more):
+            if (name, sf_dir) not in made:
+                made[name, sf_dir] = written(real(spark, sf_dir), name)
+            return made[name, sf_dir]
+
+        setattr(module, name, found)
+        return real
+
+    real = [shared(m, n) for m, n in places]
     yield
-    evaluation.graded = graded
+    for (m, n), f in zip(places, real, strict=True):
+        setattr(m, n, f)

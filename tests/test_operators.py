@@ -211,6 +211,14 @@ def test_simulation_by_a_ledger(spark):
         assert r.total_cost == pytest.approx(cost) and r.turnover_annual == pytest.approx(traded / mean / (60 / 252)) and (r.n_liquidated, r.n_suspicious, r.n_rebalances) == (gone, odd, len([i for i in chosen if i + 1 < 60]))
 
 
+def test_a_lost_book_stays_lost(spark):
+    """Half short a name that trebles loses everything; what follows brings nothing back."""
+    curve = spark.createDataFrame([(c, day(i), v) for c, vs in (("l", (100.0, 110.0, 110.0, 121.0)), ("s", (100.0, 100.0, 310.0, 100.0))) for i, v in enumerate(vs)], "config string, d date, equity double")
+    pairs = spark.createDataFrame([("p", "l", "s")], "pair string, long string, short string")
+    got = [r.equity for r in backtest.long_short(curve, pairs).orderBy("d").collect()]
+    assert got == pytest.approx([100_000.0, 105_000.0, 0.0, 0.0])
+
+
 def test_invested_part_and_benchmark(spark):
     curve = spark.createDataFrame([("a", day(i), 100.0 if i < 3 else 100.0 + i) for i in range(6)], "config string, d date, equity double")
     got = backtest.invested(curve, "config").orderBy("d").collect()
