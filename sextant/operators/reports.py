@@ -141,9 +141,11 @@ def common_days(ics: DataFrame, horizon: int) -> DataFrame:
 
 
 def series_correlation(ics: DataFrame, pairs: list[tuple[str, str]], least: int = 10) -> DataFrame:
-    """(a, b, horizon, n, pearson_ic, spearman_ic) of two series' daily ICs, over the days that both have one."""
+    """(a, b, horizon, n, pearson_ic, spearman_ic) of two series' daily ICs, over the days that both have one.
+
+    ICs are rounded to 9 digits first, so that equal ones tie whatever the order of their sums."""
     table = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])).alias("p")
-    side = lambda c: ics.filter("spearman_ic IS NOT NULL").select(F.col("series").alias(c), "horizon", "d", F.col("spearman_ic").alias(f"ic_{c}"))
+    side = lambda c: ics.filter("spearman_ic IS NOT NULL").select(F.col("series").alias(c), "horizon", "d", F.round("spearman_ic", 9).alias(f"ic_{c}"))
     wanted = ics.sparkSession.range(1).select(table).select("p.*")
     both = side("a").join(F.broadcast(wanted), "a").join(side("b"), ["b", "horizon", "d"])
     return spearman(both, "ic_a", "ic_b", "a", "b", "horizon", least=least)

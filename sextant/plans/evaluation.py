@@ -223,7 +223,7 @@ def quality_decomposition(spark, sf_dir):
 _LEG_PAIRS = [(a, b) for i, a in enumerate(_LEGS) for b in list(_LEGS)[i + 1 :]]
 
 
-@query("ic_correlation", f"{_LEG_SQL}, bp AS (SELECT a.series AS a, b.series AS b, a.spearman_ic AS value, b.spearman_ic AS excess FROM ic a JOIN ic b USING (horizon, d) JOIN (VALUES {', '.join(str(p) for p in _LEG_PAIRS)}) p(x, y) ON a.series = x AND b.series = y), {ic_sql('a, b', 10, 'bp', 'cc')} SELECT a, b, n, round(pearson_ic, 6) AS pearson_ic, round(spearman_ic, 6) AS spearman_ic FROM cc")
+@query("ic_correlation", f"{_LEG_SQL}, bp AS (SELECT a.series AS a, b.series AS b, round(a.spearman_ic, 9) AS value, round(b.spearman_ic, 9) AS excess FROM ic a JOIN ic b USING (horizon, d) JOIN (VALUES {', '.join(str(p) for p in _LEG_PAIRS)}) p(x, y) ON a.series = x AND b.series = y), {ic_sql('a, b', 10, 'bp', 'cc')} SELECT a, b, n, round(pearson_ic, 6) AS pearson_ic, round(spearman_ic, 6) AS spearman_ic FROM cc")
 def ic_correlation(spark, sf_dir):
     """How the daily ICs of two legs go together."""
     return rounded(reports.series_correlation(_leg_ics(spark, sf_dir), _LEG_PAIRS).select("a", "b", "n", "pearson_ic", "spearman_ic"))
