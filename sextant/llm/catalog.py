@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sextant.llm.alignment import op13_cross_alignment
 from sextant.llm.compression import op9_quality_compression
 from sextant.llm.language_mix import op10_language_mixture
 from sextant.llm.lattice import op2_lattice_likelihood
@@ -33,6 +34,7 @@ QUERIES = {
     "op10_language_mixture": op10_language_mixture,
     "op11_exact_topk": op11_exact_topk,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_cross_alignment": op13_cross_alignment,
 }
 
 ORACLES: dict[str, str] = {
