@@ -338,10 +338,16 @@ def pair_counts(file: DataFrame) -> DataFrame:
 SCORED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _scored(heads: pa.Table, postings: pa.Table) -> pa.Table:
-    """Each document of a block with the sums over its links, from the bitmaps and planes of the block's pairs."""
+def _scored(rows: pa.Table, told: pa.Table) -> pa.Table:
+    """Each document of a block with the sums over its links, from the bitmaps and planes of the block's pairs.
+
+    `told` has the corpus-wide count of each of these pairs."""
+    is_doc = pc.is_valid(rows.column("place"))
+    heads, postings = rows.filter(is_doc), rows.filter(pc.invert(is_doc))
     n = heads.column("docs")[0].as_py() if len(heads) else 0
-    count, best = postings.column("documents").to_numpy(), postings.column("best").to_numpy().astype(np.int64)
+    order = np.argsort(told.column("pair").to_numpy())
+    at = order[np.searchsorted(told.column("pair").to_numpy()[order], postings.column("pair").to_numpy())]
+    count, best = told.column("documents").to_numpy()[at], told.column("best").to_numpy()[at].astype(np.int64)
     sums = {"count_sum": np.zeros(n, np.int64), "n_best": np.zeros(n, np.int64)}
 
     def add(row, place, times):
@@ -370,12 +376,13 @@ def aligned(docs: DataFrame, rules: AlignmentRules = AlignmentRules()) -> DataFr
     texts that the tokens of either kind don't spell, have no tokens: zeros and an empty groups_sha256. Texts are read
     whole, however long; an empty table gives an empty result; other columns aren't read.
 
-    Two shuffles of small rows (pairs with their counts) and one of the bitmaps, which go back to their block."""
+    The bitmaps are shuffled once, to their block; pairs are counted and told to the blocks that have them as plain ids."""
     file = inverted(docs, rules)
     pairs = pair_counts(file)
-    heads = file.filter("place IS NOT NULL").select("block", "docs", "doc_id", "place", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
-    postings = file.filter("place IS NULL").select(F.col("block").alias("of"), "pair", "bitmap", "planes").join(pairs.select("pair", "documents", "best"), "pair").drop("pair")
-    return heads.groupBy("block").cogroup(postings.groupBy("of")).applyInArrow(_scored, SCORED)
+    asked = file.filter("place IS NULL").select(F.col("block").alias("of"), F.col("pair"))
+    told = asked.join(pairs.select("pair", "documents", "best").hint("merge"), "pair")
+    rows = file.select("block", "docs", "doc_id", "place", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pair", "bitmap", "planes")
+    return rows.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(_scored, SCORED)
 
 
 def op13_cross_alignment(spark, sf_dir: str) -> DataFrame:
