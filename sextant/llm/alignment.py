@@ -345,8 +345,8 @@ def _scored(rows: pa.Table, told: pa.Table) -> pa.Table:
     is_doc = pc.is_valid(rows.column("place"))
     heads, postings = rows.filter(is_doc), rows.filter(pc.invert(is_doc))
     n = heads.column("docs")[0].as_py() if len(heads) else 0
-    order = np.argsort(told.column("pair").to_numpy())
-    at = order[np.searchsorted(told.column("pair").to_numpy()[order], postings.column("pair").to_numpy())]
+    order = np.argsort(told.column("key").to_numpy())
+    at = order[np.searchsorted(told.column("key").to_numpy()[order], postings.column("pair").to_numpy())]
     count, best = told.column("documents").to_numpy()[at], told.column("best").to_numpy()[at].astype(np.int64)
     sums = {"count_sum": np.zeros(n, np.int64), "n_best": np.zeros(n, np.int64)}
 
@@ -379,8 +379,8 @@ def aligned(docs: DataFrame, rules: AlignmentRules = AlignmentRules()) -> DataFr
     The bitmaps are shuffled once, to their block; pairs are counted and told to the blocks that have them as plain ids."""
     file = inverted(docs, rules)
     pairs = pair_counts(file)
-    asked = file.filter("place IS NULL").select(F.col("block").alias("of"), F.col("pair"))
-    told = asked.join(pairs.select("pair", "documents", "best").hint("merge"), "pair")
+    asked = file.filter("place IS NULL").select(F.col("block").alias("of"), F.col("pair").alias("key"))
+    told = asked.join(pairs.select(F.col("pair").alias("key"), "documents", "best").hint("merge"), "key")
     rows = file.select("block", "docs", "doc_id", "place", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pair", "bitmap", "planes")
     return rows.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(_scored, SCORED)
 
