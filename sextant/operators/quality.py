@@ -105,10 +105,11 @@ def upsert(old: DataFrame, new: DataFrame, *keys: str, order=None) -> DataFrame:
     return one.unionByName(old.join(new.select(*keys).distinct(), list(keys), "left_anti"))
 
 
-def upsert_keeping(old: DataFrame, new: DataFrame, keep: str, *keys: str) -> DataFrame:
+def upsert_keeping(old: DataFrame, new: DataFrame, keep: str, *keys: str, order=None) -> DataFrame:
     """As upsert, but where new has no value of `keep` the old one stays."""
-    joined = new.alias("n").join(old.select(*keys, F.col(keep).alias("_old")), list(keys), "left").withColumn(keep, F.coalesce(keep, "_old")).select(*new.columns)
-    return joined.unionByName(old.join(new.select(*keys), list(keys), "left_anti"))
+    one = last_of(new, F.desc(F.xxhash64(*new.columns)) if order is None else order, *keys)
+    joined = one.join(old.select(*keys, F.col(keep).alias("_old")), list(keys), "left").withColumn(keep, F.coalesce(keep, "_old")).select(*new.columns)
+    return joined.unionByName(old.join(new.select(*keys).distinct(), list(keys), "left_anti"))
 
 
 def first_listing(*sources: DataFrame) -> DataFrame:

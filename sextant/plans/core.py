@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +38,16 @@ NEUTRAL = ("value_percentile", "quality_percentile")
 FIELDS = tuple(f for g in C.COMPOSITES.values() for f in g["fields"])
 
 
-def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entity, filed_date, fields): a supplier's figures of a year, known from the next year on, some of them missing."""
+def reported(spark: SparkSession, sf_dir: str, years: tuple | None = None) -> DataFrame:
+    """(entity, filed_date, fields): a supplier's figures of a year, known from the next year on, some of them missing.
+
+    With `years` only the figures of years from the first and before the second of these are read; None is no bound."""
     drop = lambda n, x: F.when(F.first("l_suppkey") % n != 0, x)
-    li = read(spark, sf_dir, "lineitem").withColumn("filed_date", F.add_months(F.to_date(F.date_trunc("year", "l_shipdate")), 12))
+    li = read(spark, sf_dir, "lineitem")
+    for year, fits in zip(years or (None, None), (lambda c, x: c >= x, lambda c, x: c < x), strict=True):
+        if year is not None:
+            li = li.filter(fits(F.col("l_shipdate"), F.lit(date(year, 1, 1)).cast("timestamp_ntz")))
+    li = li.withColumn("filed_date", F.add_months(F.to_date(F.date_trunc("year", "l_shipdate")), 12))
     found = li.groupBy(F.col("l_suppkey").cast("long").alias("entity"), "filed_date").agg(
         F.try_divide(F.sum("l_extendedprice"), F.sum(F.col("l_tax") * 100)).alias("trailing_pe"), F.avg("l_extendedprice").alias("price_to_sales"), drop(3, F.max("l_quantity")).alias("ev_to_ebitda"), F.avg(F.col("l_discount") - 0.04).alias("price_to_book"),
         F.avg("l_discount").alias("profit_margin"), F.avg("l_tax").alias("operating_margin"), drop(4, F.avg(F.col("l_discount") - F.col("l_tax"))).alias("return_on_equity"), F.sum("l_quantity").alias("debt_to_equity"), drop(5, F.avg("l_quantity")).alias("short_percent_of_float"),
@@ -48,11 +56,16 @@ def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
-    """The panel with its percentiles and, from the figures known at each date, the composites of the fundamentals.
+    """The panel with its percentiles and, from the figures known at each date, the composites of the fundamentals."""
+    own = asof.backward(bars(spark, sf_dir) if own is None else own, reported(spark, sf_dir), "entity", "d", "filed_date", list(FIELDS)).drop("filed_date_asof")
+    return ranked_panel(panel(spark, sf_dir, own))
+
+
+def ranked_panel(found: DataFrame) -> DataFrame:
+    """Percentiles and composites of a panel with figures, each date by itself.
 
     The panel is written once: ranking reads a few narrow columns of it, and the result all the others."""
-    own = asof.backward(bars(spark, sf_dir) if own is None else own, reported(spark, sf_dir), "entity", "d", "filed_date", list(FIELDS)).drop("filed_date_asof")
-    df = written(figures.cleaned(panel(spark, sf_dir, own)), "panel")
+    df = written(figures.cleaned(found), "panel")
     value = ranking.composites(df.select("d", "entity", "sector", *FIELDS), C.COMPOSITES, NEUTRAL).select("d", "entity", *C.COMPOSITES, "sector_rank_fallback")
     return ranking.percentiles(df).join(value, ["d", "entity"])
 

@@ -10,27 +10,36 @@ from pyspark.sql import functions as F
 
 from sextant import config as C
 from sextant.operators import quality, ranking, reports, scoring, upkeep
-from sextant.plans import core, evaluation
+from sextant.plans import core, evaluation, live
 from sextant.sources import reads, store
 from sextant.sources.bars import bars
 
 KEPT = ("entity", "d", *C.SCORE_WEIGHTS, "score_label", "sector_rank_fallback")
 
 
+def snapshot(scored: DataFrame, version: str, live: bool, recovered: bool = False) -> DataFrame:
+    """Scored rows as rows of a snapshot (model_version, run_date, ...), with how they came about."""
+    flags = {"backfilled": F.lit(0 if live else 1), "recovered": F.lit(int(recovered)), "model_version": F.lit(version), "run_date": F.col("d").cast("string")}
+    return scored.select(*KEPT).withColumns(flags).drop("d")
+
+
 def score_dates(spark: SparkSession, sf_dir: str, dates: DataFrame, version: str, live: bool, recovered: bool = False) -> DataFrame:
-    """Snapshot rows (model_version, run_date, ...) of the wanted dates (d), with how they came about."""
+    """Snapshot rows of the wanted dates (d), from the whole history."""
     df = scoring.components(core.ranked(spark, sf_dir).join(F.broadcast(dates.select("d").distinct()), "d", "left_semi"))
     if "days_until_earnings" not in df.columns:
         df = df.withColumn("days_until_earnings", F.lit(None).cast("int"))
-    rows = scoring.scores(df, version, live).select(*KEPT)
-    flags = {"backfilled": F.lit(0 if live else 1), "recovered": F.lit(int(recovered)), "model_version": F.lit(version), "run_date": F.col("d").cast("string")}
-    return rows.withColumns(flags).drop("d")
-
-
-def run_live(spark: SparkSession, sf_dir: str, path: str, version: str) -> DataFrame:
-    """Scores and stores the newest session."""
-    last = bars(spark, sf_dir, "all").agg(F.max("d").alias("d"))
-    store.write_snapshots(score_dates(spark, sf_dir, last, version, True), path)
+    return snapshot(scoring.scores(df, version, live), version, live, recovered)
+
+
+def run_live(spark: SparkSession, sf_dir: str, path: str, version: str, state: str | None = None) -> DataFrame:
+    """Scores and stores the newest session from the state that earlier days have left (beside the snapshots if no other
+    place is given). The first day makes that state from the history before it."""
+    before, d = live.last_sessions(spark, sf_dir, 2)
+    state = state or f"{path}-state"
+    kept = live.state_table(spark, state)
+    if not any(kept.manifest(v)["note"]["until"] < str(d) for v in kept.versions()):
+        live.begin(spark, sf_dir, state, before)
+    live.live_day(spark, sf_dir, state, d, lambda rows: store.write_snapshots(snapshot(rows, version, True), path), version, True)
     return store.read_snapshots(spark, path, version)
 
 

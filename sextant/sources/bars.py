@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,19 +29,24 @@ def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("s_suppkey").cast("long").alias("entity"), F.col("r_name").alias("sector"), (-1 - F.col("r_regionkey")).cast("long").alias("benchmark"))
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with price and week."""
-    return read(spark, sf_dir, "lineitem").filter("l_quantity > 0").select(
+def lines(spark: SparkSession, sf_dir: str, since=None, until=None) -> DataFrame:
+    """Order lines with price and week, of the weeks from `since` to `until` if given: a condition that reaches the files."""
+    found = read(spark, sf_dir, "lineitem").filter("l_quantity > 0")
+    if since is not None:
+        found = found.filter(F.col("l_shipdate") >= F.lit(since).cast("timestamp_ntz"))
+    if until is not None:
+        found = found.filter(F.col("l_shipdate") < F.lit(until + timedelta(days=7)).cast("timestamp_ntz"))
+    return found.select(
         "l_suppkey", "l_quantity", F.to_date(F.date_trunc("week", "l_shipdate")).alias("d"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.struct(*LINE_ORDER).alias("place")
     )
 
 
-def bars(spark: SparkSession, sf_dir: str, level: str = "supplier") -> DataFrame:
-    """(entity, d, open, high, low, close, volume): one row for each entity and week with a line.
+def bars(spark: SparkSession, sf_dir: str, level: str = "supplier", since=None, until=None) -> DataFrame:
+    """(entity, d, open, high, low, close, volume): one row for each entity and week with a line, of some weeks if asked.
 
     Levels: supplier, region (entity -1 - key, the benchmarks) and all (entity 0, the market and its calendar). One
     shuffle by (entity, d), after partial aggregation."""
-    found = lines(spark, sf_dir)
+    found = lines(spark, sf_dir, since, until)
     if level == "supplier":
         found = found.withColumn("entity", F.col("l_suppkey").cast("long"))
     elif level == "region":
