@@ -55,10 +55,15 @@ def reported(spark: SparkSession, sf_dir: str, years: tuple | None = None) -> Da
     return found.withColumns({f: F.round(f, 9) for f in FIELDS})
 
 
-def ranked(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
-    """The panel with its percentiles and, from the figures known at each date, the composites of the fundamentals."""
+def full_panel(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+    """The panel with the figures known at each date."""
     own = asof.backward(bars(spark, sf_dir) if own is None else own, reported(spark, sf_dir), "entity", "d", "filed_date", list(FIELDS)).drop("filed_date_asof")
-    return ranked_panel(panel(spark, sf_dir, own))
+    return panel(spark, sf_dir, own)
+
+
+def ranked(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+    """The panel with its percentiles and the composites of the fundamentals."""
+    return ranked_panel(full_panel(spark, sf_dir, own))
 
 
 def ranked_panel(found: DataFrame) -> DataFrame:

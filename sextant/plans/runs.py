@@ -5,6 +5,9 @@ time: what it has written is replaced, and everything else stays."""
 
 from __future__ import annotations
 
+import uuid
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from sextant.operators import quality, ranking, reports, scoring, upkeep
 from sextant.plans import core, evaluation, live
 from sextant.sources import reads, store
 from sextant.sources.bars import bars
+from sextant.sources.tables import Conflict, Table
 
 KEPT = ("entity", "d", *C.SCORE_WEIGHTS, "score_label", "sector_rank_fallback")
 
@@ -23,12 +27,51 @@ def snapshot(scored: DataFrame, version: str, live: bool, recovered: bool = Fals
     return scored.select(*KEPT).withColumns(flags).drop("d")
 
 
-def score_dates(spark: SparkSession, sf_dir: str, dates: DataFrame, version: str, live: bool, recovered: bool = False) -> DataFrame:
-    """Snapshot rows of the wanted dates (d), from the whole history."""
-    df = scoring.components(core.ranked(spark, sf_dir).join(F.broadcast(dates.select("d").distinct()), "d", "left_semi"))
-    if "days_until_earnings" not in df.columns:
-        df = df.withColumn("days_until_earnings", F.lit(None).cast("int"))
-    return snapshot(scoring.scores(df, version, live), version, live, recovered)
+def score_dates(spark: SparkSession, sf_dir: str, dates: DataFrame, version: str, live: bool, recovered: bool = False, panel: DataFrame | None = None) -> DataFrame:
+    """Snapshot rows of the wanted dates (d): only these are ranked. A panel that is there already serves many calls."""
+    found = core.full_panel(spark, sf_dir) if panel is None else panel
+    df = scoring.components(core.ranked_panel(found.join(F.broadcast(dates.select("d").distinct()), "d", "left_semi")))
+    return snapshot(scoring.scores(df.withColumn("days_until_earnings", F.lit(None).cast("int")), version, live), version, live, recovered)
+
+
+LEDGER = "model_version string, d date, state string, owner string, at timestamp, rows long, why string"
+
+
+def ledger(spark: SparkSession, path: str) -> Table:
+    """What runs have done: a row for each version and date with its state (claimed, done or failed)."""
+    return Table(spark, path, ("model_version", "d"), "model_version")
+
+
+def _entries(spark: SparkSession, version: str, state: str, owner: str, counts: dict, why: str | None = None) -> DataFrame:
+    """Ledger rows of some dates and their numbers of rows, stamped now."""
+    rows = [(version, d, state, owner, datetime.now(UTC).replace(tzinfo=None), n, why) for d, n in counts.items()]
+    return spark.createDataFrame(rows, LEDGER.replace("at timestamp", "at timestamp_ntz")).withColumn("at", F.col("at").cast("timestamp"))
+
+
+def open_dates(wanted: DataFrame, book: Table, version: str, owner: str, stale: timedelta) -> DataFrame:
+    """Wanted dates (d) that are not done and that no other run holds; a claim older than `stale` has been given up."""
+    entries = book.read(parts=[version])
+    if entries is None:
+        return wanted
+    since = F.lit(datetime.now(UTC).replace(tzinfo=None) - stale).cast("timestamp")
+    held = entries.filter((F.col("state") == "done") | ((F.col("state") == "claimed") & (F.col("owner") != owner) & (F.col("at") >= since)))
+    return wanted.join(held.select("d"), "d", "left_anti")
+
+
+def claim(wanted: DataFrame, book: Table, version: str, owner: str, n: int, stale: timedelta) -> list:
+    """Takes the first n open dates for this run, and gives them. Of two runs that want the same dates the second's commit
+    is refused, and it looks again."""
+    while True:
+        known = book.versions()
+        dates = sorted(r.d for r in open_dates(wanted, book, version, owner, stale).orderBy("d").limit(n).collect())
+        if not dates:
+            return []
+        old, new = book.read(parts=[version]), _entries(wanted.sparkSession, version, "claimed", owner, dict.fromkeys(dates))
+        try:
+            book.replace(new if old is None else quality.upsert(old, new, "model_version", "d"), known[-1] if known else -1)
+            return dates
+        except Conflict:
+            continue
 
 
 def run_live(spark: SparkSession, sf_dir: str, path: str, version: str, state: str | None = None) -> DataFrame:
@@ -39,16 +82,34 @@ def run_live(spark: SparkSession, sf_dir: str, path: str, version: str, state: s
     kept = live.state_table(spark, state)
     if not any(kept.manifest(v)["note"]["until"] < str(d) for v in kept.versions()):
         live.begin(spark, sf_dir, state, before)
-    live.live_day(spark, sf_dir, state, d, lambda rows: store.write_snapshots(snapshot(rows, version, True), path), version, True)
+    rows = live.live_day(spark, sf_dir, state, d, lambda rows: store.write_snapshots(snapshot(rows, version, True), path), version, True)
+    ledger(spark, f"{path}-ledger").upsert(_entries(spark, version, "done", uuid.uuid4().hex, {d: rows.count()}))
     return store.read_snapshots(spark, path, version)
 
 
-def run_backfill(spark: SparkSession, sf_dir: str, path: str, version: str, first=None, last=None) -> DataFrame:
-    """Scores and stores the sessions of a range that the version does not have yet."""
+def run_backfill(spark: SparkSession, sf_dir: str, path: str, version: str, first=None, last=None, group: int = 250, book: str | None = None, stale: timedelta = timedelta(hours=6)) -> DataFrame:
+    """Scores and stores the sessions of a range that the version does not have yet, `group` sessions at a time.
+
+    The panel is made once; a group of sessions is claimed in the ledger (beside the snapshots if no other place is given),
+    scored in one plan, stored and marked as done. A run that was broken off goes on with what is not done; runs beside
+    each other share the sessions. Sessions stored by other means count as done."""
     wanted = reads.scan(bars(spark, sf_dir, "all").select("d"), since={"d": first}, until={"d": last})
     have = store.existing(spark, path, version)
-    dates = wanted if have is None else store.missing_dates(wanted.withColumn("run_date", F.col("d").cast("string")), have.select(F.col("run_date").cast("string").alias("run_date"))).select("d")
-    store.write_snapshots(score_dates(spark, sf_dir, dates, version, False), path)
+    if have is not None:
+        wanted = store.missing_dates(wanted.withColumn("run_date", F.col("d").cast("string")), have.select(F.col("run_date").cast("string").alias("run_date"))).select("d")
+    wanted = store.written(wanted, "wanted")
+    owner, entries, panel = uuid.uuid4().hex, ledger(spark, book or f"{path}-ledger"), None
+    while dates := claim(wanted, entries, version, owner, group, stale):
+        panel = store.written(core.full_panel(spark, sf_dir), "backfill") if panel is None else panel
+        few = spark.createDataFrame([(d,) for d in dates], "d date")
+        try:
+            rows = store.written(score_dates(spark, sf_dir, few, version, False, panel=panel), "scored")
+            store.write_snapshots(rows, path)
+        except Exception as e:
+            entries.upsert(_entries(spark, version, "failed", owner, dict.fromkeys(dates), str(e)[:500]))
+            raise
+        counts = dict.fromkeys(dates, 0) | {r.d: r["count"] for r in rows.groupBy(F.to_date("run_date").alias("d")).count().collect()}
+        entries.upsert(_entries(spark, version, "done", owner, counts))
     return store.read_snapshots(spark, path, version)
 
 
