@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sextant.plans import core, dated, evaluation, families, filings, live, portfolio, research, storage
+from sextant.plans import core, dated, evaluation, families, filings, live, portfolio, research, storage, streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (core, evaluation, dated, filings, research, families, portfolio, storage, live):
+for part in (core, evaluation, dated, filings, research, families, portfolio, storage, live, streams):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
