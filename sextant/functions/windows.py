@@ -45,15 +45,3 @@ def share_at_or_below(x: Column, n: int, least: int) -> Column:
     """Percent of the non-null values of the last n rows that are at most the current one; NULL with fewer than `least`."""
     past = F.collect_list(x).over(trailing(n))
     return F.when(x.isNotNull() & (F.size(past) >= least), F.size(F.filter(past, lambda v: v <= x)) / F.size(past) * 100)
-
-
-def expanding_share_below(x: Column, least: int) -> Column:
-    """Percent of all non-null values so far that are strictly below the current one; NULL with fewer than `least`."""
-    past = F.collect_list(x).over(by_entity().rowsBetween(Window.unboundedPreceding, 0))
-    return F.when(x.isNotNull() & (F.size(past) >= least), F.size(F.filter(past, lambda v: v < x)) / F.size(past) * 100)
-
-
-def expanding_quantile(x: Column, q: float, least: int) -> Column:
-    """Linear-interpolation quantile of all non-null values so far, the current one included."""
-    w = by_entity().rowsBetween(Window.unboundedPreceding, 0)
-    return F.when(F.count(x).over(w) >= least, F.percentile(x, F.lit(q)).over(w))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sextant import config as C
 from sextant.functions.stats import discoveries, spaced, t_tail
-from sextant.functions.windows import by_entity, expanding_quantile, trailing
+from sextant.functions.windows import by_entity, trailing
 
 
 def densified(bars: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -34,12 +34,6 @@ def above_sma(n: int) -> Column:
     return F.coalesce((F.count("close").over(trailing(n)) == n) & (F.col("close") > F.avg("close").over(trailing(n))), F.lit(False))
 
 
-def trailing_extreme(x: str, q: float, least: int, high: bool = True) -> Column:
-    """x at or beyond its own quantile so far; not before there is history enough."""
-    bound = expanding_quantile(F.col(x), 1 - q if high else q, least)
-    return F.coalesce((F.col(x) >= bound) if high else (F.col(x) <= bound), F.lit(False))
-
-
 def turn_of_month(sessions: DataFrame, k: int = 3) -> DataFrame:
     """(d, turn): the first k sessions of a month and the last k, but for the last month, whose end is not known."""
     month = F.trunc("d", "month")

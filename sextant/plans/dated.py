@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sextant import config as C
 from sextant.functions import scalar
 from sextant.functions.scalar import rounded
-from sextant.operators import asof, events, features, pit, quality
+from sextant.operators import asof, events, expanding, features, pit, quality
 from sextant.plans import oracle as O
 from sextant.sources import files
 from sextant.sources.bars import bars, read, watchlist
@@ -303,6 +303,5 @@ def trailing_dollar_adv(spark, sf_dir):
 
 @query("expanding_percentile", f"WITH {O.MARKET}, x AS (SELECT entity, d, close, list(close) OVER (ORDER BY d) AS past FROM market) SELECT entity, d, CASE WHEN len(past) >= {C.MACRO_MIN_HISTORY} THEN round(len(list_filter(past, lambda v: v < close)) / CAST(len(past) AS DOUBLE) * 100, 6) END AS pct FROM x")
 def expanding_percentile(spark, sf_dir):
-    from sextant.functions.windows import expanding_share_below
-
-    return rounded(bars(spark, sf_dir, "all").select("entity", "d", expanding_share_below(F.col("close"), C.MACRO_MIN_HISTORY).alias("pct")))
+    found = expanding.share_below_so_far(bars(spark, sf_dir, "all").select("entity", "d", "close"), "close", C.MACRO_MIN_HISTORY, "pct")
+    return rounded(found.select("entity", "d", "pct"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sextant import config as C
 from sextant.functions.scalar import rounded
 from sextant.functions.windows import by_entity
-from sextant.operators import forward, patterns
+from sextant.operators import expanding, forward, patterns
 from sextant.plans import oracle as O
 from sextant.plans.research import tail_sql
 from sextant.sources.bars import read
@@ -68,7 +68,8 @@ def _conditions(df: DataFrame) -> DataFrame:
             out = patterns.streaks(out, n, up).withColumnRenamed("streak", f"{'up' if up else 'down'}_{n}")
     out = out.withColumns({f"above_{w}": patterns.above_sma(w) for w in (50, 200)})
     out = out.withColumns({f"below_{w}": patterns.not_of(F.col(f"above_{w}")) for w in (50, 200)})
-    out = out.withColumn("r5", F.round(F.try_divide(F.col("close"), F.lag("close", 5).over(by_entity())) - 1, 9)).withColumn("own_high", patterns.trailing_extreme("r5", 0.10, C.PATTERN_LEAST_HISTORY))
+    out = out.withColumn("r5", F.round(F.try_divide(F.col("close"), F.lag("close", 5).over(by_entity())) - 1, 9))
+    out = expanding.extreme_so_far(out, "r5", 0.10, C.PATTERN_LEAST_HISTORY, "own_high")
     peers = patterns.peer_rank(df.filter(F.col("entity") != INDEX), 5, 1).select("entity", "session", F.col("in_top").alias("peer_top"))
     out = out.join(peers, ["entity", "session"], "left").withColumn("peer_top", F.coalesce("peer_top", F.lit(False)))
     out = out.withColumn("own_high_thursday", patterns.all_of(F.col("own_high"), patterns.on_weekday(3)))

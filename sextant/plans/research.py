@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sextant import config as C
 from sextant.functions import stats
 from sextant.functions.scalar import rounded
-from sextant.operators import events, forward, patterns, reports, walkforward
+from sextant.functions.windows import by_entity
+from sextant.operators import events, expanding, forward, patterns, reports, walkforward
 from sextant.plans import core, evaluation
 from sextant.plans import oracle as O
 from sextant.sources.bars import bars, read, watchlist
@@ -59,11 +60,9 @@ def above_sma_condition(spark, sf_dir):
 
 @query("expanding_quantile", f"WITH {ALL}, r AS (SELECT *, close / lag(close, 5) {_W} - 1 AS r FROM dense) SELECT entity, d, coalesce(CASE WHEN count(r) {_W} >= 60 THEN round(r, 9) >= round(quantile_cont(r, 0.9) {_W}, 9) END, FALSE) AS extreme FROM r")
 def expanding_quantile(spark, sf_dir):
-    from sextant.functions.windows import by_entity
-    from sextant.functions.windows import expanding_quantile as bound
-
     df = _dense(spark, sf_dir).withColumn("r", F.try_divide(F.col("close"), F.lag("close", 5).over(by_entity())) - 1)
-    return df.select("entity", "d", F.coalesce(F.round("r", 9) >= F.round(bound(F.col("r"), 0.9, 60), 9), F.lit(False)).alias("extreme"))
+    bound = expanding.quantile_so_far(df.select("entity", "d", "r"), "r", 0.9, 60, "bound")
+    return bound.select("entity", "d", F.coalesce(F.round("r", 9) >= F.round("bound", 9), F.lit(False)).alias("extreme"))
 
 
 @query("turn_of_period", f"WITH {O.MARKET}, t AS (SELECT d, date_trunc('month', d) AS m, row_number() OVER (PARTITION BY date_trunc('month', d) ORDER BY d) AS a, row_number() OVER (PARTITION BY date_trunc('month', d) ORDER BY d DESC) AS b FROM market) SELECT d, a <= 1 OR (b <= 1 AND m < (SELECT max(m) FROM t)) AS turn FROM t")
@@ -365,9 +364,8 @@ def holds_summary(spark, sf_dir):
 @query("regime_conditions", f"WITH {O.MARKET}, x AS (SELECT d, close, close - lag(close, 20) OVER (ORDER BY d) AS slope, list(close) OVER (ORDER BY d) AS past FROM market), p AS (SELECT d, slope, CASE WHEN len(past) >= {C.MACRO_MIN_HISTORY} THEN len(list_filter(past, lambda v: v < close)) / CAST(len(past) AS DOUBLE) * 100 END AS pct FROM x) SELECT d, coalesce(pct >= 66.7::DOUBLE, FALSE) AS high, coalesce(pct <= 33.3::DOUBLE, FALSE) AS low, coalesce(slope < 0, FALSE) AS inverted FROM p")
 def regime_conditions(spark, sf_dir):
     """Terciles of the history so far, and a regime that is a level and no rank: a slope below zero."""
-    from sextant.functions.windows import by_entity, expanding_share_below
-
-    p = bars(spark, sf_dir, "all").select("d", expanding_share_below(F.col("close"), C.MACRO_MIN_HISTORY).alias("pct"), (F.col("close") - F.lag("close", 20).over(by_entity())).alias("slope"))
+    slope = F.col("close") - F.lag("close", 20).over(by_entity())
+    p = expanding.share_below_so_far(bars(spark, sf_dir, "all").select("entity", "d", "close", slope.alias("slope")), "close", C.MACRO_MIN_HISTORY, "pct")
     return p.select("d", F.coalesce(F.col("pct") >= 66.7, F.lit(False)).alias("high"), F.coalesce(F.col("pct") <= 33.3, F.lit(False)).alias("low"), F.coalesce(F.col("slope") < 0, F.lit(False)).alias("inverted"))
 
 
