@@ -50,15 +50,17 @@ def trade_features(probes: DataFrame, trades: DataFrame, days: int = 90) -> Data
     return out.withColumns(filled).withColumn("days_since_buy", F.datediff("d", "_last")).drop("_last")
 
 
-def owners(rows: DataFrame) -> DataFrame:
-    """One row an accession: flags of all owners together, their ids, names and titles joined in order, cut at 300, 300
-    and 200 characters, and their different relationships."""
-    each = F.array_sort(F.collect_set(F.struct("owner", "owner_name")))
-    titles = F.array_sort(F.collect_set(F.when(F.trim("owner_title") != "", F.trim("owner_title")))) if "owner_title" in rows.columns else F.array().cast("array<string>")
-    flags = [F.max(c).alias(c) for c in ("is_officer", "is_director", "is_ten_pct_owner") if c in rows.columns]
-    found = rows.groupBy("accession").agg(*flags, each.alias("o"), titles.alias("t"), F.array_sort(F.collect_set("relationship")).alias("relationships"))
-    join = lambda f, n: F.substring(F.array_join(F.transform("o", lambda x: x[f].cast("string")), "; "), 1, n)
-    return found.select("accession", *[c for c in ("is_officer", "is_director", "is_ten_pct_owner") if c in rows.columns], join("owner", 300).alias("owner_ids"), join("owner_name", 300).alias("owner_names"), F.substring(F.array_join("t", "; "), 1, 200).alias("owner_titles"), F.array_join("relationships", ",").alias("relationships"))
+def owners(rows: DataFrame, order: str = "owner") -> DataFrame:
+    """One row an accession, whose owners' shares are counted once: flags of all owners together, their ids joined by
+    commas, names and titles by bars, in order, cut at 300 and 200 characters, and their different relationships.
+
+    An owner that is listed twice stands there twice. Owners without a title leave no gap."""
+    have = [c for c in ("is_officer", "is_director", "is_ten_pct_owner") if c in rows.columns]
+    title = F.nullif(F.trim("owner_title"), F.lit("")) if "owner_title" in rows.columns else F.lit(None).cast("string")
+    each = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("owner").cast("string").alias("owner"), "owner_name", title.alias("title"))))
+    found = rows.groupBy("accession").agg(*[F.max(c).alias(c) for c in have], each.alias("o"), F.array_sort(F.collect_set("relationship")).alias("relationships"))
+    join = lambda f, by: F.array_join(F.transform("o", lambda x: x[f]), by)
+    return found.select("accession", *have, join("owner", ",").alias("owner_ids"), F.substring(join("owner_name", " | "), 1, 300).alias("owner_names"), F.substring(join("title", " | "), 1, 200).alias("owner_titles"), F.array_join("relationships", ",").alias("relationships"))
 
 
 def signal_ic(df: DataFrame, signal: str, excess: str, least: int = C.DECILE_MIN_NAMES, kinds: int = 2) -> DataFrame:

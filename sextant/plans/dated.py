@@ -117,7 +117,7 @@ def trade_dedup_window(spark, sf_dir):
     return events.trade_features(probes, _trades(spark, sf_dir)).withColumns({c: F.round(c, 2) for c in ("buy_value", "net_buy_value")})
 
 
-@query("owner_collapse", "SELECT CAST(o_custkey AS VARCHAR) AS accession, bool_or(o_orderpriority = '1-URGENT') AS is_officer, bool_or(o_orderstatus = 'P') AS is_director, substring(array_to_string(list_sort(list(DISTINCT o_orderkey)), '; '), 1, 300) AS owner_ids, substring(array_to_string(list_transform(list_sort(list(DISTINCT o_orderkey)), lambda k: 'n' || k), '; '), 1, 300) AS owner_names, substring(array_to_string(list_sort(list(DISTINCT 'the ' || o_orderpriority) FILTER (o_orderpriority < '4')), '; '), 1, 200) AS owner_titles, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS relationships FROM orders GROUP BY 1")
+@query("owner_collapse", "SELECT CAST(o_custkey AS VARCHAR) AS accession, bool_or(o_orderpriority = '1-URGENT') AS is_officer, bool_or(o_orderstatus = 'P') AS is_director, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS owner_ids, substring(string_agg('n' || o_orderkey, ' | ' ORDER BY o_orderkey), 1, 300) AS owner_names, substring(coalesce(string_agg('the ' || o_orderpriority, ' | ' ORDER BY o_orderkey) FILTER (o_orderpriority < '4'), ''), 1, 200) AS owner_titles, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS relationships FROM orders GROUP BY 1")
 def owner_collapse(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     rows = o.select(F.col("o_custkey").cast("string").alias("accession"), F.col("o_orderkey").alias("owner"), F.concat(F.lit("n"), "o_orderkey").alias("owner_name"), F.when(F.col("o_orderpriority") < "4", F.concat(F.lit(" the "), "o_orderpriority")).otherwise(" ").alias("owner_title"), F.col("o_orderstatus").alias("relationship"), (F.col("o_orderpriority") == "1-URGENT").alias("is_officer"), (F.col("o_orderstatus") == "P").alias("is_director"))

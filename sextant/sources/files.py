@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from sextant.operators.events import owners
+from sextant.sources.archives import LINE, zipped
 
 FACT = "struct<`end`:string,start:string,val:double,accn:string,fy:int,fp:string,form:string,filed:string>"
 
@@ -25,35 +29,54 @@ def filing_blocks(raw: DataFrame, forms: list[str], since: str) -> DataFrame:
     return out.filter(F.col("form").isin(forms) & (F.col("filingDate") >= since)).select("cik", F.col("accessionNumber").alias("accession"), "form", F.to_date("filingDate").alias("filed_date"), "acceptanceDateTime", "items")
 
 
-def tab_separated(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A tab-separated table with a header; the given columns by name, all read as text first, NULL where there is none."""
-    from pyspark.sql.types import StructType
+def tab_separated(spark: SparkSession, path: str, member: str, schema: str) -> DataFrame:
+    """A tab-separated table with a header; the given columns by name, all read as text first, NULL where there is none,
+    and `_line`, which grows in the order of the lines. `path` is the table's folder, or zip archives that hold it."""
+    fields = StructType.fromDDL(schema).fields
+    if not path.endswith(".zip") and not path.endswith("/*.zip"):
+        rows = spark.read.csv(f"{path}/{member}", sep="\t", header=True)
+        rows = rows.withColumn(LINE, F.monotonically_increasing_id())
+    else:
+        rows = zipped(spark, path.removesuffix("/*.zip"), member, [f.name for f in fields])
+    return rows.select(*[(F.nullif(F.col(f.name), F.lit("")) if f.name in rows.columns else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in fields], LINE)
 
-    rows = spark.read.csv(path, sep="\t", header=True)
-    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema).fields])
 
+def filed_day(text) -> Column:
+    """A date such as 05-JAN-2024; NULL for any other form, which is not guessed at."""
+    return F.when(F.trim(text).rlike("^[0-9]{2}-[A-Za-z]{3}-[0-9]{4}$"), F.try_to_timestamp(F.initcap(F.trim(text)), F.lit("dd-MMM-yyyy")).cast("date"))
+
+
+def roles(text) -> Column:
+    """The parts of a comma-separated list of roles, in lower case."""
+    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), ","), lambda r: F.trim(r))
 
-def trade_quarter(spark: SparkSession, folder: str, ciks: DataFrame | None = None) -> DataFrame:
-    """Trades of a quarter's four tables: submissions, owners (an accession's together), direct and derivative trades.
 
-    Submissions without a filing date go, as their trades could never be dated; a trade without shares or price has no
-    value, which is not the same as a value of zero."""
-    from sextant.operators.events import owners
+TRADES = "ACCESSION_NUMBER string, {0}_TRANS_SK string, TRANS_DATE string, TRANS_CODE string, TRANS_ACQUIRED_DISP_CD string, TRANS_SHARES double, TRANS_PRICEPERSHARE double, SHRS_OWND_FOLWNG_TRANS double, DIRECT_INDIRECT_OWNERSHIP string"
+
+
+def trade_quarter(spark: SparkSession, path: str, ciks: DataFrame | None = None) -> DataFrame:
+    """Trades of a quarter's four tables: submissions, owners (an accession's together), direct and derivative trades.
 
-    day = lambda c: F.to_date(F.initcap(c), "dd-MMM-yyyy")
-    sub = tab_separated(spark, f"{folder}/SUBMISSION.tsv", "ACCESSION_NUMBER string, FILING_DATE string, ISSUERCIK string, ISSUERTRADINGSYMBOL string, DOCUMENT_TYPE string")
-    sub = sub.select(F.col("ACCESSION_NUMBER").alias("accession"), day("FILING_DATE").alias("filed_date"), F.lpad(F.trim("ISSUERCIK"), 10, "0").alias("cik"), F.upper(F.trim("ISSUERTRADINGSYMBOL")).alias("sec_symbol"), F.trim("DOCUMENT_TYPE").alias("doc_type")).filter("filed_date IS NOT NULL")
+    `path` is the folder of the tables, a zip archive of them, or `folder/*.zip` for all archives of a folder. Submissions
+    without a filing date go, as their trades could never be dated; a trade without shares or price has no value, which
+    is not the same as a value of zero. `ciks` limits issuers; an empty one is an error, not the absence of a limit."""
+    if ciks is not None and not ciks.limit(1).count():
+        raise ValueError("the list of issuers is empty")
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    sub = tab_separated(spark, path, "SUBMISSION.tsv", "ACCESSION_NUMBER string, FILING_DATE string, ISSUERCIK string, ISSUERTRADINGSYMBOL string, DOCUMENT_TYPE string, AFF10B5ONE string")
+    sub = sub.select(F.col("ACCESSION_NUMBER").alias("accession"), filed_day("FILING_DATE").alias("filed_date"), F.lpad(F.coalesce(F.trim("ISSUERCIK"), F.lit("")), 10, "0").alias("cik"), F.upper(text("ISSUERTRADINGSYMBOL")).alias("sec_symbol"), F.trim("DOCUMENT_TYPE").alias("doc_type"), F.coalesce(F.lower(F.trim("AFF10B5ONE")).isin("1", "true"), F.lit(False)).alias("is_10b5_1")).filter("filed_date IS NOT NULL")
     if ciks is not None:
         sub = sub.join(ciks, "cik", "left_semi")
-    who = tab_separated(spark, f"{folder}/REPORTINGOWNER.tsv", "ACCESSION_NUMBER string, RPTOWNERCIK string, RPTOWNERNAME string, RPTOWNER_RELATIONSHIP string, RPTOWNER_TITLE string")
-    flag = lambda w: F.lower("RPTOWNER_RELATIONSHIP").contains(w)
-    who = owners(who.select(F.col("ACCESSION_NUMBER").alias("accession"), F.col("RPTOWNERCIK").alias("owner"), F.col("RPTOWNERNAME").alias("owner_name"), F.col("RPTOWNER_RELATIONSHIP").alias("relationship"), F.col("RPTOWNER_TITLE").alias("owner_title"), flag("officer").alias("is_officer"), flag("director").alias("is_director"), flag("tenpercent").alias("is_ten_pct_owner")))
+    who = tab_separated(spark, path, "REPORTINGOWNER.tsv", "ACCESSION_NUMBER string, RPTOWNERCIK string, RPTOWNERNAME string, RPTOWNER_RELATIONSHIP string, RPTOWNER_TITLE string")
+    is_a = lambda role: F.array_contains(roles(F.col("RPTOWNER_RELATIONSHIP")), role)
+    who = owners(who.select(F.col("ACCESSION_NUMBER").alias("accession"), F.trim("RPTOWNERCIK").alias("owner"), F.trim("RPTOWNERNAME").alias("owner_name"), text("RPTOWNER_RELATIONSHIP").alias("relationship"), F.col("RPTOWNER_TITLE").alias("owner_title"), is_a("officer").alias("is_officer"), is_a("director").alias("is_director"), is_a("tenpercentowner").alias("is_ten_pct_owner"), F.col(LINE).alias("place")), "place")
     parts = []
     for kind, prefix in (("nonderiv", "NONDERIV"), ("deriv", "DERIV")):
-        rows = tab_separated(spark, f"{folder}/{prefix}_TRANS.tsv", f"ACCESSION_NUMBER string, {prefix}_TRANS_SK string, TRANS_DATE string, TRANS_CODE string, TRANS_ACQUIRED_DISP_CD string, TRANS_SHARES double, TRANS_PRICEPERSHARE double")
-        parts.append(rows.select(F.col("ACCESSION_NUMBER").alias("accession"), F.lit(kind).alias("table_kind"), F.col(f"{prefix}_TRANS_SK").alias("trans_sk"), day("TRANS_DATE").alias("trans_date"), F.upper(F.trim("TRANS_CODE")).alias("trans_code"), F.upper(F.trim("TRANS_ACQUIRED_DISP_CD")).alias("acquired_disposed"), F.col("TRANS_SHARES").alias("shares"), F.col("TRANS_PRICEPERSHARE").alias("price_per_share")))
+        rows = tab_separated(spark, path, f"{prefix}_TRANS.tsv", TRADES.format(prefix))
+        parts.append(rows.select(F.col("ACCESSION_NUMBER").alias("accession"), F.lit(kind).alias("table_kind"), F.trim(f"{prefix}_TRANS_SK").alias("trans_sk"), filed_day("TRANS_DATE").alias("trans_date"), F.upper(text("TRANS_CODE")).alias("trans_code"), F.upper(text("TRANS_ACQUIRED_DISP_CD")).alias("acquired_disposed"), F.col("TRANS_SHARES").alias("shares"), F.col("TRANS_PRICEPERSHARE").alias("price_per_share"), F.col("SHRS_OWND_FOLWNG_TRANS").alias("shares_owned_after"), text("DIRECT_INDIRECT_OWNERSHIP").alias("direct_indirect")))
     out = parts[0].unionByName(parts[1]).join(sub, "accession").join(who, "accession", "left")
-    return out.withColumn("value_usd", F.col("shares") * F.col("price_per_share"))
+    flags = {c: F.coalesce(c, F.lit(False)) for c in ("is_officer", "is_director", "is_ten_pct_owner")}
+    return out.withColumns({**flags, "value_usd": F.col("shares") * F.col("price_per_share")})
 
 
 def wide_prices(df: DataFrame, fields: tuple[str, ...] = ("open", "high", "low", "close", "volume")) -> DataFrame:

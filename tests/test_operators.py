@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import scalar, stats
 from sextant.operators import asof, backtest, features, patterns, pit, quality, ranking, walkforward
-from sextant.sources import files, store
+from sextant.sources import archives, files, store
 
 
 def day(i):
@@ -257,9 +257,43 @@ def test_trade_quarter(spark, tmp_path):
     (tmp_path / "NONDERIV_TRANS.tsv").write_text("ACCESSION_NUMBER\tNONDERIV_TRANS_SK\tTRANS_DATE\tTRANS_CODE\tTRANS_SHARES\tTRANS_PRICEPERSHARE\nx1\t1\t03-JAN-2024\tp\t10\t2.5\nx2\t2\t03-JAN-2024\tP\t10\t2.5\n")
     (tmp_path / "DERIV_TRANS.tsv").write_text("ACCESSION_NUMBER\tDERIV_TRANS_SK\tTRANS_DATE\tTRANS_CODE\tTRANS_SHARES\tTRANS_PRICEPERSHARE\nx1\t7\t03-JAN-2024\tM\t10\t\n")
     a, b = files.trade_quarter(spark, str(tmp_path)).orderBy("trans_sk").collect()
-    assert (a.cik, a.filed_date, a.value_usd, a.is_officer, a.is_director, a.is_ten_pct_owner, a.owner_ids, a.owner_titles, a.trans_code, a.sec_symbol) == ("0000000123", dt.date(2024, 1, 5), 25.0, True, True, True, "8; 9", "Chief", "P", "ABC")
+    assert (a.cik, a.filed_date, a.value_usd, a.is_officer, a.is_director, a.is_ten_pct_owner, a.owner_ids, a.owner_titles, a.trans_code, a.sec_symbol) == ("0000000123", dt.date(2024, 1, 5), 25.0, True, True, True, "9,8", "Chief", "P", "ABC")
     assert (b.table_kind, b.value_usd) == ("deriv", None)
     assert files.trade_quarter(spark, str(tmp_path), spark.createDataFrame([("0000000999",)], "cik string")).count() == 0
+    with pytest.raises(ValueError, match="empty"):
+        files.trade_quarter(spark, str(tmp_path), spark.createDataFrame([], "cik string"))
+
+
+def test_zipped_quarters(spark, tmp_path):
+    """Archives give the rows of the unpacked folders; only wanted columns and issuers are taken; a missing member is no row."""
+    import zipfile
+
+    tables = {"SUBMISSION.tsv": ["ACCESSION_NUMBER\tFILING_DATE\tISSUERCIK\tISSUERTRADINGSYMBOL\tDOCUMENT_TYPE\tAFF10B5ONE", "{0}1\t05-JAN-2024\t123\t (abc) \t4\ttrue", "{0}2\t2024-01-05\t124\tdef\t4\t0", "{0}3\t31-FEB-2024\t125\t\t4\t"],
+              "REPORTINGOWNER.tsv": ["ACCESSION_NUMBER\tRPTOWNERCIK\tRPTOWNERNAME\tRPTOWNER_RELATIONSHIP\tRPTOWNER_TITLE", "{0}1\t9\tZed é\tOfficer\tChief", "{0}1\t8\tAnn\tDirector,Other\t ", "{0}1\t9\tZed é\tDirector\tChief"],
+              "NONDERIV_TRANS.tsv": ["ACCESSION_NUMBER\tNONDERIV_TRANS_SK\tTRANS_DATE\tTRANS_CODE\tTRANS_ACQUIRED_DISP_CD\tTRANS_SHARES\tTRANS_PRICEPERSHARE\tSHRS_OWND_FOLWNG_TRANS\tDIRECT_INDIRECT_OWNERSHIP", "{0}1\t1\t03-JAN-2024\tp\ta\t10\t2.5\t110\tD", "{0}1\t2\t\tS\td\tmany\t2.5\t\t", "{0}2\t3\t03-JAN-2024\tP\tA\t1\t1\t1\tI"],
+              "DERIV_TRANS.tsv": ["ACCESSION_NUMBER\tDERIV_TRANS_SK\tTRANS_DATE\tTRANS_CODE\tTRANS_SHARES\tTRANS_PRICEPERSHARE", "{0}1\t7\t03-JAN-2024\tM\t10\t"]}
+    (tmp_path / "zips").mkdir()
+    for q in ("q1", "q2"):
+        (tmp_path / q).mkdir()
+        with zipfile.ZipFile(tmp_path / "zips" / f"{q}.zip", "w") as box:
+            for name, lines in tables.items():
+                text = "\n".join(lines).replace("{0}", q) + "\n"
+                (tmp_path / q / name).write_text(text)
+                box.writestr(name, text)
+    with zipfile.ZipFile(tmp_path / "zips" / "other.zip", "w") as box:
+        box.writestr("README.txt", "nothing")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    one = files.trade_quarter(spark, str(tmp_path / "q1"))
+    assert rows(one) == rows(files.trade_quarter(spark, str(tmp_path / "zips" / "q1.zip"))) and len(rows(one)) == 3
+    both = files.trade_quarter(spark, f"{tmp_path}/zips/*.zip")
+    assert rows(both) == sorted(rows(one) + rows(files.trade_quarter(spark, str(tmp_path / "q2"))), key=repr)
+    r = both.filter("accession = 'q11' AND trans_sk = '1'").first()
+    assert (r.owner_ids, r.owner_names, r.owner_titles, r.relationships, r.sec_symbol, r.is_10b5_1, r.is_ten_pct_owner, r.shares_owned_after, r.direct_indirect) == ("9,8,9", "Zed é | Ann | Zed é", "Chief | Chief", "Director,Director,Other,Officer", "(ABC)", True, False, 110.0, "D")
+    assert {(r.trans_sk, r.table_kind, r.value_usd, r.is_10b5_1) for r in one.collect()} == {("1", "nonderiv", 25.0, True), ("2", "nonderiv", None, True), ("7", "deriv", None, True)}
+    raw = archives.zipped(spark, str(tmp_path / "zips"), "SUBMISSION.tsv", ["ISSUERCIK", "NONE"])
+    assert raw.columns == ["ISSUERCIK", "NONE", "_line"] and raw.rdd.getNumPartitions() == 3
+    assert rows(raw.filter("ISSUERCIK = '124'").select("ISSUERCIK", "NONE", "_line")) == [("124", None, 1)] * 2
+    assert spark.read.format("zipped_tables").option("member", "DERIV_TRANS.tsv").load(str(tmp_path / "zips")).columns[1] == "DERIV_TRANS_SK"
 
 
 def test_html_table_and_series(spark, tmp_path):
