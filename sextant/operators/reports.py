@@ -151,16 +151,18 @@ def series_correlation(ics: DataFrame, pairs: list[tuple[str, str]], least: int
     return spearman(both, "ic_a", "ic_b", "a", "b", "horizon", least=least)
 
 
-def compared(rows: DataFrame, horizon: int, least: int = C.DECILE_MIN_NAMES, adequate: int = 60) -> DataFrame:
-    """By variant: mean daily IC and its t, decile spread and the mean of the best ten, from rows (variant, d, entity, score, excess)."""
-    full = rows.filter("score IS NOT NULL AND excess IS NOT NULL").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("variant", "d"))).filter(F.col("_n") >= least)
-    day = Window.partitionBy("variant", "d")
-    graded = full.withColumns({"decile": deciles("score", C.DECILES, "variant", "d"), "place": F.rank().over(day.orderBy(F.desc("score"))), "_differ": F.min("score").over(day) < F.max("score").over(day)})
+def compared(rows: DataFrame, least: int = C.DECILE_MIN_NAMES, adequate: int = 60) -> DataFrame:
+    """By horizon and variant: mean daily IC and its t, decile spread and the mean of the best ten, from rows (horizon,
+    variant, d, entity, score, excess)."""
+    keys = ("horizon", "variant")
+    day = Window.partitionBy(*keys, "d")
+    full = rows.filter("score IS NOT NULL AND excess IS NOT NULL").withColumn("_n", F.count(F.lit(1)).over(day)).filter(F.col("_n") >= least)
+    graded = full.withColumns({"decile": deciles("score", C.DECILES, *keys, "d"), "place": F.rank().over(day.orderBy(F.desc("score"))), "_differ": F.min("score").over(day) < F.max("score").over(day)})
     on = lambda c: F.avg(F.when(F.col("_differ") & c, F.col("excess")))
-    daily = graded.groupBy("variant", "d").agg((on(F.col("decile") == 1) - on(F.col("decile") == C.DECILES)).alias("spread"), on(F.col("place") <= 10).alias("top10"))
-    ics = spearman(full, "score", "excess", "variant", "d", least=least).select("variant", "d", F.col("spearman_ic").alias("ic"))
-    out = daily.join(ics, ["variant", "d"], "left").groupBy("variant").agg(F.count(F.lit(1)).alias("n_days"), F.avg("ic").alias("mean_daily_ic"), F.stddev_samp("ic").alias("_s"), F.count("ic").alias("_k"), F.avg("spread").alias("spread_avg"), F.avg("top10").alias("top_10_avg_excess"))
-    return out.withColumns({"ic_t_stat": overlap_t(F.col("mean_daily_ic"), F.col("_s"), F.col("_k"), F.lit(float(horizon))), "adequate": F.col("n_days") >= adequate}).drop("_s", "_k")
+    daily = graded.groupBy(*keys, "d").agg((on(F.col("decile") == 1) - on(F.col("decile") == C.DECILES)).alias("spread"), on(F.col("place") <= 10).alias("top10"))
+    ics = spearman(full, "score", "excess", *keys, "d", least=least).select(*keys, "d", F.col("spearman_ic").alias("ic"))
+    out = daily.join(ics, [*keys, "d"], "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_days"), F.avg("ic").alias("mean_daily_ic"), F.stddev_samp("ic").alias("_s"), F.count("ic").alias("_k"), F.avg("spread").alias("spread_avg"), F.avg("top10").alias("top_10_avg_excess"))
+    return out.withColumns({"ic_t_stat": overlap_t(F.col("mean_daily_ic"), F.col("_s"), F.col("_k"), F.col("horizon")), "adequate": F.col("n_days") >= adequate}).drop("_s", "_k")
 
 
 def hit_rates(long: DataFrame) -> DataFrame:

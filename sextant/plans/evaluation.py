@@ -17,8 +17,6 @@ from sextant.sources.store import written
 QUERIES, ORACLES = {}, {}
 HORIZONS = forward.HORIZONS
 NAMES = O.COMPONENT_NAMES
-#: The components that fits of weights use.
-FEW = ("trend_component", "short_momentum_component", "risk_component", "setup_component")
 
 
 def query(name: str, sql: str | None = None):
@@ -183,23 +181,23 @@ def ic_decay_common(spark, sf_dir):
     return rounded(reports.decay(reports.common_days(ics, 120)).select("series", "horizon", "n_days", "mean_ic", "first_day", "last_day"))
 
 
-@query("sector_ic_decay", f"{GRADED}, {pairs_sql('graded', FEW, (5, 20), more=', sector')}, {ic_sql('sector, series, horizon, d', 5)} SELECT sector, series, horizon, count(*) AS n_days, round(avg(spearman_ic), 6) AS mean_ic FROM ic WHERE spearman_ic IS NOT NULL GROUP BY 1, 2, 3")
+@query("sector_ic_decay", f"{GRADED}, {pairs_sql('graded', NAMES, HORIZONS, more=', sector')}, {ic_sql('sector, series, horizon, d', 5)} SELECT sector, series, horizon, count(*) AS n_days, round(avg(spearman_ic), 6) AS mean_ic FROM ic WHERE spearman_ic IS NOT NULL GROUP BY 1, 2, 3")
 def sector_ic_decay(spark, sf_dir):
     """Daily ICs within each sector."""
-    ics = spearman(reports.unpivoted(graded(spark, sf_dir), FEW, (5, 20), "sector"), "value", "excess", "sector", "series", "horizon", "d", least=5)
+    ics = spearman(reports.unpivoted(graded(spark, sf_dir), NAMES, HORIZONS, "sector"), "value", "excess", "sector", "series", "horizon", "d", least=5)
     return rounded(ics.filter("spearman_ic IS NOT NULL").groupBy("sector", "series", "horizon").agg(F.count(F.lit(1)).alias("n_days"), F.avg("spearman_ic").alias("mean_ic")))
 
 
 _BUCKET = "CASE WHEN s_acctbal < 2500 THEN 'small' WHEN s_acctbal < 6000 THEN 'mid' ELSE 'large' END"
-_OVER = ", ".join(f"future_return_{h}d - future_index_return_{h}d AS over_{h}" for h in (5, 20, 60))
+_OVER = ", ".join(f"future_return_{h}d - future_index_return_{h}d AS over_{h}" for h in HORIZONS)
 
 
-@query("size_bucket_decay", f"{GRADED}, sized AS (SELECT graded.*, {_BUCKET} AS bucket, {_OVER} FROM graded JOIN supplier ON s_suppkey = entity), {pairs_sql('sized', FEW, (5, 20, 60), 'over_{h}', ', bucket')}, {ic_sql('bucket, series, horizon, d', 10)}, ag AS (SELECT bucket, series, horizon, count(*) AS n_days, avg(spearman_ic) AS m, stddev_samp(spearman_ic) AS s FROM ic WHERE spearman_ic IS NOT NULL GROUP BY 1, 2, 3) SELECT bucket, series, horizon, n_days, round(m, 6) AS mean_ic, round(CASE WHEN s > 0 THEN m / (s / sqrt(greatest(1.0::DOUBLE, n_days / CAST(horizon AS DOUBLE)))) END, 6) AS t_stat FROM ag")
+@query("size_bucket_decay", f"{GRADED}, sized AS (SELECT graded.*, {_BUCKET} AS bucket, {_OVER} FROM graded JOIN supplier ON s_suppkey = entity), {pairs_sql('sized', NAMES, HORIZONS, 'over_{h}', ', bucket')}, {ic_sql('bucket, series, horizon, d', 10)}, ag AS (SELECT bucket, series, horizon, count(*) AS n_days, avg(spearman_ic) AS m, stddev_samp(spearman_ic) AS s FROM ic WHERE spearman_ic IS NOT NULL GROUP BY 1, 2, 3) SELECT bucket, series, horizon, n_days, round(m, 6) AS mean_ic, round(CASE WHEN s > 0 THEN m / (s / sqrt(greatest(1.0::DOUBLE, n_days / CAST(horizon AS DOUBLE)))) END, 6) AS t_stat FROM ag")
 def size_bucket_decay(spark, sf_dir):
     """Daily ICs within each size bucket, all against one benchmark: the market."""
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity"), F.when(F.col("s_acctbal") < 2500, "small").when(F.col("s_acctbal") < 6000, "mid").otherwise("large").alias("bucket"))
-    df = graded(spark, sf_dir).withColumns({f"future_excess_return_{h}d": F.col(f"future_return_{h}d") - F.col(f"future_index_return_{h}d") for h in (5, 20, 60)})
-    ics = spearman(reports.unpivoted(df.join(s, "entity"), FEW, (5, 20, 60), "bucket"), "value", "excess", "bucket", "series", "horizon", "d", least=10)
+    df = graded(spark, sf_dir).withColumns({f"future_excess_return_{h}d": F.col(f"future_return_{h}d") - F.col(f"future_index_return_{h}d") for h in HORIZONS})
+    ics = spearman(reports.unpivoted(df.join(s, "entity"), NAMES, HORIZONS, "bucket"), "value", "excess", "bucket", "series", "horizon", "d", least=10)
     out = ics.filter("spearman_ic IS NOT NULL").groupBy("bucket", "series", "horizon").agg(F.count(F.lit(1)).alias("n_days"), F.avg("spearman_ic").alias("mean_ic"), F.stddev_samp("spearman_ic").alias("s"))
     return rounded(out.withColumn("t_stat", overlap_t(F.col("mean_ic"), F.col("s"), F.col("n_days"), F.col("horizon"))).drop("s"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -97,10 +99,10 @@ def tail_sql(t: str, n: str) -> str:
     return f"CASE WHEN {t} IS NOT NULL AND {n} > 0 THEN 1 - CASE WHEN {n} % 2 = 0 THEN {even} ELSE {odd} END END"
 
 
-@query("student_t_tail", f"WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, (l_orderkey % 700) / 100.0::DOUBLE - 3.5::DOUBLE AS t, 1 + l_partkey % 60 AS n FROM lineitem WHERE l_linenumber = 1) SELECT t, n, count(*) AS rows, round({tail_sql('t', 'n')}, 9) AS p_value FROM p GROUP BY t, n")
+@query("student_t_tail", f"WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, (l_orderkey % 700) / 100.0::DOUBLE - 3.5::DOUBLE AS t, 1 + l_partkey % 60 AS n FROM lineitem) SELECT t, n, count(*) AS rows, round({tail_sql('t', 'n')}, 9) AS p_value FROM p GROUP BY t, n")
 def student_t_tail(spark, sf_dir):
     """The tail for many values and degrees of freedom."""
-    li = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(((F.col("l_orderkey") % 700) / 100 - 3.5).alias("t"), (1 + F.col("l_partkey") % 60).alias("n"))
+    li = read(spark, sf_dir, "lineitem").select(((F.col("l_orderkey") % 700) / 100 - 3.5).alias("t"), (1 + F.col("l_partkey") % 60).alias("n"))
     found = li.groupBy("t", "n").agg(F.count(F.lit(1)).alias("rows"))
     return found.withColumn("p_value", F.round(stats.t_tail(F.col("t"), F.col("n").cast("double")), 9))
 
@@ -111,10 +113,10 @@ def bh_fdr(spark, sf_dir):
     return stats.discoveries(s, "p", C.FDR_Q, "family").select("k", "bh_pass")
 
 
-def _fits(spark, sf_dir, window: int | None = None):
-    """Fits for a horizon of 20 sessions, every 21 sessions; the runs are the market's sessions."""
-    sessions = forward.calendar(bars(spark, sf_dir, "all"))
-    return written(walkforward.schedule(sessions.select("d"), sessions, 20, 60, 21, window), "fits")
+def _fits(spark, sf_dir, window: int | None = None, horizons=(20,)):
+    """Fits of each horizon, every 21 sessions; the runs are the market's sessions."""
+    sessions = written(forward.calendar(bars(spark, sf_dir, "all")), "sessions")
+    return written(walkforward.of_horizons({h: walkforward.schedule(sessions.select("d"), sessions, h, 60, 21, window) for h in horizons}), "fits")
 
 
 def _schedule_sql(window: int | None) -> str:
@@ -127,48 +129,53 @@ SELECT fit, a.d AS train_end, b.d AS cutoff, CAST({n} AS INTEGER) AS n_train, z.
 
 @query("walk_forward_schedule", _schedule_sql(None))
 def walk_forward_schedule(spark, sf_dir):
-    return _fits(spark, sf_dir)
+    return _fits(spark, sf_dir).drop("horizon")
 
 
 @query("walk_forward_rolling", _schedule_sql(126))
 def walk_forward_rolling(spark, sf_dir):
     """The same with the newest 126 matured dates only."""
-    return _fits(spark, sf_dir, 126)
+    return _fits(spark, sf_dir, 126).drop("horizon")
 
 
-NAMES = evaluation.FEW
+NAMES, HORIZONS = evaluation.NAMES, evaluation.HORIZONS
 SPEC = {"ic_mean": False, "ic_ratio": True}
-_SCHED = """ss AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM market), nn AS (SELECT max(i) AS last FROM ss),
-fz(fit, i) AS (SELECT 1, CAST(79 AS BIGINT) FROM nn WHERE 79 < last UNION ALL SELECT fit + 1, i + 21 FROM fz, nn WHERE i + 21 < last),
-fits AS (SELECT fit, b.d AS last_train, c.d AS oos_start, e.d AS oos_end FROM fz JOIN ss b ON b.i = fz.i - 20 JOIN ss c ON c.i = fz.i + 1 JOIN nn ON TRUE JOIN ss e ON e.i = CASE WHEN fz.i + 21 <= last THEN fz.i + 20 ELSE last END)"""
+LEAST_ROWS = 500
+_SCHED = f"""ss AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM market), nn AS (SELECT max(i) AS last FROM ss),
+fz(horizon, fit, i) AS (SELECT h, 1, CAST(59 + h AS BIGINT) FROM nn, (VALUES {', '.join(f'({h})' for h in HORIZONS)}) t(h) WHERE 59 + h < last UNION ALL SELECT horizon, fit + 1, i + 21 FROM fz, nn WHERE i + 21 < last),
+fits AS (SELECT horizon, fit, b.d AS last_train, c.d AS oos_start, e.d AS oos_end FROM fz JOIN ss b ON b.i = fz.i - horizon JOIN ss c ON c.i = fz.i + 1 JOIN nn ON TRUE JOIN ss e ON e.i = CASE WHEN fz.i + 21 <= last THEN fz.i + 20 ELSE last END)"""
+_ALL_FITS = f"fits AS (SELECT h AS horizon, 1 AS fit, (SELECT max(d) FROM graded) AS last_train FROM (VALUES {', '.join(f'({h})' for h in HORIZONS)}) t(h))"
+_TARGETS = {h: f"future_excess_return_{h}d" for h in HORIZONS}
 
 
 def weights_sql(ratio: bool, out: str) -> str:
-    """CTE `out` (fit, series, n_days, mean_ic, weight) from `ic` and `fits`."""
+    """CTE `out` (horizon, fit, series, n_days, mean_ic, weight) from `ic` and `fits`."""
     value = "coalesce(m / nullif(s, 0), 0)" if ratio else "m"
-    total, n = "sum(raw) OVER (PARTITION BY fit)", "sum(CAST(known AS INTEGER)) OVER (PARTITION BY fit)"
-    return f"""{out}_s AS (SELECT fit, series, count(*) AS n_days, avg(spearman_ic) AS m, stddev_samp(spearman_ic) AS s FROM fits JOIN ic ON ic.d <= last_train WHERE horizon = 20 AND spearman_ic IS NOT NULL GROUP BY 1, 2),
+    total, n = "sum(raw) OVER (PARTITION BY horizon, fit)", "sum(CAST(known AS INTEGER)) OVER (PARTITION BY horizon, fit)"
+    return f"""{out}_s AS (SELECT fits.horizon, fit, series, count(*) AS n_days, avg(spearman_ic) AS m, stddev_samp(spearman_ic) AS s FROM fits JOIN ic ON ic.d <= last_train AND ic.horizon = fits.horizon WHERE spearman_ic IS NOT NULL GROUP BY 1, 2, 3),
 {out}_r AS (SELECT *, n_days >= 20 AS known, CASE WHEN n_days >= 20 THEN greatest({value}, 0) ELSE 0 END AS raw FROM {out}_s),
-{out} AS (SELECT fit, series, n_days, m AS mean_ic, CASE WHEN {total} > 0 THEN raw / {total} WHEN {n} > 0 THEN CASE WHEN known THEN 1.0::DOUBLE / {n} ELSE 0 END ELSE 1.0::DOUBLE / count(*) OVER (PARTITION BY fit) END AS weight FROM {out}_r)"""
+{out} AS (SELECT horizon, fit, series, n_days, m AS mean_ic, CASE WHEN {total} > 0 THEN raw / {total} WHEN {n} > 0 THEN CASE WHEN known THEN 1.0::DOUBLE / {n} ELSE 0 END ELSE 1.0::DOUBLE / count(*) OVER (PARTITION BY horizon, fit) END AS weight FROM {out}_r)"""
 
 
-_ICS = evaluation._ic("series, horizon, d", 5, NAMES, (20,)).replace("WITH ", "WITH RECURSIVE ", 1)
+_ICS = evaluation._ic("series, horizon, d", 5).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("walk_forward_weights", f"{_ICS}, {_SCHED}, {weights_sql(False, 'w')} SELECT fit, series, n_days, round(mean_ic, 6) AS mean_ic, round(weight, 6) AS weight FROM w")
+@query("walk_forward_weights", f"{_ICS}, {_SCHED}, {weights_sql(False, 'w')} SELECT horizon, fit, series, n_days, round(mean_ic, 6) AS mean_ic, round(weight, 6) AS weight FROM w")
 def walk_forward_weights(spark, sf_dir):
-    ics = reports.daily_ic(evaluation.graded(spark, sf_dir), NAMES, (20,), 5)
-    return rounded(walkforward.ic_weights(_fits(spark, sf_dir), ics))
+    ics = reports.daily_ic(evaluation.graded(spark, sf_dir), NAMES, HORIZONS, 5)
+    return rounded(walkforward.ic_weights(_fits(spark, sf_dir, None, HORIZONS), ics))
 
 
+_CAN = {n: f"f_{n} <= last_train" for n in NAMES}
 _ZERO = {n: f"CASE WHEN stddev_pop({n}) OVER w > 0 THEN stddev_pop({n}) OVER w ELSE 1 END" for n in NAMES}
-_Z = ", ".join(f"({n} - avg({n}) OVER w) / {_ZERO[n]} AS {n}" for n in NAMES)
-DESIGN_CTES = f"cc AS (SELECT d, entity, {', '.join(NAMES)}, future_excess_return_20d AS t FROM graded WHERE {' AND '.join(f'{n} IS NOT NULL' for n in NAMES)} AND future_excess_return_20d IS NOT NULL QUALIFY count(*) OVER (PARTITION BY d) >= 5), z AS (SELECT d, entity, {_Z}, t - avg(t) OVER w AS y FROM cc WINDOW w AS (PARTITION BY d))"
-DESIGN = f"{evaluation.GRADED}, {DESIGN_CTES}"
+_Z = ", ".join(f"coalesce(({n} - avg({n}) OVER w) / {_ZERO[n]}, 0) AS {n}" for n in NAMES)
+_T = "CASE horizon " + " ".join(f"WHEN {h} THEN {t}" for h, t in _TARGETS.items()) + " END"
+DESIGN_CTES = f"fd AS (SELECT {', '.join(f'min(d) FILTER ({n} IS NOT NULL) AS f_{n}' for n in NAMES)} FROM graded), cc AS (SELECT horizon, fit, d, entity, {', '.join(f'CASE WHEN {_CAN[n]} THEN {n} END AS {n}' for n in NAMES)}, {_T} AS t FROM graded JOIN fits ON d <= last_train CROSS JOIN fd WHERE {' AND '.join(f'({n} IS NOT NULL OR ({_CAN[n]}) IS NOT TRUE)' for n in NAMES)} AND {_T} IS NOT NULL QUALIFY count(*) OVER (PARTITION BY horizon, fit, d) >= 5), z AS (SELECT horizon, fit, d, entity, {_Z}, t - avg(t) OVER w AS y FROM cc WINDOW w AS (PARTITION BY horizon, fit, d))"
+DESIGN = f"{evaluation.GRADED}, {_ALL_FITS}, {DESIGN_CTES}"
 _PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i, len(NAMES))]
 
 
-def solve_sql(moments: str, out: str, keys: str, alpha: float, floor: bool, rounds: int = 400) -> str:
+def solve_sql(moments: str, out: str, keys: str, alpha: float, floor: bool, rounds: int = 2000) -> str:
     """CTEs up to `out` (keys, w0...): weights by coordinate descent on the moments, which finds ridge's as well."""
     k, state = len(NAMES), []
     at = lambda i, j: f"m{min(i, j)}_{max(i, j)}"
@@ -183,78 +190,95 @@ def solve_sql(moments: str, out: str, keys: str, alpha: float, floor: bool, roun
 
 
 _SUMS = ", ".join([f"coalesce(sum({NAMES[i]} * {NAMES[j]}), 0) AS m{i}_{j}" for i, j in _PAIRS] + [f"coalesce(sum({n} * y), 0) AS y{i}" for i, n in enumerate(NAMES)] + ["count(*) AS n_rows"])
-_FIT = "WITH RECURSIVE " + DESIGN.removeprefix("WITH ") + f", mm AS (SELECT 1 AS one, {_SUMS} FROM z HAVING count(*) > 0)"
-_LONG_W = " UNION ALL ".join(f"SELECT '{n}' AS series, round(w{i}, 6) + 0.0 AS weight, n_rows FROM fit JOIN mm USING (one)" for i, n in enumerate(NAMES))
+_BY_FIT = f"mf AS (SELECT horizon, fit, {_SUMS} FROM z GROUP BY horizon, fit), mm AS (SELECT * FROM mf WHERE n_rows >= {LEAST_ROWS})"
+_FIT = "WITH RECURSIVE " + DESIGN.removeprefix("WITH ") + f", {_BY_FIT}"
+_LONG_W = " UNION ALL ".join(f"SELECT horizon, '{n}' AS series, round(coalesce(w{i}, 0), 6) + 0.0 AS weight, n_rows FROM mf LEFT JOIN solved USING (horizon, fit)" for i, n in enumerate(NAMES))
+
+
+def _all_dates(spark, df):
+    """One fit a horizon over all dates."""
+    one = df.agg(F.min("d").alias("first_train"), F.max("d").alias("last_train")).withColumn("fit", F.lit(1))
+    return one.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in HORIZONS])))
 
 
-def _design(spark, sf_dir, df=None):
-    return walkforward.standardised(evaluation.graded(spark, sf_dir) if df is None else df, list(NAMES), "future_excess_return_20d")
+def _moments(spark, df, fits):
+    """Sums of each fit's training rows, and the sets of components that fits can use."""
+    dealt, sets = walkforward.designs(df, fits, list(NAMES))
+    return written(walkforward.moments_by_fit(walkforward.standardised(df, list(NAMES), _TARGETS, sets), list(NAMES), dealt), "moments"), sets
 
 
-@query("standardised_design", f"{DESIGN} SELECT d, entity, {O.r6(*NAMES, 'y')} FROM z")
+@query("standardised_design", f"{DESIGN} SELECT horizon, d, entity, {O.r6(*NAMES, 'y')} FROM z")
 def standardised_design(spark, sf_dir):
-    return rounded(_design(spark, sf_dir))
+    """The regressions' rows over all dates: every component as a z-score of its day, for each horizon's outcome."""
+    df = written(evaluation.graded(spark, sf_dir), "graded")
+    dealt, sets = walkforward.designs(df, _all_dates(spark, df), list(NAMES))
+    return rounded(walkforward.standardised(df, list(NAMES), _TARGETS, sets).join(F.broadcast(dealt.select("horizon", "design")), ["horizon", "design"]).drop("design"))
 
 
 def _weights(spark, sf_dir, solve):
-    rows = walkforward.moments(_design(spark, sf_dir).withColumn("fit", F.lit(1)), list(NAMES), "fit")
-    return rounded(walkforward.solved(spark, rows, list(NAMES), solve).select("series", "weight", "n_rows"))
+    df = written(evaluation.graded(spark, sf_dir), "graded")
+    sums, sets = _moments(spark, df, _all_dates(spark, df))
+    return rounded(walkforward.solved(spark, sums, list(NAMES), sets, solve, LEAST_ROWS).select("horizon", "series", "weight", "n_rows"))
 
 
-@query("ridge_fit", f"{_FIT}, {solve_sql('mm', 'fit', 'one', 50.0, False)} {_LONG_W}")
+@query("ridge_fit", f"{_FIT}, {solve_sql('mm', 'solved', 'horizon, fit', 50.0, False)} {_LONG_W}")
 def ridge_fit(spark, sf_dir):
     return _weights(spark, sf_dir, walkforward.ridge)
 
 
-@query("nnls_fit", f"{_FIT}, {solve_sql('mm', 'fit', 'one', 0.0, True)} {_LONG_W}")
+@query("nnls_fit", f"{_FIT}, {solve_sql('mm', 'solved', 'horizon, fit', 0.0, True)} {_LONG_W}")
 def nnls_fit(spark, sf_dir):
     return _weights(spark, sf_dir, walkforward.nonnegative)
 
 
 def composite_sql(weights: str, out: str) -> str:
-    """CTE `out` (fit, d, entity, score): each out-of-sample row scored by its own fit's weights."""
-    long = " UNION ALL ".join(f"SELECT fit, g.d, entity, '{n}' AS series, {n} AS value FROM graded g JOIN fits ON g.d BETWEEN oos_start AND oos_end" for n in NAMES)
-    return f"{out}_l AS ({long}), {out} AS (SELECT l.fit, d, entity, CASE WHEN NOT bool_or(series = 'trend_component' AND value IS NULL) THEN sum(weight * value) / nullif(sum(weight) FILTER (value IS NOT NULL), 0) END AS score FROM {out}_l l JOIN {weights} w USING (fit, series) WHERE weight > 0 GROUP BY 1, 2, 3)"
+    """CTE `out` (horizon, fit, d, entity, score): each out-of-sample row scored by its own fit's weights."""
+    long = " UNION ALL ".join(f"SELECT horizon, fit, g.d, entity, '{n}' AS series, {n} AS value FROM graded g JOIN fits ON g.d BETWEEN oos_start AND oos_end" for n in NAMES)
+    return f"{out}_l AS ({long}), {out} AS (SELECT l.horizon, l.fit, d, entity, CASE WHEN NOT bool_or(series = 'trend_component' AND value IS NULL) THEN sum(weight * value) / nullif(sum(weight) FILTER (value IS NOT NULL), 0) END AS score FROM {out}_l l JOIN {weights} w USING (horizon, fit, series) WHERE weight > 0 GROUP BY 1, 2, 3, 4)"
 
 
 def _ahead(df, fits):
-    return df.join(F.broadcast(fits.select("fit", "oos_start", "oos_end")), F.col("d").between(F.col("oos_start"), F.col("oos_end")))
+    return df.join(F.broadcast(fits.select("horizon", "fit", "oos_start", "oos_end")), F.col("d").between(F.col("oos_start"), F.col("oos_end")))
 
 
-@query("walk_forward_composite", f"{_ICS}, {_SCHED}, {weights_sql(False, 'w')}, {composite_sql('w', 'co')} SELECT fit, d, entity, round(score, 6) AS score FROM co")
+@query("walk_forward_composite", f"{_ICS}, {_SCHED}, {weights_sql(False, 'w')}, {composite_sql('w', 'co')} SELECT horizon, fit, d, entity, round(score, 6) AS score FROM co")
 def walk_forward_composite(spark, sf_dir):
-    """Out-of-sample scores: each date scored by the fit that was made before it."""
-    df, fits = written(evaluation.graded(spark, sf_dir), "graded"), _fits(spark, sf_dir)
-    weights = walkforward.ic_weights(fits, reports.daily_ic(df, NAMES, (20,), 5))
+    """Out-of-sample scores of each horizon: each date scored by the fit that was made before it."""
+    df, fits = written(evaluation.graded(spark, sf_dir), "graded"), _fits(spark, sf_dir, None, HORIZONS)
+    weights = walkforward.ic_weights(fits, reports.daily_ic(df, NAMES, HORIZONS, 5))
     return rounded(walkforward.composite(_ahead(df, fits), weights, list(NAMES), ["trend_component"]))
 
 
-_BY_FIT = f"mf AS (SELECT fit, {_SUMS} FROM z JOIN fits ON z.d <= last_train GROUP BY fit)"
-_REG = lambda v: " UNION ALL ".join(f"SELECT fit, '{n}' AS series, w{i} AS weight FROM {v}" for i, n in enumerate(NAMES))
+_REG = lambda v: " UNION ALL ".join(f"SELECT horizon, fit, '{n}' AS series, w{i} AS weight, f_{n} <= last_train IS TRUE AS usable FROM {v} JOIN fits USING (horizon, fit) CROSS JOIN fd" for i, n in enumerate(NAMES))
+_CLIP = lambda v: f"{v} AS (SELECT horizon, fit, series, CASE WHEN sum(greatest(weight, 0)) OVER p > 0 THEN greatest(weight, 0) / sum(greatest(weight, 0)) OVER p WHEN usable THEN 1.0::DOUBLE / sum(CAST(usable AS INTEGER)) OVER p ELSE 0 END AS weight FROM {v}0 WINDOW p AS (PARTITION BY horizon, fit))"
 _VARIANTS = ("ic_mean", "ic_ratio", "ridge", "nnls")
-_COMPARE = f"""{_ICS}, {_SCHED}, {DESIGN_CTES}, {_BY_FIT}, {weights_sql(False, 'ic_mean')}, {weights_sql(True, 'ic_ratio')}, {solve_sql('mf', 'rs', 'fit', 50.0, False)}, {solve_sql('mf', 'ns', 'fit', 0.0, True)}, ridge0 AS ({_REG('rs')}), ridge AS (SELECT fit, series, greatest(weight, 0) / nullif(sum(greatest(weight, 0)) OVER (PARTITION BY fit), 0) AS weight FROM ridge0), nnls0 AS ({_REG('ns')}), nnls AS (SELECT fit, series, greatest(weight, 0) / nullif(sum(greatest(weight, 0)) OVER (PARTITION BY fit), 0) AS weight FROM nnls0),
-{', '.join(composite_sql(v, f'co_{v}') for v in _VARIANTS)}, sc AS ({' UNION ALL '.join(f"SELECT '{v}' AS variant, d, entity, score FROM co_{v}" for v in _VARIANTS)} UNION ALL SELECT 'config', g.d, entity, score_20d FROM graded g JOIN fits ON g.d BETWEEN oos_start AND oos_end),
-jn AS (SELECT variant, sc.d, sc.entity, round(score, 9) AS score, g.future_excess_return_20d AS excess FROM sc JOIN graded g ON g.d = sc.d AND g.entity = sc.entity WHERE score IS NOT NULL AND g.future_excess_return_20d IS NOT NULL),
-dy AS (SELECT * FROM jn QUALIFY count(*) OVER (PARTITION BY variant, d) >= 30), rk AS (SELECT *, {O.rank('score', 'variant, d', 'DESC')} AS pct, rank() OVER (PARTITION BY variant, d ORDER BY score DESC) AS place, min(score) OVER (PARTITION BY variant, d) AS lo, max(score) OVER (PARTITION BY variant, d) AS hi, rank() OVER (PARTITION BY variant, d ORDER BY score) + (count(*) OVER (PARTITION BY variant, d, score) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY variant, d ORDER BY excess) + (count(*) OVER (PARTITION BY variant, d, excess) - 1) / 2.0::DOUBLE AS rb FROM dy),
-da AS (SELECT variant, d, avg(excess) FILTER (lo < hi AND least(10, greatest(1, ceil(round(pct / 100 * 10, 9)))) = 1) - avg(excess) FILTER (lo < hi AND least(10, greatest(1, ceil(round(pct / 100 * 10, 9)))) = 10) AS spread, avg(excess) FILTER (lo < hi AND place <= 10) AS top10, CASE WHEN stddev_pop(ra) * stddev_pop(rb) > 1e-15 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END AS ic FROM rk GROUP BY 1, 2)"""
+_CONFIG = "CASE fits.horizon " + " ".join(f"WHEN {h} THEN score_{h}d" for h in HORIZONS) + " END"
+_EXCESS = "CASE sc.horizon " + " ".join(f"WHEN {h} THEN g.{t}" for h, t in _TARGETS.items()) + " END"
+_COMPARE = f"""{_ICS}, {_SCHED}, {DESIGN_CTES}, {_BY_FIT}, {weights_sql(False, 'ic_mean')}, {weights_sql(True, 'ic_ratio')}, {solve_sql('mm', 'rs', 'horizon, fit', 50.0, False)}, {solve_sql('mm', 'ns', 'horizon, fit', 0.0, True)}, ridge0 AS ({_REG('rs')}), {_CLIP('ridge')}, nnls0 AS ({_REG('ns')}), {_CLIP('nnls')},
+{', '.join(composite_sql(v, f'co_{v}') for v in _VARIANTS)}, sc AS ({' UNION ALL '.join(f"SELECT horizon, '{v}' AS variant, d, entity, score FROM co_{v}" for v in _VARIANTS)} UNION ALL SELECT horizon, 'config', g.d, entity, {_CONFIG} FROM graded g JOIN fits ON g.d BETWEEN oos_start AND oos_end),
+jn AS (SELECT sc.horizon, variant, sc.d, sc.entity, round(score, 9) AS score, {_EXCESS} AS excess FROM sc JOIN graded g ON g.d = sc.d AND g.entity = sc.entity WHERE score IS NOT NULL AND {_EXCESS} IS NOT NULL),
+dy AS (SELECT * FROM jn QUALIFY count(*) OVER (PARTITION BY horizon, variant, d) >= 30), rk AS (SELECT *, {O.rank('score', 'horizon, variant, d', 'DESC')} AS pct, rank() OVER (PARTITION BY horizon, variant, d ORDER BY score DESC) AS place, min(score) OVER (PARTITION BY horizon, variant, d) AS lo, max(score) OVER (PARTITION BY horizon, variant, d) AS hi, rank() OVER (PARTITION BY horizon, variant, d ORDER BY score) + (count(*) OVER (PARTITION BY horizon, variant, d, score) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY horizon, variant, d ORDER BY excess) + (count(*) OVER (PARTITION BY horizon, variant, d, excess) - 1) / 2.0::DOUBLE AS rb FROM dy),
+da AS (SELECT horizon, variant, d, avg(excess) FILTER (lo < hi AND least(10, greatest(1, ceil(round(pct / 100 * 10, 9)))) = 1) - avg(excess) FILTER (lo < hi AND least(10, greatest(1, ceil(round(pct / 100 * 10, 9)))) = 10) AS spread, avg(excess) FILTER (lo < hi AND place <= 10) AS top10, CASE WHEN stddev_pop(ra) * stddev_pop(rb) > 1e-15 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END AS ic FROM rk GROUP BY 1, 2, 3)"""
 
 
-@query("walk_forward_comparison", f"{_COMPARE} SELECT variant, count(*) AS n_days, round(avg(ic), 6) AS mean_daily_ic, round(CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / (stddev_samp(ic) / sqrt(greatest(1.0::DOUBLE, count(ic) / 20.0::DOUBLE))) END, 6) AS ic_t_stat, round(avg(spread), 6) AS spread_avg, round(avg(top10), 6) AS top_10_avg_excess, count(*) >= 60 AS adequate FROM da GROUP BY variant")
+@query("walk_forward_comparison", f"{_COMPARE} SELECT horizon, variant, count(*) AS n_days, round(avg(ic), 6) AS mean_daily_ic, round(CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / (stddev_samp(ic) / sqrt(greatest(1.0::DOUBLE, count(ic) / CAST(horizon AS DOUBLE)))) END, 6) AS ic_t_stat, round(avg(spread), 6) AS spread_avg, round(avg(top10), 6) AS top_10_avg_excess, count(*) >= 60 AS adequate FROM da GROUP BY horizon, variant")
 def walk_forward_comparison(spark, sf_dir):
-    """Weights by mean IC, by IC ratio, by ridge and by non-negative regression, and the configured score, each on the same
-    out-of-sample dates, from one scoring run."""
-    df, fits = written(evaluation.graded(spark, sf_dir), "graded"), _fits(spark, sf_dir)
-    ics = written(reports.daily_ic(df, NAMES, (20,), 5), "ics")
-    by_fit = walkforward.moments_by_fit(_design(spark, sf_dir, df), list(NAMES), fits)
+    """Weights by mean IC, by IC ratio, by ridge and by non-negative regression, and the configured score, for each
+    horizon on the same out-of-sample dates, from one scoring run."""
+    df, fits = written(evaluation.graded(spark, sf_dir), "graded"), _fits(spark, sf_dir, None, HORIZONS)
+    ics = written(reports.daily_ic(df, NAMES, HORIZONS, 5), "ics")
+    sums, sets = _moments(spark, df, fits)
     found = {v: walkforward.ic_weights(fits, ics, ratio) for v, ratio in SPEC.items()}
-    found |= {v: walkforward.clipped(walkforward.solved(spark, by_fit, list(NAMES), solve)) for v, solve in (("ridge", walkforward.ridge), ("nnls", walkforward.nonnegative))}
+    found |= {v: walkforward.clipped(walkforward.solved(spark, sums, list(NAMES), sets, solve, LEAST_ROWS), LEAST_ROWS) for v, solve in (("ridge", walkforward.ridge), ("nnls", walkforward.nonnegative))}
     ahead, out = _ahead(df, fits), None
+    config = reduce(lambda a, h: F.when(F.col("horizon") == h, F.col(f"score_{h}d")).otherwise(a), HORIZONS, F.lit(None).cast("double"))
     for variant, weights in [*found.items(), ("config", None)]:
-        scored = ahead.select("d", "entity", F.col("score_20d").alias("score")) if weights is None else walkforward.composite(ahead, weights, list(NAMES), ["trend_component"]).select("d", "entity", "score")
+        scored = ahead.select("horizon", "d", "entity", config.alias("score")) if weights is None else walkforward.composite(ahead, weights, list(NAMES), ["trend_component"]).select("horizon", "d", "entity", "score")
         part = scored.withColumn("variant", F.lit(variant))
         out = part if out is None else out.unionByName(part)
-    rows = out.withColumn("score", F.round("score", 9)).join(df.select("d", "entity", F.col("future_excess_return_20d").alias("excess")), ["d", "entity"])
-    return rounded(reports.compared(written(rows, "compared"), 20))
+    happened = df.select("d", "entity", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(t).alias("excess")) for h, t in _TARGETS.items()])).alias("h")).select("d", "entity", "h.*")
+    rows = out.withColumn("score", F.round("score", 9)).join(happened, ["horizon", "d", "entity"])
+    return rounded(reports.compared(written(rows, "compared")))
 
 
 _FLAG = "ef AS (SELECT DISTINCT l_suppkey AS entity, CAST(date_trunc('week', l_shipdate) AS DATE) AS d FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1)"
