@@ -2,7 +2,7 @@
 
 A text that the good dictionary shortens more than the bad one is good. Texts are compressed in fixed blocks, so a
 dictionary counts all through a long text and not only at its start. The difference, with the sizes it is made of,
-goes through a logistic calibration fitted on the same labelled rows."""
+goes through a logistic calibration fitted on labelled rows that no dictionary was trained on."""
 
 from __future__ import annotations
 
@@ -19,15 +19,14 @@ from sextant.llm.common import batched, fold, labelled, newton_logistic, table
 
 @dataclass(frozen=True)
 class CompressionRules:
-    """Parameters: rows a class that are learned from, dictionary and block size in bytes, level, blocks of a row and of
-    a class that a dictionary is trained on (drawn at random from the whole texts), cut of `predicted`."""
+    """Parameters: rows a class that are learned from, dictionary and block size in bytes, level, one of how many rows
+    calibrates (all blocks of the others train the dictionaries), cut of `predicted`."""
 
     rows_per_class: int = 3000
     dictionary: int = 112_640
     block: int = 2048
     level: int = 3
-    blocks_a_row: int = 50
-    blocks_a_class: int = 4000
+    calibrates: int = 3
     cut: float = 0.3
     ridge: float = 0.3
 
@@ -75,32 +74,32 @@ def _second_order(x: np.ndarray) -> np.ndarray:
 
 
 def fit(rows, rules: CompressionRules = CompressionRules()) -> CompressionModel:
-    """The model from (doc_id, text, label) rows; with less than two classes every text gets the share of label 1."""
+    """The model from (doc_id, text, label) rows; with less than two classes every text gets the share of label 1.
+
+    Rows are dealt at random; where a class has none among those that calibrate, all rows do both."""
     rows = [r for r in rows if r["text"]]
     y = np.array([r["label"] for r in rows], float)
     prior = float(y.mean()) if len(y) else 0.5
     model = CompressionModel(b"", b"", np.zeros(0), np.ones(0), None, prior, rules)
     if len(set(y.tolist())) < 2:
         return model
-    rng, within = np.random.default_rng(7), np.random.default_rng(8)
-
-    def drawn(text: str) -> list[bytes]:
-        parts = _blocks(text, rules.block)
-        return parts if len(parts) <= rules.blocks_a_row else [parts[i] for i in sorted(within.choice(len(parts), rules.blocks_a_row, replace=False))]
+    judge = np.random.default_rng(7).permutation(len(rows)) % rules.calibrates == 0
+    learn = ~judge
+    if len(set(y[judge].tolist())) < 2 or len(set(y[learn].tolist())) < 2:
+        judge = learn = np.ones(len(rows), bool)
 
     def dictionary(label: int) -> bytes:
-        parts = [b for r in rows if r["label"] == label for b in drawn(r["text"]) if len(b) > 64]
-        parts = [parts[i] for i in rng.permutation(len(parts))[: rules.blocks_a_class]]
+        parts = [b for r, l in zip(rows, learn, strict=True) if l and r["label"] == label for b in _blocks(r["text"], rules.block)]
         try:
             return zstandard.train_dictionary(rules.dictionary, parts).as_bytes()
-        except zstandard.ZstdError:  # too few samples to train on: the samples themselves are the dictionary
+        except zstandard.ZstdError:  # too few samples to train on: the samples, up to a dictionary's size, are the dictionary
             return b"".join(parts)[-rules.dictionary :] or b"\n" * 64
 
     model.bad, model.good = dictionary(0), dictionary(1)
     c = model.compressors()
-    x = _second_order(np.array([sizes(r["text"], c, rules.block) for r in rows]))
+    x = _second_order(np.array([sizes(r["text"], c, rules.block) for r, j in zip(rows, judge, strict=True) if j]))
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
-    model.weights = newton_logistic((x - model.mean) / model.scale, y, ridge=rules.ridge)
+    model.weights = newton_logistic((x - model.mean) / model.scale, y[judge], ridge=rules.ridge)
     return model
 
 

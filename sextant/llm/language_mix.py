@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,15 +173,28 @@ def identify(docs: DataFrame, model: MixtureModel) -> DataFrame:
     return batched(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>")
 
 
-def keep_identified(docs: DataFrame, model: MixtureModel) -> DataFrame:
-    """The rows of docs whose text has a language, with all their columns; the others (`und`) go.
+def keep_identified(docs: DataFrame, model: MixtureModel, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of docs whose text has a language, and one of `wanted` if these are given, with all their columns; the
+    others go. A null `lang`, if there is that column, becomes the language found.
 
-    A model without a language (no labelled row to learn from) keeps every text with a letter. Works on the rows themselves, so no join by doc_id and no shuffle; columns of any name pass through."""
+    `wanted` judges by the language with the largest share. A model without a language (no labelled row to learn from)
+    keeps every text with a letter and finds no language. Works on the rows themselves, so no join by doc_id and no
+    shuffle; columns of any name pass through, texts of any length are read whole."""
+    names = docs.columns
 
     def run(batches):
         for batch in batches:
-            keep = [bool(mixture(model, t)[0]) if model.langs else bool(grams(t or "", model.rules.bits).size) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            texts = batch.column(names.index("text")).to_pylist()
+            if model.langs:
+                found = [(mixture(model, t)[0] or [None])[0] for t in texts]
+                keep = [x is not None and (wanted is None or x in wanted) for x in found]
+            else:
+                found, keep = [None] * len(texts), [bool(grams(t or "", model.rules.bits).size) for t in texts]
+            columns = list(batch.columns)
+            if "lang" in names and pa.types.is_string(batch.schema.field("lang").type):
+                at = names.index("lang")
+                columns[at] = pc.coalesce(columns[at], pa.array(found, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
     return batched(docs).mapInArrow(run, docs.schema)
 

@@ -35,8 +35,8 @@ HITS = "array<struct<item_id:bigint,coverage:double,tiles:array<struct<doc_word:
 
 @dataclass(frozen=True)
 class TilingRules:
-    """Parameters: shortest tile in words (an item of fewer words must match whole), coverage that counts as a leak,
-    and the base-2 logarithm of the bit table's size at most (16 MB): beyond some millions of seeds more places pass it,
+    """Parameters: shortest tile in words (an item of fewer words has no tile: such a word or phrase is in clean texts too,
+    and proves nothing; `short_items` tells how many they are), coverage that counts as a leak, and the base-2 logarithm of the bit table's size at most (16 MB): beyond some millions of seeds more places pass it,
     which costs time and changes no result."""
 
     least: int = 5
@@ -86,7 +86,7 @@ def _longs(x: np.ndarray) -> np.ndarray:
 
 
 def item_seeds(benchmark: DataFrame, rules: TilingRules) -> DataFrame:
-    """number, item_id, n (words), k (words of a seed) and the seeds' hashes h and g of each item with a word.
+    """number, item_id, n (words), k (words of a seed) and the seeds' hashes h and g of each item of `least` words or more.
 
     Numbers tell rows apart, whatever their ids; the frame is to be written once before it is used."""
 
@@ -100,8 +100,8 @@ def item_seeds(benchmark: DataFrame, rules: TilingRules) -> DataFrame:
             out = []
             for i, item in enumerate(b.column(0).to_pylist()):
                 w = h[bounds[i] : bounds[i + 1]]
-                if len(w):
-                    k, number = min(rules.least, len(w)), number + 1
+                if len(w) >= rules.least:
+                    k, number = rules.least, number + 1
                     out.append((number, item, len(w), k, _longs(_rolled(w, k)), _longs(_second(w, np.arange(len(w) - k + 1), k))))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names=["number", "item_id", "n", "k", "h", "g"])
@@ -233,10 +233,23 @@ def tiled(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "digest string, coverage double, item_id long, number long, tiles array<struct<doc_word:int,item_word:int,words:int>>")
 
 
+def short_items(benchmark: DataFrame, rules: TilingRules = TilingRules()) -> DataFrame:
+    """item_id and words of the items that are too short to be searched for, those without a word and null ones too."""
+
+    def run(batches):
+        for b in batches:
+            row, _ = hashed_words(b.column(1).fill_null(""))
+            n = np.bincount(row, minlength=b.num_rows)
+            few = np.flatnonzero(n < rules.least)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(few)), pa.array(n[few].astype(np.int32))], names=["item_id", "words"])
+
+    return batched(benchmark.select(F.col("item_id").cast("long"), "text")).mapInArrow(run, "item_id long, words int")
+
+
 def text_hits(docs: DataFrame, benchmark: DataFrame, rules: TilingRules = TilingRules()) -> DataFrame | None:
     """digest, coverage, item_id, number and tiles for each different text of docs and each item that share a tile.
 
-    None if no item has a word. Written to the shared folder, so that its size is known to what joins it."""
+    None if no item is long enough. Written to the shared folder, so that its size is known to what joins it."""
     items = kept(item_seeds(benchmark, rules), "tiling-items")
     about = items.agg(F.sum(F.size("h")).alias("seeds"), F.sort_array(F.collect_set("k")).alias("sizes")).first()
     if not about["seeds"]:
@@ -254,8 +267,8 @@ def text_hits(docs: DataFrame, benchmark: DataFrame, rules: TilingRules = Tiling
 def tilings(docs: DataFrame, benchmark: DataFrame, rules: TilingRules = TilingRules()) -> DataFrame:
     """docs with `bench_hits`: items that share a tile with the text, with coverage and tiles, the best covered first.
 
-    Null and empty texts, and texts without a letter or digit, have no hits; so has every text if the benchmark is
-    empty. Items of equal text are all listed, ties by item_id. Repeated rows get equal hits. A column `bench_hits` is
+    Null and empty texts, and texts without a letter or digit, have no hits, and items of fewer words than a tile give
+    none; so has every text if the benchmark is empty. A text of any length is read whole. Items of equal text are all listed, ties by item_id. Repeated rows get equal hits. A column `bench_hits` is
     replaced; other columns pass through. Tiles count words with a letter or digit."""
     found, out, key = text_hits(docs, benchmark, rules), docs.drop("bench_hits"), f"_digest_{uuid.uuid4().hex}"
     empty = F.from_json(F.lit("[]"), HITS)

@@ -66,7 +66,7 @@ def test_op8_by_greedy_tiling(spark, tmp_path):
         hits = []
         for item, t in items:
             w = plain(t)
-            tiles = greedy(plain(text)[:60] if doc_id == 206 else plain(text), w, min(5, len(w))) if w else []
+            tiles = greedy(plain(text)[:60] if doc_id == 206 else plain(text), w, 5) if len(w) >= 5 else []
             if tiles:
                 hits.append((sum(n for _, _, n in tiles) / len(w), item))
         best = max(hits, key=lambda x: (x[0], -x[1]), default=(0.0, None))

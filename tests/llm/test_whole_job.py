@@ -102,8 +102,43 @@ def test_dictionaries_learn_from_whole_texts():
     """What stands only after the first blocks of long texts reaches the dictionary of their class."""
     rng = np.random.default_rng(1)
     said = lambda words, n: " ".join(rng.choice(words, n))
-    rules = compression.CompressionRules(blocks_a_row=5)
+    rules = compression.CompressionRules()
     start = [f"early{i}" for i in range(300)]
     rows = [{"doc_id": i, "label": i % 2, "text": said(start, 1500) + " " + said([f"later{i % 2}x{j}" for j in range(300)], 6000)} for i in range(60)]
     model = compression.fit(rows, rules)
     assert b"later1x" in model.good and b"later0x" in model.bad and b"later0x" not in model.good
+
+
+def test_calibration_judges_rows_that_trained_nothing():
+    """Labels that say nothing: the dictionaries know their own rows by heart, and still no text gets a sure score."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(4000)]
+    rows = [{"doc_id": i, "label": int(rng.integers(0, 2)), "text": " ".join(rng.choice(words, 200))} for i in range(300)]
+    model = compression.fit(rows)
+    c = model.compressors()
+    x = (compression._second_order(np.array([compression.sizes(r["text"], c, model.rules.block) for r in rows[:200]])) - model.mean) / model.scale
+    score = 1 / (1 + np.exp(-(np.c_[x, np.ones(len(x))] @ model.weights)))
+    judge = (np.random.default_rng(7).permutation(len(rows)) % model.rules.calibrates == 0)[:200]
+    gap = score[judge][[r["label"] == 1 for r, j in zip(rows[:200], judge) if j]].mean() - score[judge][[r["label"] == 0 for r, j in zip(rows[:200], judge) if j]].mean()
+    assert gap < 0.6
+
+
+def test_language_stage_keeps_wanted_languages(spark):
+    """A language outside the wanted ones goes; a null lang is filled in; the columns stay."""
+    en, de = "the cat sat on the mat and looked at the moon", "der hund lief durch den wald und bellte den mond an"
+    rows = [(i, en if i % 2 else de, "en" if i % 2 else "de", i) for i in range(40)] + [(100, en, None, 1), (101, de, None, 2), (102, None, "en", 3), (103, "12", "en", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    model = language_mix.fit(docs)
+    everything = {r.doc_id: r.lang for r in language_mix.keep_identified(docs, model).collect()}
+    assert set(everything) == {*range(40), 100, 101} and everything[100] == "en" and everything[101] == "de"
+    some = language_mix.keep_identified(docs, model, ("en",))
+    assert some.columns == docs.columns and {r.doc_id for r in some.collect()} == {*range(1, 40, 2), 100}
+
+
+def test_short_items_prove_nothing(spark):
+    """Items of one to four words are in clean texts too: they remove none, and are told."""
+    items = spark.createDataFrame([(1, "Paris"), (2, "Yes!"), (3, None), (4, "..."), (5, "one two three four five")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "I went to Paris last summer and it rained."), (2, "yes"), (3, "ONE two, three four five")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in tiling.clean(docs, items).collect()) == [1, 2]
+    assert sorted((r.item_id, r.words) for r in tiling.short_items(items).collect()) == [(1, 1), (2, 1), (3, 0), (4, 0)]
+    assert sorted(r.doc_id for r in tiling.clean(docs, items.filter("item_id < 5")).collect()) == [1, 2, 3]
