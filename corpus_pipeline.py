@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 from sextant.llm import language_mix, pii, similarity, temperature, tiling
 from sextant.llm.common import fold, kept, shared_dir, table
 
+#: Languages to keep; None keeps all that the model knows.
+WANTED: tuple[str, ...] | None = None
+
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those that language identification gives `und` go (no text, or no letter in it).
+    """Documents with a language: those that language identification gives `und` go (no text, or no letter in it), and so
+    do those whose language isn't among WANTED, if that names any. A null `lang` becomes the language found.
 
     The model is learned from the documents' own `lang`, outside fold 0 of 5. Rows that share a doc_id are judged one
     by one; a row without a letter goes and a row with one stays, whatever its other columns hold."""
     model = language_mix.fit(docs.filter(fold(F.col("doc_id"), 5) != 0))
-    return language_mix.keep_identified(docs, model)
+    return language_mix.keep_identified(docs, model, WANTED)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
