@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sextant import config as C
 from sextant.functions.scalar import finite, positive
 from sextant.operators import asof, pit
+from sextant.sources.store import written
 
 KEYS = ("entity", "known_at")
 
@@ -39,20 +40,21 @@ def states(facts: DataFrame, tags: list[str]) -> DataFrame:
     """Facts of the wanted tags with each date (known_at) on which their entity filed something, from their own on.
 
     Figures change only when something is filed, so they are worked out once for each such date and not for each probe;
-    the rows made are those of one entity's filings times its facts."""
-    wanted = facts.filter(F.col("tag").isin(tags))
+    the rows made are those of one entity's filings times its facts. The facts of these tags are written once."""
+    wanted = written(facts.filter(F.col("tag").isin(tags)), "facts")
     points = wanted.select(F.col("entity").alias("_e"), F.col("filed_date").alias("known_at")).distinct()
     return wanted.join(points, (F.col("entity") == F.col("_e")) & (F.col("filed_date") <= F.col("known_at"))).drop("_e")
 
 
 def resolved(known: DataFrame, chains: dict[str, tuple[str, ...]]) -> DataFrame:
     """(entity, known_at, concept, value, period_end, tag, method): the freshest figure along each concept's tags, the
-    earlier tag on a tie. A concept of period changes is a trailing year, any other the newest balance."""
+    earlier tag on a tie. A concept of period changes is a trailing year, any other the newest balance.
+
+    Everything is worked out by (entity, known_at), so the facts are dealt by these once."""
     by = (*KEYS, "tag")
     flows = [t for c, ts in chains.items() if c in C.FLOW_CONCEPTS for t in ts]
     pairs = [F.struct(F.lit(c).alias("concept"), F.lit(t).alias("tag"), F.lit(i).alias("place")) for c, ts in chains.items() for i, t in enumerate(ts)]
-    balance = pit.instants(known.filter(~F.col("tag").isin(flows)), *by).withColumn("method", F.lit("instant"))
-    both = balance.unionByName(pit.trailing_year(known.filter(F.col("tag").isin(flows)), *by).select(*balance.columns))
+    both = pit.newest(known, F.col("tag").isin(flows), *by, deal=KEYS)
     each = both.withColumn("c", F.explode(F.filter(F.array(*pairs), lambda p: p["tag"] == F.col("tag")))).filter("value IS NOT NULL")
     best = each.groupBy(*KEYS, "c.concept").agg(F.max_by(F.struct("value", "period_end", "tag", "method"), F.struct("period_end", -F.col("c.place"))).alias("x"))
     return best.select(*KEYS, "concept", "x.*")

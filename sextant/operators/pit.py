@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,43 +16,54 @@ def originally_filed(facts: DataFrame, *keys: str) -> DataFrame:
     return facts.withColumn("_k", F.row_number().over(by)).filter("_k = 1").drop("_k")
 
 
-def instants(facts: DataFrame, *keys: str) -> DataFrame:
-    """The newest balance of each key: facts without a start, or all if there are none."""
-    alone = F.max(F.col("period_start").isNull().cast("int")).over(Window.partitionBy(*keys))
-    used = facts.withColumn("_alone", alone).filter((F.col("_alone") == 0) | F.col("period_start").isNull()).drop("_alone")
-    return originally_filed(used, *keys).groupBy(*keys).agg(F.max_by("value", F.struct("period_end", "period_start")).alias("value"), F.max("period_end").alias("period_end"))
-
-
-def trailing_year(facts: DataFrame, *keys: str) -> DataFrame:
-    """(keys, value, period_end, method) of a flow: the freshest full year, else last year plus this year's part less
-    last year's like part, else four quarters that span a year, else the last full year.
+def newest(facts: DataFrame, is_flow: Column, *keys: str, deal: tuple[str, ...] | None = None) -> DataFrame:
+    """(keys, value, period_end, method): the newest figure of each key, in one pass over facts dealt by `deal` (some of
+    the keys; all of them by default), which all steps share.
 
-    Of periods with one end the longest counts, then the first filed. A part that lacks a match is never scaled up."""
-    tol, end = C.TTM_TOLERANCE, F.col("period_end")
+    A balance (method instant) is the newest among facts without a start, or among all if there are none. A flow is the
+    freshest full year, else last year plus this year's part less last year's like part, else four quarters that span a
+    year, else the last full year; without any of these there is no row. Periods count as first filed. Of periods with
+    one end the longest counts, then the first filed. A part that lacks a match is never scaled up."""
+    tol, end, flow = C.TTM_TOLERANCE, F.col("period_end"), F.col("_flow")
     span = F.datediff("period_end", "period_start")
     kind = F.when(span.between(350, 380), "annual").when(span.between(80, 100), "quarter").when((span > 100) & (span < 350), "ytd")
-    first = originally_filed(facts.filter("period_start IS NOT NULL"), *keys).withColumns({"span": span, "kind": kind}).filter("kind IS NOT NULL")
-    one = Window.partitionBy(*keys, "kind", "period_end").orderBy(F.desc("span"), "filed_date", "accession")
-    each = first.withColumn("_k", F.row_number().over(one)).filter("_k = 1").drop("_k")
-    latest = each.groupBy(*keys).agg(F.max("period_end").alias("latest"))
-    ranked = each.join(latest, list(keys)).withColumn("_o", F.expr("CASE kind WHEN 'annual' THEN 0 WHEN 'ytd' THEN 1 ELSE 2 END"))
-    cur = ranked.filter(end == F.col("latest")).withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_o"))).filter("_k = 1")
-    cur = cur.select(*keys, "latest", *[F.col(c).alias(f"c_{c}") for c in ("kind", "value", "period_start", "period_end", "fiscal_year", "fiscal_period", "span")])
-    other = each.select(*keys, *[F.col(c).alias(f"o_{c}") for c in ("kind", "value", "period_start", "period_end", "fiscal_year", "fiscal_period", "span")])
-    pairs = cur.join(other, list(keys)).filter(F.col("o_fiscal_year") == F.col("c_fiscal_year") - 1)
-    abuts = (F.col("o_kind") == "annual") & (F.abs(F.datediff("o_period_end", "c_period_start")) <= tol)
-    like = F.col("o_kind").isin("ytd", "quarter") & (F.col("o_fiscal_period") == F.col("c_fiscal_period")) & (F.abs(F.col("o_span") - F.col("c_span")) <= tol) & (F.abs(F.abs(F.datediff("c_period_end", "o_period_end")) - 365) <= tol)
-    legs = pairs.groupBy(*keys).agg(F.max_by(F.when(abuts, F.col("o_value")), F.when(abuts, F.col("o_period_end"))).alias("prior_year"), F.max_by(F.when(like, F.col("o_value")), F.when(like, F.col("o_period_end"))).alias("prior_part"))
-    last4 = each.filter("kind = 'quarter'").withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("period_end")))).filter("_k <= 4")
-    quarters = last4.groupBy(*keys).agg(F.count("value").alias("nq"), F.sum("value").alias("sum4"), F.min_by("period_start", "period_end").alias("from4"), F.max("period_end").alias("to4"))
-    years = each.filter("kind = 'annual'").groupBy(*keys).agg(F.max_by("value", "period_end").alias("year"), F.max("period_end").alias("year_end"))
-    all_ = cur.join(legs, list(keys), "left").join(quarters, list(keys), "left").join(years, list(keys), "left")
-    rolled = F.col("prior_year") + F.col("c_value") - F.col("prior_part")
+    rows = originally_filed(facts.repartition(*(deal or keys)).withColumn("_flow", is_flow), *keys)
+    rows = rows.withColumns({"_span": F.when(flow, span), "_kind": F.when(flow, kind)}).filter("NOT _flow OR _kind IS NOT NULL")
+    longest = Window.partitionBy(*keys, "_kind", "period_end").orderBy(F.desc("_span"), "filed_date", "accession")
+    rows = rows.withColumn("_k", F.row_number().over(longest)).filter("NOT _flow OR _k = 1")
+    whole, back = Window.partitionBy(*keys), Window.partitionBy(*keys, "_kind").orderBy(F.desc("period_end"))
+    place = F.expr("CASE _kind WHEN 'annual' THEN 0 WHEN 'ytd' THEN -1 ELSE -2 END").alias("o")
+    rows = rows.withColumns({
+        "_used": ~flow & ((F.max(F.col("period_start").isNull().cast("int")).over(whole) == 0) | F.col("period_start").isNull()), "_back": F.row_number().over(back),
+        "c": F.max(F.when(flow, F.struct("period_end", place, "_kind", "value", "period_start", "fiscal_year", "fiscal_period", "_span"))).over(whole),
+    })
+    before = flow & (F.col("fiscal_year") == F.col("c.fiscal_year") - 1)
+    abuts = before & (F.col("_kind") == "annual") & (F.abs(F.datediff("period_end", "c.period_start")) <= tol)
+    like = before & F.col("_kind").isin("ytd", "quarter") & (F.col("fiscal_period") == F.col("c.fiscal_period")) & (F.abs(F.col("_span") - F.col("c._span")) <= tol) & (F.abs(F.abs(F.datediff("c.period_end", "period_end")) - 365) <= tol)
+    recent, year = flow & (F.col("_kind") == "quarter") & (F.col("_back") <= 4), flow & (F.col("_kind") == "annual")
+    newest_of = lambda c, order=end: F.max_by(F.when(c, F.col("value")), F.when(c, order))
+    found = rows.groupBy(*keys).agg(
+        F.max("_flow").alias("flow"), newest_of(F.col("_used"), F.struct("period_end", "period_start")).alias("balance"), F.max(F.when(F.col("_used"), end)).alias("balance_end"), F.first("c").alias("c"),
+        newest_of(abuts).alias("prior_year"), newest_of(like).alias("prior_part"), newest_of(year).alias("year"), F.max(F.when(year, end)).alias("year_end"),
+        F.count(F.when(recent, F.col("value"))).alias("nq"), F.sum(F.when(recent, F.col("value"))).alias("sum4"), F.min_by(F.when(recent, F.col("period_start")), F.when(recent, end)).alias("from4"), F.max(F.when(recent, end)).alias("to4"),
+    )
+    rolled = F.col("prior_year") + F.col("c.value") - F.col("prior_part")
     four = (F.col("nq") == 4) & F.datediff("to4", "from4").between(350, 380)
-    method = F.when(F.col("c_kind") == "annual", "annual").when(rolled.isNotNull(), "ttm_annual_plus_ytd").when(four, "ttm_4q").when(F.col("year").isNotNull(), "annual_fallback")
-    value = F.when(method == "annual", F.col("c_value")).when(method == "ttm_annual_plus_ytd", rolled).when(method == "ttm_4q", F.col("sum4")).when(method == "annual_fallback", F.col("year"))
-    at = F.when(method.isin("annual", "ttm_annual_plus_ytd"), F.col("c_period_end")).when(method == "ttm_4q", F.col("to4")).otherwise(F.col("year_end"))
-    return all_.select(*keys, value.alias("value"), at.alias("period_end"), method.alias("method")).filter("method IS NOT NULL")
+    of_flow = F.when(F.col("c._kind") == "annual", "annual").when(rolled.isNotNull(), "ttm_annual_plus_ytd").when(four, "ttm_4q").when(F.col("year").isNotNull(), "annual_fallback")
+    found = found.withColumn("method", F.when(~F.col("flow"), "instant").otherwise(of_flow)).filter("method IS NOT NULL")
+    cases = {"instant": ("balance", "balance_end"), "annual": ("c.value", "c.period_end"), "ttm_annual_plus_ytd": (rolled, "c.period_end"), "ttm_4q": ("sum4", "to4"), "annual_fallback": ("year", "year_end")}
+    pick = lambda i: reduce(lambda x, m: F.when(F.col("method") == m, cases[m][i] if isinstance(cases[m][i], Column) else F.col(cases[m][i])).otherwise(x), cases, F.lit(None))
+    return found.select(*keys, pick(0).alias("value"), pick(1).alias("period_end"), "method")
+
+
+def instants(facts: DataFrame, *keys: str) -> DataFrame:
+    """The newest balance of each key; see `newest`."""
+    return newest(facts, F.lit(False), *keys).drop("method")
+
+
+def trailing_year(facts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, value, period_end, method) of a flow; see `newest`."""
+    return newest(facts.filter("period_start IS NOT NULL"), F.lit(True), *keys)
 
 
 def concept(resolved: DataFrame, chain: list[str], as_of: Column, *keys: str) -> DataFrame:

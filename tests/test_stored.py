@@ -224,3 +224,11 @@ def test_runs_from_end_to_end(spark, sf_dir, tmp_path):
     versions = spark.createDataFrame([("a",), ("b",), ("c",)], "model_version string")
     assert [r.model_version for r in runs.refresh_frozen(versions, spark.createDataFrame([("a", day(1)), ("b", day(0))], "model_version string, evaluated_at date"), 2).collect()] == ["c", "b"]
     assert runs.exhausted(spark.createDataFrame([("a", str(day(0)))], "model_version string, run_date string"), spark.createDataFrame([(day(i),) for i in range(121)], "d date")).first().done
+
+
+def test_figures_as_they_stood_in_one_pass(spark, sf_dir):
+    """All concepts of all filing dates: the facts are written once, read for both sides of one join, and dealt once more."""
+    from sextant.plans import filings
+
+    plan = filings.concept_resolve(spark, sf_dir)
+    assert count(plan, "FileScan") <= 4 and count(plan, "Exchange ") <= 12 and count(plan, "Window [") <= 6
