@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sextant import config as C
 from sextant.functions.scalar import rounded
-from sextant.operators import figures, pit
+from sextant.operators import asof, figures, pit
 from sextant.sources.bars import read
 
 QUERIES, ORACLES = {}, {}
@@ -184,3 +184,16 @@ def fundamental_flags(spark, sf_dir):
 @query("quarterly_eps", f"WITH {FACTS}, qe0 AS (SELECT * FROM fct WHERE tag IN ({', '.join(repr(t) for t in C.EPS_TAGS)}) AND date_diff('day', period_start, period_end) BETWEEN 80 AND 100 QUALIFY row_number() OVER (PARTITION BY entity, tag, period_start, period_end ORDER BY filed_date, accession) = 1), qe1 AS (SELECT *, CASE tag WHEN '{C.EPS_TAGS[0]}' THEN 1 WHEN '{C.EPS_TAGS[1]}' THEN 2 ELSE 3 END AS place FROM qe0 QUALIFY count(*) OVER (PARTITION BY entity, tag) >= 5) SELECT entity, period_end, filed_date, round(value, 6) AS eps FROM qe1 QUALIFY place = min(place) OVER (PARTITION BY entity)")
 def quarterly_eps(spark, sf_dir):
     return rounded(figures.quarterly_eps(facts(spark, sf_dir)))
+
+
+_EPS_BY = f"qe0 AS (SELECT * FROM fct WHERE tag IN ({', '.join(repr(t) for t in C.EPS_TAGS)}) AND date_diff('day', period_start, period_end) BETWEEN 80 AND 100 QUALIFY row_number() OVER (PARTITION BY entity, tag, period_start, period_end ORDER BY filed_date, accession) = 1), qe1 AS (SELECT *, CASE tag WHEN '{C.EPS_TAGS[0]}' THEN 1 WHEN '{C.EPS_TAGS[1]}' THEN 2 ELSE 3 END AS place FROM qe0 QUALIFY count(*) OVER (PARTITION BY entity, tag) >= 5), eps AS (SELECT entity, period_end, filed_date, value AS eps FROM qe1 QUALIFY place = min(place) OVER (PARTITION BY entity))"
+_SUE = "nb AS (SELECT a.entity, a.period_end, a.filed_date, a.eps, b.eps AS then_eps FROM eps a JOIN eps b ON a.entity = b.entity AND b.period_end < a.period_end AND date_diff('day', b.period_end, a.period_end) BETWEEN 320 AND 410 QUALIFY row_number() OVER (PARTITION BY a.entity, a.period_end ORDER BY abs(date_diff('day', b.period_end, a.period_end) - 365), b.period_end) = 1), dr AS (SELECT *, then_eps + coalesce(avg(eps - then_eps) OVER (PARTITION BY entity ORDER BY period_end ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 0) AS expected FROM nb), su AS (SELECT *, eps - expected AS surprise FROM dr), sp AS (SELECT *, CASE WHEN count(surprise) OVER w >= 5 THEN stddev_samp(surprise) OVER w END AS s FROM su WINDOW w AS (PARTITION BY entity ORDER BY period_end ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)), sue AS (SELECT entity, period_end, filed_date, surprise, CASE WHEN s > 0 THEN surprise / s END AS sue FROM sp)"
+
+
+@query("filed_surprises", f"WITH {FACTS}, {_EPS_BY}, {_SUE}, {_NATIONS} SELECT nw.entity, nw.as_of, round(s.surprise, 6) AS surprise, round(s.sue, 6) AS sue, s.period_end, s.filed_date, CAST(date_diff('day', s.filed_date, nw.as_of) AS INTEGER) AS days_since FROM nw ASOF LEFT JOIN (SELECT * FROM sue QUALIFY row_number() OVER (PARTITION BY entity, filed_date ORDER BY period_end DESC) = 1) s ON nw.entity = s.entity AND nw.as_of >= s.filed_date")
+def filed_surprises(spark, sf_dir):
+    """The newest earnings surprise that each week's probe could know: quarterly earnings as first filed, standardised by
+    what the filer's own past led to expect, by the date of filing."""
+    found = pit.surprises(figures.quarterly_eps(facts(spark, sf_dir)))
+    out = asof.backward(_probes(spark, sf_dir).select("entity", "as_of"), found, "entity", "as_of", "filed_date", ["surprise", "sue", "period_end", "filed_date"], ["period_end"])
+    return rounded(out.withColumn("days_since", F.datediff("as_of", "filed_date")).select("entity", "as_of", "surprise", "sue", "period_end", "filed_date", "days_since"))

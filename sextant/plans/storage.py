@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant import config as C
@@ -12,6 +15,7 @@ from sextant.plans import evaluation
 from sextant.plans import oracle as O
 from sextant.sources import files, reads
 from sextant.sources.bars import bars, read, watchlist
+from sextant.sources.store import written
 
 QUERIES, ORACLES = {}, {}
 SNAPSHOT = "model_version string, run_date date, entity long, score_20d double, backfilled int, recovered int, later_column string"
@@ -303,3 +307,25 @@ def trade_signal_ic(spark, sf_dir):
     near = Window.partitionBy("entity").orderBy(F.unix_date("d")).rangeBetween(-90, 0)
     signal = weekly.select("entity", "d", F.round(F.sum("net").over(near), 2).alias("value"))
     return rounded(events.signal_ic(evaluation.outcomes(spark, sf_dir).join(signal, ["entity", "d"]), "value", "future_excess_return_20d"))
+
+
+_LINE_TRADES = "tl AS (SELECT CAST(l_suppkey AS BIGINT) AS entity, CAST(l_shipdate AS DATE) AS filed_date, CAST(l_shipdate AS DATE) - 2 AS trans_date, CASE l_returnflag WHEN 'A' THEN 'P' WHEN 'R' THEN 'S' ELSE 'A' END AS trans_code, l_quantity AS shares, round(l_extendedprice / l_quantity, 2) AS price_per_share, o_orderpriority = '1-URGENT' AS is_officer, l_orderkey || '-' || l_linenumber AS accession FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 0)"
+_NEAR = "tn AS (SELECT o.entity, o.d, trans_code, is_officer, row_number() OVER (PARTITION BY o.entity, o.d, trans_date, trans_code, shares, price_per_share ORDER BY filed_date, accession) AS k FROM outcome o JOIN tl ON tl.entity = o.entity AND filed_date BETWEEN o.d - 90 AND o.d), tf AS (SELECT entity, d, count(*) FILTER (trans_code = 'P' AND is_officer) AS officers FROM tn WHERE k = 1 GROUP BY 1, 2)"
+_STUDY = " UNION ALL ".join(f"SELECT {h} AS horizon, d, count(*) FILTER (flag > 0) AS n_events, count(*) FILTER (flag = 0) AS n_controls, round(avg(x) FILTER (flag > 0) - avg(x) FILTER (flag = 0), 6) AS spread, round(avg(CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (flag > 0) * 100, 6) AS hit_pct FROM (SELECT o.d, coalesce(officers, 0) AS flag, future_excess_return_{h}d AS x FROM outcome o LEFT JOIN tf ON tf.entity = o.entity AND tf.d = o.d) WHERE x IS NOT NULL GROUP BY 2 HAVING count(*) FILTER (flag > 0) >= 3 AND count(*) FILTER (flag = 0) >= 3" for h in evaluation.HORIZONS)
+
+
+@query("trade_event_study", f"{evaluation.ONLY_OUT}, {_LINE_TRADES}, {_NEAR} {_STUDY}")
+def trade_event_study(spark, sf_dir):
+    """By day and horizon: the excess that followed where an officer had bought within 90 days, against the other names;
+    from the features of the trades as they were filed, repeated reports counted once."""
+    li, o = read(spark, sf_dir, "lineitem").filter("l_quantity > 0"), read(spark, sf_dir, "orders")
+    filed = F.to_date("l_shipdate")
+    code = F.when(F.col("l_returnflag") == "A", "P").when(F.col("l_returnflag") == "R", "S").otherwise("A")
+    trades = li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.col("l_suppkey").cast("long").alias("entity"), filed.alias("filed_date"), F.date_sub(filed, 2).alias("trans_date"), code.alias("trans_code"), F.col("l_quantity").alias("shares"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price_per_share"),
+        F.col("l_extendedprice").alias("value_usd"), F.col("o_custkey").alias("owner"), (F.col("o_orderpriority") == "1-URGENT").alias("is_officer"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("accession"), F.lit("nonderiv").alias("table_kind"),
+    )
+    out = written(evaluation.outcomes(spark, sf_dir), "outcomes")
+    df = written(out.join(events.trade_features(out.select("entity", "d"), trades), ["entity", "d"]), "trade-features")
+    each = [events.day_spread(df, "officer_buy_count", f"future_excess_return_{h}d", 3, 3).withColumn("horizon", F.lit(h)) for h in evaluation.HORIZONS]
+    return rounded(reduce(DataFrame.unionByName, each))
