@@ -176,3 +176,14 @@ def ic_ranking(ics: DataFrame, horizon: int) -> DataFrame:
     """Series by IC at a horizon, the best first, those without one last; ties by name."""
     by = Window.partitionBy(F.lit(0)).orderBy(F.col("spearman_ic").desc_nulls_last(), "series")
     return ics.filter(F.col("horizon") == horizon).select(F.row_number().over(by).alias("place"), "series", "spearman_ic")
+
+
+def ic_health(ics: DataFrame, horizon: int, leading: tuple[str, ...], brief: tuple[str, ...]) -> DataFrame:
+    """(leading_mean, leading_max, brief_mean, brief_max, verdict) of a horizon's pooled ICs.
+
+    Series that should carry the signal against those that should hardly: `expected` if the first have the higher mean
+    and no lower maximum, `suspect` if not (dates may be joined wrongly), `unavailable` without an IC on either side."""
+    side = lambda names: F.when(F.col("series").isin(list(names)), F.col("spearman_ic"))
+    found = ics.filter(F.col("horizon") == horizon).agg(F.avg(side(leading)).alias("leading_mean"), F.max(side(leading)).alias("leading_max"), F.avg(side(brief)).alias("brief_mean"), F.max(side(brief)).alias("brief_max"))
+    as_told = (F.round("leading_mean", 9) > F.round("brief_mean", 9)) & (F.round("leading_max", 9) >= F.round("brief_max", 9))
+    return found.withColumn("verdict", F.when(F.col("leading_mean").isNull() | F.col("brief_mean").isNull(), "unavailable").when(as_told, "expected").otherwise("suspect"))

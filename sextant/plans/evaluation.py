@@ -250,6 +250,17 @@ def ic_ranking(spark, sf_dir):
     return rounded(reports.ic_ranking(reports.pooled_ic(graded(spark, sf_dir), NAMES, (20,)), 20).withColumn("place", F.col("place").cast("long")))
 
 
+_BRIEF = ("short_momentum_component", "setup_component")
+_LEADING = tuple(n for n in NAMES if n == "trend_component" or ("momentum" in n and n not in _BRIEF) or n.startswith("relative_strength"))
+_SIDES = ", ".join(f"{f}(spearman_ic) FILTER (series IN {names}) AS {n}" for n, f, names in (("leading_mean", "avg", _LEADING), ("leading_max", "max", _LEADING), ("brief_mean", "avg", _BRIEF), ("brief_max", "max", _BRIEF)))
+
+
+@query("ic_health", f"{_ic('series, horizon', 5)}, hh AS (SELECT {_SIDES} FROM ic WHERE horizon = 20) SELECT {O.r6('leading_mean', 'leading_max', 'brief_mean', 'brief_max')}, CASE WHEN leading_mean IS NULL OR brief_mean IS NULL THEN 'unavailable' WHEN round(leading_mean, 9) > round(brief_mean, 9) AND round(leading_max, 9) >= round(brief_max, 9) THEN 'expected' ELSE 'suspect' END AS verdict FROM hh")
+def ic_health(spark, sf_dir):
+    """Whether the components that should carry the signal do so at 20 sessions."""
+    return rounded(reports.ic_health(reports.pooled_ic(graded(spark, sf_dir), NAMES, (20,)), 20, _LEADING, _BRIEF))
+
+
 @query("weight_notes", f"{_ic('series, horizon', 5)} SELECT series, horizon, CASE WHEN round(spearman_ic, 6) > 0.1::DOUBLE THEN 'IC ' || printf('%.3f', round(spearman_ic, 6)) || ': consider raising its weight' WHEN round(spearman_ic, 6) < -0.05::DOUBLE THEN 'IC ' || printf('%.3f', round(spearman_ic, 6)) || ': consider lowering its weight' WHEN spearman_ic IS NOT NULL THEN 'IC ' || printf('%.3f', round(spearman_ic, 6)) || ': keep its weight' END AS note FROM ic")
 def weight_notes(spark, sf_dir):
     """What each component's IC suggests, in words."""

@@ -17,6 +17,7 @@ from sextant.functions.scalar import rounded
 from sextant.operators import features, forward, scoring
 from sextant.plans import core
 from sextant.plans import oracle as O
+from sextant.sources import checks
 from sextant.sources.bars import bars, watchlist
 from sextant.sources.store import laid_out, shared_dir, written
 from sextant.sources.tables import Table
@@ -95,12 +96,15 @@ def day_panel(watch: DataFrame, own: DataFrame, region: DataFrame, figures: Data
     fresh = own.filter(F.col("d") == F.lit(d)).select("entity")
     tails = own.join(fresh, "entity", "left_semi")
     found = features.all_features(tails, watch, written(features.regime(region).filter(F.col("d") == F.lit(d)), "regime"))
-    return found.filter(F.col("d") == F.lit(d)).join(figures.select("entity", *core.FIELDS), "entity", "left")
+    return found.filter(F.col("d") == F.lit(d)).join(figures.select("entity", "filed_date", *core.FIELDS), "entity", "left")
 
 
 def live_day(spark: SparkSession, sf_dir: str, path: str, d: date, store=None, version: str | None = None, live: bool = False) -> DataFrame:
     """Components and scores of the session d, and the state after it. Sessions missed before d enter the state with it.
 
+    Names, scored rows, values out of range and the verdict on them come from the run's own writes and are committed with
+    the state; figures filed after the session stop the run.
+
     `store`, if given, is called with the rows before the state is committed: what it does may be done again. The state
     holds at most LOOK_BACK rows an entity, so a day costs the same whatever came before."""
     table = state_table(spark, path)
@@ -108,16 +112,23 @@ def live_day(spark: SparkSession, sf_dir: str, path: str, d: date, store=None, v
     after = date.fromisoformat(state["note"]["until"])
     old = {level: table.read(base, [level]) for level in (*LEVELS, "figures")}
     new = new_bars(spark, sf_dir, after, d)
-    tails = {level: written(old[level].select("entity", "d", *BAR).unionByName(new[level].select("entity", "d", *BAR)), f"tail-{level}") for level in LEVELS}
+    tails = {level: old[level].select("entity", "d", *BAR).unionByName(new[level].select("entity", "d", *BAR)) for level in LEVELS}
+    tails["supplier"], seen = checks.observed(tails["supplier"], now=checks.counted(F.col("d") == F.lit(d)), before=checks.counted(F.col("d") == F.lit(after)))
+    tails = {level: written(df, f"tail-{level}") for level, df in tails.items()}
     filed = old["figures"].select("entity", F.col("d").alias("filed_date"), *core.FIELDS).unionByName(new_figures(spark, sf_dir, after, d).select("entity", "filed_date", *core.FIELDS))
     known = written(newest(filed, "filed_date", 1), "figures")
     panel = day_panel(watchlist(spark, sf_dir), tails["supplier"], tails["region"], known, d)
     scored = scoring.components(core.ranked_panel(panel)).withColumn("days_until_earnings", F.lit(None).cast("int"))
-    rows = written(scoring.scores(scored, version, live), "live")
+    rows = checks.ruled(scoring.scores(scored, version, live), {"figures were filed by their session": F.col("filed_date") <= F.col("d"), "rows are of one session": F.col("d") == F.lit(d)})
+    odd = reduce(lambda a, b: a | b, [~F.col(h).between(0, 100) for h in C.SCORE_WEIGHTS])
+    rows, told = checks.observed(rows, rows=F.count(F.lit(1)), scored=checks.counted(F.col("score_120d").isNotNull()), odd=checks.counted(odd))
+    rows = written(rows, "live")
+    figures = {**seen.get, **told.get}
+    figures["verdict"] = checks.verdict(figures["now"], figures["before"], figures["odd"])
     if store is not None:
         store(rows)
     kept = {level: newest(df, "d", LOOK_BACK[level]) for level, df in tails.items()}
-    table.replace(_state(kept, known), base if base == table.versions()[-1] else None, {"until": str(d)})
+    table.replace(_state(kept, known), base if base == table.versions()[-1] else None, {"until": str(d), "figures": figures})
     return rows
 
 

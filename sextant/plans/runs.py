@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sextant import config as C
 from sextant.operators import quality, ranking, reports, scoring, upkeep
 from sextant.plans import core, evaluation, live
-from sextant.sources import reads, store
+from sextant.sources import checks, reads, store
 from sextant.sources.bars import bars
 from sextant.sources.tables import Conflict, Table
 
@@ -82,8 +82,9 @@ def run_live(spark: SparkSession, sf_dir: str, path: str, version: str, state: s
     kept = live.state_table(spark, state)
     if not any(kept.manifest(v)["note"]["until"] < str(d) for v in kept.versions()):
         live.begin(spark, sf_dir, state, before)
-    rows = live.live_day(spark, sf_dir, state, d, lambda rows: store.write_snapshots(snapshot(rows, version, True), path), version, True)
-    ledger(spark, f"{path}-ledger").upsert(_entries(spark, version, "done", uuid.uuid4().hex, {d: rows.count()}))
+    live.live_day(spark, sf_dir, state, d, lambda rows: store.write_snapshots(snapshot(rows, version, True), path), version, True)
+    told = kept.manifest()["note"]["figures"]
+    ledger(spark, f"{path}-ledger").upsert(_entries(spark, version, "done", uuid.uuid4().hex, {d: told["rows"]}, checks.health_line(d, told)))
     return store.read_snapshots(spark, path, version)
 
 

@@ -116,6 +116,67 @@ def verified_copy(spark: SparkSession, source: str, target: str) -> dict:
     return {"rows": copy[0], "verdict": "inconclusive" if before != after else "match" if copy == before else "mismatch"}
 
 
+BACKUP = "name string, source string, place string, rows long, digest string, verdict string"
+
+
+def _readable(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table of a path, or None where there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _stamps(spark: SparkSession, root: str) -> list[str]:
+    """Stamps of all backups of a folder, oldest first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(f"{root}/stamps")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName().removeprefix("stamp=") for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def backup(spark: SparkSession, tables: dict[str, str], root: str, stamp: str) -> DataFrame:
+    """Backs up a set of tables under a stamp, and gives a row for each: its copy, rows, digest and how it went.
+
+    A table that is as in the newest backup is not copied again (`unchanged`): its row names that copy. Others are copied
+    to a folder of this stamp and compared: `copied`, `inconclusive` if the source moved meanwhile, else `mismatch`; a
+    source that isn't there is `missing`. The rows are written last, so a stamp is there whole or not at all; a stamp
+    that exists is refused. Tables are few: they are gone through one by one, each by Spark."""
+    known = _stamps(spark, root)
+    if stamp in known:
+        raise FileExistsError(f"there is a backup {stamp} in {root}")
+    last = {r["name"]: r for r in spark.read.schema(BACKUP).json(f"{root}/stamps/stamp={known[-1]}").collect()} if known else {}
+    out, folder = [], f"{root}/tables/{stamp}-{uuid.uuid4().hex}"
+    for name, source in tables.items():
+        df = _readable(spark, source)
+        if df is None:
+            out.append((name, source, None, None, None, "missing"))
+            continue
+        rows, digest = fingerprint(df)
+        if name in last and (last[name]["rows"], last[name]["digest"]) == (rows, str(digest)):
+            out.append((name, source, last[name]["place"], rows, str(digest), "unchanged"))
+            continue
+        df.write.parquet(f"{folder}/{name}")
+        after, copy = fingerprint(spark.read.parquet(source)), fingerprint(spark.read.parquet(f"{folder}/{name}"))
+        out.append((name, source, f"{folder}/{name}", copy[0], str(copy[1]), "inconclusive" if after != (rows, digest) else "copied" if copy == after else "mismatch"))
+    spark.createDataFrame(out, BACKUP).coalesce(1).write.mode("errorifexists").json(f"{root}/stamps/stamp={stamp}")
+    return spark.read.schema(BACKUP).json(f"{root}/stamps/stamp={stamp}")
+
+
+def verified(spark: SparkSession, root: str, stamp: str) -> DataFrame:
+    """(name, rows, verdict) of a backup's copies as they are now, against what was noted: match, mismatch or missing."""
+    out = []
+    for r in spark.read.schema(BACKUP).json(f"{root}/stamps/stamp={stamp}").collect():
+        df = _readable(spark, r["place"]) if r["place"] else None
+        rows, digest = fingerprint(df) if df is not None else (None, None)
+        out.append((r["name"], rows, "missing" if df is None else "match" if (rows, str(digest)) == (r["rows"], r["digest"]) else "mismatch"))
+    return spark.createDataFrame(out, "name string, rows long, verdict string")
+
+
 def coverage(df: DataFrame, at: str, entity: str, marker=None) -> DataFrame:
     """(first, last, rows, entities) of a source; a completed-ingest marker, where there is one, ends the coverage."""
     last = F.max(at) if marker is None else F.least(F.lit(marker), F.max(at))
