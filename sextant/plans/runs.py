@@ -124,13 +124,14 @@ def recover_missing(spark: SparkSession, sf_dir: str, path: str, version: str) -
 
 
 def run_evaluation(spark: SparkSession, sf_dir: str, path: str, version: str) -> dict[str, DataFrame]:
-    """Reports over a version's stored scores: buckets, deciles, spread, cohorts and their sums."""
+    """Reports over a version's stored scores, and their rows with what followed: buckets, deciles, spread, cohorts and
+    their sums."""
     snap = store.read_snapshots(spark, path, version).withColumn("d", F.to_date("run_date")).select("entity", "d", *C.SCORE_WEIGHTS, F.col("recovered").alias("_late"))
-    df = evaluation.outcomes(spark, sf_dir).join(snap, ["entity", "d"]).withColumn("stale", F.col("_late") == 1)
+    df = store.written(evaluation.outcomes(spark, sf_dir).join(snap, ["entity", "d"]).withColumn("stale", F.col("_late") == 1), "outcomes")
     long = store.written(reports.long_form(df, evaluation.HORIZONS), "graded")
     days = reports.cross_sections(long, C.DECILE_MIN_NAMES)
     cohorts = reports.cohorts(long)
-    return {"buckets": reports.buckets(long), "deciles": reports.decile_report(days), "spread": reports.decile_spread(days), "cohorts": cohorts, "scoreboard": reports.scoreboard(cohorts)}
+    return {"graded": df, "buckets": reports.buckets(long), "deciles": reports.decile_report(days), "spread": reports.decile_spread(days), "cohorts": cohorts, "scoreboard": reports.scoreboard(cohorts)}
 
 
 def refresh_frozen(versions: DataFrame, evaluated: DataFrame, n: int) -> DataFrame:
@@ -162,3 +163,36 @@ def status(spark: SparkSession, sf_dir: str, path: str) -> dict[str, DataFrame]:
     b = store.written(bars(spark, sf_dir), "bars")
     gaps = quality.interior_gaps(b, bars(spark, sf_dir, "all").select("d"))
     return {"versions": reads.version_dates(store.read_snapshots(spark, path)), "thin": quality.thin_sessions(b), "gaps": gaps.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))}
+
+
+def log_book(spark: SparkSession, path: str) -> Table:
+    """The daily log: one text for each version and date, in parts by month."""
+    return Table(spark, path, ("model_version", "d"), "month")
+
+
+def journal_day(spark: SparkSession, sf_dir: str, path: str, version: str, score: str = "score_20d", book: str | None = None) -> str:
+    """A day's entry in four sections, put into the log (beside the snapshots if no other place is given) under the newest
+    stored date; done again, it replaces that day's entry.
+
+    1. the best names and the largest moves; 2. the newest cohorts whose outcome is known; 3. the sums of all cohorts;
+    4. whether components carry the signal that they should, over the stored rows."""
+    found = run_evaluation(spark, sf_dir, path, version)
+    horizon = int(score.removeprefix("score_").removesuffix("d"))
+    matured = found["cohorts"].filter(F.col("horizon") == horizon).orderBy(F.desc("d"))
+    ics = reports.pooled_ic(found["graded"], C.SCORE_WEIGHTS, (horizon,))
+    sections = [
+        journal(spark, path, version, score), "### Matured", upkeep.markdown(matured, ["d", "n_strong", "strong_hits", "n_weak", "weak_hits", "n_top", "top_hits"], 5),
+        "### Scoreboard", upkeep.markdown(found["scoreboard"].orderBy("horizon"), ["horizon", "n_cohorts", "strong_hit_pct", "weak_hit_pct", "top_hit_pct"]),
+        "### Scores against outcomes", upkeep.markdown(reports.ic_ranking(ics, horizon).withColumn("spearman_ic", F.round("spearman_ic", 3)).orderBy("place"), ["place", "series", "spearman_ic"]),
+    ]
+    text, d = "\n\n".join(sections), store.read_snapshots(spark, path, version).agg(F.max(F.to_date("run_date"))).first()[0]
+    row = spark.createDataFrame([(version, d, f"{d:%Y-%m}", text)], "model_version string, d date, month string, text string")
+    log_book(spark, book or f"{path}-log").upsert(row)
+    return text
+
+
+def daily_log(spark: SparkSession, book: str, most: int = 250) -> str:
+    """The log as one Markdown text, the newest entries first, at most `most` of them."""
+    entries = log_book(spark, book).read()
+    shown = [] if entries is None else entries.orderBy(F.desc("d"), "model_version").limit(most).collect()
+    return "\n\n---\n\n".join(f"# {r.d}\n\n{r.text}" for r in shown)

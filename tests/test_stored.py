@@ -216,9 +216,16 @@ def test_runs_from_end_to_end(spark, sf_dir, tmp_path):
     recovered = runs.recover_missing(spark, sf_dir, path, version).filter("recovered = 1").select("run_date").distinct()
     assert sorted(str(r.run_date) for r in recovered.collect()) == [str(d) for d in days[-3:-1]]
     found = runs.run_evaluation(spark, sf_dir, path, version)
-    assert set(found) == {"buckets", "deciles", "spread", "cohorts", "scoreboard"} and found["buckets"].count() >= 0
+    assert set(found) == {"graded", "buckets", "deciles", "spread", "cohorts", "scoreboard"} and found["buckets"].count() >= 0
     text = runs.journal(spark, path, version)
     assert text.startswith("## v9") and "| place | entity | score | score_label |" in text
+    entry = runs.journal_day(spark, sf_dir, path, version)
+    assert entry == runs.journal_day(spark, sf_dir, path, version) and [x for x in entry.split("\n") if x.startswith("##")] == ["## v9", "### Matured", "### Scoreboard", "### Scores against outcomes"]
+    other = spark.createDataFrame([("v8", day(0), "2024-01", "an older day")], "model_version string, d date, month string, text string")
+    runs.log_book(spark, f"{path}-log").upsert(other)
+    log = runs.daily_log(spark, f"{path}-log")
+    assert log.count("# 2024-01-01") == 1 and log.count("## v9") == 1 and runs.log_book(spark, f"{path}-log").read().count() == 2
+    assert runs.daily_log(spark, f"{path}-log", 1).startswith(f"# {max(days[-1], day(0))}")
     about = runs.status(spark, sf_dir, path)
     assert about["versions"].first().live_dates == 2 + 2 and about["gaps"].columns == ["entity", "n"]
     versions = spark.createDataFrame([("a",), ("b",), ("c",)], "model_version string")
