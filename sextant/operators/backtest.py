@@ -138,12 +138,14 @@ def buy_and_hold(bars: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def metrics(curve: DataFrame, *keys: str) -> DataFrame:
-    """Growth, Sharpe ratio, deepest fall and volatility of equity curves (keys, d, equity)."""
+    """Growth, Sharpe ratio, deepest fall and volatility of equity curves (keys, d, equity).
+
+    A deviation up to 1e-12 is the rounding of returns that don't vary, and gives no ratio."""
     time = Window.partitionBy(*keys).orderBy("d")
     r = curve.withColumns({"ret": F.try_divide(F.col("equity"), F.lag("equity").over(time)) - 1, "peak": F.max("equity").over(time.rowsBetween(Window.unboundedPreceding, 0))})
     year = float(C.SESSIONS_A_YEAR)
     out = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sessions"), F.min_by("equity", "d").alias("a"), F.max_by("equity", "d").alias("b"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), (F.min(F.col("equity") / F.col("peak") - 1) * 100).alias("max_drawdown_pct"))
-    return out.select(*keys, "n_sessions", (F.col("b") / F.col("a") - 1).alias("total_return"), (F.pow(F.col("b") / F.col("a"), year / F.col("n_sessions")) - 1).alias("cagr"), F.when(F.col("s") > 0, F.col("m") / F.col("s") * F.sqrt(F.lit(year))).alias("sharpe"), (F.col("s") * F.sqrt(F.lit(year))).alias("volatility_annual"), "max_drawdown_pct")
+    return out.select(*keys, "n_sessions", (F.col("b") / F.col("a") - 1).alias("total_return"), (F.pow(F.col("b") / F.col("a"), year / F.col("n_sessions")) - 1).alias("cagr"), F.when(F.col("s") > 1e-12, F.col("m") / F.col("s") * F.sqrt(F.lit(year))).alias("sharpe"), (F.col("s") * F.sqrt(F.lit(year))).alias("volatility_annual"), "max_drawdown_pct")
 
 
 def long_short(curve: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant import config as C
 from sextant.functions.scalar import label
-from sextant.functions.stats import moment_corr, overlap_t, pooled_spearman, spearman
+from sextant.functions.stats import average_rank, moment_corr, overlap_t, pooled_spearman, spearman
 from sextant.operators.ranking import deciles
+from sextant.sources.store import written
 
 
 def long_form(df: DataFrame, horizons) -> DataFrame:
@@ -81,8 +84,33 @@ def pooled_ic(df: DataFrame, names, horizons, least: int = 5) -> DataFrame:
 
 
 def daily_ic(df: DataFrame, names, horizons, least: int = C.DECILE_MIN_NAMES) -> DataFrame:
-    """The same by day: the long form of an IC cube, with average ties and complete pairs."""
-    return spearman(unpivoted(df, names, horizons), "value", "excess", "series", "horizon", "d", least=least)
+    """(series, horizon, d, n, pearson_ic, spearman_ic): the long form of an IC cube, with average ties and complete pairs.
+
+    A component is ranked once a day and an excess once a day, and not once for each pair of them. These ranks are a
+    pair's own where the same names have both, which counts of the names tell; on the other days of a pair its complete
+    rows are ranked anew. The columns are written once, so neither side computes what lies before."""
+    old = F.col("stale") if "stale" in df.columns else F.lit(False)
+    value = {n: F.when(~old, F.col(n)) if n in C.SITOUT else F.col(n) for n in names}
+    wide = written(df.select("d", "entity", *[v.cast("double").alias(n) for n, v in value.items()], *[F.col(f"future_excess_return_{h}d").cast("double").alias(f"future_excess_return_{h}d") for h in horizons]), "cube")
+    ahead = {h: f"future_excess_return_{h}d" for h in horizons}
+    columns = [*names, *ahead.values()]
+    have = lambda *cols: F.sum(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]).cast("long"))
+    counts = wide.groupBy("d").agg(*[have(c).alias(f"n_{c}") for c in columns], *[have(n, x).alias(f"b_{n}_{h}") for n in names for h, x in ahead.items()])
+    told = [F.struct(F.lit(n).alias("series"), F.lit(h).alias("horizon"), F.col(f"b_{n}_{h}").alias("n"), ((F.col(f"b_{n}_{h}") == F.col(f"n_{n}")) & (F.col(f"b_{n}_{h}") == F.col(f"n_{x}"))).alias("same")) for n in names for h, x in ahead.items()]
+    pairs = written(counts.select("d", F.explode(F.array(*told)).alias("p")).select("d", "p.*").filter(F.col("n") >= least), "cube-counts")
+
+    long = wide.select("d", "entity", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("x")) for i, c in enumerate(columns)])).alias("v")).select("d", "entity", "v.*").filter("x IS NOT NULL")
+    ranked = long.withColumn("r", average_rank("x", "d", "c"))
+    back = ranked.groupBy("d", "entity").agg(*[F.max(F.when(F.col("c") == i, F.col(k))).alias(f"{k}{i}") for i in range(len(columns)) for k in ("x", "r")])
+    at = {c: i for i, c in enumerate(columns)}
+    left = F.explode(F.array(*[F.struct(F.lit(n).alias("series"), F.col(f"x{at[n]}").alias("x"), F.col(f"r{at[n]}").alias("rx")) for n in names])).alias("l")
+    right = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"x{at[x]}").alias("y"), F.col(f"r{at[x]}").alias("ry")) for h, x in ahead.items()])).alias("r")
+    both = back.select("d", left, *[f"{k}{at[x]}" for x in ahead.values() for k in ("x", "r")]).select("d", "l.*", right).select("d", "series", "x", "rx", "r.*").filter("x IS NOT NULL AND y IS NOT NULL")
+    once = both.groupBy("series", "horizon", "d").agg(moment_corr(F.col("x"), F.col("y")).alias("pearson_ic"), moment_corr(F.col("rx"), F.col("ry")).alias("spearman_ic"))
+    same = pairs.filter("same").select("series", "horizon", "d", "n").join(once, ["series", "horizon", "d"])
+
+    rest = unpivoted(wide, names, horizons).filter("value IS NOT NULL AND excess IS NOT NULL").join(pairs.filter("NOT same").select("series", "horizon", "d"), ["series", "horizon", "d"], "left_semi")
+    return same.unionByName(spearman(rest, "value", "excess", "series", "horizon", "d", least=least).select(*same.columns))
 
 
 def ordinal_daily_ic(df: DataFrame, names, horizons) -> DataFrame:

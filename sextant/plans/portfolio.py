@@ -68,7 +68,7 @@ def curve_sql(charge: bool, p: str = "") -> str:
 def metrics_sql(source: str, out: str, key: str = "config") -> str:
     return f"""{out}_r AS (SELECT {key} AS config, d, equity, equity / nullif(lag(equity) OVER w, 0) - 1 AS ret, max(equity) OVER w AS peak FROM {source} WINDOW w AS (PARTITION BY {key} ORDER BY d)),
 {out}_a AS (SELECT config, count(*) AS n, first(equity ORDER BY d) AS a, last(equity ORDER BY d) AS b, avg(ret) AS m, stddev_samp(ret) AS s, min(equity / peak - 1) * 100 AS dd FROM {out}_r GROUP BY 1),
-{out} AS (SELECT config, n AS n_sessions, b / a - 1 AS total_return, pow(b / a, 252.0::DOUBLE / n) - 1 AS cagr, CASE WHEN s > 0 THEN m / s * sqrt(252.0::DOUBLE) END AS sharpe, s * sqrt(252.0::DOUBLE) AS volatility_annual, dd AS max_drawdown_pct FROM {out}_a)"""
+{out} AS (SELECT config, n AS n_sessions, b / a - 1 AS total_return, pow(b / a, 252.0::DOUBLE / n) - 1 AS cagr, CASE WHEN s > 1e-12::DOUBLE THEN m / s * sqrt(252.0::DOUBLE) END AS sharpe, s * sqrt(252.0::DOUBLE) AS volatility_annual, dd AS max_drawdown_pct FROM {out}_a)"""
 
 
 _M = ("total_return", "cagr", "sharpe", "volatility_annual", "max_drawdown_pct")
