@@ -46,20 +46,33 @@ def spearman(df: DataFrame, x: str, y: str, *keys: str, least: int = 5) -> DataF
     return found.filter(F.col("n") >= least)
 
 
-def pooled_ranks(df: DataFrame, x: str, *keys: str) -> DataFrame:
-    """(keys, x, rank): the rank with ties averaged of each different value within its key, however many rows a key has.
+def pooled_counts(df: DataFrame, x: str, *keys: str) -> DataFrame:
+    """(keys, x, n, below): how often each different value of a key occurs, and how many rows of the key lie below it.
 
-    Values are counted, dealt by range over tasks and ranked there; what lies in the tasks before is added. No task holds
-    a whole key. The dealt counts are written once, so that both sums see the same tasks."""
+    Values are counted, dealt by range over tasks and added up there; what lies in the tasks before is added. No task
+    holds a whole key. The dealt counts are written once, so that both sums see the same tasks."""
     from sextant.sources.store import written
 
-    counts = df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n"))
     dealt = written(counts.repartitionByRange(*keys, x).withColumn("_part", F.spark_partition_id()), "ranks")
     parts = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    start = dealt.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s")).withColumn("_start", F.coalesce(F.sum("_s").over(parts), F.lit(0))).drop("_s")
+    start = dealt.groupBy(*keys, "_part").agg(F.sum("n").alias("_s")).withColumn("_start", F.coalesce(F.sum("_s").over(parts), F.lit(0))).drop("_s")
     inside = Window.partitionBy(*keys, "_part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(start, [*keys, "_part"])
-    return placed.select(*keys, x, (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias("rank"))
+    placed = dealt.withColumn("_before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(start, [*keys, "_part"])
+    return placed.select(*keys, x, "n", (F.col("_start") + F.col("_before")).alias("below"))
+
+
+def pooled_ranks(df: DataFrame, x: str, *keys: str) -> DataFrame:
+    """(keys, x, rank): the rank with ties averaged of each different value within its key, however many rows a key has."""
+    return pooled_counts(df, x, *keys).select(*keys, x, (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def pooled_median(df: DataFrame, x: str, out: str, *keys: str) -> DataFrame:
+    """(keys, out): the exact median of the values that are there, for few keys with many rows each."""
+    placed = pooled_counts(df.filter(F.col(x).isNotNull()).select(*keys, x), x, *keys)
+    total = placed.groupBy(*keys).agg(F.sum("n").alias("_all"))
+    holds = lambda p: F.max(F.when((F.col("below") < p) & (p <= F.col("below") + F.col("n")), F.col(x)))
+    return placed.join(total, list(keys)).groupBy(*keys).agg(((holds(F.floor((F.col("_all") + 1) / 2)) + holds(F.ceil((F.col("_all") + 1) / 2))) / 2).alias(out))
 
 
 def pooled_spearman(df: DataFrame, x: str, y: str, *keys: str, least: int = 5) -> DataFrame:

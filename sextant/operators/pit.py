@@ -93,10 +93,10 @@ def ratios(df: DataFrame) -> DataFrame:
 
 def validation(pairs: DataFrame) -> DataFrame:
     """Own figures against a second source, by concept (ours, theirs): coverage, rank correlation, differences, gate."""
-    from sextant.functions.stats import pooled_spearman
+    from sextant.functions.stats import pooled_median, pooled_spearman
 
     full = pairs.filter("ours IS NOT NULL AND theirs IS NOT NULL").withColumn("diff", F.try_divide(F.abs(F.col("ours") - F.col("theirs")), F.abs("theirs")) * 100)
-    found = full.groupBy("concept").agg(F.median("diff").alias("median_pct_diff"), F.avg((F.col("diff") > 100).cast("double")).alias("share_over_100"))
+    found = full.groupBy("concept").agg(F.avg((F.col("diff") > 100).cast("double")).alias("share_over_100")).join(pooled_median(full, "diff", "median_pct_diff", "concept"), "concept", "left")
     missing = pairs.groupBy("concept").agg(F.sum(F.col("ours").isNull().cast("int")).alias("ours_missing"), F.sum(F.col("theirs").isNull().cast("int")).alias("theirs_missing"))
     out = missing.join(found, "concept", "left").join(pooled_spearman(full, "ours", "theirs", "concept"), "concept", "left")
     return out.withColumn("passes", F.coalesce((F.col("median_pct_diff") <= 10.0) & (F.col("spearman_ic") >= 0.90) & (F.col("share_over_100") <= 0.05), F.lit(False)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sextant import config as C
 from sextant.functions.scalar import label
-from sextant.functions.stats import average_rank, moment_corr, overlap_t, pooled_spearman, spearman
+from sextant.functions.stats import average_rank, moment_corr, overlap_t, pooled_median, pooled_spearman, spearman
 from sextant.operators.ranking import deciles
 from sextant.sources.store import written
 
@@ -22,10 +22,11 @@ def long_form(df: DataFrame, horizons) -> DataFrame:
 
 
 def buckets(long: DataFrame) -> DataFrame:
-    """Outcomes by horizon and label of the score."""
-    return long.filter("excess IS NOT NULL AND score IS NOT NULL").groupBy("horizon", label(F.col("score")).alias("label")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("excess").alias("avg_excess"), F.median("excess").alias("median_excess"), (F.avg((F.col("excess") > 0).cast("double")) * 100).alias("hit_rate_pct"), F.avg("fall").alias("avg_drawdown_after")
-    ).filter("label IS NOT NULL")
+    """Outcomes by horizon and label of the score. Labels are few and their rows many: medians come from counted values."""
+    named = long.filter("excess IS NOT NULL AND score IS NOT NULL").select("horizon", label(F.col("score")).alias("label"), "excess", "fall").filter("label IS NOT NULL")
+    rows = written(named, "labelled")
+    found = rows.groupBy("horizon", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("excess").alias("avg_excess"), (F.avg((F.col("excess") > 0).cast("double")) * 100).alias("hit_rate_pct"), F.avg("fall").alias("avg_drawdown_after"))
+    return found.join(pooled_median(rows, "excess", "median_excess", "horizon", "label"), ["horizon", "label"])
 
 
 def cross_sections(long: DataFrame, least: int) -> DataFrame:

@@ -163,6 +163,9 @@ def test_pooled_ranks_are_ranks(spark):
     got = stats.pooled_ranks(spark.createDataFrame(list(zip(key.tolist(), x.tolist(), strict=True)), "k long, x double").repartition(5), "x", "k")
     want = {(k, v): r for k in (0, 1) for v, r in zip(x[key == k], pd.Series(x[key == k]).rank(), strict=True)}
     assert {(r.k, r.x): r["rank"] for r in got.collect()} == pytest.approx(want)
+    rows = list(zip(key.tolist(), x.tolist(), strict=True)) + [(5, 3.0), (6, 1.0), (6, 2.0), (7, None)]
+    medians = {r.k: r.m for r in stats.pooled_median(spark.createDataFrame(rows, "k long, x double").repartition(5), "x", "m", "k").collect()}
+    assert medians == {0: np.median(x[key == 0]), 1: np.median(x[key == 1]), 5: 3.0, 6: 1.5}
 
 
 # ---- plans
