@@ -11,7 +11,7 @@ from sextant import config as C
 from sextant.functions.scalar import label, rounded
 from sextant.operators import asof, features, figures, ranking, scoring
 from sextant.plans import oracle as O
-from sextant.sources.bars import bars, read, watchlist
+from sextant.sources.bars import bars, levels, read, watchlist
 from sextant.sources.store import written
 
 QUERIES, ORACLES = {}, {}
@@ -29,9 +29,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def panel(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str, own: DataFrame | None = None, region: DataFrame | None = None) -> DataFrame:
     """All features of all suppliers and weeks, from bars that are there already if given."""
-    return features.all_features(bars(spark, sf_dir) if own is None else own, watchlist(spark, sf_dir), written(features.regime(bars(spark, sf_dir, "region")), "regime"))
+    if own is None:
+        found = levels(spark, sf_dir)
+        own, region = found["supplier"], found["region"]
+    elif region is None:
+        region = bars(spark, sf_dir, "region")
+    return features.all_features(own, watchlist(spark, sf_dir), written(features.regime(region), "regime"))
 
 
 NEUTRAL = ("value_percentile", "quality_percentile")
@@ -55,15 +60,18 @@ def reported(spark: SparkSession, sf_dir: str, years: tuple | None = None) -> Da
     return found.withColumns({f: F.round(f, 9) for f in FIELDS})
 
 
-def full_panel(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+def full_panel(spark: SparkSession, sf_dir: str, own: DataFrame | None = None, region: DataFrame | None = None) -> DataFrame:
     """The panel with the figures known at each date."""
-    own = asof.backward(bars(spark, sf_dir) if own is None else own, reported(spark, sf_dir), "entity", "d", "filed_date", list(FIELDS)).drop("filed_date_asof")
-    return panel(spark, sf_dir, own)
+    if own is None:
+        found = levels(spark, sf_dir)
+        own, region = found["supplier"], found["region"]
+    known = asof.backward(own, reported(spark, sf_dir), "entity", "d", "filed_date", list(FIELDS)).drop("filed_date_asof")
+    return panel(spark, sf_dir, known, region)
 
 
-def ranked(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+def ranked(spark: SparkSession, sf_dir: str, own: DataFrame | None = None, region: DataFrame | None = None) -> DataFrame:
     """The panel with its percentiles and the composites of the fundamentals."""
-    return ranked_panel(full_panel(spark, sf_dir, own))
+    return ranked_panel(full_panel(spark, sf_dir, own, region))
 
 
 def ranked_panel(found: DataFrame) -> DataFrame:
@@ -75,9 +83,9 @@ def ranked_panel(found: DataFrame) -> DataFrame:
     return ranking.percentiles(df).join(value, ["d", "entity"])
 
 
-def scored(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, own: DataFrame | None = None, region: DataFrame | None = None) -> DataFrame:
     """The whole scoring run for every date. A live day is one date of it."""
-    return scoring.scores(scoring.components(ranked(spark, sf_dir, own)))
+    return scoring.scores(scoring.components(ranked(spark, sf_dir, own, region)))
 
 
 def picked(df: DataFrame, *names: str) -> DataFrame:

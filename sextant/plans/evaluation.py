@@ -11,7 +11,7 @@ from sextant.functions.stats import detectable, overlap_t, spearman
 from sextant.operators import asof, forward, ranking, reports
 from sextant.plans import core
 from sextant.plans import oracle as O
-from sextant.sources.bars import bars, read, watchlist
+from sextant.sources.bars import bars, levels, read, watchlist
 from sextant.sources.store import written
 
 QUERIES, ORACLES = {}, {}
@@ -33,7 +33,8 @@ def query(name: str, sql: str | None = None):
 
 def outcomes(spark, sf_dir) -> DataFrame:
     """Forward outcomes of every supplier and week."""
-    return forward.outcomes(bars(spark, sf_dir), watchlist(spark, sf_dir), bars(spark, sf_dir, "region"), bars(spark, sf_dir, "all"))
+    b = levels(spark, sf_dir)
+    return forward.outcomes(b["supplier"], watchlist(spark, sf_dir), b["region"], b["all"])
 
 
 def marked(df: DataFrame) -> DataFrame:
@@ -44,10 +45,9 @@ def marked(df: DataFrame) -> DataFrame:
 
 def graded(spark, sf_dir) -> DataFrame:
     """Scores joined with what followed, from bars that are made once."""
-    b = written(bars(spark, sf_dir), "bars")
-    scores = core.scored(spark, sf_dir, b).select("entity", "d", *NAMES, *C.SCORE_WEIGHTS)
-    out = forward.outcomes(b, watchlist(spark, sf_dir), bars(spark, sf_dir, "region"), bars(spark, sf_dir, "all"))
-    return marked(scores.join(out, ["entity", "d"]))
+    b = levels(spark, sf_dir)
+    scores = core.scored(spark, sf_dir, b["supplier"], b["region"]).select("entity", "d", *NAMES, *C.SCORE_WEIGHTS)
+    return marked(scores.join(forward.outcomes(b["supplier"], watchlist(spark, sf_dir), b["region"], b["all"]), ["entity", "d"]))
 
 
 def _lead(h: int, table: str, prefix: str) -> str:

@@ -7,6 +7,8 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.sources.store import written
+
 #: The order of lines within a bar; line numbers alone are not unique.
 LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
@@ -56,3 +58,16 @@ def bars(spark: SparkSession, sf_dir: str, level: str = "supplier", since=None,
     return found.groupBy("entity", "d").agg(
         F.min_by("price", "place").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "place").alias("close"), F.sum("l_quantity").alias("volume")
     )
+
+
+def levels(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The bars of all levels by name, from one pass over the lines: a supplier's bars keep where their first and last
+    line stand in the order, and the bars of its region and of the market are made of them."""
+    found = lines(spark, sf_dir).withColumn("entity", F.col("l_suppkey").cast("long"))
+    own = written(found.groupBy("entity", "d").agg(
+        F.min_by("price", "place").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "place").alias("close"), F.sum("l_quantity").alias("volume"), F.min("place").alias("_first"), F.max("place").alias("_last")
+    ), "bars")
+    merged = [F.min_by("open", "_first").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "_last").alias("close"), F.sum("volume").alias("volume")]
+    region = own.join(watchlist(spark, sf_dir).select("entity", "benchmark"), "entity").groupBy(F.col("benchmark").alias("entity"), "d").agg(*merged)
+    market = own.groupBy(F.lit(0).cast("long").alias("entity"), "d").agg(*merged)
+    return {"supplier": own.drop("_first", "_last"), "region": region, "all": market}
