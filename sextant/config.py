@@ -40,7 +40,6 @@ SPARSE_SHARE = 0.40
 SPREAD_BASE, SPREAD_COEF, SPREAD_MIN, SPREAD_MAX = 1.0, 12.0, 1.0, 80.0
 IMPACT_COEF, PARTICIPATION_CAP = 10.0, 0.10
 INITIAL_EQUITY, SUSPICIOUS_MOVE = 100_000.0, 50.0
-MIN_LIVE_NAMES = 30
 BACKTEST_NAMES, BACKTEST_HOLDS, BACKTEST_SCORE = (10, 20, 30), (20, 60, 120), "score_60d"
 #: Least dollar volume of a holding; prices of the test tables are small, so theirs is set lower than MIN_DOLLAR_VOLUME.
 BACKTEST_MIN_ADV = 20_000.0
@@ -48,6 +47,7 @@ BACKTEST_MIN_ADV = 20_000.0
 NORMAL_PERCENTILES = ("return_5d", "return_10d", "return_20d", "return_60d", "return_120d", "return_252d", "relative_strength_5d", "relative_strength_20d", "relative_strength_60d", "relative_strength_120d", "volume_ratio_20d")
 INVERTED_PERCENTILES = ("ATR_pct", "volatility_60d", "max_drawdown_60d")
 
+# Fields, weights and bands of the composites, components and scores.
 COMPOSITES = {
     "value_percentile": {"fields": ("trailing_pe", "price_to_sales", "ev_to_ebitda", "price_to_book"), "inverted": ("trailing_pe", "price_to_sales", "ev_to_ebitda", "price_to_book")},
     "quality_percentile": {"fields": ("profit_margin", "operating_margin", "return_on_equity", "debt_to_equity"), "inverted": ("debt_to_equity",)},
