@@ -380,4 +380,4 @@ def test_pipeline(spark, sf_dir, docs, texts, odd):
 
 
 def test_catalog():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11)) and set(catalog.ORACLES) <= set(catalog.QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 14)) and set(catalog.ORACLES) <= set(catalog.QUERIES)
