@@ -76,10 +76,18 @@ def read_snapshots(spark: SparkSession, path: str, version: str | None = None, r
     return df
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whichever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def existing(spark: SparkSession, path: str, version: str | None = None) -> DataFrame | None:
     """Snapshots of a path, or None where nothing has been stored yet."""
     from pyspark.errors import AnalysisException
 
+    if not there(spark, path):
+        return None
     try:
         return read_snapshots(spark, path, version)
     except AnalysisException as e:
@@ -123,6 +131,8 @@ def _readable(spark: SparkSession, path: str) -> DataFrame | None:
     """The table of a path, or None where there is none."""
     from pyspark.errors import AnalysisException
 
+    if not there(spark, path):
+        return None
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
