@@ -181,7 +181,7 @@ def duplicate_rows(spark, sf_dir):
 
 @query("rolling_refresh_queue", "SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE CAST(s_acctbal AS BIGINT) END AS age FROM supplier ORDER BY age DESC NULLS FIRST, s_suppkey LIMIT (SELECT CAST(ceil(count(*) / 5.0::DOUBLE) AS BIGINT) FROM supplier)")
 def rolling_refresh_queue(spark, sf_dir):
-    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 9 != 0, F.round(F.col("s_acctbal"), 0).cast("long")).alias("age"))
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 9 != 0, F.bround(F.col("s_acctbal"), 0).cast("long")).alias("age"))
     return quality.refresh_queue(s, "s_suppkey", "age", 5)
 
 
