@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sextant import config as C
 from sextant.functions.scalar import label
-from sextant.functions.stats import average_rank, moment_corr, overlap_t, pooled_median, pooled_spearman, spearman
+from sextant.functions.stats import overlap_t, pooled_median, pooled_spearman, spearman
 from sextant.operators.ranking import deciles
 from sextant.sources.store import written
 
@@ -84,43 +85,88 @@ def pooled_ic(df: DataFrame, names, horizons, least: int = 5) -> DataFrame:
     return pooled_spearman(unpivoted(df, names, horizons), "value", "excess", "series", "horizon", least=least)
 
 
-def daily_ic(df: DataFrame, names, horizons, least: int = C.DECILE_MIN_NAMES) -> DataFrame:
-    """(series, horizon, d, n, pearson_ic, spearman_ic): the long form of an IC cube, with average ties and complete pairs.
+def _corr(a: np.ndarray, b: np.ndarray) -> float | None:
+    """Pearson correlation; None where a side is constant. Shifted first: equal values then deviate by exactly nothing."""
+    if not len(a):
+        return None
+    a, b = a - a[0], b - b[0]
+    a, b = a - a.mean(), b - b.mean()
+    spread = np.sqrt(a @ a / len(a)) * np.sqrt(b @ b / len(b))
+    return None if spread <= 1e-15 else float(a @ b / len(a) / spread)
+
+
+def _average_ranks(x: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Ranks with ties averaged of the rows that `order` lists by ascending x, at these rows' places; 0 elsewhere."""
+    v, out = x[order], np.zeros(len(x))
+    differ = (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(v)), bool), differ)))
+    n = np.diff(np.append(starts, len(v)))
+    out[order] = np.repeat(starts + (n + 1) / 2, n)
+    return out
+
 
-    A component is ranked once a day and an excess once a day, and not once for each pair of them. These ranks are a
-    pair's own where the same names have both, which counts of the names tell; on the other days of a pair its complete
-    rows are ranked anew. The columns are written once, so neither side computes what lies before."""
+def _cube(df: DataFrame, names, horizons, *more: str) -> DataFrame:
+    """(d, more, entity, names, excesses): what ICs are made of, one row an entity and date; components of fundamentals
+    have no value where these are stale."""
     old = F.col("stale") if "stale" in df.columns else F.lit(False)
     value = {n: F.when(~old, F.col(n)) if n in C.SITOUT else F.col(n) for n in names}
-    wide = written(df.select("d", "entity", *[v.cast("double").alias(n) for n, v in value.items()], *[F.col(f"future_excess_return_{h}d").cast("double").alias(f"future_excess_return_{h}d") for h in horizons]), "cube")
-    ahead = {h: f"future_excess_return_{h}d" for h in horizons}
-    columns = [*names, *ahead.values()]
-    have = lambda *cols: F.sum(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]).cast("long"))
-    counts = wide.groupBy("d").agg(*[have(c).alias(f"n_{c}") for c in columns], *[have(n, x).alias(f"b_{n}_{h}") for n in names for h, x in ahead.items()])
-    told = [F.struct(F.lit(n).alias("series"), F.lit(h).alias("horizon"), F.col(f"b_{n}_{h}").alias("n"), ((F.col(f"b_{n}_{h}") == F.col(f"n_{n}")) & (F.col(f"b_{n}_{h}") == F.col(f"n_{x}"))).alias("same")) for n in names for h, x in ahead.items()]
-    pairs = written(counts.select("d", F.explode(F.array(*told)).alias("p")).select("d", "p.*").filter(F.col("n") >= least), "cube-counts")
-
-    long = wide.select("d", "entity", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("x")) for i, c in enumerate(columns)])).alias("v")).select("d", "entity", "v.*").filter("x IS NOT NULL")
-    ranked = long.withColumn("r", average_rank("x", "d", "c"))
-    back = ranked.groupBy("d", "entity").agg(*[F.max(F.when(F.col("c") == i, F.col(k))).alias(f"{k}{i}") for i in range(len(columns)) for k in ("x", "r")])
-    at = {c: i for i, c in enumerate(columns)}
-    left = F.explode(F.array(*[F.struct(F.lit(n).alias("series"), F.col(f"x{at[n]}").alias("x"), F.col(f"r{at[n]}").alias("rx")) for n in names])).alias("l")
-    right = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"x{at[x]}").alias("y"), F.col(f"r{at[x]}").alias("ry")) for h, x in ahead.items()])).alias("r")
-    both = back.select("d", left, *[f"{k}{at[x]}" for x in ahead.values() for k in ("x", "r")]).select("d", "l.*", right).select("d", "series", "x", "rx", "r.*").filter("x IS NOT NULL AND y IS NOT NULL")
-    once = both.groupBy("series", "horizon", "d").agg(moment_corr(F.col("x"), F.col("y")).alias("pearson_ic"), moment_corr(F.col("rx"), F.col("ry")).alias("spearman_ic"))
-    same = pairs.filter("same").select("series", "horizon", "d", "n").join(once, ["series", "horizon", "d"])
-
-    rest = unpivoted(wide, names, horizons).filter("value IS NOT NULL AND excess IS NOT NULL").join(pairs.filter("NOT same").select("series", "horizon", "d"), ["series", "horizon", "d"], "left_semi")
-    return same.unionByName(spearman(rest, "value", "excess", "series", "horizon", "d", least=least).select(*same.columns))
+    return df.select("d", *more, "entity", *[v.cast("double").alias(n) for n, v in value.items()], *[F.col(f"future_excess_return_{h}d").cast("double").alias(f"future_excess_return_{h}d") for h in horizons])
+
+
+def _columns(rows: pa.Table, columns) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Values of each column, and whether they are there."""
+    return {c: (rows.column(c).fill_null(0.0).to_numpy(), rows.column(c).is_valid().to_numpy()) for c in columns}
+
+
+def daily_ic(df: DataFrame, names, horizons, least: int = C.DECILE_MIN_NAMES, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, series, horizon, d, n, pearson_ic, spearman_ic): the long form of an IC cube, with average ties and complete pairs.
+
+    Rows are dealt once, by date (and `by`), with a column for each component and excess: the cube of series by horizon
+    is never rows. A date's columns are each sorted once; a pair's complete rows are ranked along these orders."""
+    ahead, keys = {h: f"future_excess_return_{h}d" for h in horizons}, (*by, "d")
+    wide = _cube(df, names, horizons, *by)
+    schema = T.StructType([*[wide.schema[k] for k in keys], *T.StructType.fromDDL("series string, horizon int, n long, pearson_ic double, spearman_ic double").fields])
+
+    def day(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        at = _columns(rows, [*names, *ahead.values()])
+        order = {c: (lambda i: i[np.argsort(x[i], kind="stable")])(np.flatnonzero(has)) for c, (x, has) in at.items()}
+        whole = {c: _average_ranks(x, order[c]) for c, (x, _) in at.items()}
+        found = []
+        for name in names:
+            for h, c in ahead.items():
+                both = at[name][1] & at[c][1]
+                n = int(both.sum())
+                if n >= max(least, 1):
+                    rank = {k: whole[k] if n == len(order[k]) else _average_ranks(at[k][0], order[k][both[order[k]]]) for k in (name, c)}
+                    found.append((name, h, n, _corr(at[name][0][both], at[c][0][both]), _corr(rank[name][both], rank[c][both])))
+        head = {f.name: pa.array([k.as_py()] * len(found), k.type) for f, k in zip(schema.fields, key, strict=False)}
+        types = (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table(head | {f.name: pa.array([r[i] for r in found], t) for i, (f, t) in enumerate(zip(schema.fields[len(keys) :], types, strict=True))})
+
+    return wide.groupBy(*keys).applyInArrow(day, schema)
 
 
 def ordinal_daily_ic(df: DataFrame, names, horizons) -> DataFrame:
-    """By day with ordinal ranks: each column ranked over its own non-nulls, then correlated where both are there."""
-    long = unpivoted(df, names, horizons)
-    at = lambda x: F.when(F.col(x).isNotNull(), F.row_number().over(Window.partitionBy("series", "horizon", "d").orderBy(F.col(x).asc_nulls_last(), "entity")).cast("double"))
-    both = long.withColumns({"rv": at("value"), "re": at("excess")})
-    found = both.groupBy("series", "horizon", "d").agg(moment_corr(F.col("rv"), F.col("re")).alias("ic"), F.sum((F.col("rv").isNotNull() & F.col("re").isNotNull()).cast("int")).alias("n"))
-    return found.filter("n >= 3 AND ic IS NOT NULL")
+    """By day with ordinal ranks: each column ranked over its own non-nulls, ties by entity, then correlated where both
+    are there. Dealt once by date, as `daily_ic` is."""
+    ahead = {h: f"future_excess_return_{h}d" for h in horizons}
+
+    def day(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        at, entity, rank, found = _columns(rows, [*names, *ahead.values()]), rows.column("entity").to_numpy(), {}, []
+        for c, (x, has) in at.items():
+            i = np.flatnonzero(has)
+            rank[c] = np.zeros(len(x))
+            rank[c][i[np.lexsort((entity[i], x[i]))]] = np.arange(1.0, len(i) + 1)
+        for name in names:
+            for h, c in ahead.items():
+                both = at[name][1] & at[c][1]
+                ic = _corr(rank[name][both], rank[c][both])
+                if ic is not None and both.sum() >= 3:
+                    found.append((name, h, key[0].as_py(), ic, int(both.sum())))
+        types = {"series": pa.string(), "horizon": pa.int32(), "d": key[0].type, "ic": pa.float64(), "n": pa.int64()}
+        return pa.table({c: pa.array([r[i] for r in found], t) for i, (c, t) in enumerate(types.items())})
+
+    return _cube(df, names, horizons).groupBy("d").applyInArrow(day, "series string, horizon int, d date, ic double, n long")
 
 
 def decay(ics: DataFrame, least_days: int = 60) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant import config as C
 from sextant.functions.scalar import rounded, stale_fundamentals
-from sextant.functions.stats import detectable, overlap_t, spearman
+from sextant.functions.stats import detectable, overlap_t
 from sextant.operators import asof, forward, ranking, reports
 from sextant.plans import core
 from sextant.plans import oracle as O
@@ -184,7 +184,7 @@ def ic_decay_common(spark, sf_dir):
 @query("sector_ic_decay", f"{GRADED}, {pairs_sql('graded', NAMES, HORIZONS, more=', sector')}, {ic_sql('sector, series, horizon, d', 5)} SELECT sector, series, horizon, count(*) AS n_days, round(avg(spearman_ic), 6) AS mean_ic FROM ic WHERE spearman_ic IS NOT NULL GROUP BY 1, 2, 3")
 def sector_ic_decay(spark, sf_dir):
     """Daily ICs within each sector."""
-    ics = spearman(reports.unpivoted(graded(spark, sf_dir), NAMES, HORIZONS, "sector"), "value", "excess", "sector", "series", "horizon", "d", least=5)
+    ics = reports.daily_ic(graded(spark, sf_dir), NAMES, HORIZONS, 5, ("sector",))
     return rounded(ics.filter("spearman_ic IS NOT NULL").groupBy("sector", "series", "horizon").agg(F.count(F.lit(1)).alias("n_days"), F.avg("spearman_ic").alias("mean_ic")))
 
 
@@ -197,7 +197,7 @@ def size_bucket_decay(spark, sf_dir):
     """Daily ICs within each size bucket, all against one benchmark: the market."""
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity"), F.when(F.col("s_acctbal") < 2500, "small").when(F.col("s_acctbal") < 6000, "mid").otherwise("large").alias("bucket"))
     df = graded(spark, sf_dir).withColumns({f"future_excess_return_{h}d": F.col(f"future_return_{h}d") - F.col(f"future_index_return_{h}d") for h in HORIZONS})
-    ics = spearman(reports.unpivoted(df.join(s, "entity"), NAMES, HORIZONS, "bucket"), "value", "excess", "bucket", "series", "horizon", "d", least=10)
+    ics = reports.daily_ic(df.join(s, "entity"), NAMES, HORIZONS, 10, ("bucket",))
     out = ics.filter("spearman_ic IS NOT NULL").groupBy("bucket", "series", "horizon").agg(F.count(F.lit(1)).alias("n_days"), F.avg("spearman_ic").alias("mean_ic"), F.stddev_samp("spearman_ic").alias("s"))
     return rounded(out.withColumn("t_stat", overlap_t(F.col("mean_ic"), F.col("s"), F.col("n_days"), F.col("horizon"))).drop("s"))
 
