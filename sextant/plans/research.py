@@ -204,7 +204,7 @@ def _all_dates(spark, df):
 def _moments(spark, df, fits):
     """Sums of each fit's training rows, and the sets of components that fits can use."""
     dealt, sets = walkforward.designs(df, fits, list(NAMES))
-    return written(walkforward.moments_by_fit(walkforward.standardised(df, list(NAMES), _TARGETS, sets), list(NAMES), dealt), "moments"), sets
+    return written(walkforward.moments_by_fit(walkforward.daily_moments(df, list(NAMES), _TARGETS, sets), dealt), "moments"), sets
 
 
 @query("standardised_design", f"{DESIGN} SELECT horizon, d, entity, {O.r6(*NAMES, 'y')} FROM z")
@@ -212,7 +212,8 @@ def standardised_design(spark, sf_dir):
     """The regressions' rows over all dates: every component as a z-score of its day, for each horizon's outcome."""
     df = written(evaluation.graded(spark, sf_dir), "graded")
     dealt, sets = walkforward.designs(df, _all_dates(spark, df), list(NAMES))
-    return rounded(walkforward.standardised(df, list(NAMES), _TARGETS, sets).join(F.broadcast(dealt.select("horizon", "design")), ["horizon", "design"]).drop("design"))
+    wanted = {(r["horizon"], r["design"]) for r in dealt.select("horizon", "design").collect()}
+    return rounded(walkforward.standardised(df, list(NAMES), _TARGETS, sets, wanted=wanted).drop("design"))
 
 
 def _weights(spark, sf_dir, solve):
@@ -270,14 +271,13 @@ def walk_forward_comparison(spark, sf_dir):
     sums, sets = _moments(spark, df, fits)
     found = {v: walkforward.ic_weights(fits, ics, ratio) for v, ratio in SPEC.items()}
     found |= {v: walkforward.clipped(walkforward.solved(spark, sums, list(NAMES), sets, solve, LEAST_ROWS), LEAST_ROWS) for v, solve in (("ridge", walkforward.ridge), ("nnls", walkforward.nonnegative))}
-    ahead, out = _ahead(df, fits), None
-    config = reduce(lambda a, h: F.when(F.col("horizon") == h, F.col(f"score_{h}d")).otherwise(a), HORIZONS, F.lit(None).cast("double"))
+    by_horizon = lambda cols: reduce(lambda a, h: F.when(F.col("horizon") == h, F.col(cols[h])).otherwise(a), HORIZONS, F.lit(None).cast("double"))
+    ahead, out = _ahead(df, fits).withColumn("excess", by_horizon(_TARGETS)), None
     for variant, weights in [*found.items(), ("config", None)]:
-        scored = ahead.select("horizon", "d", "entity", config.alias("score")) if weights is None else walkforward.composite(ahead, weights, list(NAMES), ["trend_component"]).select("horizon", "d", "entity", "score")
+        scored = ahead.select("horizon", "d", "entity", by_horizon({h: f"score_{h}d" for h in HORIZONS}).alias("score"), "excess") if weights is None else walkforward.composite(ahead, weights, list(NAMES), ["trend_component"], "excess").select("horizon", "d", "entity", "score", "excess")
         part = scored.withColumn("variant", F.lit(variant))
         out = part if out is None else out.unionByName(part)
-    happened = df.select("d", "entity", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(t).alias("excess")) for h, t in _TARGETS.items()])).alias("h")).select("d", "entity", "h.*")
-    rows = out.withColumn("score", F.round("score", 9)).join(happened, ["horizon", "d", "entity"])
+    rows = out.withColumn("score", F.round("score", 9)).filter("score IS NOT NULL AND excess IS NOT NULL")
     return rounded(reports.compared(written(rows, "compared")))
 
 
