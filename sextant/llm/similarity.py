@@ -30,17 +30,17 @@ from sextant.llm.graph import components
 
 @dataclass(frozen=True)
 class JaccardRules:
-    """Parameters: words a shingle, similarity in percent, frequent n-grams kept (a bound of what is broadcast),
+    """Parameters: words a shingle, similarity in percent, cells of the count table that frequent n-grams may mark,
     longest list that becomes pairs, n-grams of a tile, documents of a slice,
-    n-grams that are counted together when looking for frequent ones."""
+    and the base-2 logarithm of the count table's size (a task holds that many bytes, an eighth goes to every task)."""
 
     words: int = 3
     percent: int = 90
-    frequent: int = 1_000_000
+    frequent: int = 2_000_000
     pair_list: int = 32
     tile: int = 1_000_000
     slice: int = 1000
-    counted: int = 4_000_000
+    cells: int = 25
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -80,30 +80,50 @@ def _sliced(batches, size: int):
             pa.default_memory_pool().release_unused()
 
 
+def _is_marked(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each shingle's cell is marked in a table of `frequent_shingles`."""
+    cell = h >> np.uint64(64 - 3 - (len(marks).bit_length() - 1))
+    return (marks[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
 def frequent_shingles(docs: DataFrame, rules: JaccardRules) -> np.ndarray:
-    """Shingles that recur among different sets, the most frequent ones over all documents, at most rules.frequent."""
+    """A bit table of 2**cells bits that marks the cells of shingles which recur among different sets.
 
-    def recurring(buffer: dict):
-        h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *buffer.values()]), return_counts=True)
-        h, n = h[n >= 3], n[n >= 3].astype(np.int64)
-        for i in range(0, len(h), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], names=["h", "n"])
+    A task counts all its shingles by cell (a stretch of their hashes); the tasks' counts are added up section by section,
+    so that a shingle is found however thinly it is spread. A cell is marked if it holds more than a cell of rare shingles
+    may by chance; where too many would be, those with the most. A rare shingle in a marked cell costs nothing but its place."""
+    section = min(16, rules.cells)
+    sections, most = 1 << rules.cells - section, max(1, rules.frequent >> rules.cells - section)
 
     def count(batches):
-        buffer, held = {}, 0
+        cells, seen = np.zeros(1 << rules.cells, np.uint8), set()
         for b in _sliced(batches, rules.slice):
+            new = {}
             for s in shingle_sets(b.column(0), rules.words):
-                name = hashlib.blake2b(s.tobytes(), digest_size=8).digest()
-                if name not in buffer:
-                    buffer[name] = s
-                    held += len(s)
-            if held > rules.counted:
-                yield from recurring(buffer)
-                buffer, held = {}, 0
-        yield from recurring(buffer)
-
-    found = batched(docs).select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(rules.frequent).select("h").toArrow()
-    return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
+                new.setdefault(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), s)
+            flat = np.concatenate([np.zeros(0, np.uint64), *[s for d, s in new.items() if d not in seen]])
+            seen.update(new)
+            at, n = np.unique(flat >> np.uint64(64 - rules.cells), return_counts=True)
+            cells[at] = np.minimum(cells[at] + n, 255)
+        for i, part in enumerate(cells.reshape(sections, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pa.compress(part.tobytes(), "lz4", asbytes=True)], pa.binary())], names=["section", "counts"])
+
+    def mark(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        n = np.zeros(1 << section, np.int64)
+        for x in rows.column("counts"):
+            n += np.frombuffer(pa.decompress(x.as_py(), 1 << section, "lz4"), np.uint8)
+        rare = float(np.median(n)) if len(n) else 0.0
+        over = np.flatnonzero(n >= max(3.0, rare + 4 * math.sqrt(rare)))
+        marked = np.zeros(1 << section, bool)
+        marked[over[np.argsort(-n[over], kind="stable")[:most]]] = True
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(marked, bitorder="little").tobytes()], pa.binary())], names=["section", "marks"])
+
+    found = batched(docs).select("text").mapInArrow(count, "section int, counts binary").groupBy("section").applyInArrow(mark, "section int, marks binary").toArrow()
+    out = np.zeros((sections, 1 << section - 3), np.uint8)
+    for i, x in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        out[i] = np.frombuffer(x, np.uint8)
+    return out.reshape(-1)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -119,8 +139,7 @@ def incidence(docs: DataFrame, rules: JaccardRules) -> DataFrame:
         for b in _sliced(batches, rules.slice):
             sets = shingle_sets(b.column(1), rules.words)
             flat = np.concatenate([np.zeros(0, np.uint64), *sets])
-            at = np.searchsorted(last, flat)
-            late = (last[np.minimum(at, len(last) - 1)] == flat) if len(last) else np.zeros(len(flat), bool)
+            late = _is_marked(last, flat)
             prefix, ends, start = [], [], 0
             for s in sets:
                 part = late[start : start + len(s)]
