@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from sextant import config as C
 from sextant.functions.scalar import label
-from sextant.functions.stats import overlap_t, pooled_median, pooled_spearman, spearman
+from sextant.functions.stats import overlap_t, pooled_median, spearman
+from sextant.operators import pooled
 from sextant.operators.ranking import deciles
 from sextant.sources.store import written
 
@@ -67,22 +68,10 @@ def selections(days: DataFrame, sizes=(3, 10, 25)) -> DataFrame:
     return daily.groupBy("horizon", "size").agg(F.count(F.lit(1)).alias("n_days"), F.avg("names").alias("avg_names"), F.avg("mean").alias("avg_excess"), F.avg("hit").alias("hit_rate_pct"), F.avg("over").alias("avg_over_universe"))
 
 
-def unpivoted(df: DataFrame, names, horizons, *more: str) -> DataFrame:
-    """(d, entity, more, series, horizon, value, excess): series by horizon, only for the horizons asked for.
-
-    Components of fundamentals have no value where these are stale. Dealt by date first, so that the wide rows are
-    shuffled and not the many long ones."""
-    old = F.col("stale") if "stale" in df.columns else F.lit(False)
-    value = lambda n: F.when(~old, F.col(n)) if n in C.SITOUT else F.col(n)
-    series = F.explode(F.array(*[F.struct(F.lit(n).alias("series"), value(n).alias("value")) for n in names])).alias("s")
-    ahead = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"future_excess_return_{h}d").alias("excess")) for h in horizons])).alias("h")
-    wide = df.repartition("d").select("d", "entity", *more, series, *[f"future_excess_return_{h}d" for h in horizons])
-    return wide.select("d", "entity", *more, "s.*", ahead).select("d", "entity", *more, "series", "value", "h.*")
-
-
 def pooled_ic(df: DataFrame, names, horizons, least: int = 5) -> DataFrame:
     """Correlation of each component with each horizon's excess, over all dates together; pairs ranked among themselves."""
-    return pooled_spearman(unpivoted(df, names, horizons), "value", "excess", "series", "horizon", least=least)
+    ahead = {h: f"future_excess_return_{h}d" for h in horizons}
+    return pooled.correlations(_cube(df, names, horizons), tuple(names), ahead, least)
 
 
 def _corr(a: np.ndarray, b: np.ndarray) -> float | None:
