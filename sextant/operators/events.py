@@ -31,13 +31,16 @@ def trade_features(probes: DataFrame, trades: DataFrame, days: int = 90) -> Data
     A trade is its entity, date, code, shares and price, NULLs being equal: filed twice it counts once, after the
     window is applied, as its first filing. Values that are NULL count as 0 in sums. Only direct trades count.
 
-    Time is cut into stretches as long as the window, so a probe meets the trades of two stretches and no others."""
+    Time is cut into stretches as long as the window, so a probe meets the trades of two stretches and no others. A filing
+    counts for the probes up to the window's end that the filing before it, of the same trade, doesn't reach; so trades
+    are ordered once, and what they have in common with probes is only summed up."""
     stretch = lambda c: F.floor(F.unix_date(c) / (days + 1))
     direct = trades.filter("table_kind = 'nonderiv'").withColumn("_stretch", stretch(F.col("filed_date")))
     asked = probes.select("entity", "d", F.explode(F.array(stretch(F.col("d")), stretch(F.col("d")) - 1)).alias("_stretch"))
-    near = asked.join(direct, ["entity", "_stretch"]).filter(F.col("filed_date").between(F.date_sub("d", days), F.col("d")))
-    key = ("entity", "d", "trans_date", "trans_code", "shares", "price_per_share")
-    once = near.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("filed_date", "accession"))).filter("_k = 1")
+    filings = Window.partitionBy("entity", "trans_date", "trans_code", "shares", "price_per_share").orderBy("filed_date", "accession")
+    since = F.greatest("filed_date", F.date_add(F.lag("filed_date").over(filings), days + 1))
+    counted = direct.filter("filed_date IS NOT NULL").withColumn("_since", since)
+    once = asked.join(counted, ["entity", "_stretch"]).filter(F.col("d").between(F.col("_since"), F.date_add("filed_date", days)))
     buy, sell = F.col("trans_code") == "P", F.col("trans_code") == "S"
     n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
     value = lambda c: F.coalesce(F.sum(F.when(c, F.coalesce("value_usd", F.lit(0.0)))), F.lit(0.0))

@@ -326,6 +326,7 @@ def trade_event_study(spark, sf_dir):
         F.col("l_extendedprice").alias("value_usd"), F.col("o_custkey").alias("owner"), (F.col("o_orderpriority") == "1-URGENT").alias("is_officer"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("accession"), F.lit("nonderiv").alias("table_kind"),
     )
     out = written(evaluation.outcomes(spark, sf_dir), "outcomes")
-    df = written(out.join(events.trade_features(out.select("entity", "d"), trades), ["entity", "d"]), "trade-features")
+    bought = events.trade_features(out.select("entity", "d"), trades).select("entity", "d", "officer_buy_count")
+    df = written(out.join(bought, ["entity", "d"]), "trade-features")
     each = [events.day_spread(df, "officer_buy_count", f"future_excess_return_{h}d", 3, 3).withColumn("horizon", F.lit(h)) for h in evaluation.HORIZONS]
     return rounded(reduce(DataFrame.unionByName, each))
