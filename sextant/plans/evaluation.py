@@ -45,9 +45,7 @@ def marked(df: DataFrame) -> DataFrame:
 
 def graded(spark, sf_dir) -> DataFrame:
     """Scores joined with what followed, from bars that are made once."""
-    b = levels(spark, sf_dir)
-    scores = core.scored(spark, sf_dir, b["supplier"], b["region"]).select("entity", "d", *NAMES, *C.SCORE_WEIGHTS)
-    return marked(scores.join(forward.outcomes(b["supplier"], watchlist(spark, sf_dir), b["region"], b["all"]), ["entity", "d"]))
+    return marked(core.scored_outcomes(spark, sf_dir))
 
 
 def _lead(h: int, table: str, prefix: str) -> str:

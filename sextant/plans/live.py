@@ -118,7 +118,7 @@ def live_day(spark: SparkSession, sf_dir: str, path: str, d: date, store=None, v
     filed = old["figures"].select("entity", F.col("d").alias("filed_date"), *core.FIELDS).unionByName(new_figures(spark, sf_dir, after, d).select("entity", "filed_date", *core.FIELDS))
     known = written(newest(filed, "filed_date", 1), "figures")
     panel = day_panel(watchlist(spark, sf_dir), tails["supplier"], tails["region"], known, d)
-    scored = scoring.components(core.ranked_panel(panel)).withColumn("days_until_earnings", F.lit(None).cast("int"))
+    scored = scoring.components(core.ranked_panel(panel, "filed_date")).withColumn("days_until_earnings", F.lit(None).cast("int"))
     rows = checks.ruled(scoring.scores(scored, version, live), {"figures were filed by their session": F.col("filed_date") <= F.col("d"), "rows are of one session": F.col("d") == F.lit(d)})
     odd = reduce(lambda a, b: a | b, [~F.col(h).between(0, 100) for h in C.SCORE_WEIGHTS])
     rows, told = checks.observed(rows, rows=F.count(F.lit(1)), scored=checks.counted(F.col("score_120d").isNotNull()), odd=checks.counted(odd))

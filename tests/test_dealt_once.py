@@ -10,8 +10,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.operators import reports, walkforward
-from sextant.plans import dated
+from sextant.operators import ranking, reports, walkforward
+from sextant.plans import core, dated
 from tests import compare
 
 
@@ -95,3 +95,40 @@ def test_refresh_queue_rounds_halves_as_its_sql_does(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
     assert compare.difference(spark, con, str(tmp_path), dated.rolling_refresh_queue, dated.ORACLES["rolling_refresh_queue"]) == ""
+
+
+def test_ranks_of_a_date_are_dealt_once_and_equal_brute_force(spark):
+    rng, rows = random.Random(6), []
+    some = lambda p, x: None if rng.random() < p else x
+    for k in range(3):
+        for e in range(60):
+            sector = ("north", "small", "Index", None)[0 if e < 40 else 1 if e < 45 else 2 if e < 50 else 3]
+            rows.append((date(2024, 1, 1 + k), e, sector, some(0.1, float(rng.randrange(7))), float("nan") if e % 9 == 0 else some(0.2, rng.random()), some(0.3, float(rng.randrange(4)))))
+    df = spark.createDataFrame(rows, "d date, entity long, sector string, a double, b double, c double")
+    groups = {"both": {"fields": ("a", "c"), "inverted": ("c",)}, "plain": {"fields": ("a",), "inverted": ()}}
+    found = ranking.day_ranks(df, {"a": 1, "b": -1}, groups, ("both",), 8)
+    assert "Generate" not in plan(found) and plan(found).count("Exchange hashpartitioning") == 1
+    got = {(r.d, r.entity): r for r in found.collect()}
+    assert len(got) == len(rows)
+    as_key = lambda x: 1e9 if x != x else x
+
+    def rank(x, among):
+        return None if x is None else (sum(v < x for v in among) + (sum(v == x for v in among) + 1) / 2) / len(among) * 100
+
+    for d in sorted({r[0] for r in rows}):
+        day = [r for r in rows if r[0] == d]
+        for r in day:
+            g = got[d, r[1]]
+            col = lambda i, sign=1, keep=lambda q: True: [as_key(q[i] * sign) for q in day if q[i] is not None and keep(q)]  # noqa: B023, E731
+            assert g.a_percentile == rank(r[3], col(3)) and g.b_percentile == rank(None if r[4] is None else as_key(-r[4]), col(4, -1)) and g.plain == g.a_percentile
+            big = r[2] != "Index" and sum(q[2] == r[2] and (q[3] is not None or q[5] is not None) for q in day) >= 8
+            assert g._big_both == big
+            peers = lambda q: q[2] != "Index" and (q[2] == r[2] if big else True)  # noqa: B023, E731
+            each = [x for x in (rank(r[3], col(3, 1, peers)), rank(None if r[5] is None else -r[5], col(5, -1, peers))) if x is not None]
+            out = r[2] == "Index" or (big and r[2] is None) or not each
+            assert g.both == (None if out else pytest.approx(sum(each) / len(each), abs=1e-9))
+
+
+def test_a_scoring_run_joins_no_ranks_back(spark, sf_dir):
+    found = plan(core.scored_outcomes(spark, sf_dir))
+    assert found.count("FlatMapGroupsInArrow") == 2 and "SortMergeJoin" not in found  # in the optimized and in the executed plan
