@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.llm import language_mix, pii, similarity, temperature, tiling
-from sextant.llm.common import fold, kept, shared_dir, table
+from sextant.llm.common import fold, kept, shared_dir, swept, table
 
 #: Languages to keep; None keeps all that the model knows.
 WANTED: tuple[str, ...] | None = None
@@ -78,7 +78,8 @@ def stages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     at, docs, out = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents"), {}
     for name, stage in STAGES:
         found = stage(spark, docs, sf_dir)
-        found.write.parquet(f"{at}/{name}")
+        with swept(spark):
+            found.write.parquet(f"{at}/{name}")
         docs = out[name] = spark.read.schema(found.schema).parquet(f"{at}/{name}")
     return out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,12 +58,26 @@ def batched(df: DataFrame) -> DataFrame:
     return df
 
 
+@contextmanager
+def swept(spark: SparkSession):
+    """Shuffle files of what is made and run within go when it has run, not when the driver's memory is next cleaned:
+    nothing is run again that was run here."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    with swept(spark):
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -21,10 +21,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import batched, kept, table, tokens
+from sextant.llm.common import batched, kept, swept, table, tokens
 from sextant.llm.graph import components
 
 
@@ -107,19 +107,20 @@ def frequent_shingles(docs: DataFrame, rules: JaccardRules) -> np.ndarray:
             cells[at] = np.minimum(cells[at] + n, 255)
         for i, part in enumerate(cells.reshape(sections, -1)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pa.compress(part.tobytes(), "lz4", asbytes=True)], pa.binary())], names=["section", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["section", "counts"])
 
     def mark(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         n = np.zeros(1 << section, np.int64)
         for x in rows.column("counts"):
-            n += np.frombuffer(pa.decompress(x.as_py(), 1 << section, "lz4"), np.uint8)
+            n += np.frombuffer(pa.decompress(x.as_py(), 1 << section, "zstd"), np.uint8)
         rare = float(np.median(n)) if len(n) else 0.0
         over = np.flatnonzero(n >= max(3.0, rare + 4 * math.sqrt(rare)))
         marked = np.zeros(1 << section, bool)
         marked[over[np.argsort(-n[over], kind="stable")[:most]]] = True
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(marked, bitorder="little").tobytes()], pa.binary())], names=["section", "marks"])
 
-    found = batched(docs).select("text").mapInArrow(count, "section int, counts binary").groupBy("section").applyInArrow(mark, "section int, marks binary").toArrow()
+    with swept(docs.sparkSession):
+        found = batched(docs).select("text").mapInArrow(count, "section int, counts binary").groupBy("section").applyInArrow(mark, "section int, marks binary").toArrow()
     out = np.zeros((sections, 1 << section - 3), np.uint8)
     for i, x in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
         out[i] = np.frombuffer(x, np.uint8)
@@ -156,17 +157,37 @@ def incidence(docs: DataFrame, rules: JaccardRules) -> DataFrame:
     return batched(docs).mapInArrow(rows, "doc_id long, n long, digest binary, prefix array<long>, end_late boolean, end_at long")
 
 
-def full_sets(docs: DataFrame, rules: JaccardRules) -> DataFrame:
-    """digest and whole set of each row of docs, equal sets once."""
+def id_marks(ids: DataFrame, cells: int) -> np.ndarray:
+    """A bit table of 2**cells bits that marks the hashes of the doc_ids: 4 MB for 2**25, however many ids there are."""
+    at = _id_cell(cells) + 1
+    with swept(ids.sparkSession):
+        found = ids.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toArrow()
+    out = np.zeros((max(1, 1 << cells >> 15), 4096), np.uint8)
+    for bucket, bits in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        out[bucket - 1] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _id_cell(cells: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << cells))
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, rules: JaccardRules) -> DataFrame:
+    """digest and whole set of each row of docs whose doc_id is in wanted, equal sets once, and of some other rows.
+
+    Texts stay where they are read: a bit table of the wanted ids goes to them, which lets a few others pass."""
+    marks = id_marks(wanted, rules.cells)
 
     def rows(batches):
         for b in _sliced(batches, rules.slice):
+            cell = b.column(1).to_numpy()
+            texts = b.column(0).filter(pa.array((marks[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1))
             seen = {}
-            for s in shingle_sets(b.column(0), rules.words):
+            for s in shingle_sets(texts, rules.words) if len(texts) else []:
                 seen.setdefault(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([s.view(np.int64) for s in seen.values()], pa.list_(pa.int64()))], names=["digest", "grams"])
 
-    return batched(docs).select("text").mapInArrow(rows, "digest binary, grams array<long>").dropDuplicates(["digest"])
+    return batched(docs).select("text", _id_cell(rules.cells).alias("cell")).mapInArrow(rows, "digest binary, grams array<long>").dropDuplicates(["digest"])
 
 
 def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -223,14 +244,18 @@ def links(docs: DataFrame, rows: DataFrame, rules: JaccardRules) -> DataFrame:
     without a doc_id are no nodes: sets are found again by a representative's doc_id."""
     p = rules.percent
     some = rows.filter("n > 0 AND doc_id IS NOT NULL").withColumn("node", F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long"))
-    whole = F.min(F.struct("doc_id", "n", "prefix", F.struct("end_late", "end_at").alias("end")))
-    info = kept(some.groupBy("digest", "node").agg(whole.alias("w")).select("digest", "node", F.col("w.doc_id").alias("rep"), "w.n", "w.prefix", "w.end"), "jaccard-sets")
-    posted = info.select("node", "n", F.posexplode("prefix").alias("at", "key"))
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("list")).filter("list > 1")
-    listed = kept(posted.join(shared, "key"), "jaccard-lists")
+    once = F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min(F.struct("end_late", "end_at")).alias("end"), F.count(F.lit(1)).alias("held")
+    info = kept(some.groupBy("digest", "node").agg(*once), "jaccard-sets")
+    # only rows that share their set with others are dealt by it; the rest keep their prefixes where they are
+    several = kept(info.filter("held > 1").select("digest"), "jaccard-copies")
+    alone = some.join(several, "digest", "left_anti").select("node", "n", "prefix")
+    shared = some.join(several, "digest", "left_semi").groupBy("digest", "node").agg(F.min(F.struct("n", "prefix")).alias("w")).select("node", "w.n", "w.prefix")
+    posted = alone.unionByName(shared).select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    # n-grams are dealt once: their lists are counted where they lie
+    listed = kept(posted.withColumn("list", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("list > 1"), "jaccard-lists")
     lengthy = listed.filter(F.col("list") > rules.pair_list)
     hot = lengthy.groupBy("node").agg(F.count(F.lit(1)).alias("hot"))
-    about = kept(info.drop("prefix").join(hot, "node", "left").withColumn("hot", F.coalesce("hot", F.lit(0))), "jaccard-about")
+    about = kept(info.drop("held").join(hot, "node", "left").withColumn("hot", F.coalesce("hot", F.lit(0))), "jaccard-about")
 
     # A pair needs sizes within the similarity, and a common n-gram at like places: what lies before it in both and
     # what is left after it bound the whole overlap. Pairs that fail either are never made.
@@ -254,7 +279,7 @@ def links(docs: DataFrame, rows: DataFrame, rules: JaccardRules) -> DataFrame:
     dense = lengthy.drop("n").join(about, "node").select("key", "list", "rep", "n", "digest")
     wanted = pairs.select(F.col("rep_a").alias("doc_id")).unionByName(pairs.select(F.col("rep_b").alias("doc_id"))).unionByName(dense.select(F.col("rep").alias("doc_id"))).distinct()
     needed = pairs.select(F.col("digest_a").alias("digest")).unionByName(pairs.select(F.col("digest_b").alias("digest"))).unionByName(dense.select("digest")).distinct()
-    sets = kept(full_sets(docs.join(wanted, "doc_id", "left_semi"), rules).join(needed, "digest", "left_semi"), "jaccard-grams")
+    sets = kept(full_sets(docs, wanted, rules).join(needed, "digest", "left_semi"), "jaccard-grams")
 
     both = pairs.join(sets.select(F.col("digest").alias("digest_a"), F.col("grams").alias("grams_a")), "digest_a").join(sets.select(F.col("digest").alias("digest_b"), F.col("grams").alias("grams_b")), "digest_b")
     overlap = both.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"), "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("both"))
