@@ -70,8 +70,25 @@ def selections(days: DataFrame, sizes=(3, 10, 25)) -> DataFrame:
 
 def pooled_ic(df: DataFrame, names, horizons, least: int = 5) -> DataFrame:
     """Correlation of each component with each horizon's excess, over all dates together; pairs ranked among themselves."""
-    ahead = {h: f"future_excess_return_{h}d" for h in horizons}
-    return pooled.correlations(_cube(df, names, horizons), tuple(names), ahead, least)
+    return pooled.correlations(_pooled_blocks(df, names, horizons), tuple(names), _excesses(horizons), least)
+
+
+def pooled_ics(df: DataFrame, names, horizons, days: int, live: str, least: int = 5) -> tuple[DataFrame, DataFrame]:
+    """`pooled_ic` of all rows, and of those of the newest `days` dates with a row that is `live`: df is made once, and
+    what the first takes on disk is gone before the second."""
+    blocks = _pooled_blocks(df, names, horizons, live)
+    full, recent = (pooled.correlations(b, tuple(names), _excesses(horizons), least) for b in (blocks, pooled.newest(blocks, days)))
+    return written(full, "pooled"), recent
+
+
+def _excesses(horizons) -> dict[int, str]:
+    return {h: f"future_excess_return_{h}d" for h in horizons}
+
+
+def _pooled_blocks(df: DataFrame, names, horizons, live: str | None = None) -> DataFrame:
+    """What pooled ICs are made of as blocks; of one date each if those with a `live` row are to be told apart."""
+    cube = _cube(df if live is None else df.withColumn("_live", F.expr(live)), names, horizons, *(() if live is None else ("_live",)))
+    return pooled.packed(cube, [*names, *_excesses(horizons).values()], *(() if live is None else (F.col("d"), F.col("_live"))))
 
 
 def _corr(a: np.ndarray, b: np.ndarray) -> float | None:
@@ -184,12 +201,6 @@ def scoreboard(graded: DataFrame, least: int = 20) -> DataFrame:
     return sums.withColumns({"strong_hit_pct": rate("strong_hits", "n_strong"), "weak_hit_pct": rate("weak_hits", "n_weak"), "top_hit_pct": rate("top_hits", "n_top")})
 
 
-def newest_days(df: DataFrame, n: int, where=None) -> DataFrame:
-    """The rows of df's newest n dates, of those dates only that fit a condition if one is given."""
-    days = (df if where is None else df.filter(where)).select("d").distinct().orderBy(F.desc("d")).limit(n)
-    return df.join(F.broadcast(days), "d", "left_semi")
-
-
 def ic_drift(full: DataFrame, recent: DataFrame) -> DataFrame:
     """Pooled ICs of all rows against those of the recent ones, by series and horizon, and whether they have drifted apart."""
     both = full.select("series", "horizon", F.col("spearman_ic").alias("full_ic")).join(recent.select("series", "horizon", F.col("spearman_ic").alias("recent_ic")), ["series", "horizon"], "left")

@@ -144,8 +144,7 @@ _BOTH = f"{_ic('series, horizon', 5)}, {_RECENT}, {ic_sql('series, horizon', 5,
 
 def _pooled(spark, sf_dir):
     """Pooled ICs of all rows, and of those of the newest 60 days that ran live."""
-    df = written(graded(spark, sf_dir), "graded")
-    return reports.pooled_ic(df, NAMES, HORIZONS), reports.pooled_ic(reports.newest_days(df, 60, "recovered = 0"), NAMES, HORIZONS)
+    return reports.pooled_ics(graded(spark, sf_dir), NAMES, HORIZONS, 60, "recovered = 0")
 
 
 @query("component_ic", f"{_BOTH} SELECT 'all' AS span, series, horizon, n, round(pearson_ic, 6) AS pearson_ic, round(spearman_ic, 6) AS spearman_ic FROM ic UNION ALL SELECT 'recent', series, horizon, n, round(pearson_ic, 6), round(spearman_ic, 6) FROM ric")
