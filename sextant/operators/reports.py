@@ -226,17 +226,55 @@ def series_correlation(ics: DataFrame, pairs: list[tuple[str, str]], least: int
     return spearman(both, "ic_a", "ic_b", "a", "b", "horizon", least=least)
 
 
-def compared(rows: DataFrame, least: int = C.DECILE_MIN_NAMES, adequate: int = 60) -> DataFrame:
-    """By horizon and variant: mean daily IC and its t, decile spread and the mean of the best ten, from rows (horizon,
-    variant, d, entity, score, excess)."""
-    keys = ("horizon", "variant")
-    day = Window.partitionBy(*keys, "d")
-    full = rows.filter("score IS NOT NULL AND excess IS NOT NULL").withColumn("_n", F.count(F.lit(1)).over(day)).filter(F.col("_n") >= least)
-    graded = full.withColumns({"decile": deciles("score", C.DECILES, *keys, "d"), "place": F.rank().over(day.orderBy(F.desc("score"))), "_differ": F.min("score").over(day) < F.max("score").over(day)})
-    on = lambda c: F.avg(F.when(F.col("_differ") & c, F.col("excess")))
-    daily = graded.groupBy(*keys, "d").agg((on(F.col("decile") == 1) - on(F.col("decile") == C.DECILES)).alias("spread"), on(F.col("place") <= 10).alias("top10"))
-    ics = spearman(full, "score", "excess", *keys, "d", least=least).select(*keys, "d", F.col("spearman_ic").alias("ic"))
-    out = daily.join(ics, [*keys, "d"], "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_days"), F.avg("ic").alias("mean_daily_ic"), F.stddev_samp("ic").alias("_s"), F.count("ic").alias("_k"), F.avg("spread").alias("spread_avg"), F.avg("top10").alias("top_10_avg_excess"))
+def _grades(score: np.ndarray, excess: np.ndarray) -> tuple[float | None, float | None, float | None]:
+    """First decile less last, mean of the best ten with all that tie, and rank correlation of one day's scores with what
+    followed; without different scores there is only the last, and that is none."""
+    order = np.argsort(score, kind="stable")
+    rank, s, n = _average_ranks(score, order), score[order], len(score)
+    ic = _corr(rank, _average_ranks(excess, np.argsort(excess, kind="stable")))
+    if s[0] == s[-1] or np.isnan(s[0]):
+        return None, None, ic
+    decile = np.clip(np.ceil(np.round((n + 1 - rank) / n * C.DECILES, 9)), 1, C.DECILES)
+    first, last, best = (excess[k] for k in (decile == 1, decile == C.DECILES, n - np.searchsorted(s, score, "right") < 10))
+    return float(first.mean() - last.mean()) if len(first) and len(last) else None, float(best.mean()), ic
+
+
+def compared_days(df: DataFrame, names, fits: list, weights: dict[str, dict], mandatory, targets: dict[int, str], least: int = C.DECILE_MIN_NAMES) -> DataFrame:
+    """(horizon, variant, d, spread, top10, ic) of each out-of-sample date and set of weights, and of the configured scores.
+
+    `fits` are (horizon, fit, oos_start, oos_end), and `weights` of a variant one vector a (horizon, fit) in the order of
+    `names` (see `walkforward.composite` for what a score is). Rows are dealt by date, once for all variants and horizons,
+    whose scores are columns of a date and never rows: df that is stored by date (`store.dealt`) needs no exchange."""
+    names, configured = list(names), {h: f"score_{h}d" for h in targets}
+    read = [*names, *configured.values(), *targets.values()]
+
+    def day(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        d, found = key[0].as_py(), []
+        now = [(h, fit) for h, fit, start, end in fits if start <= d <= end]
+        at = _columns(rows, read) if now else {}
+        x, has = (np.stack([at[n][i] for n in names]) for i in (0, 1)) if now else (None, None)
+        for h, fit in now:
+            excess, there = at[targets[h]]
+            for variant in (*weights, "config"):
+                if variant == "config":
+                    score, known = at[configured[h]]
+                else:
+                    w = np.maximum(weights[variant].get((h, fit), np.zeros(len(names))), 0.0)
+                    whole = w @ has
+                    known = (whole > 0) & np.logical_and.reduce([has[names.index(n)] | (w[names.index(n)] == 0) for n in mandatory])
+                    score = (w @ x) / np.where(whole > 0, whole, 1.0)
+                both = known & there
+                if both.sum() >= max(least, 1):
+                    found.append((h, variant, d, *_grades(np.round(score[both], 9), excess[both])))
+        types = {"horizon": pa.int32(), "variant": pa.string(), "d": key[0].type, **dict.fromkeys(("spread", "top10", "ic"), pa.float64())}
+        return pa.table({c: pa.array([r[i] for r in found], t) for i, (c, t) in enumerate(types.items())})
+
+    return df.select("d", *[F.col(c).cast("double").alias(c) for c in read]).groupBy("d").applyInArrow(day, "horizon int, variant string, d date, spread double, top10 double, ic double")
+
+
+def compared(days: DataFrame, adequate: int = 60) -> DataFrame:
+    """By horizon and variant: mean daily IC and its t, decile spread and the mean of the best ten, of `compared_days`."""
+    out = days.groupBy("horizon", "variant").agg(F.count(F.lit(1)).alias("n_days"), F.avg("ic").alias("mean_daily_ic"), F.stddev_samp("ic").alias("_s"), F.count("ic").alias("_k"), F.avg("spread").alias("spread_avg"), F.avg("top10").alias("top_10_avg_excess"))
     return out.withColumns({"ic_t_stat": overlap_t(F.col("mean_daily_ic"), F.col("_s"), F.col("_k"), F.col("horizon")), "adequate": F.col("n_days") >= adequate}).drop("_s", "_k")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from sextant.operators import events, expanding, forward, patterns, reports, wal
 from sextant.plans import core, evaluation
 from sextant.plans import oracle as O
 from sextant.sources.bars import bars, read, watchlist
-from sextant.sources.store import written
+from sextant.sources.store import dealt, written
 from sextant.streaming import windows as streams
 
 QUERIES, ORACLES = {}, {}
@@ -238,6 +236,12 @@ def composite_sql(weights: str, out: str) -> str:
     return f"{out}_l AS ({long}), {out} AS (SELECT l.horizon, l.fit, d, entity, CASE WHEN NOT bool_or(series = 'trend_component' AND value IS NULL) THEN sum(weight * value) / nullif(sum(weight) FILTER (value IS NOT NULL), 0) END AS score FROM {out}_l l JOIN {weights} w USING (horizon, fit, series) WHERE weight > 0 GROUP BY 1, 2, 3, 4)"
 
 
+def _by_date(spark, sf_dir, *more):
+    """What fits and their scores read of the graded rows, stored by date. The scoring run has dealt dates last, so writing
+    takes no exchange, nor does what works by date after that."""
+    return dealt(evaluation.graded(spark, sf_dir).select("d", "entity", "stale", *NAMES, *_TARGETS.values(), *more), "graded", "d")
+
+
 def _ahead(df, fits):
     return df.join(F.broadcast(fits.select("horizon", "fit", "oos_start", "oos_end")), F.col("d").between(F.col("oos_start"), F.col("oos_end")))
 
@@ -266,19 +270,14 @@ da AS (SELECT horizon, variant, d, avg(excess) FILTER (lo < hi AND least(10, gre
 def walk_forward_comparison(spark, sf_dir):
     """Weights by mean IC, by IC ratio, by ridge and by non-negative regression, and the configured score, for each
     horizon on the same out-of-sample dates, from one scoring run."""
-    df, fits = written(evaluation.graded(spark, sf_dir), "graded"), _fits(spark, sf_dir, None, HORIZONS)
+    df, fits = _by_date(spark, sf_dir, *[f"score_{h}d" for h in HORIZONS]), _fits(spark, sf_dir, None, HORIZONS)
     ics = written(reports.daily_ic(df, NAMES, HORIZONS, 5), "ics")
     sums, sets = _moments(spark, df, fits)
     found = {v: walkforward.ic_weights(fits, ics, ratio) for v, ratio in SPEC.items()}
     found |= {v: walkforward.clipped(walkforward.solved(spark, sums, list(NAMES), sets, solve, LEAST_ROWS), LEAST_ROWS) for v, solve in (("ridge", walkforward.ridge), ("nnls", walkforward.nonnegative))}
-    by_horizon = lambda cols: reduce(lambda a, h: F.when(F.col("horizon") == h, F.col(cols[h])).otherwise(a), HORIZONS, F.lit(None).cast("double"))
-    ahead, out = _ahead(df, fits).withColumn("excess", by_horizon(_TARGETS)), None
-    for variant, weights in [*found.items(), ("config", None)]:
-        scored = ahead.select("horizon", "d", "entity", by_horizon({h: f"score_{h}d" for h in HORIZONS}).alias("score"), "excess") if weights is None else walkforward.composite(ahead, weights, list(NAMES), ["trend_component"], "excess").select("horizon", "d", "entity", "score", "excess")
-        part = scored.withColumn("variant", F.lit(variant))
-        out = part if out is None else out.unionByName(part)
-    rows = out.withColumn("score", F.round("score", 9)).filter("score IS NOT NULL AND excess IS NOT NULL")
-    return rounded(reports.compared(written(rows, "compared")))
+    ahead = [tuple(r) for r in fits.select("horizon", "fit", "oos_start", "oos_end").collect()]
+    weights = {v: walkforward.vectors(w, list(NAMES)) for v, w in found.items()}
+    return rounded(reports.compared(reports.compared_days(df, NAMES, ahead, weights, ["trend_component"], _TARGETS)))
 
 
 _FLAG = "ef AS (SELECT DISTINCT l_suppkey AS entity, CAST(date_trunc('week', l_shipdate) AS DATE) AS d FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1)"
