@@ -249,7 +249,7 @@ def _ahead(df, fits):
 @query("walk_forward_composite", f"{_ICS}, {_SCHED}, {weights_sql(False, 'w')}, {composite_sql('w', 'co')} SELECT horizon, fit, d, entity, round(score, 6) AS score FROM co")
 def walk_forward_composite(spark, sf_dir):
     """Out-of-sample scores of each horizon: each date scored by the fit that was made before it."""
-    df, fits = written(evaluation.graded(spark, sf_dir), "graded"), _fits(spark, sf_dir, None, HORIZONS)
+    df, fits = _by_date(spark, sf_dir), _fits(spark, sf_dir, None, HORIZONS)
     weights = walkforward.ic_weights(fits, reports.daily_ic(df, NAMES, HORIZONS, 5))
     return rounded(walkforward.composite(_ahead(df, fits), weights, list(NAMES), ["trend_component"]))
 

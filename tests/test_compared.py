@@ -78,3 +78,15 @@ def test_a_table_stored_as_dealt_needs_no_exchange(spark, rows):
 def test_vectors_follow_the_names(spark):
     weights = spark.createDataFrame([(5, 1, "b", 0.75), (5, 2, "a", 0.25)], "horizon int, fit int, series string, weight double")
     assert {k: v.tolist() for k, v in walkforward.vectors(weights, list(NAMES)).items()} == {(5, 1): [0.0, 0.75], (5, 2): [0.25, 0.0]}
+
+
+def test_composites_read_a_table_stored_by_date(spark, sf_dir, monkeypatch):
+    """The query's ICs take no exchange, and its table has no columns that it doesn't read."""
+    from sextant.plans import research
+
+    seen, real = [], reports.daily_ic
+    monkeypatch.setattr(research.reports, "daily_ic", lambda df, *more: (seen.append((df, real(df, *more))), seen[0][1])[1])
+    research.walk_forward_composite(spark, sf_dir)
+    df, ics = seen[0]
+    assert "Exchange" not in _plan(ics)
+    assert set(df.columns) == {"d", "entity", "stale", *research.NAMES, *research._TARGETS.values()}
